@@ -31,8 +31,8 @@ RULES = {
     "symbol_share": ("above", 30),
     "upper_share": ("above", 200),
     "mark_share": ("above", 60),
-    "line_share": ("above", 200),
-    "repeat_share": ("above", 100),
+    "line_share": ("above", 400),
+    "repeat_share": ("above", 250),
     "word_length": ("both", 250),
 }
 

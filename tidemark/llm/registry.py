@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality
+from tidemark.llm import mixing, pieces, quality, simhash
 
-_MODULES = (mixing, quality)
+_MODULES = (pieces, mixing, quality, simhash)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
