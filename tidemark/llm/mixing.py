@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix"
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 LEAST_QUALITY = 0.05
 
 
