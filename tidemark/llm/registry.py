@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, phrases, pieces, quality, simhash
+from tidemark.llm import html, mixing, phrases, pieces, quality, simhash, webp
 
-_MODULES = (pieces, mixing, quality, simhash, phrases)
+_MODULES = (pieces, mixing, quality, html, webp, simhash, phrases)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

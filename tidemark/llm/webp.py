@@ -59,40 +59,41 @@ def _bundle_bits(colours: int) -> int:
 # ---------------------------------------------------------------- prefix codes
 
 
-def canonical(lengths: list[int]) -> list[int]:
+_REVERSED = np.zeros(1, np.int64)
+for _ in range(MOST_BITS):  # bit reversal of 15-bit numbers
+    _REVERSED = np.concatenate([2 * _REVERSED, 2 * _REVERSED + 1])
+
+
+def _in_order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols with a length in the order of their codes, their lengths, and the shares of the code space."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    return used, lengths[used], 1 << (MOST_BITS - lengths[used])
+
+
+def canonical(lengths: list[int]) -> np.ndarray:
     """Codes of the symbols with a length, bit-reversed, as they are stored least bit first."""
-    counts = [0] * (MOST_BITS + 2)
-    for n in lengths:
-        counts[n] += 1
-    counts[0] = 0
-    code, following = 0, [0] * (MOST_BITS + 2)
-    for n in range(1, MOST_BITS + 1):
-        code = (code + counts[n - 1]) << 1
-        following[n] = code
-    out = [0] * len(lengths)
-    for s, n in enumerate(lengths):
-        if n:
-            out[s] = int(f"{following[n]:0{n}b}"[::-1], 2)
-            following[n] += 1
-    return out
+    all_ = np.array(lengths, np.int64)
+    used, _, share = _in_order(all_)
+    # A code followed by zeros is the share of all codes before it; reversed, the zeros lead.
+    all_[used] = _REVERSED[np.cumsum(share) - share]
+    return all_
 
 
 class PrefixTable:
     """Lookup of the next symbol: ``table[bits & mask]`` is symbol << 4 | length."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
+        used, each, share = _in_order(np.array(lengths, np.int64))
         if len(used) == 1:
-            self.table, self.mask = [used[0] << 4], 0
+            self.table, self.mask = [int(used[0]) << 4], 0
             return
-        if not used or sum(1 << (MOST_BITS - n) for n in lengths if n) != 1 << MOST_BITS:
+        if share.sum() != 1 << MOST_BITS:
             raise ValueError("incomplete or oversubscribed prefix code")
-        bits = max(lengths)
+        bits = int(each[-1])
         self.mask = (1 << bits) - 1
-        self.table = [0] * (1 << bits)
-        for s, code in zip(used, [c for c, n in zip(canonical(lengths), lengths, strict=True) if n], strict=True):
-            n = lengths[s]
-            self.table[code :: 1 << n] = [s << 4 | n] * (1 << (bits - n))
+        filled = np.repeat(used << 4 | each, 1 << (bits - each))
+        self.table = filled[_REVERSED[: 1 << bits] >> (MOST_BITS - bits)].tolist()
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
@@ -101,24 +102,23 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
     lengths = [0] * len(counts)
     if len(used) == 1:
         lengths[used[0]] = 1
-    least = 1
-    while len(used) > 1:
-        heap = [(max(int(counts[s]), least), k, (s,)) for k, s in enumerate(used)]
+    weights = counts[used].tolist()
+    n, least = len(used), 1
+    while n > 1:
+        heap = [(max(w, least), k) for k, w in enumerate(weights)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        k = len(used)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heap[0]
-            for s in a[2]:
-                depth[s] += 1
-            for s in b[2]:
-                depth[s] += 1
-            heapq.heapreplace(heap, (a[0] + b[0], k, a[2] + b[2]))
-            k += 1
-        if max(depth.values()) <= most:
-            for s, n in depth.items():
-                lengths[s] = n
+        above = [0] * (2 * n - 1)
+        for k in range(n, 2 * n - 1):
+            wa, a = heapq.heappop(heap)
+            wb, b = heap[0]
+            above[a] = above[b] = k
+            heapq.heapreplace(heap, (wa + wb, k))
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth[:n]) <= most:
+            for s, d in zip(used, depth, strict=False):
+                lengths[s] = d
             break
         least *= 2
     return lengths
@@ -129,8 +129,8 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
 
 class _Bits:
     def __init__(self, data: bytes):
-        raw = np.frombuffer(data + bytes(16), np.uint8)
-        self.windows = np.lib.stride_tricks.sliding_window_view(raw, 8)[: len(data) + 8].copy().view("<u8").ravel().tolist()
+        raw = np.frombuffer(data + bytes(64), np.uint8)
+        self.windows = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view("<u8").ravel().tolist()
         self.end = 8 * len(data)
         self.at = 0
 
@@ -150,7 +150,8 @@ class _Bits:
         return entry >> 4
 
 
-def _read_code(bits: _Bits, size: int) -> PrefixTable:
+def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
+    """The next prefix code; codes with equal lengths share a table."""
     lengths = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -177,7 +178,10 @@ def _read_code(bits: _Bits, size: int) -> PrefixTable:
                 raise ValueError("too many code lengths")
             lengths[at : at + n] = [previous if s == 16 else 0] * n
             at += n
-    return PrefixTable(lengths)
+    key = tuple(lengths)
+    if key not in made:
+        made[key] = PrefixTable(lengths)
+    return made[key]
 
 
 def _prefix_value(bits: _Bits, code: int) -> int:
@@ -200,7 +204,8 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_at = ((meta >> 8) & 0xFFFF).tolist()
         n_groups = max(groups_at) + 1
     size = 256 + 24 + (1 << cache_bits if cache_bits else 0)
-    groups = [[_read_code(bits, n) for n in (size, 256, 256, 256, 40)] for _ in range(n_groups)]
+    made: dict = {}
+    groups = [[_read_code(bits, n, made) for n in (size, 256, 256, 256, 40)] for _ in range(n_groups)]
     total = width * height
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else None
@@ -209,19 +214,27 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     windows, end = bits.windows, bits.end
     across = _up(width, tile) if tile else 0
     at = bits.at
-    greens, reds, blues, alphas, far = groups[0]
-    g_table, g_mask, r_table, r_mask, b_table, b_mask, a_table, a_mask = greens.table, greens.mask, reds.table, reds.mask, blues.table, blues.mask, alphas.table, alphas.mask
-    while len(out) < total:
-        if groups_at is not None:
-            k = len(out)
-            greens, reds, blues, alphas, far = groups[groups_at[(k // width >> tile) * across + (k % width >> tile)]]
-            g_table, g_mask, r_table, r_mask, b_table, b_mask, a_table, a_mask = greens.table, greens.mask, reds.table, reds.mask, blues.table, blues.mask, alphas.table, alphas.mask
-        word = windows[at >> 3] >> (at & 7)
-        entry = g_table[word & g_mask]
-        n = entry & 15
-        at += n
-        green = entry >> 4
-        if green < 256:
+    append = out.append
+    far = None
+    stop = 0  # pixel at which the prefix codes change
+    while (have := len(out)) < total:
+        if have >= stop:
+            if groups_at is None:
+                group, stop = groups[0], total
+            else:
+                y, x = divmod(have, width)
+                group = groups[groups_at[(y >> tile) * across + (x >> tile)]]
+                stop = y * width + min(width, ((x >> tile) + 1) << tile)
+            (g_table, g_mask), (r_table, r_mask), (b_table, b_mask), (a_table, a_mask) = ((c.table, c.mask) for c in group[:4])
+            far = group[4]
+        green = 0
+        for _ in range(stop - have):  # literals
+            word = windows[at >> 3] >> (at & 7)
+            green = g_table[word & g_mask]
+            n = green & 15
+            at += n
+            if green >= 4096:
+                break
             red = r_table[(word >> n) & r_mask]
             at += red & 15
             word = windows[at >> 3] >> (at & 7)
@@ -229,8 +242,13 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
             n = blue & 15
             alpha = a_table[(word >> n) & a_mask]
             at += n + (alpha & 15)
-            out.append((alpha >> 4) << 24 | (red >> 4) << 16 | green << 8 | blue >> 4)
-        elif green < 280:
+            append((alpha >> 4) << 24 | (red >> 4) << 16 | (green >> 4) << 8 | blue >> 4)
+        if at > end:
+            raise ValueError("the bit stream ends early")
+        green >>= 4
+        if green < 256:
+            continue
+        if green < 280:
             bits.at = at
             length = _prefix_value(bits, green - 256)
             distance = _prefix_value(bits, bits.symbol(far))
@@ -252,9 +270,7 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
             for value in out[cached:]:
                 cache[((value * CACHE_FACTOR) & 0xFFFFFFFF) >> shift] = value
             cached = len(out)
-            out.append(cache[green - 280])
-        if at > end:
-            raise ValueError("the bit stream ends early")
+            append(cache[green - 280])
     bits.at = at
     return np.array(out, np.uint32)
 
@@ -444,43 +460,37 @@ def _split_value(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + ((v >> extra) & 1), extra, v & ((1 << extra) - 1)
 
 
-def _write_code(out: _Writer, lengths: list[int]) -> None:
+def _code_bits(lengths: list[int]) -> list[tuple[int, int]]:
+    """A prefix code as (value, bits) pairs."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and all(s < 256 for s in used):
         first = used[0] if used else 0
-        out.put(1, 1)
-        out.put(len(used) > 1, 1)
-        out.put(1, 1)
-        out.put(first, 8)
-        if len(used) > 1:
-            out.put(used[1], 8)
-        return
-    out.put(0, 1)
+        pairs = [(1, 1), (int(len(used) > 1), 1), (1, 1), (first, 8)]
+        return [*pairs, (used[1], 8)] if len(used) > 1 else pairs
     runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
     at = 0
-    while at < len(lengths):
-        if lengths[at]:
-            runs.append((lengths[at], 0, 0))
-            at += 1
-            continue
-        n = 1
-        while at + n < len(lengths) and not lengths[at + n] and n < 138:
-            n += 1
-        runs += [(18, n - 11, 7)] if n >= 11 else [(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n
-        at += n
-    counts = np.bincount([r[0] for r in runs], minlength=19)
-    own = code_lengths(counts, 7)
-    kept = max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1
-    out.put(max(kept, 4) - 4, 4)
-    for s in LENGTH_ORDER[: max(kept, 4)]:
-        out.put(own[s], 3)
-    out.put(0, 1)
-    codes = canonical(own)
-    single = sum(1 for n in own if n) == 1
+    for s in [*used, len(lengths)]:
+        gap = s - at
+        while gap >= 11:
+            n = min(gap, 138)
+            runs.append((18, n - 11, 7))
+            gap -= n
+        if gap >= 3:
+            runs.append((17, gap - 3, 3))
+        else:
+            runs += [(0, 0, 0)] * gap
+        if s < len(lengths):
+            runs.append((lengths[s], 0, 0))
+        at = s + 1
+    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+    kept = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
+    pairs = [(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (0, 1)]
+    codes = canonical(own).tolist()
+    if sum(1 for n in own if n) == 1:
+        own = [0] * len(own)
     for s, extra, n in runs:
-        out.put(codes[s], 0 if single else own[s])
-        if n:
-            out.put(extra, n)
+        pairs.append((codes[s] | extra << own[s], own[s] + n))
+    return pairs
 
 
 def _copies(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
@@ -551,19 +561,21 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
         extras.append((size, extra, far_code, far_size, far_extra))
     literal &= keep
     size = 256 + 24 + (1 << cache_bits if cache_bits else 0)
-    counts = [np.bincount(green[keep], minlength=size)] + [np.bincount(c[literal, k], minlength=256) for k in (2, 0, 3)]
-    counts.append(np.bincount([e[2] for e in extras], minlength=40) if extras else np.zeros(40, np.int64))
-    lengths = [code_lengths(x) for x in counts]
-    for x in lengths:
-        _write_code(out, x)
-    tables = []
-    for x in lengths:
-        single = sum(1 for v in x if v) == 1
-        tables.append((np.array(canonical(x), np.int64), np.zeros(len(x), np.int64) if single else np.array(x, np.int64)))
+    # Red, blue and alpha share one code: four bytes of text have much the same statistics, and it is made once.
+    rest = np.bincount(c[literal][:, [2, 0, 3]].ravel(), minlength=256)
+    far = np.bincount([e[2] for e in extras], minlength=40) if extras else np.zeros(40, np.int64)
+    made = []
+    for counts in (np.bincount(green[keep], minlength=size), rest, far):
+        lengths = code_lengths(counts)
+        single = sum(1 for v in lengths if v) == 1
+        made.append((canonical(lengths), np.array(lengths, np.int64) * (not single), _code_bits(lengths)))
+    tables = [made[0], made[1], made[1], made[1], made[2]]
+    for table in tables:
+        out.loose += table[2]
     values, sizes = np.zeros((n, 5), np.int64), np.zeros((n, 5), np.int64)
     values[:, 0], sizes[:, 0] = tables[0][0][green], tables[0][1][green]
     for column, k in ((1, 2), (2, 0), (3, 3)):
-        code, length = tables[column]
+        code, length, _ = tables[column]
         values[literal, column], sizes[literal, column] = code[c[literal, k]], length[c[literal, k]]
     if extras:
         e = np.array(extras, np.int64)
