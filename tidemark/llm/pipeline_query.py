@@ -1,2 +1,8 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""The corpus pipeline as a query."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+
+QUERIES = {"pipeline": corpus_pipeline.run}
+ORACLES = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

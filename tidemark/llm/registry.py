@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import html, mixing, phrases, pieces, quality, simhash, toxicity, webp
+from tidemark.llm import chat, html, mixing, phrases, pieces, quality, simhash, toxicity, warc, webp
 
-_MODULES = (pieces, mixing, quality, toxicity, html, webp, simhash, phrases)
+_MODULES = (pieces, mixing, warc, quality, toxicity, chat, html, webp, simhash, phrases)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
