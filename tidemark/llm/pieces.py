@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tidemark.llm.common import read_table
 
@@ -241,7 +242,7 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame
     """``docs`` with the column piece_ids (array of int)."""
     if "piece_ids" in docs.columns:
         docs = docs.drop("piece_ids")
-    schema = docs.schema.add("piece_ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
@@ -257,7 +258,7 @@ def decode_ids(rows: DataFrame, model: bytes, ids: str = "piece_ids") -> DataFra
     """``rows`` with the column decoded (string)."""
     if "decoded" in rows.columns:
         rows = rows.drop("decoded")
-    schema = rows.schema.add("decoded", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
