@@ -5,9 +5,11 @@ Every word covered by a 13-word window that also starts in a document with a sma
 1. Anchors. Each window elects one of its 5-word grams, the one with the least hash, so equal windows
    elect equal grams; a document sends only its distinct anchors, a fifth of its positions. A gram with
    two ids or more is a candidate.
-2. Confirmation. Runs of windows with candidate anchors are cut into segments of ``SEGMENT`` windows and
-   staged; grouping their 128-bit window hashes gives each window's first (smallest) document and
-   segment. Windows that occur in one document only end here.
+2. Confirmation. Runs of windows with candidate anchors are cut into segments of about ``SEGMENT``
+   windows and staged. Consecutive windows with one anchor form a span; equal spans (128 bits of gram and
+   span hash) are grouped first, and all but the first document of a span refer to that one. Only where
+   a gram has different spans, at the edges of copies, do the first documents' windows get compared one
+   by one, by 128-bit hashes. Either way a window's first (smallest) document and segment are found.
 3. Automata. A document gets the segments that its confirmed windows first occurred in. Tasks compile
    the segments of a block of documents, sharded so that a shard stays under ``SHARD_WORDS`` words, into
    Aho-Corasick automata whose patterns are the segments' aligned 7-word blocks: any 13-word window
@@ -34,7 +36,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import drop_staged, read_table, stage_table
 
@@ -45,26 +46,39 @@ BLOCK = (WINDOW + 1) // 2
 SEGMENT = 64
 SHARD_WORDS = 200_000
 DOCS = 256
-MEMORY = 300_000
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (3, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _WordHashes:
-    """64-bit hashes of words, remembered in a bounded table."""
-
-    def __init__(self):
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.seen) > MEMORY:
-            self.seen.clear()
-        seen = self.seen
-        found = list(map(seen.get, words))
-        for k, h in enumerate(found):
-            if h is None:
-                w = words[k]
-                found[k] = seen[w] = xxh64_intdigest(w)
-        return np.array(found, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BLOCK_BYTES = 1 << 18
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, _BLOCK_BYTES + 1)
+        _POWERS[:] = [np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word of the bytes: a 64-bit polynomial hash, begin and end; block by block."""
+    found: list[tuple] = []
+    at = 0
+    while at < len(raw):
+        end = at + _BLOCK_BYTES
+        while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+            end += 1
+        part = np.frombuffer(raw, np.uint8, min(end, len(raw)) - at, at)
+        word = ~((part == 32) | ((part >= 9) & (part <= 13)))
+        edge = np.flatnonzero(np.diff(np.r_[False, word, False]))
+        begin, stop = edge[::2], edge[1::2]
+        power, inverse = _powers(len(part) + 1)
+        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])]
+        found.append(((sums[stop] - sums[begin]) * inverse[begin] + (stop - begin).astype(np.uint64), begin + at, stop + at))
+        at += len(part)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _rolled(hashes: np.ndarray, width: int, odd: np.ndarray) -> np.ndarray:
@@ -104,12 +118,12 @@ def anchors(docs: DataFrame) -> DataFrame:
     """(gram, doc_id): the distinct anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _WordHashes()
         for part in _slices(batches):
             grams, ids = [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                if len(words := _words(text)) >= WINDOW:
-                    found = np.unique(window_anchors(hashed(words)))
+                hashes = word_hashes((text or "").encode())[0]
+                if len(hashes) >= WINDOW:
+                    found = np.unique(window_anchors(hashes))
                     grams.append(found)
                     ids.append(np.full(len(found), doc, np.int64))
             if grams:
@@ -128,41 +142,85 @@ def candidate_grams(docs: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Runs of windows with candidate anchors: doc_id, seg, words, and two hashes per window."""
+    """Runs of windows with candidate anchors: doc_id, seg, words, and its spans (gram, span)."""
     joined = docs.select("doc_id", "text").join(grams.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _WordHashes()
         for part in _slices(batches):
             out: list[tuple] = []
-            for doc, text, wanted in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True):
-                words = _words(text)
-                if len(words) < WINDOW:
+            for doc, text, wanted in zip(*[part.column(k).to_pylist() for k in range(2)], _lists(part.column(2)), strict=True):
+                raw = (text or "").encode()
+                hashes, begin, stop = word_hashes(raw)
+                if len(hashes) < WINDOW:
                     continue
-                h = hashed(words)
-                flags = np.isin(window_anchors(h), np.array(wanted, np.int64).view(np.uint64))
+                anchor = window_anchors(hashes)
+                flags = np.isin(anchor, wanted.view(np.uint64))
                 if not flags.any():
                     continue
-                h1, h2 = _rolled(h, WINDOW, _ODD[1]).view(np.int64), _rolled(h, WINDOW, _ODD[2]).view(np.int64)
-                edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    for s in range(a, b, SEGMENT):
-                        e = min(s + SEGMENT, b)
-                        out.append((doc, s, b" ".join(words[s : e + WINDOW - 1]).decode(), h1[s:e], h2[s:e]))
+                h1, h2 = _rolled(hashes, WINDOW, _ODD[1]), _rolled(hashes, WINDOW, _ODD[2])
+                # Spans: runs of equal anchors; a segment takes whole spans until it is long enough.
+                turn = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+                last = np.r_[turn[1:], len(anchor)] - 1
+                keep = flags[turn]
+                turn, last = turn[keep], last[keep]
+                span = (h1[turn] * np.uint64(_BASE) ^ h2[last]) + (last - turn).astype(np.uint64)
+                cut, first = [0], int(turn[0])
+                for k in range(1, len(turn)):
+                    if turn[k] != last[k - 1] + 1 or turn[k] - first >= SEGMENT:
+                        cut.append(k)
+                        first = int(turn[k])
+                for a, b in zip(cut, [*cut[1:], len(turn)], strict=True):
+                    words = b" ".join(raw[begin[turn[a]] : stop[last[b - 1] + WINDOW - 1]].split()).decode()
+                    out.append((doc, int(turn[a]), words, anchor[turn[a:b]].view(np.int64), span[a:b].view(np.int64)))
             if out:
                 cols = list(zip(*out, strict=True))
                 lists = [pa.array(c, pa.list_(pa.int64())) for c in cols[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), *lists], ["doc_id", "seg", "words", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), *lists], ["doc_id", "seg", "words", "grams", "spans"])
+
+    return joined.mapInArrow(run, "doc_id long, seg long, words string, grams array<long>, spans array<long>")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list<int64> column as numpy arrays."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def edge_windows(wanted: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, seg) of the windows of segments whose anchor is among the row's ``asked`` grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+            for doc, seg, text, asked in zip(*[part.column(k).to_pylist() for k in range(3)], _lists(part.column(3)), strict=True):
+                hashes = word_hashes(text.encode())[0]
+                at = np.flatnonzero(np.isin(window_anchors(hashes), asked.view(np.uint64)))
+                for col, x in zip(cols, (_rolled(hashes, WINDOW, _ODD[1])[at].view(np.int64), _rolled(hashes, WINDOW, _ODD[2])[at].view(np.int64), np.full(len(at), doc), np.full(len(at), seg)), strict=True):
+                    col.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["h1", "h2", "doc_id", "seg"])
+
+    return wanted.select("doc_id", "seg", "words", "asked").mapInArrow(run, "h1 long, h2 long, doc_id long, seg long")
+
 
-    return joined.mapInArrow(run, "doc_id long, seg long, words string, h1 array<long>, h2 array<long>")
+def _references(rows: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
+    """(doc_id, owner, owner_seg) of the rows whose key has a smaller first document."""
+    known = first.where("owner < last").select(*key, "owner", "owner_seg")
+    return rows.join(known, key).where("doc_id > owner").select("doc_id", "owner", "owner_seg")
 
 
 def first_segments(found: DataFrame) -> DataFrame:
     """doc_id and the segments (owner, words) of smaller ids in which its windows first occurred."""
-    windows = found.select("doc_id", "seg", F.inline(F.arrays_zip("h1", "h2")))
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "seg")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    first = first.select("h1", "h2", F.col("first.doc_id").alias("owner"), F.col("first.seg").alias("owner_seg"))
-    wanted = windows.join(first, ["h1", "h2"]).where("doc_id > owner").select("doc_id", "owner", "owner_seg").distinct()
+    firsts = (F.min("doc_id").alias("owner"), F.min_by("seg", "doc_id").alias("owner_seg"), F.max("doc_id").alias("last"))
+    spans = found.select("doc_id", "seg", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("spans").alias("span"))))
+    first_spans = stage_table(spans.groupBy("gram", "span").agg(*firsts), "phrase-spans")
+    mixed = first_spans.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    asked = first_spans.join(mixed, "gram", "left_semi").groupBy(F.col("owner").alias("_doc"), F.col("owner_seg").alias("_seg")).agg(F.collect_set("gram").alias("asked"))
+    windows = stage_table(edge_windows(found.join(asked, (F.col("doc_id") == F.col("_doc")) & (F.col("seg") == F.col("_seg")))), "phrase-windows")
+    first_windows = windows.groupBy("h1", "h2").agg(*firsts)
+    wanted = stage_table(_references(spans, first_spans, ["gram", "span"]).unionByName(_references(windows, first_windows, ["h1", "h2"])).distinct(), "phrase-references")
+    drop_staged(windows)
+    drop_staged(first_spans)
     text = found.select(F.col("doc_id").alias("_owner"), F.col("seg").alias("_seg"), "words")
     got = wanted.join(text, (F.col("owner") == F.col("_owner")) & (F.col("owner_seg") == F.col("_seg")))
     return got.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("owner", "words")).alias("passages"))
@@ -260,7 +318,8 @@ def _with_passages(docs: DataFrame) -> DataFrame:
     grams = candidate_grams(docs)
     found = stage_table(segments(docs, grams), "phrase-segments")
     drop_staged(grams)
-    passages = first_segments(found).withColumnRenamed("passages", "_passages")
+    passages = stage_table(first_segments(found), "phrase-passages").withColumnRenamed("passages", "_passages")
+    drop_staged(found)
     return docs.join(passages, docs["doc_id"] == F.col("_doc"), "left").select(*[docs[c] for c in docs.columns], "_passages")
 
 
