@@ -96,4 +96,4 @@ def status_after(start: Column, events: Column) -> Column:
 
 def retry_delay(attempt: Column, key: Column) -> Column:
     """Seconds to the next try: 2^attempt up to an hour, and a jitter that the row fixes."""
-    return F.least(F.lit(3600.0), F.pow(F.lit(2.0), F.least(attempt, F.lit(10))) + F.pmod(F.crc32(F.concat_ws(":", attempt, key)), F.lit(31)))
+    return F.least(F.lit(3600.0), F.pow(F.lit(2.0), F.least(attempt, F.lit(10))) + F.conv(F.substring(F.md5(F.concat_ws(":", attempt.cast("string"), key.cast("string"))), 1, 6), 16, 10).cast("long") % 31)
