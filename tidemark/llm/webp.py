@@ -30,6 +30,8 @@ ROW = 144
 SIDE = 1 << 14
 LONGEST = 4096
 MOST_BITS = 15
+#: Longest code that is written: a pixel's four codes fit one 64-bit value.
+WRITTEN_BITS = 14
 
 # Fixed values of the format: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -86,14 +88,26 @@ class PrefixTable:
     def __init__(self, lengths: list[int]):
         used, each, share = _in_order(np.array(lengths, np.int64))
         if len(used) == 1:
-            self.table, self.mask = [int(used[0]) << 4], 0
-            return
-        if share.sum() != 1 << MOST_BITS:
+            self.mask, self.bits = 0, 0
+            self.symbols, self.sizes = used, np.zeros(1, np.int64)
+        elif share.sum() != 1 << MOST_BITS:
             raise ValueError("incomplete or oversubscribed prefix code")
-        bits = int(each[-1])
-        self.mask = (1 << bits) - 1
-        filled = np.repeat(used << 4 | each, 1 << (bits - each))
-        self.table = filled[_REVERSED[: 1 << bits] >> (MOST_BITS - bits)].tolist()
+        else:
+            self.bits = bits = int(each[-1])
+            self.mask = (1 << bits) - 1
+            index = np.repeat(np.arange(len(used)), 1 << (bits - each))[_REVERSED[: 1 << bits] >> (MOST_BITS - bits)]
+            self.symbols, self.sizes = used[index], each[index]
+        self._table: list[int] | None = None
+
+    @property
+    def table(self) -> list[int]:
+        if self._table is None:
+            self._table = (self.symbols << 4 | self.sizes).tolist()
+        return self._table
+
+    def shifted(self, by: int) -> list[int]:
+        """Symbols shifted to a sample's place in a pixel, over six bits for the length: entries of four samples add up."""
+        return (self.symbols << (by + 6) | self.sizes).tolist()
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
@@ -163,21 +177,33 @@ def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
     for s in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[s] = bits.read(3)
     code = PrefixTable(own)
+    table, mask = code.table, code.mask
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, previous = 0, 8
-    while at < size and left:
+    previous = 8
+    lengths = []
+    windows, at = bits.windows, bits.at
+    while len(lengths) < size and left:
         left -= 1
-        s = bits.symbol(code)
+        word = windows[at >> 3] >> (at & 7)
+        entry = table[word & mask]
+        n = entry & 15
+        s = entry >> 4
         if s < 16:
-            lengths[at] = s
-            at += 1
+            at += n
+            lengths.append(s)
             previous = s or previous
         else:
-            n = 3 + bits.read(2) if s == 16 else 3 + bits.read(3) if s == 17 else 11 + bits.read(7)
-            if at + n > size:
-                raise ValueError("too many code lengths")
-            lengths[at : at + n] = [previous if s == 16 else 0] * n
-            at += n
+            word >>= n
+            extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+            at += n + extra
+            lengths += [previous if s == 16 else 0] * (least + (word & ((1 << extra) - 1)))
+    bits.at = at
+    if len(lengths) > size or at > bits.end:
+        raise ValueError("too many code lengths, or the bit stream ends early")
+    while not lengths[-1]:
+        lengths.pop()
+        if not lengths:
+            raise ValueError("incomplete or oversubscribed prefix code")
     key = tuple(lengths)
     if key not in made:
         made[key] = PrefixTable(lengths)
@@ -215,7 +241,8 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     across = _up(width, tile) if tile else 0
     at = bits.at
     append = out.append
-    far = None
+    shifted: dict[int, list[list[int]]] = {}
+    single_load = False
     stop = 0  # pixel at which the prefix codes change
     while (have := len(out)) < total:
         if have >= stop:
@@ -225,27 +252,45 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
                 y, x = divmod(have, width)
                 group = groups[groups_at[(y >> tile) * across + (x >> tile)]]
                 stop = y * width + min(width, ((x >> tile) + 1) << tile)
-            (g_table, g_mask), (r_table, r_mask), (b_table, b_mask), (a_table, a_mask) = ((c.table, c.mask) for c in group[:4])
-            far = group[4]
+            (g_mask, r_mask, b_mask, a_mask), far = (c.mask for c in group[:4]), group[4]
+            if id(group) not in shifted:
+                shifted[id(group)] = [c.shifted(by) for c, by in zip(group, (8, 16, 0, 24), strict=False)]
+            g_table, r_table, b_table, a_table = shifted[id(group)]
+            single_load = sum(c.bits for c in group[:4]) <= 57
         green = 0
-        for _ in range(stop - have):  # literals
-            word = windows[at >> 3] >> (at & 7)
-            green = g_table[word & g_mask]
-            n = green & 15
-            at += n
-            if green >= 4096:
-                break
-            red = r_table[(word >> n) & r_mask]
-            at += red & 15
-            word = windows[at >> 3] >> (at & 7)
-            blue = b_table[word & b_mask]
-            n = blue & 15
-            alpha = a_table[(word >> n) & a_mask]
-            at += n + (alpha & 15)
-            append((alpha >> 4) << 24 | (red >> 4) << 16 | (green >> 4) << 8 | blue >> 4)
+        if single_load:
+            for _ in range(stop - have):  # literals
+                word = windows[at >> 3] >> (at & 7)
+                g = g_table[word & g_mask]
+                if g >= 1 << 22:
+                    green = g
+                    at += g & 63
+                    break
+                word >>= g & 63
+                r = r_table[word & r_mask]
+                word >>= r & 63
+                b = b_table[word & b_mask]
+                g += r + b + a_table[(word >> (b & 63)) & a_mask]
+                at += g & 63
+                append(g >> 6)
+        else:
+            for _ in range(stop - have):
+                word = windows[at >> 3] >> (at & 7)
+                g = g_table[word & g_mask]
+                at += g & 63
+                if g >= 1 << 22:
+                    green = g
+                    break
+                r = r_table[(word >> (g & 63)) & r_mask]
+                at += r & 63
+                word = windows[at >> 3] >> (at & 7)
+                b = b_table[word & b_mask]
+                a = a_table[(word >> (b & 63)) & a_mask]
+                at += (b & 63) + (a & 63)
+                append(g + r + b + a >> 6)
         if at > end:
             raise ValueError("the bit stream ends early")
-        green >>= 4
+        green >>= 14
         if green < 256:
             continue
         if green < 280:
@@ -439,16 +484,9 @@ class _Writer:
 
     def bytes(self) -> bytes:
         self._settle()
-        values, sizes = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.sizes)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        # Each value (at most 24 bits) lies in the 64-bit window of its first byte; windows are summed by byte.
-        low = values << (starts & 7).astype(np.uint64)
-        out = np.zeros((int(ends[-1]) + 7 >> 3) + 8, np.int64)
-        for k in range(5):
-            part = (low >> np.uint64(8 * k)) & np.uint64(255)
-            out += np.bincount((starts >> 3) + k, weights=part, minlength=len(out)).astype(np.int64)[: len(out)]
-        return out[: int(ends[-1]) + 7 >> 3].astype(np.uint8).tobytes()
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.packbits(bits[np.arange(64) < sizes[:, None]], bitorder="little").tobytes()
 
 
 def _split_value(value: int) -> tuple[int, int, int]:
@@ -469,7 +507,7 @@ def _code_bits(lengths: list[int]) -> list[tuple[int, int]]:
         return [*pairs, (used[1], 8)] if len(used) > 1 else pairs
     runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
     at = 0
-    for s in [*used, len(lengths)]:
+    for s in used:
         gap = s - at
         while gap >= 11:
             n = min(gap, 138)
@@ -479,12 +517,14 @@ def _code_bits(lengths: list[int]) -> list[tuple[int, int]]:
             runs.append((17, gap - 3, 3))
         else:
             runs += [(0, 0, 0)] * gap
-        if s < len(lengths):
-            runs.append((lengths[s], 0, 0))
+        runs.append((lengths[s], 0, 0))
         at = s + 1
     own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
     kept = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
-    pairs = [(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (0, 1)]
+    # The number of runs is stored, so the zeros after the last symbol are not, whatever the alphabet's size.
+    most = len(runs) - 2
+    width = max(1, (most.bit_length() + 1) // 2)
+    pairs = [(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (1, 1), (width - 1, 3), (most, 2 * width)]
     codes = canonical(own).tolist()
     if sum(1 for n in own if n) == 1:
         own = [0] * len(own)
@@ -561,29 +601,35 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
         extras.append((size, extra, far_code, far_size, far_extra))
     literal &= keep
     size = 256 + 24 + (1 << cache_bits if cache_bits else 0)
-    # Red, blue and alpha share one code: four bytes of text have much the same statistics, and it is made once.
-    rest = np.bincount(c[literal][:, [2, 0, 3]].ravel(), minlength=256)
-    far = np.bincount([e[2] for e in extras], minlength=40) if extras else np.zeros(40, np.int64)
+    # Red, blue and alpha share one code, and green has it too if it codes samples only: four bytes of text
+    # have much the same statistics, and a code is made and written out once.
+    plain = not found and not cache_bits
+    kinds = [np.bincount(c.ravel(), minlength=256)] if plain else [np.bincount(green[keep], minlength=size), np.bincount(c[literal][:, [2, 0, 3]].ravel(), minlength=256)]
+    kinds.append(np.bincount([e[2] for e in extras], minlength=40) if extras else np.zeros(40, np.int64))
     made = []
-    for counts in (np.bincount(green[keep], minlength=size), rest, far):
-        lengths = code_lengths(counts)
-        single = sum(1 for v in lengths if v) == 1
+    for counts in kinds:
+        lengths = code_lengths(counts, WRITTEN_BITS)
+        single = lengths.count(0) == len(lengths) - 1
         made.append((canonical(lengths), np.array(lengths, np.int64) * (not single), _code_bits(lengths)))
+    if plain:
+        made.insert(0, made[0])
     tables = [made[0], made[1], made[1], made[1], made[2]]
     for table in tables:
         out.loose += table[2]
-    values, sizes = np.zeros((n, 5), np.int64), np.zeros((n, 5), np.int64)
-    values[:, 0], sizes[:, 0] = tables[0][0][green], tables[0][1][green]
+    values, sizes = tables[0][0][green], tables[0][1][green]
     for column, k in ((1, 2), (2, 0), (3, 3)):
         code, length, _ = tables[column]
-        values[literal, column], sizes[literal, column] = code[c[literal, k]], length[c[literal, k]]
+        sample = c[literal, k]
+        values[literal] |= code[sample] << sizes[literal]
+        sizes[literal] += length[sample]
     if extras:
+        # Length bits, distance code and distance bits follow the length symbol; the last may need a value of its own.
         e = np.array(extras, np.int64)
-        values[starts, 1], sizes[starts, 1] = e[:, 1], e[:, 0]
-        values[starts, 2], sizes[starts, 2] = tables[4][0][e[:, 2]], tables[4][1][e[:, 2]]
-        values[starts, 3], sizes[starts, 3] = e[:, 4] & 0xFFF, np.minimum(e[:, 3], 12)
-        values[starts, 4], sizes[starts, 4] = e[:, 4] >> 12, np.maximum(e[:, 3] - 12, 0)
-    out.put_all(values[keep].ravel(), sizes[keep].ravel())
+        add = lambda v, n: (np.bitwise_or.at(values, starts, v << sizes[starts]), np.add.at(sizes, starts, n))
+        add(e[:, 1], e[:, 0])
+        add(tables[4][0][e[:, 2]], tables[4][1][e[:, 2]])
+        add(e[:, 4], e[:, 3])
+    out.put_all(values[keep], sizes[keep])
 
 
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None = None, copies: bool = True, palette: bool | None = None, tile: int = 3) -> bytes:
