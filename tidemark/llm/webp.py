@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import read_table
@@ -29,6 +30,8 @@ UNIT = 576
 ROW = 144
 SIDE = 1 << 14
 LONGEST = 4096
+#: Images that are decoded together, and the number below which they are decoded one by one.
+DECODED_ROWS, DECODED_BYTES, LANES = 512, 4 << 20, 12
 MOST_BITS = 15
 #: Longest code that is written: a pixel's four codes fit one 64-bit value.
 WRITTEN_BITS = 14
@@ -87,6 +90,7 @@ class PrefixTable:
 
     def __init__(self, lengths: list[int]):
         used, each, share = _in_order(np.array(lengths, np.int64))
+        self.last = int(used.max()) if len(used) else 0  # the largest symbol
         if len(used) == 1:
             self.mask, self.bits = 0, 0
             self.symbols, self.sizes = used, np.zeros(1, np.int64)
@@ -143,17 +147,29 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
 
 class _Bits:
     def __init__(self, data: bytes):
-        raw = np.frombuffer(data + bytes(64), np.uint8)
-        self.windows = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view("<u8").ravel().tolist()
+        self.data = data
+        self._windows: list[int] | None = None
         self.end = 8 * len(data)
         self.at = 0
 
+    @property
+    def windows(self) -> list[int]:
+        """The 64 bits from each byte on."""
+        if self._windows is None:
+            raw = np.frombuffer(self.data + bytes(64), np.uint8)
+            self._windows = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view("<u8").ravel().tolist()
+        return self._windows
+
+    def peek(self, at: int, n: int) -> int:
+        """n bits from bit ``at``."""
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         at = self.at
         if at + n > self.end:
             raise ValueError("the bit stream ends early")
         self.at = at + n
-        return (self.windows[at >> 3] >> (at & 7)) & ((1 << n) - 1)
+        return self.peek(at, n)
 
     def symbol(self, code: PrefixTable) -> int:
         at = self.at
@@ -210,6 +226,21 @@ def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
     return made[key]
 
 
+def _read_group(bits: _Bits, size: int, made: dict) -> list[PrefixTable]:
+    """The five codes of a group; a code that is stored with the bits of the one before is that code."""
+    out: list[PrefixTable] = []
+    stored = (0, 0)
+    for n in (size, 256, 256, 256, 40):
+        start, width = bits.at, stored[1]
+        if n == 256 and width and bits.peek(start, width) == stored[0] and len(out[-1].symbols) and out[-1].last < 256:
+            bits.at += width
+            out.append(out[-1])
+            continue
+        out.append(_read_code(bits, n, made))
+        stored = (bits.peek(start, bits.at - start), bits.at - start)
+    return out
+
+
 def _prefix_value(bits: _Bits, code: int) -> int:
     if code < 4:
         return code + 1
@@ -231,7 +262,7 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         n_groups = max(groups_at) + 1
     size = 256 + 24 + (1 << cache_bits if cache_bits else 0)
     made: dict = {}
-    groups = [[_read_code(bits, n, made) for n in (size, 256, 256, 256, 40)] for _ in range(n_groups)]
+    groups = [_read_group(bits, size, made) for _ in range(n_groups)]
     total = width * height
     out: list[int] = []
     cache = [0] * (1 << cache_bits) if cache_bits else None
@@ -415,45 +446,189 @@ def _unbundle(pixels: np.ndarray, packed: int, width: int, height: int, bits: in
     return np.where(index < len(table), table[np.minimum(index, len(table) - 1)], 0).astype(np.uint32)
 
 
+class _Open:
+    """A file whose header and transforms have been read; the main image comes next."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
+            raise ValueError("not a lossless WebP file")
+        self.bits = bits = _Bits(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
+        if bits.read(8) != 0x2F:
+            raise ValueError("bad signature")
+        self.width, self.height = bits.read(14) + 1, bits.read(14) + 1
+        bits.read(1)
+        if bits.read(3):
+            raise ValueError("unknown version")
+        self.undo: list[tuple] = []
+        self.coded = self.width
+        while bits.read(1):
+            kind = bits.read(2)
+            if kind in [u[0] for u in self.undo]:
+                raise ValueError("a transform occurs twice")
+            if kind in (PREDICTOR, CROSS_COLOUR):
+                tile = bits.read(3) + 2
+                self.undo.append((kind, self.coded, tile, _read_image(bits, _up(self.coded, tile), _up(self.height, tile), False)))
+            elif kind == PALETTE:
+                n = bits.read(8) + 1
+                steps = _channels(_read_image(bits, n, 1, False))
+                packing = _bundle_bits(n)
+                self.undo.append((kind, self.coded, packing, _pixels(np.cumsum(steps, axis=0, dtype=np.uint8))))
+                self.coded = _up(self.coded, packing)
+            else:
+                self.undo.append((kind, self.coded, 0, None))
+
+    def single_group(self) -> list[PrefixTable] | None:
+        """The prefix codes of a main image without cache and groups; else None, at its start."""
+        start = self.bits.at
+        if not self.bits.read(2):
+            group = _read_group(self.bits, 280, {})
+            if sum(c.bits for c in group[:4]) <= 57:
+                return group
+        self.bits.at = start
+        return None
+
+    def pixels(self, pixels: np.ndarray) -> np.ndarray:
+        for kind, wide, tile, side in reversed(self.undo):
+            if kind == PREDICTOR:
+                pixels = _predictor(pixels, wide, self.height, (side >> 8) & 255, tile, False)
+            elif kind == CROSS_COLOUR:
+                pixels = _cross_colour(pixels, wide, self.height, side, tile, False)
+            elif kind == SUBTRACT_GREEN:
+                pixels = _green(pixels, 1)
+            else:
+                pixels = _unbundle(pixels, _up(wide, tile), wide, self.height, tile, side)
+        return pixels.reshape(self.height, self.width)
+
+
 def decode(data: bytes) -> np.ndarray:
     """The (height, width) array of ARGB values (uint32) of a lossless WebP file."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
-        raise ValueError("not a lossless WebP file")
-    bits = _Bits(data[20 : 20 + struct.unpack("<I", data[16:20])[0]])
-    if bits.read(8) != 0x2F:
-        raise ValueError("bad signature")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    bits.read(1)
-    if bits.read(3):
-        raise ValueError("unknown version")
-    undo = []
-    coded = width
-    while bits.read(1):
-        kind = bits.read(2)
-        if kind in [u[0] for u in undo]:
-            raise ValueError("a transform occurs twice")
-        if kind in (PREDICTOR, CROSS_COLOUR):
-            tile = bits.read(3) + 2
-            undo.append((kind, coded, tile, _read_image(bits, _up(coded, tile), _up(height, tile), False)))
-        elif kind == PALETTE:
-            n = bits.read(8) + 1
-            steps = _channels(_read_image(bits, n, 1, False))
-            packing = _bundle_bits(n)
-            undo.append((kind, coded, packing, _pixels(np.cumsum(steps, axis=0, dtype=np.uint8))))
-            coded = _up(coded, packing)
-        else:
-            undo.append((kind, coded, 0, None))
-    pixels = _read_image(bits, coded, height, True)
-    for kind, wide, tile, side in reversed(undo):
-        if kind == PREDICTOR:
-            pixels = _predictor(pixels, wide, height, (side >> 8) & 255, tile, False)
-        elif kind == CROSS_COLOUR:
-            pixels = _cross_colour(pixels, wide, height, side, tile, False)
-        elif kind == SUBTRACT_GREEN:
-            pixels = _green(pixels, 1)
-        else:
-            pixels = _unbundle(pixels, _up(wide, tile), wide, height, tile, side)
-    return pixels.reshape(height, width)
+    image = _Open(data)
+    return image.pixels(_read_image(image.bits, image.coded, image.height, True))
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """``decode`` of several files; images without cache and groups advance together, a pixel of each at a time."""
+    images = [_Open(f) for f in files]
+    codes = [x.single_group() for x in images]
+    out: list[np.ndarray | None] = [None if g else x.pixels(_read_image(x.bits, x.coded, x.height, True)) for x, g in zip(images, codes, strict=True)]
+    lanes = [k for k, g in enumerate(codes) if g]
+    if lanes:
+        for k, flat in zip(lanes, _read_together([images[k] for k in lanes], [codes[k] for k in lanes]), strict=True):
+            out[k] = images[k].pixels(flat)
+    return out
+
+
+def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[np.ndarray]:
+    """The main images, each with its prefix codes and without cache."""
+    totals = np.array([x.coded * x.height for x in images])
+    base = np.cumsum(totals) - totals
+    raw = b"".join(x.bits.data + bytes(64) for x in images)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 8).copy().view("<u8").ravel()
+    starts = 8 * np.cumsum([0] + [len(x.bits.data) + 64 for x in images[:-1]])
+    bit = np.array([x.bits.at for x in images]) + starts
+    tables, offsets, place, size = [], np.zeros((4, len(images)), np.int64), {}, 0
+    masks = np.array([[c.mask for c in g[:4]] for g in codes], np.uint64).T.copy()
+    for lane, group in enumerate(codes):
+        for k, by in enumerate((8, 16, 0, 24)):
+            key = (id(group[k]), by)
+            if key not in place:
+                place[key] = size
+                tables.append(group[k].symbols << (by + 6) | group[k].sizes)
+                size += len(tables[-1])
+            offsets[k, lane] = place[key]
+    table = np.concatenate(tables)
+    out = np.zeros(int(totals.sum()), np.uint32)
+    done = np.zeros(len(images), np.int64)
+    low, sample_end = np.uint64(63), 1 << 22
+    live = np.arange(len(images))
+    while True:
+        live = live[done[live] < totals[live]]
+        if len(live) < LANES:
+            break
+        pos, to = bit[live], base[live] + done[live]
+        (g_at, r_at, b_at, a_at), (g_mask, r_mask, b_mask, a_mask) = offsets[:, live], masks[:, live]
+        steps = int((totals[live] - done[live]).min())
+        odd = None
+        for k in range(steps):  # a pixel of every live image
+            word = windows[pos >> 3] >> (pos & 7).astype(np.uint64)
+            g = table[g_at + (word & g_mask).astype(np.int64)]
+            if g.max() >= sample_end:
+                odd = np.flatnonzero(g >= sample_end)
+                steps = k
+                break
+            word >>= g.astype(np.uint64) & low
+            r = table[r_at + (word & r_mask).astype(np.int64)]
+            word >>= r.astype(np.uint64) & low
+            b = table[b_at + (word & b_mask).astype(np.int64)]
+            word >>= b.astype(np.uint64) & low
+            g += r
+            g += b
+            g += table[a_at + (word & a_mask).astype(np.int64)]
+            pos += g & 63
+            out[to] = g >> 6
+            to += 1
+        bit[live] = pos
+        done[live] += steps
+        for i in odd if odd is not None else ():  # back-references, image by image
+            lane = int(live[i])
+            image = images[lane]
+            image.bits.at = int(bit[lane] - starts[lane]) + int(g[i] & 63)
+            first, last = int(base[lane]), int(base[lane] + totals[lane])
+            done[lane] = _copy(image, (int(g[i]) >> 14) - 256, codes[lane][4], out[first:last], int(done[lane]))
+            bit[lane] = image.bits.at + starts[lane]
+    for lane in live.tolist():
+        image = images[lane]
+        image.bits.at = int(bit[lane] - starts[lane])
+        _read_alone(image, codes[lane], out[base[lane] : base[lane] + totals[lane]], int(done[lane]))
+    over = [x.bits.at if k in set(live.tolist()) else int(bit[k] - starts[k]) for k, x in enumerate(images)]
+    if any(n > x.bits.end for n, x in zip(over, images, strict=True)):
+        raise ValueError("the bit stream ends early")
+    return np.split(out, base[1:])
+
+
+def _copy(image: _Open, code: int, far: PrefixTable, out: np.ndarray, at: int) -> int:
+    """Carry out one back-reference at pixel ``at``; the pixel after it."""
+    length = _prefix_value(image.bits, code)
+    distance = _prefix_value(image.bits, image.bits.symbol(far))
+    if distance > 120:
+        distance -= 120
+    else:
+        x, y = NEAR[distance - 1]
+        distance = max(1, x + y * image.coded)
+    if distance > at or at + length > len(out):
+        raise ValueError("back-reference out of the image")
+    piece = out[at - distance : at]
+    out[at : at + length] = np.resize(piece, length) if distance < length else piece[:length]
+    return at + length
+
+
+def _read_alone(image: _Open, group: list[PrefixTable], out: np.ndarray, at: int) -> None:
+    """The pixels from ``at`` on, from the current bit."""
+    (g_mask, r_mask, b_mask, a_mask), bits = (c.mask for c in group[:4]), image.bits
+    windows, p = bits.windows, bits.at
+    g_table, r_table, b_table, a_table = (c.shifted(by) for c, by in zip(group, (8, 16, 0, 24), strict=False))
+    while at < len(out):
+        row = []
+        g = 0
+        for _ in range(len(out) - at):
+            word = windows[p >> 3] >> (p & 7)
+            g = g_table[word & g_mask]
+            if g >= 1 << 22:
+                break
+            word >>= g & 63
+            r = r_table[word & r_mask]
+            word >>= r & 63
+            b = b_table[word & b_mask]
+            g += r + b + a_table[(word >> (b & 63)) & a_mask]
+            p += g & 63
+            row.append(g >> 6)
+        out[at : at + len(row)] = row
+        at += len(row)
+        if at < len(out):
+            bits.at = p + (g & 63)
+            at = _copy(image, (g >> 14) - 256, group[4], out, at)
+            p = bits.at
+    bits.at = p
 
 
 # ---------------------------------------------------------------- writing
@@ -637,7 +812,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
 
     transforms: of PREDICTOR, CROSS_COLOUR and SUBTRACT_GREEN, in the order in which they are applied.
     By default a palette is used if a colour serves four pixels on average, and a cache of 256 colours if
-    one pixel in eight would hit it.
+    one pixel in three would hit it.
     """
     height, width = pixels.shape
     flat = pixels.ravel().astype(np.uint32)
@@ -675,7 +850,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
     if cache_bits is None:
         slot = ((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
         order = np.argsort(slot.astype(np.uint8), kind="stable")
-        cache_bits = 8 if 8 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= len(flat) else 0
+        cache_bits = 8 if 3 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= len(flat) else 0
     _write_image(out, flat, width, True, cache_bits, copies)
     data = out.bytes()
     data += b"\0" * (len(data) & 1)
@@ -704,13 +879,31 @@ def store(payload: bytes) -> bytes:
     return image[:4] + struct.pack("<I", len(image) - 8 + len(tail)) + image[8:] + tail
 
 
+def load_all(stored: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
+    """The pixel array of each stored payload, and the payload."""
+    out = []
+    for media, pixels in zip(stored, decode_all(stored), strict=True):
+        size = struct.unpack("<I", media[16:20])[0]
+        tail = media[20 + size + (size & 1) :]
+        raw = pixels.astype("<u4").tobytes()
+        out.append((pixels, raw[: struct.unpack("<IQ", tail[4:16])[1]] if tail[:4] == b"size" else raw))
+    return out
+
+
 def load(media: bytes) -> tuple[np.ndarray, bytes]:
-    """The pixel array of a stored payload and the payload."""
-    pixels = decode(media)
-    size = struct.unpack("<I", media[16:20])[0]
-    tail = media[20 + size + (size & 1) :]
-    raw = pixels.astype("<u4").tobytes()
-    return pixels, raw[: struct.unpack("<IQ", tail[4:16])[1]] if tail[:4] == b"size" else raw
+    return load_all([media])[0]
+
+
+def _blocks(sizes: list[int], rows: int, most: int) -> Iterator[tuple[int, int]]:
+    """Slices of up to ``rows`` rows and about ``most`` bytes."""
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start >= rows or held + n > most):
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def image_feature(pixels: np.ndarray) -> str:
@@ -739,11 +932,12 @@ def media_features(stored: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            sizes = pc.binary_length(b.column(2)).to_pylist()
+            for start, stop in _blocks(sizes, DECODED_ROWS, DECODED_BYTES):
+                part = b.slice(start, stop - start)
                 rows = []
-                for media in part.column(2).to_pylist():
-                    pixels, payload = load(media)
+                stored = part.column(2).to_pylist()
+                for media, (pixels, payload) in zip(stored, load_all(stored), strict=True):
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), image_feature(pixels)))
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
