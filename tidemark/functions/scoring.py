@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import iso_date
-from tidemark.functions.text import fold, tokens
+from tidemark.functions.text import bind, fold, tokens
 
 REVIEW_THRESHOLD = 0.6
 
@@ -124,18 +124,24 @@ def distinctiveness(mark: Column, description: Column) -> Column:
 
 def recommended_classes(description: Column, provided: Column) -> Column:
     """Array of (class_number, title, reason), ascending; class 35 if nothing speaks for another."""
-    folded, words = fold(F.coalesce(description, F.lit(""))), tokens(description)
     given = F.coalesce(provided, F.array().cast("array<int>"))
-    own = "Indicada pelo requerente."
+    about = F.struct(fold(F.coalesce(description, F.lit(""))).alias("text"), tokens(description).alias("words"))
+    return bind(F.struct(about.alias("about"), given.alias("given")), lambda x: bind(_suggested(x["about"], x["given"]), lambda s: _with_given(s, x["given"])))
+
+
+def _suggested(about: Column, given: Column) -> Column:
     found = []
     for number, listed in CLASS_TERMS.items():
-        first = F.coalesce(*[F.when(folded.contains(t) if " " in t else F.array_contains(words, t), F.lit(t)) for t in listed.split(", ")])
+        first = F.coalesce(*[F.when(F.contains(about["text"], F.lit(t)) if " " in t else F.array_contains(about["words"], t), F.lit(t)) for t in listed.split(", ")])
         reason = F.concat(F.lit("Suggested from the activity description (term “"), first, F.lit("”)."), F.when(F.array_contains(given, number), " Also indicated by the applicant.").otherwise(""))
         found.append(F.struct(F.lit(number).alias("class_number"), F.lit(CLASS_TITLES[number]).alias("title"), reason.alias("reason")))
-    suggested = F.filter(F.array(*found), lambda x: x["reason"].isNotNull())
+    return F.filter(F.array(*found), lambda x: x["reason"].isNotNull())
+
+
+def _with_given(suggested: Column, given: Column) -> Column:
     titles = F.create_map(*[F.lit(v) for k, t in CLASS_TITLES.items() for v in (k, t)])
     rest = F.array_except(F.filter(F.array_distinct(given), lambda c: c.between(1, 45)), F.transform(suggested, lambda x: x["class_number"]))
-    added = F.transform(rest, lambda c: F.struct(c.alias("class_number"), F.coalesce(F.try_element_at(titles, c), F.concat(F.lit("Class "), c.cast("string"))).alias("title"), F.lit(own).alias("reason")))
+    added = F.transform(rest, lambda c: F.struct(c.alias("class_number"), F.coalesce(F.try_element_at(titles, c), F.concat(F.lit("Class "), c.cast("string"))).alias("title"), F.lit("Indicada pelo requerente.").alias("reason")))
     every = F.array_sort(F.concat(suggested, added))
     default = F.array(F.struct(F.lit(DEFAULT_CLASS).alias("class_number"), F.lit(CLASS_TITLES[DEFAULT_CLASS]).alias("title"), F.lit("Generic business class recommended by default in the absence of a specific description.").alias("reason")))
     return F.when(F.size(every) > 0, every).otherwise(default)

@@ -1 +1,39 @@
+"""Streaming queries; each is run until its source is read and equals a batch form."""
+
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans.base import ORACLES, QUERIES
+from tidemark.plans import alerts as _alerts  # noqa: F401  (its SQL is used below)
+from tidemark.streaming.alerts import suppress_repeats
+from tidemark.streaming.ingest import merge_stream, stream_table, to_table
+
+
+def stream_alert_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """X11 as a stateful stream."""
+    return to_table(suppress_repeats(stream_table(spark, folder, "events")))
+
+
+def stream_latest_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """S6, X8, X9 as micro-batches: the latest row of each number."""
+    state, _ = merge_stream(stream_table(spark, folder, "events"), "user_id", ["ts", "event_id", "event_type"], ["ts", "event_id"])
+    return state
+
+
+def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Event-time windows with a watermark over the event stream."""
+    events = stream_table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "40 days")
+    counts = events.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
+    path_rows = counts.writeStream.outputMode("complete").format("memory").queryName("tidemark_daily").trigger(availableNow=True).start()
+    path_rows.awaitTermination()
+    return spark.table("tidemark_daily")
+
+
+QUERIES |= {"stream_alert_dedup": stream_alert_dedup, "stream_latest_wins": stream_latest_wins, "stream_daily_counts": stream_hourly_counts}
+ORACLES |= {
+    "stream_alert_dedup": ORACLES["alert_dedup_24h"],
+    "stream_latest_wins": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+}
