@@ -32,7 +32,7 @@ LEAST_QUALITY = 0.05
 def quality_weight(text: Column) -> Column:
     """Share of letters among the characters, at least 0.05: the rate of the document's key."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    return F.coalesce(F.greatest(F.lit(LEAST_QUALITY), letters / F.length(text)), F.lit(LEAST_QUALITY))
+    return F.coalesce(F.greatest(F.lit(LEAST_QUALITY), letters / F.nullif(F.length(text), F.lit(0))), F.lit(LEAST_QUALITY))
 
 
 def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
