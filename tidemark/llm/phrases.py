@@ -46,6 +46,7 @@ BLOCK = (WINDOW + 1) // 2
 SEGMENT = 64
 SHARD_WORDS = 200_000
 DOCS = 256
+SEGMENTS_HELD = 1024
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (3, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK_BYTES = 1 << 18
@@ -190,15 +191,23 @@ def edge_windows(wanted: DataFrame) -> DataFrame:
     """(h1, h2, doc_id, seg) of the windows of segments whose anchor is among the row's ``asked`` grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, seg, text, asked in zip(*[part.column(k).to_pylist() for k in range(3)], _lists(part.column(3)), strict=True):
-                hashes = word_hashes(text.encode())[0]
-                at = np.flatnonzero(np.isin(window_anchors(hashes), asked.view(np.uint64)))
-                for col, x in zip(cols, (_rolled(hashes, WINDOW, _ODD[1])[at].view(np.int64), _rolled(hashes, WINDOW, _ODD[2])[at].view(np.int64), np.full(len(at), doc), np.full(len(at), seg)), strict=True):
-                    col.append(x)
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], ["h1", "h2", "doc_id", "seg"])
+        for part in _slices(batches, SEGMENTS_HELD):
+            # All segments at once, as one text; windows over two segments are left out.
+            texts = [t.encode() for t in part.column(2).to_pylist()]
+            hashes, begin, _ = word_hashes(b" ".join(texts))
+            if len(hashes) < WINDOW:
+                continue
+            segment = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, "right")
+            inside = segment[: len(segment) - WINDOW + 1] == segment[WINDOW - 1 :]
+            asked = _lists(part.column(3))
+            place = lambda k: (k.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+            wanted_here = np.concatenate(asked).view(np.uint64) ^ place(np.repeat(np.arange(len(asked)), [len(x) for x in asked]))
+            first = segment[: len(inside)]
+            at = np.flatnonzero(inside & np.isin(window_anchors(hashes) ^ place(first), wanted_here))
+            if len(at):
+                docs, segs = (part.column(k).to_numpy(zero_copy_only=False)[first[at]] for k in range(2))
+                h1, h2 = (_rolled(hashes, WINDOW, odd)[at].view(np.int64) for odd in _ODD[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, docs, segs)], ["h1", "h2", "doc_id", "seg"])
 
     return wanted.select("doc_id", "seg", "words", "asked").mapInArrow(run, "h1 long, h2 long, doc_id long, seg long")
 
