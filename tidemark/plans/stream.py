@@ -26,9 +26,7 @@ def stream_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Event-time windows with a watermark over the event stream."""
     events = stream_table(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "40 days")
     counts = events.groupBy(F.window("at", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
-    path_rows = counts.writeStream.outputMode("complete").format("memory").queryName("tidemark_daily").trigger(availableNow=True).start()
-    path_rows.awaitTermination()
-    return spark.table("tidemark_daily")
+    return to_table(counts, "complete")
 
 
 QUERIES |= {"stream_alert_dedup": stream_alert_dedup, "stream_latest_wins": stream_latest_wins, "stream_daily_counts": stream_hourly_counts}

@@ -27,18 +27,19 @@ def _single(spark: SparkSession, folder: str, table: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process all that is there with ``each(batch, id)`` and stop."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", shared_path(stream.sparkSession, "offsets")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", shared_path(stream.sparkSession, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def to_table(stream: DataFrame) -> DataFrame:
-    """The rows that a stream appends until it has read all, as a table."""
+def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """The rows of a stream that has read all there is: those it appended, or its last complete result."""
     spark = stream.sparkSession
     path = shared_path(spark, "stream")
     schema = stream.schema
-    run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+    part = (lambda n: 0) if mode == "complete" else (lambda n: n)
+    run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={part(n)}"), mode)
     return spark.read.schema(schema).parquet(f"{path}/batch=*")
 
 
