@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import alerts, assess, bulletin, ingest, leads, lifecycle, marks, spec, stream
+from tidemark.plans import alerts, assess, bulletin, ingest, leads, lifecycle, marks, runs, spec, stream
 from tidemark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alerts", "assess", "bulletin", "ingest", "leads", "lifecycle", "marks", "spec", "stream"]
+__all__ = ["ORACLES", "QUERIES", "alerts", "assess", "bulletin", "ingest", "leads", "lifecycle", "marks", "runs", "spec", "stream"]
