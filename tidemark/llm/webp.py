@@ -18,6 +18,7 @@ import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,12 @@ def _up(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting beats hashing on arrays of a few thousand."""
+    ordered = np.sort(values)
+    return ordered[np.r_[True, ordered[1:] != ordered[:-1]]] if len(ordered) else ordered
+
+
 def _bundle_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
@@ -652,7 +659,7 @@ class _Writer:
 
     def _settle(self) -> None:
         if self.loose:
-            pairs = np.array(self.loose, np.int64)
+            pairs = np.fromiter(chain.from_iterable(self.loose), np.int64, 2 * len(self.loose)).reshape(-1, 2)
             self.values.append(pairs[:, 0])
             self.sizes.append(pairs[:, 1])
             self.loose = []
@@ -660,8 +667,9 @@ class _Writer:
     def bytes(self) -> bytes:
         self._settle()
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        return np.packbits(bits[np.arange(64) < sizes[:, None]], bitorder="little").tobytes()
+        most = (int(sizes.max(initial=0)) + 7) // 8  # bytes of the longest value
+        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :most], axis=1, bitorder="little")
+        return np.packbits(bits[np.arange(8 * most) < sizes[:, None]], bitorder="little").tobytes()
 
 
 def _split_value(value: int) -> tuple[int, int, int]:
@@ -819,7 +827,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
     out = _Writer()
     for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.put(value, bits)
-    colours = np.unique(flat)
+    colours = _distinct(flat)
     if palette or (palette is None and len(colours) <= 256 and 4 * len(colours) <= len(flat)):
         packing = _bundle_bits(len(colours))
         out.put(1, 1)
@@ -910,7 +918,7 @@ def image_feature(pixels: np.ndarray) -> str:
     """Size, mean sample, number of colours and the shares (1/1000) of samples in eight bins."""
     samples = _channels(pixels.ravel())
     bins = np.bincount((samples >> 5).ravel(), minlength=8) * 1000 // samples.size
-    return f"{pixels.shape[1]}x{pixels.shape[0]} mean {int(samples.sum(dtype=np.int64)) // samples.size} colours {len(np.unique(pixels))} bins {' '.join(map(str, bins.tolist()))}"
+    return f"{pixels.shape[1]}x{pixels.shape[0]} mean {int(samples.sum(dtype=np.int64)) // samples.size} colours {len(_distinct(pixels.ravel()))} bins {' '.join(map(str, bins.tolist()))}"
 
 
 def media_table(docs: DataFrame) -> DataFrame:
