@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality_filter(docs)
 
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
+def jaccard_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest id of each class connected by five-word Jaccard 0.8 or more."""
     return near_dedup(docs)
 
 
@@ -45,13 +45,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_near_dedup),
+    ("near-dedup", jaccard_near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources", source_mixing),
     ("SentencePiece", sentencepiece),
 ]
 
-#: Fingerprint classes and pieces have no SQL form; tests/llm compares the stages with brute force.
+#: Near-duplicate classes and pieces have no SQL form; tests/llm/test_near_dedup.py compares the second stage with brute force.
 ORACLE_SQL = None
 
 

@@ -30,6 +30,7 @@ from xxhash import xxh64_intdigest
 
 from tidemark.llm.common import read_table, stage_table
 from tidemark.llm.components import components
+from tidemark.llm.jaccard import LEAST, WIDTH, similar_classes
 
 SHINGLE = 3
 SEED = 42
@@ -220,12 +221,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return marked.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` without those whose class holds a smaller doc_id; same columns.
 
+    Classes are connected by a Jaccard similarity of ``least`` or more of shingles of ``width`` words.
     Ids must tell documents apart: all rows of a kept id stay, and so do rows without an id.
     """
-    gone = near_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = similar_classes(docs, width, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
