@@ -36,12 +36,13 @@ def similar_marks(items: DataFrame, marks: DataFrame, threshold: int = 40, limit
 
     items, marks: id, text, classes. Candidates have trigram similarity above max(0.1, threshold / 200);
     the best ``prefilter * limit`` of an item by trigram (ties: id) are scored, and those at ``threshold``
-    or more are ranked. A text's rows beyond the first ``prefilter * limit`` ids can't be among them.
+    or more are ranked. Of a text's rows those beyond the first ``prefilter * limit + 1`` ids can't be among them;
+    the one more stands in for the item's own id, which may be among the first.
     """
     keep = prefilter * limit
     pairs = trigram_pairs(items.select(F.col("text").alias("t")), marks.select(F.col("text").alias("t")), max(0.1, threshold / 200.0))
     first = Window.partitionBy("text").orderBy("id")
-    rows = marks.withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep).select(F.col("id").alias("mark_id"), F.col("text").alias("b"), F.col("classes").alias("mark_classes"))
+    rows = marks.where("id is not null").withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep + 1).select(F.col("id").alias("mark_id"), F.col("text").alias("b"), F.col("classes").alias("mark_classes"))
     asked = items.select(F.col("id").alias("item_id"), F.col("text").alias("a"), F.col("classes").alias("item_classes"))
     by_trigram = Window.partitionBy("item_id").orderBy(F.desc("trgm"), "mark_id")
     candidates = asked.join(pairs, "a").join(rows, "b").where("item_id <> mark_id").withColumn("pos", F.row_number().over(by_trigram)).where(F.col("pos") <= keep)
