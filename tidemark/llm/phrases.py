@@ -164,7 +164,10 @@ def segments(docs: DataFrame, grams: DataFrame) -> DataFrame:
                 last = np.r_[turn[1:], len(anchor)] - 1
                 keep = flags[turn]
                 turn, last = turn[keep], last[keep]
-                span = (h1[turn] * np.uint64(_BASE) ^ h2[last]) + (last - turn).astype(np.uint64)
+                # Every window of a span enters its hash, by its place; sums mod 2**64 of the span are a difference of cumulative sums.
+                power, inverse = _powers(len(h1) + 1)
+                sums = np.r_[np.zeros(1, np.uint64), np.cumsum(h1 * power[: len(h1)])]
+                span = (((sums[last + 1] - sums[turn]) * inverse[turn]) * np.uint64(_BASE) ^ h2[last]) + (last - turn).astype(np.uint64)
                 cut, first = [0], int(turn[0])
                 for k in range(1, len(turn)):
                     if turn[k] != last[k - 1] + 1 or turn[k] - first >= SEGMENT:
