@@ -41,7 +41,6 @@ def test_near_dedup_finds_every_edited_copy(spark):
             texts.append(" ".join(copy))
     docs = spark.createDataFrame([(k + 1, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, source string")
     want = brute(texts)
-    # SimHash at three bits leaves copies apart; the fixture holds enough of them.
     assert len(set(want)) > 12 and sum(k != r for k, r in enumerate(want)) > 50
     assert {r.doc_id: r.component_id for r in similar_classes(docs).collect()} == {k + 1: r + 1 for k, r in enumerate(want)}
     assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == {r + 1 for r in want}
