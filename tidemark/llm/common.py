@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
@@ -14,14 +13,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 CHECKPOINT = "spark.checkpoint.dir"
+#: Spark's setting to delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a new local one only where it is unset."""
-    found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
+    """The folder all executors share, as the session names it; a new local one only on a local master where it is unset."""
+    context = spark.sparkContext
+    found = spark.conf.get(CHECKPOINT, None) or context.getConf().get(CHECKPOINT) or context.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set(CHECKPOINT, found)
+        if not context.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -33,19 +37,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    staged = spark.read.schema(df.schema).parquet(path)
-    release_shuffles(spark)
-    return staged
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
-
-    It acts on the driver's garbage collection only, which may not come for half an hour.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+    # The written table takes the place of the query's shuffles, whose files go when the write ends.
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:
@@ -74,3 +73,46 @@ def bind(value: Column, body) -> Column:
     element; a lambda variable is computed once.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until they clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, for a plan that has more."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def in_ranges(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, str, str]:
+    """Stage ``df`` sorted by ``order`` over ranges; the names of its two new columns: range and place in it (from 0).
+
+    Equal rows are told apart by nothing, so ``order`` should be total where a key may be hot.
+    """
+    where, part, place = free_names(df, "pos", "range", "place")
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(where, F.monotonically_increasing_id())
+    staged = stage_table(sorted_, name)
+    return staged.withColumn(part, F.shiftright(where, 33)).withColumn(place, F.col(where).bitwiseAND(F.lit((1 << 33) - 1))).drop(where), part, place
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: list[str], name: str) -> DataFrame:
+    """``df`` with ``<column>_before`` for each of ``sums``: its sum over all rows before, in ``order``.
+
+    No task sorts all rows: rows are range-partitioned, a range is summed by a window, and the ranges'
+    totals (one row a range) give each range its start.
+    """
+    placed, part, place = in_ranges(df, order, name)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    total = placed.groupBy(part).agg(*[F.sum(c).alias(c) for c in sums])
+    starts = total.select(F.col(part).alias(f"{part}_"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_start") for c in sums])
+    within = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    inside = [(F.col(f"{c}_start") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_before") for c in sums]
+    return placed.join(starts, F.col(part) == F.col(f"{part}_")).select(*own_columns(df), *inside)

@@ -5,21 +5,26 @@ quality weight, so taking documents by ascending key is weighted sampling withou
 Within a source keys are sorted and sizes prefix-summed up to the token budget. Whole epochs come
 first; only what is left of the target is selected by key.
 
-No source is sorted in one task: keys fall into as many ordered buckets as the source has blocks of
-``BUCKET_ROWS`` documents, bucket totals are prefix-summed (a few rows), and only the inside of a
-bucket is sorted. Sources themselves are the only rows that meet in one task.
+No source is sorted in one task. A histogram of its weights (at most ``WEIGHT_BINS`` + 1 bins, which merge by
+addition) gives the share of its documents with a key below x, ``sum of shares * (1 - exp(-w x))``; cutting
+that share evenly gives ordered buckets of about ``BUCKET_ROWS`` documents whatever the weights are. Only
+the inside of a bucket is sorted; sums over buckets, and the order of the sources, are running sums over
+ranges.
 
 Nulls: a null source is a source of its own, the last one; null text has size 0 and is never taken;
-a null doc_id draws the key of the empty id. Rows that repeat a doc_id share a key and are ordered by
-size. An empty table gives no rows. Other columns of the input are carried along.
+a null doc_id draws the key of the empty id. Rows that repeat a doc_id are ordered by key and size; each
+is taken as the plan says for that row. An empty table gives no rows. Other columns of the input, whatever
+their names, are carried along by ``mix`` and left out by ``mix_plan``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, stage_table, word_count
+from tidemark.llm.common import free_names, own_columns, read_table, running_sums, stage_table, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -27,6 +32,8 @@ MOST = 2.0
 SEED = "mix"
 BUCKET_ROWS = 1_000
 LEAST_QUALITY = 0.05
+#: Steps of the histogram of a source's weights, even in their logarithm.
+WEIGHT_BINS = 32
 
 
 def quality_weight(text: Column) -> Column:
@@ -41,49 +48,55 @@ def sampling_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
     return -F.log((bits.cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**52))) / weight
 
 
+def document_facts(docs: DataFrame) -> list[Column]:
+    """size, weight and key of a document: what the plan needs of its text."""
+    weight = quality_weight(F.col("text"))
+    return [word_count(F.col("text")).alias("size"), weight.alias("weight"), sampling_key(F.col("doc_id"), weight).alias("key")]
+
+
 def source_targets(facts: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row a source: source, source_size, n_docs, target.
+    """One row a source: source, source_size, n_docs, rank, earlier (size of the sources before it), target, bins.
 
     Weights repeat over the sources in code-point order. Resharing the excess of full sources until
     none is above its limit has a closed form: sources sorted by limit/weight fill up as long as that
-    ratio is at most (total - limits so far) / (weights left).
+    ratio is at most (total - limits so far) / (weights left). Both orders are running sums over ranges.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    fill = Window.orderBy("ratio", "rank")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
-    return (
-        facts.groupBy("source")
-        .agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-        .withColumn("rank", F.row_number().over(order))
-        .withColumn("weight", weight)
+    step = F.floor(-F.log("weight") * F.lit(WEIGHT_BINS / -math.log(LEAST_QUALITY)))
+    binned = facts.groupBy("source", step.alias("step")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.avg("weight").alias("w"))
+    sized = binned.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n_docs"), F.collect_list(F.struct("n", "w")).alias("bins")).withColumn("one", F.lit(1))
+    ranked = running_sums(sized, [F.col("source").asc_nulls_last()], ["one", "source_size"], "mix-sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    weighed = (
+        ranked.withColumnsRenamed({"one_before": "rank", "source_size_before": "earlier"})
+        .withColumn("rank_weight", weight.cast("double"))
         .withColumn("limit", F.col("source_size") * F.lit(most))
-        .withColumn("ratio", F.col("limit") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("full", F.col("ratio") <= F.col("level"))
-        .withColumn("open_level", F.min(F.when(~F.col("full"), F.struct("ratio", "rank", "level"))).over(whole)["level"])
-        .select("source", "source_size", "n_docs", "rank", F.when(F.col("full"), F.col("limit")).otherwise(F.col("weight") * F.col("open_level")).alias("target"))
+        .withColumn("ratio", F.col("limit") / F.col("rank_weight"))
     )
+    filled = stage_table(running_sums(weighed, [F.col("ratio"), F.col("rank")], ["limit", "rank_weight"], "mix-filled"), "mix-levels")
+    whole = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("rank_weight"), F.lit(0.0)).alias("weight")).first()
+    level = (F.lit(whole["size"] * share) - F.col("limit_before")) / (F.lit(whole["weight"]) - F.col("rank_weight_before"))
+    levelled = filled.withColumn("level", level).withColumn("full", F.col("ratio") <= F.col("level"))
+    opened = levelled.where("not full").agg(F.min(F.struct("ratio", "rank", "level"))["level"]).first()[0]
+    target = F.when(F.col("full"), F.col("limit")).otherwise(F.col("rank_weight") * F.lit(opened).cast("double"))
+    return levelled.select("source", "source_size", "n_docs", "rank", "earlier", target.alias("target"), "bins")
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
-    facts = stage_table(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), quality_weight(F.col("text"))).alias("key")),
-        "mix-facts",
-    )
+def placed_documents(facts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The facts with their source's targets and an ordered bucket of about ``bucket_rows`` documents of the source."""
     targets = stage_table(source_targets(facts), "mix-targets").withColumnRenamed("source", "_source")
-    blocks = F.ceil(F.col("n_docs") / F.lit(BUCKET_ROWS))
-    placed = facts.join(targets, facts["source"].eqNullSafe(F.col("_source"))).withColumn(
-        "bucket", F.least(blocks - 1, F.floor(blocks * (1 - F.exp(-F.col("key")))))
+    blocks = F.ceil(F.col("n_docs") / F.lit(bucket_rows))
+    below = F.aggregate("bins", F.lit(0.0), lambda a, x: a + x["n"] * (1 - F.exp(-x["w"] * F.col("key")))) / F.col("n_docs")
+    joined = facts.join(targets, facts["source"].eqNullSafe(F.col("_source")))
+    return joined.withColumn("bucket", F.least(blocks - 1, F.floor(blocks * below))).drop("bins", "_source")
+
+
+def planned(facts: DataFrame) -> DataFrame:
+    """The facts with source_size, target and taken."""
+    placed = placed_documents(facts)
+    sums = stage_table(placed.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("earlier").alias("earlier")), "mix-buckets")
+    starts = running_sums(sums, [F.col("rank"), F.col("bucket")], ["bucket_size"], "mix-starts").select(
+        F.col("rank").alias("_rank"), F.col("bucket").alias("_bucket"), (F.col("bucket_size_before") - F.col("earlier")).alias("start")
     )
-    in_order = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("rank", "bucket").agg(F.sum("size").alias("bucket_size"))
-        .select(F.col("rank").alias("_rank"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("bucket_size").over(in_order), F.lit(0)).alias("start"))
-    )
     inside = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     return (
@@ -92,26 +105,27 @@ def mix_plan(docs: DataFrame) -> DataFrame:
         .withColumn("epochs", epochs)
         .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("chosen", (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("budget")))
-        .select(
-            "doc_id", "size", "source_size", "target",
-            (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).cast("long").alias("taken"),
-        )
-    )
+        .withColumn("taken", (F.col("size") * (F.col("epochs") + F.col("chosen").cast("long"))).cast("long"))
+        .select(*own_columns(facts), "source_size", "target", "taken")
+    )
+
+
+def mix_plan(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
+    facts = stage_table(docs.select("doc_id", "source", *document_facts(docs)), "mix-facts")
+    return planned(facts).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents with the columns of ``docs``: each row as often as the mix takes it.
 
-    The copies are found by doc_id, so ids must tell rows apart; rows of one id are taken as often as
-    the least taken of them, and rows with a null id are never taken.
+    Rows are staged under a number of their own, by which the plan finds them again; ids may be null or repeat.
     """
-    times = mix_plan(docs).where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias("_mix_times"))
-    times = times.withColumnRenamed("doc_id", "_mix_id")
-    return (
-        docs.join(times, docs["doc_id"] == F.col("_mix_id"))
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    row, facts, times, copy, taken = free_names(docs, "row", "facts", "times", "copy", "taken_row")
+    staged = stage_table(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(facts, F.struct(*document_facts(docs))), "mix-rows")
+    plan = planned(staged.select("doc_id", "source", F.col(row).alias("row"), f"{facts}.*")).where("taken > 0")
+    plan = plan.select(F.col("row").alias(taken), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return staged.join(plan, F.col(row) == F.col(taken)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*own_columns(docs))
 
 
 def op2_mix(spark: SparkSession, folder: str) -> DataFrame:

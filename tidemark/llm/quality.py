@@ -1,17 +1,23 @@
 """Quality rules whose cutoffs come from quantile sketches per language and source.
 
 Each text gets counts (words, symbols, duplicate lines, repeated 8-word windows) and from them integer
-shares. A sketch of a share is its histogram on a fixed integer grid: counts of equal bins add up, so
-sketches of partitions, sources or languages merge without error and a rank is off by no more than
-one grid step. A document fails a rule if its share lies beyond the fence
-``q75 + max(3 * (q75 - q25), slack)`` of its (language, source) sketch (below the mirrored fence for
-word length). A group under ``LEAST_GROUP`` documents uses the merged sketch of its language, and a
-language under it the merged sketch of all.
+shares. A sketch of a share is its histogram on a fixed integer grid of ``GRID`` steps: counts of equal
+bins add up, so sketches of partitions, sources or languages merge without error and a rank is off by no
+more than one grid step. Sketched are the documents that pass the base rules.
+
+A document fails a rule if its share lies beyond the fence ``q75 + FENCE * max(q75 - q25, one event)`` of
+its (language, source) sketch (for word length also below the mirrored fence). One event is what a single
+symbol, mark, repeated line or repeated window adds to the share of that very document: where a group has
+no spread (most texts repeat no line), a text may still have ``FENCE`` such events more than its group.
+No rule has a cutoff of its own. A group under ``LEAST_GROUP`` documents uses the merged sketch of its
+language, and a language under it the merged sketch of all.
+
+Windows of one text are compared by 64-bit hashes, which is exact but for collisions within that text.
 
 Nulls: null and empty texts have no words and fail the base rule; a null language or source is a
 group of its own. Repeated rows count as often as they occur. Very long texts are processed whole, in
-arrays of one row; no row is exploded. An empty table gives no rows. Extra columns are kept by
-``quality_filter`` and left out by ``quality_verdicts``.
+arrays of one row; no row is exploded. An empty table gives no rows. Extra columns, whatever their
+names, are kept by ``quality_filter`` and left out by ``quality_verdicts``.
 """
 
 from __future__ import annotations
@@ -19,21 +25,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, bind, read_table, stage_table
+from tidemark.llm.common import SPACE, bind, free_names, own_columns, read_table, stage_table
 
 LEAST_WORDS = 20
 MOST_REPEATED = 30
 WINDOW = 8
 LEAST_GROUP = 50
 FENCE = 3
-#: Rule name: (side, slack in grid steps). Shares are per mille, word length is in 1/100 characters.
+#: Steps of a sketch's grid; a share beyond it counts in the last step (word length: 50 characters and more).
+GRID = 5_000
+#: Rule name: (counted, out of, share of one, side, what one event adds to the count). Shares are per mille,
+#: word length is in 1/100 characters; a repeated window adds two windows of words.
 RULES = {
-    "symbol_share": ("above", 30),
-    "upper_share": ("above", 200),
-    "mark_share": ("above", 60),
-    "line_share": ("above", 400),
-    "repeat_share": ("above", 250),
-    "word_length": ("both", 250),
+    "symbol_share": ("n_symbols", "word_chars", 1000, "above", 1),
+    "upper_share": ("n_upper", "word_chars", 1000, "above", 1),
+    "mark_share": ("n_marks", "word_chars", 1000, "above", 1),
+    "line_share": ("n_dup_lines", "n_lines", 1000, "above", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, "above", 2 * WINDOW),
+    "word_length": ("word_chars", "n_words", 100, "both", 1),
 }
 
 
@@ -98,92 +107,86 @@ def text_metrics(text: Column) -> Column:
 
 def share_columns(m: str = "") -> dict[str, Column]:
     """The integer shares of the rules from the metric columns (prefixed ``m``)."""
-    part = lambda a, b, unit: F.coalesce(F.expr(f"({unit} * {m}{a}) div nullif({m}{b}, 0)"), F.lit(0))
-    return {
-        "symbol_share": part("n_symbols", "word_chars", 1000),
-        "upper_share": part("n_upper", "word_chars", 1000),
-        "mark_share": part("n_marks", "word_chars", 1000),
-        "line_share": part("n_dup_lines", "n_lines", 1000),
-        "repeat_share": part("n_repeat_words", "n_words", 1000),
-        "word_length": part("word_chars", "n_words", 100),
-    }
+    return {r: F.coalesce(F.expr(f"({unit} * {m}{part}) div nullif({m}{whole}, 0)"), F.lit(0)) for r, (part, whole, unit, _, _) in RULES.items()}
+
+
+def event_columns(m: str = "") -> dict[str, Column]:
+    """What one event adds to each share of the document, rounded up."""
+    return {r: F.coalesce(F.expr(f"({unit * event} + {m}{whole} - 1) div nullif({m}{whole}, 0)"), F.lit(0)) for r, (_, whole, unit, _, event) in RULES.items()}
 
 
 def sketches(shares: DataFrame) -> DataFrame:
     """Histogram rows (lang, source, rule, bin, n) of every rule's share; counts of equal bins merge."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.col(r), F.lit(GRID)).alias("bin")) for r in RULES])
     return shares.select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(bins: DataFrame) -> DataFrame:
-    """low and high per (lang, source, rule), from the finest sketch with enough documents."""
+def quartiles(bins: DataFrame) -> DataFrame:
+    """q25 and q75 per (lang, source, rule), from the finest sketch with enough documents."""
 
-    def quartiles(level: DataFrame, keys: list[str], name: str) -> DataFrame:
+    def ranks(level: DataFrame, keys: list[str], name: str) -> DataFrame:
         part = Window.partitionBy(*keys, "rule")
         upto = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cum = level.withColumn("cum", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(part))
         at = lambda q: F.min(F.when(F.col("cum") * 4 >= F.col("total") * q, F.col("bin")))
         return cum.groupBy(*keys, "rule").agg(at(1).alias(f"{name}_25"), at(3).alias(f"{name}_75"), F.max("total").alias(f"{name}_n"))
 
-    fine = quartiles(bins, ["lang", "source"], "fine")
-    lang = quartiles(bins.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")), ["lang"], "lang").withColumnsRenamed({"lang": "_lang", "rule": "_rule"})
-    whole = quartiles(bins.groupBy("rule", "bin").agg(F.sum("n").alias("n")), [], "all").withColumnRenamed("rule", "_all_rule")
+    fine = ranks(bins, ["lang", "source"], "fine")
+    lang = ranks(bins.groupBy("lang", "rule", "bin").agg(F.sum("n").alias("n")), ["lang"], "lang").withColumnsRenamed({"lang": "_lang", "rule": "_rule"})
+    whole = ranks(bins.groupBy("rule", "bin").agg(F.sum("n").alias("n")), [], "all").withColumnRenamed("rule", "_all_rule")
     pick = lambda q: F.when(F.col("fine_n") >= LEAST_GROUP, F.col(f"fine_{q}")).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    slack = F.create_map(*[x for r, (_, s) in RULES.items() for x in (F.lit(r), F.lit(s))])[F.col("rule")]
-    both = F.col("rule").isin(*[r for r, (side, _) in RULES.items() if side == "both"])
-    room = F.greatest((F.col("q75") - F.col("q25")) * FENCE, slack)
     return (
         fine.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule")))
         .join(whole, F.col("rule") == F.col("_all_rule"))
         .select("lang", "source", "rule", pick(25).alias("q25"), pick(75).alias("q75"))
-        .select("lang", "source", "rule", F.when(both, F.col("q25") - room).otherwise(F.lit(-1).cast("long")).alias("low"), (F.col("q75") + room).alias("high"))
     )
 
 
-def fence_table(shares: DataFrame) -> DataFrame:
-    """Staged: _lang, _source and one struct (low, high) per rule. As many rows as (lang, source) pairs."""
-    picks = [F.max(F.when(F.col("rule") == r, F.struct("low", "high"))).alias(f"_{r}") for r in RULES]
-    wide = fences(sketches(shares)).groupBy("lang", "source").agg(*picks)
-    return stage_table(wide.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "quality-fences")
+def quartile_table(facts: DataFrame) -> DataFrame:
+    """Staged: lang, source and a struct (rule -> q25, q75); as many rows as pairs with a document that passes the base rules."""
+    picks = [F.max(F.when(F.col("rule") == r, F.struct("q25", "q75"))).alias(r) for r in RULES]
+    passed = facts.where(~base_failed()).withColumns(share_columns())
+    wide = quartiles(sketches(passed)).groupBy("lang", "source").agg(*picks)
+    return stage_table(wide.select("lang", "source", F.struct(*RULES).alias("quartiles")), "quality-quartiles")
 
 
 def base_failed(m: str = "") -> Column:
     return (F.col(f"{m}n_words") < LEAST_WORDS) | (F.lit(100) * F.col(f"{m}n_repeat_words") > F.lit(MOST_REPEATED) * F.col(f"{m}n_words"))
 
 
-def _within(share: dict[str, Column]) -> Column:
+def within_fences(quartiles: Column, m: str = "") -> Column:
+    """Whether all shares lie within the fences of the document's group (null without quartiles)."""
+    share, event = share_columns(m), event_columns(m)
     found = F.lit(True)
-    for r in RULES:
-        found = found & (share[r] >= F.col(f"_{r}")["low"]) & (share[r] <= F.col(f"_{r}")["high"])
+    for r, (_, _, _, side, _) in RULES.items():
+        q25, q75 = quartiles[r]["q25"], quartiles[r]["q75"]
+        room = F.greatest(q75 - q25, event[r]) * FENCE
+        found = found & (share[r] <= q75 + room)
+        if side == "both":
+            found = found & (share[r] >= q25 - room)
     return found
 
 
-def _same_group(lang: Column, source: Column) -> Column:
-    return lang.eqNullSafe(F.col("_lang")) & source.eqNullSafe(F.col("_source"))
-
-
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept. The text is scanned once."""
     m = docs.select("doc_id", "lang", "source", text_metrics(F.col("text")).alias("m")).select("doc_id", "lang", "source", "m.*")
     facts = stage_table(m, "quality-facts")
-    limits = fence_table(facts.withColumns(share_columns()))
-    return facts.join(limits, _same_group(facts["lang"], facts["source"]), "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & _within(share_columns())).alias("kept"),
-    )
+    limits = quartile_table(facts).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = facts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    kept = F.coalesce(~base_failed() & within_fences(F.col("quartiles")), F.lit(False))
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``.
 
-    Counts are computed for the sketches and again beside the text, which is cheaper than shuffling
-    the texts to their verdicts.
+    The texts are staged with their counts, so they are measured once and not shuffled to their verdicts.
     """
-    measured = docs.withColumn("_m", text_metrics(F.col("text")))
-    facts = stage_table(measured.select("lang", "source", "_m.*"), "quality-facts")
-    limits = fence_table(facts.withColumns(share_columns()))
-    joined = measured.join(limits, _same_group(docs["lang"], docs["source"]), "left")
-    return joined.where(~base_failed("_m.") & _within(share_columns("_m."))).select(*[docs[c] for c in docs.columns])
+    m, lang, source, fence = free_names(docs, "counts", "group_lang", "group_source", "group_quartiles")
+    measured = stage_table(docs.withColumn(m, text_metrics(F.col("text"))), "quality-measured")
+    limits = quartile_table(measured.select("lang", "source", f"{m}.*")).toDF(lang, source, fence)
+    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    return joined.where(~base_failed(f"{m}.") & within_fences(F.col(fence), f"{m}.")).select(*own_columns(docs))
 
 
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,21 +194,15 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verdict_sql(table: str) -> str:
-    """DuckDB SQL with the rows of quality_verdicts over ``table``, plus lang and source."""
-    shares = {
-        "symbol_share": "1000 * n_symbols // nullif(word_chars, 0)",
-        "upper_share": "1000 * n_upper // nullif(word_chars, 0)",
-        "mark_share": "1000 * n_marks // nullif(word_chars, 0)",
-        "line_share": "1000 * n_dup_lines // nullif(n_lines, 0)",
-        "repeat_share": "1000 * n_repeat_words // nullif(n_words, 0)",
-        "word_length": "100 * word_chars // nullif(n_words, 0)",
-    }
-    cols = ", ".join(f"coalesce({e}, 0) AS {r}" for r, e in shares.items())
-    slack = " ".join(f"WHEN '{r}' THEN {s}" for r, (_, s) in RULES.items())
-    both = ", ".join(f"'{r}'" for r, (side, _) in RULES.items() if side == "both")
-    long = "\nUNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {r} AS v FROM shared" for r in RULES)
-    ok = " AND ".join(f"{r} >= (SELECT low FROM fence f WHERE f.rule = '{r}' AND f.lang IS NOT DISTINCT FROM s.lang AND f.source IS NOT DISTINCT FROM s.source)"
-                      f" AND {r} <= (SELECT high FROM fence f WHERE f.rule = '{r}' AND f.lang IS NOT DISTINCT FROM s.lang AND f.source IS NOT DISTINCT FROM s.source)" for r in RULES)
+    """DuckDB SQL with the rows of quality_verdicts over ``table``."""
+    shares = ", ".join(f"coalesce({unit} * {part} // nullif({whole}, 0), 0) AS {r}" for r, (part, whole, unit, _, _) in RULES.items())
+    events = ", ".join(f"coalesce(({unit * event} + {whole} - 1) // nullif({whole}, 0), 0) AS {r}_one" for r, (_, whole, unit, _, event) in RULES.items())
+    long = "\nUNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, least({r}, {GRID}) AS v FROM shared WHERE NOT base_failed" for r in RULES)
+    ok = []
+    for r, (_, _, _, side, _) in RULES.items():
+        room = f"{FENCE} * greatest(q[2] - q[1], {r}_one)"
+        low = f" AND {r} >= q[1] - {room}" if side == "both" else ""
+        ok.append(f"(SELECT {r} <= q[2] + {room}{low} FROM picked p WHERE p.rule = '{r}' AND p.lang IS NOT DISTINCT FROM s.lang AND p.source IS NOT DISTINCT FROM s.source)")
     return rf"""
 WITH parts AS (SELECT doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
@@ -220,18 +217,15 @@ spans AS (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) -
 covered AS (SELECT k, sum(n)::BIGINT AS n FROM spans GROUP BY k),
 metrics AS (SELECT p.doc_id, p.lang, p.source, len(w) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, n_upper, n_marks FROM parts p LEFT JOIN covered c USING (k)),
-shared AS (SELECT *, {cols} FROM metrics),
+shared AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed, {shares}, {events} FROM metrics),
 long AS ({long}),
 fine AS (SELECT lang, source, rule, quantile_disc(v, [0.25, 0.75]) AS q, count(*) AS n FROM long GROUP BY ALL),
 langs AS (SELECT lang, rule, quantile_disc(v, [0.25, 0.75]) AS q, count(*) AS n FROM long GROUP BY ALL),
 whole AS (SELECT rule, quantile_disc(v, [0.25, 0.75]) AS q FROM long GROUP BY ALL),
 picked AS (SELECT f.lang, f.source, f.rule, CASE WHEN f.n >= {LEAST_GROUP} THEN f.q WHEN l.n >= {LEAST_GROUP} THEN l.q ELSE a.q END AS q
-    FROM fine f JOIN langs l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rule = l.rule JOIN whole a ON f.rule = a.rule),
-room AS (SELECT *, greatest({FENCE} * (q[2] - q[1]), CASE rule {slack} END) AS room FROM picked),
-fence AS (SELECT lang, source, rule, CASE WHEN rule IN ({both}) THEN q[1] - room ELSE -1 END AS low, q[2] + room AS high FROM room)
+    FROM fine f JOIN langs l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rule = l.rule JOIN whole a ON f.rule = a.rule)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-    n_repeat_words::BIGINT AS n_repeat_words, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed,
-    (NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND {ok}) AS kept
+    n_repeat_words::BIGINT AS n_repeat_words, base_failed, coalesce(NOT base_failed AND {" AND ".join(ok)}, false) AS kept
 FROM shared s"""
 
 

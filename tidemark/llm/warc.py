@@ -1,18 +1,22 @@
 """WARC archives with a Merkle fixity audit.
 
-Records are WARC/1.1 responses whose fields come from a page; they lie in archives in the order of their
-ids, each at its byte offset. The digests of ``FANOUT`` consecutive records make a range, ranges make a
-node, and so on to one root an archive. An audit compares two replicas' roots, then the children of
-mismatching nodes only, down to records: what is compared is in proportion to the damage, and a record
-count or length that differs shows as a mismatch too.
-
-Archives are cut to about ``ARCHIVE_RECORDS`` records by a hash of the record's key and content, so
-neither a hot host nor an id that repeats outgrows an archive; offsets and ranges are windows over one
-archive. Trees are grouped aggregations of at most FANOUT children. Only digests are staged.
-
-Nulls: a null url or html counts as empty; a null page_id is ordered first. Rows that repeat a page are
-records of their own. Empty replicas have no archive and audit clean. Very long pages are hashed whole.
-Other columns are ignored.
+Records are WARC/1.1 responses whose fields come from a page. They are written to archives of
+``ARCHIVE_RECORDS`` records in the order of their ids; each record has its slot in the archive, its byte
+offset and its length. The digests of ``FANOUT`` consecutive slots make a range, ranges make a node, and so
+on to one root an archive. A node covers its children's slots, digests and byte lengths, so a damaged record
+changes the nodes above it and no others. An audit compares two replicas' roots, then the children of
+mismatching nodes only, down to records; every level is staged once.
+
+Slots are those of the writer and don't depend on content. If an archive's record ids differ between
+replicas (a record is missing or added, and the rest has moved up), that archive's records are first aligned
+by id, so that no other record counts as damaged.
+
+A record's number is its rank by (page_id, url, row), counted over ranges: neither a hot host nor an id
+with a third of all rows outgrows a task or an archive, and equal rows are spread by their row number.
+
+Nulls: a null url or html counts as empty; a null page_id is ordered first. Rows that repeat a page_id are
+records of their own, told apart by their order (``copy``). Empty replicas have no archive and audit clean.
+Very long pages are hashed whole. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read_table, stage_table
+from tidemark.llm.common import in_ranges, read_table, stage_table
 
 FANOUT = 16
 LEVELS = 4
@@ -38,38 +42,57 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def records(pages: DataFrame, n_archives: int) -> DataFrame:
-    """archive, key (page_id), record (bytes) of every page; the archive is a function of the id alone, then of the content."""
+def archives(pages: DataFrame, size: int = ARCHIVE_RECORDS) -> DataFrame:
+    """Written archives: archive, slot, key (page_id), copy (its number among the rows of that id) and record (bytes)."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    spread = F.pmod(F.xxhash64("page_id", "url"), F.lit(n_archives)).cast("int")
-    return pages.select(spread.alias("archive"), F.col("page_id").alias("key"), record.alias("record"))
+    rows = pages.select(F.col("page_id").alias("key"), F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("row"), record.alias("record"))
+    placed, part, place = in_ranges(rows, [F.col("key"), F.col("url"), F.col("row")], "warc-records")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(F.col(part).alias("_range"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    numbered = placed.join(starts, F.col(part) == F.col("_range")).withColumn("number", F.col("start") + F.col(place))
+    first = stage_table(numbered.groupBy("key").agg(F.min("number").alias("first")), "warc-firsts").withColumnRenamed("key", "_key")
+    return numbered.join(first, F.col("key").eqNullSafe(F.col("_key"))).select(
+        F.floor(F.col("number") / size).alias("archive"), (F.col("number") % size).cast("int").alias("slot"), "key", (F.col("number") - F.col("first")).alias("copy"), "record"
+    )
 
 
 def digests(archived: DataFrame) -> DataFrame:
-    """Staged: archive, slot (ordinal), key, offset, length, digest of each record; the replica's index."""
-    order = Window.partitionBy("archive").orderBy("key", "digest")
-    hashed = archived.select("archive", "key", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
-    placed = hashed.select(
-        "archive", (F.row_number().over(order) - 1).alias("slot"), "key",
-        (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")).alias("offset"), "length", "digest",
-    )
-    return stage_table(placed, "warc-digests")
+    """Staged: archive, slot, key, copy, offset, length, digest of each record; the replica's index."""
+    earlier = Window.partitionBy("archive").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = archived.select("archive", "slot", "key", "copy", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    return stage_table(hashed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))), "warc-digests")
 
 
-def tree_levels(index: DataFrame) -> list[DataFrame]:
-    """Nodes (archive, slot, first, last, digest) from the records up to one root an archive.
+def aligned(index_a: DataFrame, index_b: DataFrame) -> DataFrame:
+    """The second index with the first one's slots, in the archives whose record ids differ.
 
-    A node's digest covers the ordered digests of its children and the offset range they fill.
+    A record that the first replica lacks gets an archive number of its own (below zero).
     """
-    level = index.select("archive", "slot", F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), "digest")
-    levels = [level]
+    ids = lambda index, name: index.groupBy("archive").agg(F.sum(F.xxhash64("slot", "key", "copy").cast("decimal(38,0)")).alias(name))
+    moved = ids(index_a, "a").join(ids(index_b, "b"), "archive", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    moved = stage_table(moved.select(F.col("archive").alias("_moved")), "warc-moved")
+    if moved.isEmpty():
+        return index_b
+    of = lambda index, how: index.join(moved, F.col("archive") == F.col("_moved"), how)
+    known = of(index_a, "left_semi").select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("archive").alias("_archive"), F.col("slot").alias("_slot"))
+    found = of(index_b, "left_semi").join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("copy") == F.col("_copy")), "left")
+    placed = found.withColumns({"archive": F.coalesce("_archive", -1 - F.col("archive")), "slot": F.coalesce("_slot", "slot")}).select(*index_b.columns)
+    return stage_table(of(index_b, "left_anti").unionByName(placed), "warc-aligned")
+
+
+def _parent(level: int) -> Column:
+    """The slot of a node's parent, from the level below the parents on."""
+    return F.floor(F.col("slot") / FANOUT).cast("int") if level < LEVELS - 1 else F.lit(0)
+
+
+def tree_levels(index: DataFrame) -> list[DataFrame]:
+    """Staged nodes (archive, slot, length, digest) from the records up to one root an archive."""
+    levels = [index.select("archive", "slot", "length", "digest")]
     for k in range(LEVELS):
-        parent = F.floor(F.col("slot") / FANOUT).cast("int") if k < LEVELS - 1 else F.lit(0)
-        children = F.sort_array(F.collect_list(F.struct("slot", "digest")))
-        up = level.groupBy("archive", parent.alias("slot")).agg(F.min("first").alias("first"), F.max("last").alias("last"), children.alias("c"))
-        joined = F.concat(F.array_join(F.transform("c", lambda x: x["digest"]), ""), F.lit(":"), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
-        level = up.select("archive", "slot", "first", "last", F.sha2(joined, 256).alias("digest"))
-        levels.append(level)
+        children = F.sort_array(F.collect_list(F.struct("slot", "digest", "length")))
+        up = levels[k].groupBy("archive", _parent(k).alias("slot")).agg(F.sum("length").alias("length"), children.alias("c"))
+        covered = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["slot"].cast("string"), x["digest"], x["length"].cast("string"))), ",")
+        levels.append(stage_table(up.select("archive", "slot", "length", F.sha2(covered, 256).alias("digest")), f"warc-level-{k + 1}"))
     return levels
 
 
@@ -82,21 +105,26 @@ def damaged(index_a: DataFrame, index_b: DataFrame) -> DataFrame:
         right = b[k].select("archive", "slot", F.col("digest").alias("db"))
         if wrong is not None:
             # Only the children of mismatching nodes are looked at.
-            up = F.floor(F.col("slot") / FANOUT).cast("int") if k < LEVELS - 1 else F.lit(0)
             keep = wrong.withColumnsRenamed({"archive": "_archive", "slot": "_up"})
-            left, right = (x.join(keep, (F.col("archive") == F.col("_archive")) & (up == F.col("_up")), "left_semi") for x in (left, right))
+            left, right = (x.join(keep, (F.col("archive") == F.col("_archive")) & (_parent(k) == F.col("_up")), "left_semi") for x in (left, right))
         wrong = stage_table(left.join(right, ["archive", "slot"], "full").where(~F.col("da").eqNullSafe(F.col("db"))).select("archive", "slot"), "warc-wrong")
     return wrong
 
 
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
-    """Every record of the first replica with its place and digest, and whether the second one's differs.
+    """key, copy, archive, slot, offset, length, digest (of the first replica) and corrupt of every record.
 
-    Records that only the second replica has come with null key, offset, length and digest.
+    corrupt: the second replica's record differs or is missing. Records that only the second replica has come
+    last, corrupt, with archive below zero and null offset, length and digest.
     """
-    index_a, index_b = digests(replica_a), digests(replica_b)
-    wrong = damaged(index_a, index_b).withColumn("corrupt", F.lit(True))
-    return index_a.join(wrong, ["archive", "slot"], "full").select("key", "archive", "slot", "offset", "length", "digest", F.coalesce("corrupt", F.lit(False)).alias("corrupt"))
+    index_a = digests(replica_a)
+    index_b = aligned(index_a, digests(replica_b))
+    wrong = damaged(index_a, index_b).withColumn("corrupt", F.lit(True)).withColumnsRenamed({"archive": "_archive", "slot": "_slot"})
+    columns = ["key", "copy", "archive", "slot", "offset", "length", "digest"]
+    none = [F.lit(None).cast(index_a.schema[c].dataType).alias(c) for c in columns[4:]]
+    added = index_b.where("archive < 0").select(*columns[:4], *none, F.lit(True).alias("corrupt"))
+    both = index_a.join(wrong, (F.col("archive") == F.col("_archive")) & (F.col("slot") == F.col("_slot")), "left")
+    return both.select(*columns, F.coalesce("corrupt", F.lit(False)).alias("corrupt")).unionByName(added)
 
 
 def decayed(archived: DataFrame, every: int) -> DataFrame:
@@ -108,11 +136,8 @@ def decayed(archived: DataFrame, every: int) -> DataFrame:
 
 def op3_warc(spark: SparkSession, folder: str, every: int = 97) -> DataFrame:
     """Audit of the pages' archives against a replica with a changed byte in about one record of 97."""
-    pages = read_table(spark, folder, "pages").select("page_id", "url", "html")
-    n = max(1, -(-pages.count() // ARCHIVE_RECORDS))
-    made = records(pages, n)
-    out = audit(made, decayed(made, every))
-    return out.select(F.col("key").alias("page_id"), "length", "digest", "corrupt")
+    made = archives(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+    return audit(made, decayed(made, every)).select(F.col("key").alias("page_id"), "length", "digest", "corrupt")
 
 
 SQL = r"""
