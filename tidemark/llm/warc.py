@@ -15,7 +15,7 @@ A record's number is its rank by (page_id, url, row), counted over ranges: neith
 with a third of all rows outgrows a task or an archive, and equal rows are spread by their row number.
 
 Nulls: a null url or html counts as empty; a null page_id is ordered first. Rows that repeat a page_id are
-records of their own, told apart by their order (``copy``). Empty replicas have no archive and audit clean.
+records of their own, told apart by their order. Empty replicas have no archive and audit clean.
 Very long pages are hashed whole. Other columns, whatever their names, are ignored.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_ranges, read_table, stage_table
+from tidemark.llm.common import in_ranges, read_table, running_sums, stage_table
 
 FANOUT = 16
 LEVELS = 4
@@ -43,39 +43,45 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def archives(pages: DataFrame, size: int = ARCHIVE_RECORDS) -> DataFrame:
-    """Written archives: archive, slot, key (page_id), copy (its number among the rows of that id) and record (bytes)."""
+    """Written archives: archive, slot, key (page_id) and record (bytes). The bytes are shuffled once, into their order."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
     rows = pages.select(F.col("page_id").alias("key"), F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("row"), record.alias("record"))
     placed, part, place = in_ranges(rows, [F.col("key"), F.col("url"), F.col("row")], "warc-records")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(F.col(part).alias("_range"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    numbered = placed.join(starts, F.col(part) == F.col("_range")).withColumn("number", F.col("start") + F.col(place))
-    first = stage_table(numbered.groupBy("key").agg(F.min("number").alias("first")), "warc-firsts").withColumnRenamed("key", "_key")
-    return numbered.join(first, F.col("key").eqNullSafe(F.col("_key"))).select(
-        F.floor(F.col("number") / size).alias("archive"), (F.col("number") % size).cast("int").alias("slot"), "key", (F.col("number") - F.col("first")).alias("copy"), "record"
-    )
+    starts = stage_table(starts, "warc-starts")  # one row a range
+    number = F.col("start") + F.col(place)
+    return placed.join(starts, F.col(part) == F.col("_range")).select(F.floor(number / size).alias("archive"), (number % size).cast("int").alias("slot"), "key", "record")
 
 
 def digests(archived: DataFrame) -> DataFrame:
-    """Staged: archive, slot, key, copy, offset, length, digest of each record; the replica's index."""
+    """Staged: archive, slot, key, offset, length, digest of each record; the replica's index."""
     earlier = Window.partitionBy("archive").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    hashed = archived.select("archive", "slot", "key", "copy", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    hashed = archived.select("archive", "slot", "key", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
     return stage_table(hashed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))), "warc-digests")
 
 
+def numbered(index: DataFrame) -> DataFrame:
+    """The index with ``copy``: how many records of the same key come before."""
+    ordered = running_sums(index.withColumn("one", F.lit(1)), [F.col("key"), F.col("archive"), F.col("slot")], ["one"], "warc-order")
+    ordered = stage_table(ordered, "warc-numbers")
+    first = ordered.groupBy(F.col("key").alias("_first")).agg(F.min("one_before").alias("start"))
+    return ordered.join(first, F.col("key").eqNullSafe(F.col("_first"))).select(*index.columns, (F.col("one_before") - F.col("start")).alias("copy"))
+
+
 def aligned(index_a: DataFrame, index_b: DataFrame) -> DataFrame:
     """The second index with the first one's slots, in the archives whose record ids differ.
 
     A record that the first replica lacks gets an archive number of its own (below zero).
     """
-    ids = lambda index, name: index.groupBy("archive").agg(F.sum(F.xxhash64("slot", "key", "copy").cast("decimal(38,0)")).alias(name))
+    ids = lambda index, name: index.groupBy("archive").agg(F.sum(F.xxhash64("slot", "key").cast("decimal(38,0)")).alias(name))
     moved = ids(index_a, "a").join(ids(index_b, "b"), "archive", "full").where(~F.col("a").eqNullSafe(F.col("b")))
     moved = stage_table(moved.select(F.col("archive").alias("_moved")), "warc-moved")
     if moved.isEmpty():
         return index_b
     of = lambda index, how: index.join(moved, F.col("archive") == F.col("_moved"), how)
-    known = of(index_a, "left_semi").select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("archive").alias("_archive"), F.col("slot").alias("_slot"))
-    found = of(index_b, "left_semi").join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("copy") == F.col("_copy")), "left")
+    known = numbered(of(index_a, "left_semi")).select(F.col("key").alias("_key"), F.col("copy").alias("_copy"), F.col("archive").alias("_archive"), F.col("slot").alias("_slot"))
+    found = numbered(of(index_b, "left_semi")).join(known, F.col("key").eqNullSafe(F.col("_key")) & (F.col("copy") == F.col("_copy")), "left")
     placed = found.withColumns({"archive": F.coalesce("_archive", -1 - F.col("archive")), "slot": F.coalesce("_slot", "slot")}).select(*index_b.columns)
     return stage_table(of(index_b, "left_anti").unionByName(placed), "warc-aligned")
 
@@ -112,7 +118,7 @@ def damaged(index_a: DataFrame, index_b: DataFrame) -> DataFrame:
 
 
 def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
-    """key, copy, archive, slot, offset, length, digest (of the first replica) and corrupt of every record.
+    """key, archive, slot, offset, length, digest (of the first replica) and corrupt of every record.
 
     corrupt: the second replica's record differs or is missing. Records that only the second replica has come
     last, corrupt, with archive below zero and null offset, length and digest.
@@ -120,9 +126,9 @@ def audit(replica_a: DataFrame, replica_b: DataFrame) -> DataFrame:
     index_a = digests(replica_a)
     index_b = aligned(index_a, digests(replica_b))
     wrong = damaged(index_a, index_b).withColumn("corrupt", F.lit(True)).withColumnsRenamed({"archive": "_archive", "slot": "_slot"})
-    columns = ["key", "copy", "archive", "slot", "offset", "length", "digest"]
-    none = [F.lit(None).cast(index_a.schema[c].dataType).alias(c) for c in columns[4:]]
-    added = index_b.where("archive < 0").select(*columns[:4], *none, F.lit(True).alias("corrupt"))
+    columns = ["key", "archive", "slot", "offset", "length", "digest"]
+    none = [F.lit(None).cast(index_a.schema[c].dataType).alias(c) for c in columns[3:]]
+    added = index_b.where("archive < 0").select(*columns[:3], *none, F.lit(True).alias("corrupt"))
     both = index_a.join(wrong, (F.col("archive") == F.col("_archive")) & (F.col("slot") == F.col("_slot")), "left")
     return both.select(*columns, F.coalesce("corrupt", F.lit(False)).alias("corrupt")).unionByName(added)
 
