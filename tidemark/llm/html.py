@@ -4,16 +4,17 @@ A page is read into lines (its blocks) with what surrounds them: scripts, menus,
 footers, forms, adverts, notices, sidebars and reader comments are known by element, role, class or id.
 Pages of a host are put in the order of their URL paths; each page is paired with the neighbour whose
 path shares the longer prefix, the lines of both are aligned by a longest common subsequence, and shared
-lines are deleted. Lines inside an ``article`` or ``main`` element are not deleted for being shared:
-neighbours quote and copy each other's articles, so there the elements decide.
+lines are deleted. A neighbour with the same lines is a copy and tells nothing, so the nearest page that
+differs is taken. Inside an ``article`` or ``main`` element a shared line is deleted only if it is an item of
+a list and all link (a menu): neighbours quote and copy each other's articles, so text there is the author's.
 
 Only line hashes are paired. They are range-partitioned by (host, path), so a host with a third of all
 pages spreads over tasks; the neighbours at the edges of ranges come from a table with two rows a range.
 
 Nulls: null html is empty and gives an empty text; a null or odd URL belongs to the empty host. Rows that
-repeat a page_id and url share one pairing, that of the row with the least lines. Equal pages under one
-host are neighbours; their lines outside of articles are shared. Very long pages are read whole and
-aligned bit-parallel. An empty table gives no rows. Other columns are ignored.
+repeat a page_id and url share one pairing, that of the row with the least lines. Very long pages are read
+whole; the alignment keeps memory in proportion to their lines (Hirschberg's split over bit-parallel rows).
+An empty table gives no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -47,6 +49,9 @@ HINTS = frozenset(
 HEADER_HINTS = frozenset("header topbar".split())
 COMMENTS = frozenset("comment comments respond reply replies disqus discussion".split())
 
+#: Largest table of an alignment that is kept whole, in bits (1 MiB).
+TABLE_BITS = 8 << 20
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
@@ -72,20 +77,19 @@ def _marks(attrs: str) -> tuple[set[str], bool]:
     return words, out
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool, float]]:
-    """The lines outside of dropped elements: (text, inside an article, share of the text in links)."""
+def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
+    """The lines outside of dropped elements: (text, inside an article, a list item that is all link)."""
     # Each open element: name, dropped, by a hint only, inside an article, inside a header, inside a link.
     stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
-    lines: list[tuple[str, bool, float]] = []
+    lines: list[tuple[str, bool, bool]] = []
     held: list[tuple[str, bool]] = []
-    inside = False
+    inside = item = False
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(t for t, _ in held)).split())
             if text:
-                linked = sum(len(t) for t, a in held if a) / max(1, sum(len(t) for t, _ in held))
-                lines.append((text, inside, linked))
+                lines.append((text, inside, item and all(linked or not t.strip() for t, linked in held)))
             held.clear()
 
     def pop_to(k: int) -> None:
@@ -94,11 +98,11 @@ def page_lines(html: str | None) -> list[tuple[str, bool, float]]:
         del stack[k:]
 
     def put(text: str) -> None:
-        nonlocal inside
+        nonlocal inside, item
         top = stack[-1]
         if text and not top[1] and not (top[4] and not any(x[0] in HEADINGS for x in stack)):
             if not held:
-                inside = top[3]
+                inside, item = top[3], any(x[0] == "li" for x in stack)
             held.append((text, top[5]))
 
     source = html or ""
@@ -146,18 +150,22 @@ def page_lines(html: str | None) -> list[tuple[str, bool, float]]:
     return lines
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indices of ``a`` in a longest common subsequence with ``b``; rows of the table are integers."""
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Rows of the alignment of ``a`` with ``b`` as integers: a zero bit j says that line j of b makes the subsequence longer."""
     place: dict[int, int] = {}
     for j, x in enumerate(b):
         place[x] = place.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row = full
-    rows = [row]
+    full = row = (1 << len(b)) - 1
+    yield row
     for x in a:
         hit = row & place.get(x, 0)
         row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
+        yield row
+
+
+def _traced(a: list[int], b: list[int]) -> list[int]:
+    """Indices of ``a`` in a longest common subsequence with ``b``, from the whole table."""
+    rows = list(_rows(a, b))
     out = []
     i, j = len(a), len(b)
     while i and j:
@@ -172,21 +180,48 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _line_hashes(lines: list[tuple[str, bool, float]]) -> list[int]:
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each beginning of ``b``."""
+    row = 0
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def common_lines(a: list[int], b: list[int], table_bits: int = TABLE_BITS) -> list[int]:
+    """Indices of ``a`` in a longest common subsequence with ``b``.
+
+    Tables over ``table_bits`` bits are halved at the place of ``b`` through which a longest subsequence goes.
+    """
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a1 - a0 < 2 or (a1 - a0) * (b1 - b0) <= table_bits:
+            out += [a0 + i for i in _traced(a[a0:a1], b[b0:b1])]
+            continue
+        mid = (a0 + a1) // 2
+        split = b0 + int(np.argmax(_lengths(a[a0:mid], b[b0:b1]) + _lengths(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]))
+        todo += [(mid, a1, split, b1), (a0, mid, b0, split)]
+    return out
+
+
+def _line_hashes(lines: list[tuple[str, bool, bool]]) -> list[int]:
     return [xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _, _ in lines]
 
 
 def main_text(html: str | None, neighbour: list[int] | None) -> str:
     """The article's text, given the line hashes of the nearest page."""
     lines = page_lines(html)
-    if any(inside for _, inside, _ in lines):
-        return " ".join(t for t, inside, _ in lines if inside)
     shared = set(common_lines(_line_hashes(lines), neighbour)) if neighbour and lines else set()
-    return " ".join(t for k, (t, _, linked) in enumerate(lines) if k not in shared and linked < 0.5)
+    if any(inside for _, inside, _ in lines):
+        return " ".join(t for k, (t, inside, item) in enumerate(lines) if inside and not (item and k in shared))
+    return " ".join(t for k, (t, _, _) in enumerate(lines) if k not in shared)
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url and the line hashes of the page nearest by path on the same host (null: none)."""
+    """page_id, url and the line hashes of the page with other lines nearest by path on the same host (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,16 +240,31 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     ranged = stage_table(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()), "page-ranges")
     ranged = ranged.withColumn("range", F.shiftright("pos", 33))
     page = F.struct("host", "path", "hashes")
-    ends = ranged.groupBy("range").agg(F.min_by(page, "pos").alias("first"), F.max_by(page, "pos").alias("last"))
-    by_range = Window.orderBy("range")
-    ends = ends.select(F.col("range").alias("_range"), F.lag("last").over(by_range).alias("before_range"), F.lead("first").over(by_range).alias("after_range"))
-    within = Window.partitionBy("range").orderBy("pos")
-    sides = (
-        ranged.select("page_id", "url", "host", "path", "range", F.size("hashes").alias("n"), F.lag(page).over(within).alias("before"), F.lead(page).over(within).alias("after"))
-        .join(ends, F.col("range") == F.col("_range"))
-        .withColumn("before", F.coalesce("before", "before_range"))
-        .withColumn("after", F.coalesce("after", "after_range"))
-    )
+    ranged = ranged.select("page_id", "url", "host", "path", "range", "pos", page.alias("page"))
+
+    def unlike(rows: DataFrame, keys: list[str], order: Column, name: str) -> DataFrame:
+        """``name``: the last page before, in that order, whose lines differ from the row's."""
+        part = Window.partitionBy(*keys).orderBy(order)
+        last = F.lag("page").over(part)
+        marked = rows.withColumn("_last", last).withColumn("_turn", F.when(F.col("_last").isNotNull() & (F.col("_last")["hashes"] != F.col("page")["hashes"]), F.col("_last")))
+        return marked.withColumn(name, F.last("_turn", ignorenulls=True).over(part)).drop("_last", "_turn")
+
+    sides = unlike(unlike(ranged, ["range"], F.col("pos"), "before"), ["range"], F.col("pos").desc(), "after")
+    # What lies beyond a range: its neighbour's edge page, and for copies of that page the one before with other lines.
+    edges = stage_table(sides.groupBy("range").agg(*[f(F.struct("page", "before", "after"), "pos").alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))]), "page-edges")
+    ends = []
+    for edge, inner, order in (("last", "before", F.col("at")), ("first", "after", F.col("at").desc())):
+        # Two rows a range: the page that differs from its edge page, then the edge page.
+        two = F.array(F.struct(F.col(edge)[inner].alias("page"), (F.col("range") * 2 + (0 if edge == "last" else 1)).alias("at")), F.struct(F.col(edge)["page"].alias("page"), (F.col("range") * 2 + (1 if edge == "last" else 0)).alias("at")))
+        seen = unlike(edges.select(F.inline(two)).where("page is not null"), [], order, "other")
+        step = Window.orderBy(order)
+        rows = seen.withColumn("next", F.lead("at").over(step)).where(F.shiftright("at", 1) != F.coalesce(F.shiftright("next", 1), F.lit(-1)))
+        ends.append(rows.select((F.shiftright("next", 1)).alias(f"_{inner}_range"), F.struct("page", "other").alias(f"{inner}_range")).where(F.col(f"_{inner}_range").isNotNull()))
+    sides = sides.join(ends[0], F.col("range") == F.col("_before_range"), "left").join(ends[1], F.col("range") == F.col("_after_range"), "left")
+    for inner in ("before", "after"):
+        beyond = F.col(f"{inner}_range")
+        sides = sides.withColumn(inner, F.coalesce(F.col(inner), F.when(beyond["page"]["hashes"] != F.col("page")["hashes"], beyond["page"]).otherwise(beyond["other"])))
+    sides = sides.withColumn("n", F.size(F.col("page")["hashes"]))
     # Length of the common prefix of two paths: the first position at which they differ.
     common = lambda other: F.coalesce(F.array_position(F.zip_with(F.split("path", ""), F.split(other, ""), lambda x, y: ~x.eqNullSafe(y)), True), F.lit(1 << 30))
     rank = lambda side: F.when(F.col(side)["host"] == F.col("host"), F.when(common(F.col(side)["path"]) == 0, F.lit(1 << 30)).otherwise(common(F.col(side)["path"])))
