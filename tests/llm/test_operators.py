@@ -167,13 +167,67 @@ def test_toxicity_held_out(spark):
 
 
 def test_grammar_notes_context():
-    scorer = toxicity.Scorer({"idiot": 3.0}, None)
-    kinds = lambda text: [p for p, x in zip(scorer.patterns, scorer.features(text), strict=False) if x]
-    assert kinds("an idiot") == [("insult", False, False, False)]
-    assert kinds("you idiot") == [("insult", True, False, False)]
-    assert kinds("he is not an idiot") == [("insult", True, True, False)]
-    assert kinds("they said: idiot") == [("insult", False, False, False)]
-    assert kinds("they said an idiot") == [("insult", True, False, True)]
+    scorer = toxicity.Scorer({"idiot": (3.0, "insult"), "kill": (2.0, "threat")}, None)
+    kinds = lambda text: [scorer.patterns[p][1:] for p, _ in scorer.matches(text)[0]]
+    assert kinds("an idiot") == [("insult", False, False, False, False)]
+    assert kinds("you idiot") == [("insult", True, False, False, False)]
+    assert kinds("he is not an idiot") == [("insult", True, True, False, False)]
+    assert kinds("they said: idiot") == [("insult", False, False, False, False)]
+    assert kinds("they said an idiot") == [("insult", True, False, True, False)]
+    assert kinds("i kill you. you idiot. fine") == [("threat", False, False, False, True), ("insult", True, False, False, False)]
+    assert scorer.matches("i kill you. you idiot idiot; fine.. ok")[1] == 4 and [o for _, o in scorer.matches("kill you idiot")[0]] == [5.0]
+
+
+def naive_clauses(text, lexicon):
+    """The clauses read one by one with lists, without transducers."""
+    out = []
+    for clause in re.split(r"[.;:!?\n]", text.lower()):
+        found = re.findall(r"[^\W\d_]+", clause)
+        marks = []
+        for k, w in enumerate(found):
+            if w in lexicon:
+                before = found[:k]
+                # The scope of a negation ends after SCOPE words.
+                negated = any(x in toxicity.NEGATIONS for x in before[-toxicity.SCOPE :])
+                marks.append((lexicon[w][1], any(x in toxicity.TARGETS for x in before), negated, any(x in toxicity.REPORTS for x in before), k))
+        if marks:
+            best = marks[0]
+            for m in marks[1:]:
+                if toxicity.gravity(m) > toxicity.gravity(best):
+                    best = m
+            out.append((*best[:4], any(x in toxicity.TARGETS for x in found[best[4] + 1 :])))
+    return out
+
+
+def test_grammar_equals_a_naive_reader():
+    rng = np.random.default_rng(11)
+    lexicon = {"idiot": (3.0, "insult"), "kill": (2.0, "threat"), "scum": (2.5, "insult")}
+    scorer = toxicity.Scorer(lexicon, None)
+    pool = ["idiot", "kill", "scum", "you", "he", "not", "never", "said", "word", "other", "plain", "text", ".", "\n", "!"]
+    for _ in range(400):
+        text = " ".join(rng.choice(pool, int(rng.integers(0, 30))))
+        assert [scorer.patterns[p][1:] for p, _ in scorer.matches(text)[0]] == naive_clauses(text, lexicon), text
+
+
+def test_toxicity_edges(spark, odd, empty):
+    """Very long texts, repeated rows, nulls, clashing columns and learned threats."""
+    rows = [(i, f"some words {i} here. " + ("i will grubble you now" if i % 4 == 0 else "we zilch tomorrow"), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, 9) for i, t, _ in rows], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    scorer = toxicity.train_scorer(docs, labels)
+    assert scorer.words["grubble"][1] == "threat"
+    out = toxicity.score_documents(odd.withColumns({"score": F.lit(1), "toxic": F.lit(1), "predicted": F.lit(2)}), scorer)
+    got = out.collect()
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and len(got) == odd.count()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.score, r.predicted))
+    assert len(by[7]) == 1 and by[4] == by[5] == by[8] and all(0 <= r.score <= 1 for r in got)
+    long = " ".join(["plain text."] * 40_000)
+    pair = spark.createDataFrame([(1, long), (2, long + " i will grubble you")], "doc_id long, text string")
+    low, high = (r.score for r in toxicity.score_documents(pair, scorer).orderBy("doc_id").collect())
+    assert low < high
+    assert toxicity.score_documents(empty, scorer).count() == 0
 
 
 # ---------------------------------------------------------------- 6
@@ -270,6 +324,50 @@ def test_webp_many_groups_are_read():
     assert webp.decode(file).tolist() == [[0xFF1E0A28] * 4 + [0xFF1E1428] * 4]
 
 
+def test_webp_file_of_another_encoder():
+    """The one-pixel lossless file that browsers' feature tests carry."""
+    import base64
+
+    file = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(file).shape == (1, 1) and [x.tolist() for x in webp.decode_all([file] * 20)] == [webp.decode(file).tolist()] * 20
+
+
+def used_transforms(file):
+    return [u[0] for u in webp._Open(file).undo]
+
+
+def test_webp_transforms_are_chosen_where_they_pay():
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:64, 0:144]
+    noise = rng.integers(0, 3, (64, 144, 4))
+    ramp = np.stack([x, y, x + y, np.full_like(x, 255)], axis=2) * (1, 1, 1, 1) + noise * (1, 1, 1, 0)
+    steps = webp._pixels((ramp & 255).astype(np.uint8).reshape(-1, 4)).reshape(64, 144)
+    green = rng.integers(0, 256, (64, 144))
+    linked = np.stack([green // 2 + noise[..., 0], green, green // 2 + noise[..., 1], np.full_like(green, 255)], axis=2)
+    tinted = webp._pixels(linked.astype(np.uint8).reshape(-1, 4)).reshape(64, 144)
+    text = np.frombuffer(webp.payload_of("plain words of a text without pictures " * 400)[0], "<u4").reshape(-1, 144)
+    for pixels, kinds in ((steps, {webp.PREDICTOR}), (tinted, {webp.CROSS_COLOUR})):
+        file = webp.encode(pixels)
+        assert kinds <= set(used_transforms(file)) and (webp.decode(file) == pixels).all()
+        assert len(file) < len(webp.encode(pixels, ()))
+    assert (webp.decode(webp.encode(text)) == text).all()
+
+
+def test_webp_lanes_equal_single_images():
+    """Caches, copies and lengths of all sorts, decoded together and one by one."""
+    rng = np.random.default_rng(9)
+    images = []
+    for k in range(40):
+        pool = rng.integers(0, 1 << 32, int(rng.integers(2, 60)), np.uint64).astype(np.uint32)
+        rows = int(rng.integers(1, 9))
+        a = np.concatenate([pool[rng.integers(0, len(pool), rows * 144)], np.full(144 * (k % 3), 0xFFFFFFFF, np.uint32)])
+        images.append(a.reshape(-1, 144))
+    for bits in (None, 0, 3, 11):
+        files = [webp.encode(a, (), bits, palette=False) for a in images]
+        assert all((x == a).all() for x, a in zip(webp.decode_all(files), images, strict=True))
+        assert all((webp.decode(f) == a).all() for f, a in zip(files, images, strict=True))
+
+
 def test_webp_documents(odd, empty):
     rows = webp.media_features(webp.media_table(odd)).collect()
     want = {(r.doc_id, hashlib.sha256(webp.payload_of(r.text)[0]).hexdigest()) for r in odd.collect()}

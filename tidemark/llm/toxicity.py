@@ -3,21 +3,27 @@
 Small deterministic transducers are composed into one table. The lexical transducer maps words to
 insult, threat, target, negation and report symbols; the context transducers annotate insults and
 threats with what stands before them in the clause: a target, a negation within ``SCOPE`` words, a verb
-of reported speech. Each annotated symbol is a clause pattern with a weight of its own, so a negated or
-reported insult counts as the labels say, not as much as a plain one. A document's score is the logistic
-function of its matched clauses; words outside of a pattern don't count.
-
-Insult words and stems are learned from the labels: the log-odds of a word, or of a 4 to 6 letter stem,
-between toxic and other training documents, added to fixed words of common speech. The weights of the
-patterns are fitted on the same rows. Training rows are those with crc32(doc_id) mod 4 other than 2, at
+of reported speech; the clause transducer reads those and writes, at the end of the clause, the one pattern
+that the clause as a whole matches, its gravest, with a note whether a target comes after it.
+
+Scored are clauses, not words: a clause without a pattern is worth nothing. A matched clause has the weight
+of its pattern, so a negated or reported insult counts as the labels say, and the summed log-odds of its
+insults and threats. A document's score is the logistic function of what its matched clauses add up to: per
+pattern whether and how often it occurs, the gravest clause, the sum over clauses and the share of clauses
+that match.
+
+The lexicon is learned from the labels: the log-odds of a word, or of a 4 to 6 letter stem, between toxic
+and other training documents, added to a few fixed words of common speech. An entry is a threat if in half
+of its toxic documents or more a target follows it within two words, else an insult. The weights
+are fitted on the same rows. Training rows are those with crc32(doc_id) mod 4 other than 2, at
 most ``MAX_LABELS`` of them (a bounded sample by id hash; its ids are broadcast, its counts are combined
-in the tasks and the driver gets ``MAX_ENTRIES`` lexicon entries and one short row per sampled
-document). All documents are scored, whole, in one pass without a shuffle.
+in the tasks and the driver gets ``MAX_ENTRIES`` lexicon entries, the model's size, and one short row per
+sampled document). All documents are scored, whole, in one pass without a shuffle.
 
 Nulls: null and empty texts score as texts without a match; a null doc_id is held out false and never a
-training row; null labels don't train. Without usable labels every weight is 0 except the fixed ones.
-Rows that repeat an id get equal scores for equal texts. An empty table gives no rows. Labels, language,
-source and id don't enter a score; other columns are ignored.
+training row; null labels don't train. Without usable labels every pattern weighs 1. Rows that repeat an id
+get equal scores for equal texts. An empty table gives no rows. Labels, language, source and id don't
+enter a score; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +56,10 @@ KEYS_HELD = 400_000
 TARGETS = "you your yours yourself he she they them him her du dich dir ihr euch sie er tu toi te vous votre il elle ils elles usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never none nor isn aren wasn don doesn nicht kein keine keinen nie niemals pas jamais aucun aucune non nunca ningún ninguna tampoco".split()
 REPORTS = "said says say wrote writes quoted quotes quote claimed called calls reported sagte sagt schrieb behauptete nannte dit disait écrit appelé dijo dice escribió llamó".split()
-THREATS = "kill hurt murder stab shoot destroy beat töten umbringen schlagen vernichten tuer frapper détruire matar golpear destruir".split()
+THREATS = "kill hurt murder stab shoot beat töten umbringen schlagen tuer frapper matar golpear".split()
 INSULTS = "idiot moron stupid loser scum".split()
+#: Words within which a target that follows makes a threat.
+FOLLOWS = 2
 ENDS = frozenset(".;:!?\n")
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.;:!?\n]")
@@ -105,66 +113,107 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return start, arcs
 
 
+def gravity(symbol: tuple) -> tuple:
+    """Order of annotated insults and threats: neither negated nor reported first, then with a target, then threats."""
+    kind, target, negated, reported = symbol[:4]
+    return (not (negated or reported), target, kind == "threat", not negated, not reported)
+
+
+def clauses(inputs: list[tuple]) -> Transducer:
+    """At the end of a clause its gravest annotated symbol, with a note whether a target came after it."""
+    marked = sorted({s for s in inputs if s[0] in ("insult", "threat")}, key=gravity)
+    states = [(None, False), *[(m, t) for m in marked for t in (False, True)]]
+    arcs = {}
+    for held, after in states:
+        for symbol in inputs:
+            following, out = (held, after), ("none",)
+            if symbol[0] == "end":
+                following, out = (None, False), ("clause", *held, after) if held else ("none",)
+            elif symbol in marked and (held is None or gravity(symbol) > gravity(held)):
+                following = (symbol, False)
+            elif symbol[0] == "target" and held:
+                following = (held, True)
+            arcs[((held, after),), symbol] = ((following,), out)
+    return ((None, False),), arcs
+
+
 def grammar() -> tuple[list[list[int]], list[list[int]], list[tuple]]:
-    """The composed grammar as tables: next state and pattern number by (state, class); -1: no pattern."""
+    """The composed grammar as tables: next state and clause pattern by (state, class); -1: none."""
     symbols = [(c,) for c in CLASSES]
     machine = noting(symbols, "target", None)
     for opens, life in (("negation", SCOPE), ("report", None)):
-        outputs = list(dict.fromkeys(out for _, out in machine[1].values()))
-        machine = compose(machine, noting(outputs, opens, life))
+        machine = compose(machine, noting(_outputs(machine), opens, life))
+    machine = compose(machine, clauses(_outputs(machine)))
     start, arcs = machine
-    states = [start, *sorted({s for s, _ in arcs} - {start})]
+    states = list(dict.fromkeys([start, *(s for s, _ in arcs)]))
     number = {s: k for k, s in enumerate(states)}
-    patterns = sorted({out for _, out in arcs.values() if out[0] in ("insult", "threat")})
+    patterns = sorted({out for _, out in arcs.values() if out[0] == "clause"})
     step = [[number[arcs[s, c][0]] for c in symbols] for s in states]
     emit = [[patterns.index(out) if (out := arcs[s, c][1]) in patterns else -1 for c in symbols] for s in states]
     return step, emit, patterns
 
 
+def _outputs(machine: Transducer) -> list[tuple]:
+    return list(dict.fromkeys(out for _, out in machine[1].values()))
+
+
 class Scorer:
     """The compiled grammar with its lexicon and weights; travels to the tasks."""
 
-    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None):
-        self.words = {k: w for k, w in lexicon.items() if not k.startswith("^")}
-        self.stems = {k[1:]: w for k, w in lexicon.items() if k.startswith("^")}
+    def __init__(self, lexicon: dict[str, tuple[float, str]], weights: list[float] | None = None):
+        """lexicon: log-odds and class (insult or threat) by word, or by stem with ^ before it."""
+        self.words = {k: v for k, v in lexicon.items() if not k.startswith("^")}
+        self.stems = {k[1:]: v for k, v in lexicon.items() if k.startswith("^")}
         self.step, self.emit, self.patterns = grammar()
         self.weights = weights
-        self.closed = {w: 4 for w in REPORTS} | {w: 3 for w in NEGATIONS} | {w: 2 for w in TARGETS}
-        self.closed |= {w: 1 for w in THREATS} | {e: 6 for e in ENDS}
-        self.seen: dict[str, int] = {}
-        self.size = 2 * len(self.patterns) + 6
+        self.closed = {w: 4 for w in REPORTS} | {w: 3 for w in NEGATIONS} | {w: 2 for w in TARGETS} | {e: 6 for e in ENDS}
+        self.seen: dict[str, tuple[int, float]] = {}
+        self.size = 2 * len(self.patterns) + 4
 
-    def _classify(self, word: str) -> int:
+    def _classify(self, word: str) -> tuple[int, float]:
+        """Class number and log-odds of a word."""
         if len(self.seen) > KEYS_HELD:
             self.seen.clear()
-        kind = 0 if word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) > n) else self.closed.get(word, 5)
-        self.seen[word] = kind
-        return kind
+        found = [self.words[word]] if word in self.words else []
+        found += [self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems]
+        if found:
+            odds, kind = max(found)
+            out = (CLASSES.index(kind), odds)
+        else:
+            out = (self.closed.get(word, 5), 0.0)
+        self.seen[word] = out
+        return out
 
-    def odds(self, word: str) -> float:
-        return max([self.words.get(word, 0.0), *[self.stems.get(word[:n], 0.0) for n in STEMS if len(word) > n]])
+    def matches(self, text: str | None) -> tuple[list[tuple[int, float]], int]:
+        """(pattern, summed odds) of each matched clause, and the number of clauses."""
+        seen, known = self.seen, self._classify
+        read = [seen[w] if w in seen else known(w) for w in _TOKEN.findall((text or "").lower())]
+        if not any(odds for _, odds in read):
+            return [], 0
+        out: list[tuple[int, float]] = []
+        state, held, n, open_ = 0, 0.0, 0, False
+        for kind, odds in [*read, (6, 0.0)]:
+            if kind == 6:
+                if (pattern := self.emit[state][6]) >= 0:
+                    out.append((pattern, held))
+                n += open_
+                held, open_ = 0.0, False
+            else:
+                held, open_ = held + odds, True
+            state = self.step[state][kind]
+        return out, n
 
     def features(self, text: str | None) -> list[float]:
-        """Of the matched clauses: presence and log count of each pattern, sum and best of the odds, count, density, length; then 1."""
+        """Of the matched clauses: presence and log count of each pattern, odds of the gravest, log sum of odds, log share of clauses; then 1."""
         out = [0.0] * self.size
         out[-1] = 1.0
-        words = _TOKEN.findall((text or "").lower())
-        seen = self.seen
-        kinds = [seen[w] if w in seen else self._classify(w) for w in words]
-        if 0 not in kinds and 1 not in kinds:
+        found, n = self.matches(text)
+        if not found:
             return out
-        state, found, best, total = 0, Counter(), 0.0, 0.0
-        for word, kind in zip(words, kinds, strict=True):
-            if (pattern := self.emit[state][kind]) >= 0:
-                found[pattern] += 1
-                odds = self.odds(word) if kind == 0 else LEAST_ODDS
-                best, total = max(best, odds), total + odds
-            state = self.step[state][kind]
-        n = len(self.patterns)
-        for pattern, times in found.items():
-            out[pattern], out[n + pattern] = 1.0, math.log1p(times)
-        hits = sum(found.values())
-        out[-6:-1] = [total / 10, best, math.log1p(hits), math.log1p(1000 * hits / len(words)), math.log1p(len(words))]
+        kinds = len(self.patterns)
+        for pattern, times in Counter(p for p, _ in found).items():
+            out[pattern], out[kinds + pattern] = 1.0, math.log1p(times)
+        out[-4:-1] = [max(o for _, o in found), math.log1p(sum(o for _, o in found)), math.log1p(1000 * len(found) / n)]
         return out
 
     def score(self, text: str | None) -> float:
@@ -183,33 +232,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
     return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "toxic")
 
 
+def _entries(word: str) -> list[str]:
+    return [word, *[f"^{word[:n]}" for n in STEMS if len(word) > n]]
+
+
 def lexicon_counts(train: DataFrame) -> DataFrame:
-    """(entry, toxic, n): documents with each word and stem, combined in the tasks first."""
+    """(entry, toxic, n, followed): documents with each word and stem, toxic ones, and toxic ones in which a target follows; combined in the tasks first."""
+    targets = frozenset(TARGETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         toxic: Counter = Counter()
+        followed: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             keys = list(total)
-            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], ["entry", "toxic", "n"])
-            total.clear()
-            toxic.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (toxic, total, followed)]], ["entry", "toxic", "n", "followed"])
+            for c in (total, toxic, followed):
+                c.clear()
             return batch
 
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = {w for w in _TOKEN.findall((text or "").lower()) if w not in ENDS}
-                entries = words | {f"^{w[:n]}" for n in STEMS for w in words if len(w) > n}
+                words = _TOKEN.findall((text or "").lower())
+                entries = {e for w in set(words) - ENDS for e in _entries(w)}
                 total.update(entries)
                 if label:
                     toxic.update(entries)
+                    at = [k for k, w in enumerate(words) if w in targets]
+                    before = {words[j] for k in at for j in range(max(0, k - FOLLOWS), k)} - ENDS - targets
+                    followed.update({e for w in before for e in _entries(w)})
                 if len(total) > KEYS_HELD:
                     yield out()
         if total:
             yield out()
 
-    return train.mapInArrow(run, "entry string, toxic long, n long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    return train.mapInArrow(run, "entry string, toxic long, n long, followed long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "n", "followed")])
 
 
 def one_of_copies(train: DataFrame) -> DataFrame:
@@ -227,16 +285,17 @@ def one_of_copies(train: DataFrame) -> DataFrame:
     return kept.select("text", "toxic")
 
 
-def learn_lexicon(train: DataFrame, n_toxic: int, n_other: int) -> dict[str, float]:
-    """Entries (stems start with ^) and their log-odds; the strongest MAX_ENTRIES."""
+def learn_lexicon(train: DataFrame, n_toxic: int, n_other: int) -> dict[str, tuple[float, str]]:
+    """Entries (stems start with ^), their log-odds and class; the strongest MAX_ENTRIES."""
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("n") - F.col("toxic") + 0.5) / F.lit(n_other + 1.0))
     share = n_toxic / max(1, n_toxic + n_other)
     part = lambda k, p: F.when(k > 0, k * F.log(k / (F.col("n") * F.lit(max(p, 1e-9))))).otherwise(0.0)
     g = 2 * (part(F.col("toxic"), share) + part(F.col("n") - F.col("toxic"), 1 - share))
     counted = lexicon_counts(one_of_copies(train)).where(F.col("toxic") >= LEAST_DOCS)
     strong = counted.withColumns({"odds": odds, "g": g}).where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
-    rows = strong.orderBy(F.desc("g"), "entry").limit(MAX_ENTRIES).select("entry", "odds").collect()
-    return {r["entry"]: r["odds"] for r in rows} | {w: LEAST_ODDS for w in INSULTS if w not in {r["entry"] for r in rows}}
+    rows = strong.orderBy(F.desc("g"), "entry").limit(MAX_ENTRIES).select("entry", "odds", (F.col("followed") * 2 >= F.col("toxic")).alias("threat")).collect()
+    fixed = {w: (LEAST_ODDS, "insult") for w in INSULTS} | {w: (LEAST_ODDS, "threat") for w in THREATS}
+    return fixed | {r["entry"]: (r["odds"], "threat" if r["threat"] else "insult") for r in rows}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> np.ndarray:

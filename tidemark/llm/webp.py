@@ -3,7 +3,7 @@
 ``decode`` reads the whole format: prefix codes (simple and normal, one or many groups), back-references
 with the plane distance map, the colour cache, and the four transforms, of which it inverts predictor,
 cross-colour, green subtraction and palette (with pixel bundling). ``encode`` writes prefix codes,
-back-references, the colour cache and a palette where they pay, and the other transforms on request.
+back-references, and the colour cache, a palette, predictor and cross-colour transforms where they pay.
 
 A document's UTF-8 bytes, filled with 255 to a positive multiple of 576, are four 8-bit samples a pixel,
 144 pixels a row. Null text counts as empty. Texts of any length are stored whole: beyond 16,384 rows the
@@ -14,10 +14,10 @@ bytes. Empty tables give no rows; repeated rows and ids repeat their results; ot
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,10 +32,15 @@ ROW = 144
 SIDE = 1 << 14
 LONGEST = 4096
 #: Images that are decoded together, and the number below which they are decoded one by one.
-DECODED_ROWS, DECODED_BYTES, LANES = 512, 4 << 20, 12
+DECODED_ROWS, DECODED_BYTES, LANES = 2048, 8 << 20, 12
 MOST_BITS = 15
 #: Longest code that is written: a pixel's four codes fit one 64-bit value.
 WRITTEN_BITS = 14
+NEVER = 1 << 62
+#: Side of a tile of the transforms that ``encode`` chooses itself, in bits; bits that a tile's side pixel costs at most.
+AUTO_TILE, PAYS = 9, 4
+#: Bits of the colour cache that ``encode`` chooses itself.
+AUTO_CACHE = 8
 
 # Fixed values of the format: the order in which the lengths of the code-length code are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -110,6 +115,21 @@ class PrefixTable:
             self.symbols, self.sizes = used[index], each[index]
         self._table: list[int] | None = None
 
+    @classmethod
+    def small(cls, lengths: list[int]) -> tuple[list[int], int]:
+        """(table, mask) of a code of few symbols, without numpy's cost a call."""
+        order = sorted((n, s) for s, n in enumerate(lengths) if n)
+        if len(order) == 1:
+            return [order[0][1] << 4], 0
+        bits = order[-1][0] if order else 0
+        table, at = [0] * (1 << bits), 0
+        for n, s in order:
+            table[int(_REVERSED[at << (MOST_BITS - bits)]) if at < 1 << bits else 0 :: 1 << n] = [s << 4 | n] * (1 << (bits - n))
+            at += 1 << (bits - n)
+        if at != 1 << bits or not order:
+            raise ValueError("incomplete or oversubscribed prefix code")
+        return table, (1 << bits) - 1
+
     @property
     def table(self) -> list[int]:
         if self._table is None:
@@ -122,22 +142,41 @@ class PrefixTable:
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> list[int]:
-    """Huffman code lengths of at most ``most`` bits; rare symbols are counted up until they fit."""
-    used = np.flatnonzero(counts).tolist()
+    """Huffman code lengths of at most ``most`` bits; rare symbols are counted up until they fit.
+
+    Leaves are sorted once; merged nodes come out in ascending order, so the two least are at the heads of
+    two queues.
+    """
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(counts[used], kind="stable")].tolist()
     lengths = [0] * len(counts)
     if len(used) == 1:
         lengths[used[0]] = 1
     weights = counts[used].tolist()
     n, least = len(used), 1
     while n > 1:
-        heap = [(max(w, least), k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
+        # Both queues end in a value that is never the least.
+        leaves = [*(weights if least == 1 else [max(w, least) for w in weights]), NEVER]
+        merged = [NEVER] * n
         above = [0] * (2 * n - 1)
-        for k in range(n, 2 * n - 1):
-            wa, a = heapq.heappop(heap)
-            wb, b = heap[0]
-            above[a] = above[b] = k
-            heapq.heapreplace(heap, (wa + wb, k))
+        i = j = 0
+        for k in range(n - 1):
+            if leaves[i] <= merged[j]:
+                pair = leaves[i]
+                above[i] = n + k
+                i += 1
+            else:
+                pair = merged[j]
+                above[n + j] = n + k
+                j += 1
+            if leaves[i] <= merged[j]:
+                merged[k] = pair + leaves[i]
+                above[i] = n + k
+                i += 1
+            else:
+                merged[k] = pair + merged[j]
+                above[n + j] = n + k
+                j += 1
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
@@ -199,8 +238,7 @@ def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
     own = [0] * len(LENGTH_ORDER)
     for s in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[s] = bits.read(3)
-    code = PrefixTable(own)
-    table, mask = code.table, code.mask
+    table, mask = PrefixTable.small(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     previous = 8
     lengths = []
@@ -267,11 +305,17 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = _read_image(bits, _up(width, tile), _up(height, tile), False)
         groups_at = ((meta >> 8) & 0xFFFF).tolist()
         n_groups = max(groups_at) + 1
-    size = 256 + 24 + (1 << cache_bits if cache_bits else 0)
     made: dict = {}
-    groups = [_read_group(bits, size, made) for _ in range(n_groups)]
-    total = width * height
-    out: list[int] = []
+    groups = [_read_group(bits, _green_size(cache_bits), made) for _ in range(n_groups)]
+    return np.array(_read_pixels(bits, width, width * height, groups, cache_bits, [], groups_at, tile), np.uint32)
+
+
+def _green_size(cache_bits: int) -> int:
+    return 256 + 24 + (1 << cache_bits if cache_bits else 0)
+
+
+def _read_pixels(bits: _Bits, width: int, total: int, groups: list, cache_bits: int, out: list[int], groups_at: list[int] | None = None, tile: int = 0) -> list[int]:
+    """``out`` with the pixels after it up to ``total``, one by one."""
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
     cached = 0  # pixels already in the cache
@@ -333,14 +377,8 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
             continue
         if green < 280:
             bits.at = at
-            length = _prefix_value(bits, green - 256)
-            distance = _prefix_value(bits, bits.symbol(far))
+            length, distance = _copy_of(bits, green - 256, far, width)
             at = bits.at
-            if distance > 120:
-                distance -= 120
-            else:
-                x, y = NEAR[distance - 1]
-                distance = max(1, x + y * width)
             start = len(out) - distance
             if start < 0 or len(out) + length > total:
                 raise ValueError("back-reference out of the image")
@@ -355,7 +393,17 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
             cached = len(out)
             append(cache[green - 280])
     bits.at = at
-    return np.array(out, np.uint32)
+    return out
+
+
+def _copy_of(bits: _Bits, code: int, far: PrefixTable, width: int) -> tuple[int, int]:
+    """Length and distance of the back-reference whose length code has just been read."""
+    length = _prefix_value(bits, code)
+    distance = _prefix_value(bits, bits.symbol(far))
+    if distance > 120:
+        return length, distance - 120
+    x, y = NEAR[distance - 1]
+    return length, max(1, x + y * width)
 
 
 def _channels(pixels: np.ndarray) -> np.ndarray:
@@ -387,7 +435,8 @@ def _predict(mode: int, left, top, top_right, top_left) -> np.ndarray:
         return ((left + top_left) // 2 + (top + top_right) // 2) // 2
     if mode == 11:
         guess = left + top - top_left
-        return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
+        by_left = np.abs(guess - left).sum(axis=-1, keepdims=True) < np.abs(guess - top).sum(axis=-1, keepdims=True)
+        return np.where(by_left, left, top)
     if mode == 12:
         return np.clip(left + top - top_left, 0, 255)
     mean = (left + top) // 2
@@ -395,32 +444,42 @@ def _predict(mode: int, left, top, top_right, top_left) -> np.ndarray:
     return np.clip(mean + np.sign(delta) * (np.abs(delta) // 2), 0, 255)
 
 
-def _predictor(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, tile: int, forward: bool) -> np.ndarray:
-    """Residuals of the pixels (forward) or the pixels of the residuals."""
+def _residuals(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, tile: int) -> np.ndarray:
+    """What is left of the pixels after prediction; every pixel is known, so each mode is one expression."""
+    c = _channels(pixels).reshape(height, width, 4).astype(np.int64)
+    guess = np.zeros_like(c)
+    guess[0, 0] = (0, 0, 0, 255)
+    guess[0, 1:] = c[0, :-1]
+    guess[1:, 0] = c[:-1, 0]
+    if height > 1 and width > 1:
+        top, right = c[:-1, 1:], np.concatenate([c[:-1, 2:], c[1:, :1]], axis=1)
+        y, x = np.mgrid[1:height, 1:width] >> tile
+        mode = modes.reshape(-1, _up(width, tile))[y, x]
+        for m in np.unique(mode).tolist():
+            at = mode == m
+            guess[1:, 1:][at] = _predict(m, c[1:, :-1][at], top[at], right[at], c[:-1, :-1][at])
+    return _pixels(((c - guess) & 255).reshape(-1, 4))
+
+
+def _unpredicted(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, tile: int) -> np.ndarray:
+    """The pixels of the residuals: row by row where a row predicts from the left or the top only, else pixel by pixel."""
     given = _channels(pixels).reshape(height, width, 4).astype(np.int64)
-    whole = given if forward else np.zeros_like(given)
-    out = np.zeros_like(given)
-    across = _up(width, tile)
-    black = np.array([0, 0, 0, 255])
-    for y in range(height):
-        row = modes[(y >> tile) * across : (y >> tile) * across + across]
-        if not forward and y and (row == 2).all():
-            first = (given[y, :1] + whole[y - 1, :1]) & 255
-            whole[y] = np.concatenate([first, (given[y, 1:] + whole[y - 1, 1:]) & 255])
+    whole = np.zeros_like(given)
+    modes = modes.reshape(-1, _up(width, tile))
+    whole[0] = (np.cumsum(given[0], axis=0) + (0, 0, 0, 255)) & 255
+    for y in range(1, height):
+        row = modes[y >> tile]
+        whole[y, 0] = (given[y, 0] + whole[y - 1, 0]) & 255
+        if (row == 2).all():
+            whole[y, 1:] = (given[y, 1:] + whole[y - 1, 1:]) & 255
             continue
-        for x in range(width):
-            if y == 0:
-                guess = whole[0, x - 1] if x else black
-            elif x == 0:
-                guess = whole[y - 1, 0]
-            else:
-                right = whole[y - 1, x + 1] if x + 1 < width else whole[y, 0]
-                guess = _predict(int(row[x >> tile]), whole[y, x - 1], whole[y - 1, x], right, whole[y - 1, x - 1])
-            if forward:
-                out[y, x] = (given[y, x] - guess) & 255
-            else:
-                whole[y, x] = (given[y, x] + guess) & 255
-    return _pixels((out if forward else whole).reshape(-1, 4))
+        if (row == 1).all():
+            whole[y, 1:] = (np.cumsum(given[y, 1:], axis=0) + whole[y, 0]) & 255
+            continue
+        for x in range(1, width):
+            right = whole[y - 1, x + 1] if x + 1 < width else whole[y, 0]
+            whole[y, x] = (given[y, x] + _predict(int(row[x >> tile]), whole[y, x - 1], whole[y - 1, x], right, whole[y - 1, x - 1])) & 255
+    return _pixels(whole.reshape(-1, 4))
 
 
 def _cross_colour(pixels: np.ndarray, width: int, height: int, factors: np.ndarray, tile: int, forward: bool) -> np.ndarray:
@@ -485,10 +544,11 @@ class _Open:
                 self.undo.append((kind, self.coded, 0, None))
 
     def single_group(self) -> list[PrefixTable] | None:
-        """The prefix codes of a main image without cache and groups; else None, at its start."""
+        """The prefix codes of a main image that has one group of them; else None, at its start."""
         start = self.bits.at
-        if not self.bits.read(2):
-            group = _read_group(self.bits, 280, {})
+        self.cache_bits = self.bits.read(4) if self.bits.read(1) else 0
+        if self.cache_bits <= 11 and not self.bits.read(1):
+            group = _read_group(self.bits, _green_size(self.cache_bits), {})
             if sum(c.bits for c in group[:4]) <= 57:
                 return group
         self.bits.at = start
@@ -497,7 +557,7 @@ class _Open:
     def pixels(self, pixels: np.ndarray) -> np.ndarray:
         for kind, wide, tile, side in reversed(self.undo):
             if kind == PREDICTOR:
-                pixels = _predictor(pixels, wide, self.height, (side >> 8) & 255, tile, False)
+                pixels = _unpredicted(pixels, wide, self.height, (side >> 8) & 255, tile)
             elif kind == CROSS_COLOUR:
                 pixels = _cross_colour(pixels, wide, self.height, side, tile, False)
             elif kind == SUBTRACT_GREEN:
@@ -514,7 +574,7 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def decode_all(files: list[bytes]) -> list[np.ndarray]:
-    """``decode`` of several files; images without cache and groups advance together, a pixel of each at a time."""
+    """``decode`` of several files; images with one group of codes advance together, a pixel of each at a time."""
     images = [_Open(f) for f in files]
     codes = [x.single_group() for x in images]
     out: list[np.ndarray | None] = [None if g else x.pixels(_read_image(x.bits, x.coded, x.height, True)) for x, g in zip(images, codes, strict=True)]
@@ -526,7 +586,7 @@ def decode_all(files: list[bytes]) -> list[np.ndarray]:
 
 
 def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[np.ndarray]:
-    """The main images, each with its prefix codes and without cache."""
+    """The main images, each with its prefix codes and colour cache (one entry that is never read where it has none)."""
     totals = np.array([x.coded * x.height for x in images])
     base = np.cumsum(totals) - totals
     raw = b"".join(x.bits.data + bytes(64) for x in images)
@@ -546,7 +606,10 @@ def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[
     table = np.concatenate(tables)
     out = np.zeros(int(totals.sum()), np.uint32)
     done = np.zeros(len(images), np.int64)
-    low, sample_end = np.uint64(63), 1 << 22
+    slots = np.array([1 << x.cache_bits for x in images])
+    cache, first_slot = np.zeros(int(slots.sum()), np.uint32), np.cumsum(slots) - slots
+    drop = np.array([32 - x.cache_bits for x in images], np.uint64)
+    low, sample_end, copy_end, factor = np.uint64(63), 1 << 22, 280 << 14, np.uint32(CACHE_FACTOR)
     live = np.arange(len(images))
     while True:
         live = live[done[live] < totals[live]]
@@ -554,25 +617,38 @@ def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[
             break
         pos, to = bit[live], base[live] + done[live]
         (g_at, r_at, b_at, a_at), (g_mask, r_mask, b_mask, a_mask) = offsets[:, live], masks[:, live]
+        own, shift = first_slot[live], drop[live]
         steps = int((totals[live] - done[live]).min())
         odd = None
         for k in range(steps):  # a pixel of every live image
             word = windows[pos >> 3] >> (pos & 7).astype(np.uint64)
             g = table[g_at + (word & g_mask).astype(np.int64)]
+            hit = None
             if g.max() >= sample_end:
-                odd = np.flatnonzero(g >= sample_end)
-                steps = k
-                break
+                hit = np.flatnonzero(g >= sample_end)
+                if g[hit].min() < copy_end:
+                    odd = hit[g[hit] < copy_end]
+                    steps = k
+                    break
             word >>= g.astype(np.uint64) & low
-            r = table[r_at + (word & r_mask).astype(np.int64)]
-            word >>= r.astype(np.uint64) & low
+            rest = table[r_at + (word & r_mask).astype(np.int64)]
+            word >>= rest.astype(np.uint64) & low
             b = table[b_at + (word & b_mask).astype(np.int64)]
             word >>= b.astype(np.uint64) & low
-            g += r
-            g += b
-            g += table[a_at + (word & a_mask).astype(np.int64)]
+            rest += b
+            rest += table[a_at + (word & a_mask).astype(np.int64)]
+            if hit is None:
+                g += rest
+                value = (g >> 6).astype(np.uint32)
+            else:  # images whose next pixel is in their cache
+                rest[hit] = 0
+                entry = own[hit] + (g[hit] >> 14) - 280
+                g += rest
+                value = (g >> 6).astype(np.uint32)
+                value[hit] = cache[entry]
             pos += g & 63
-            out[to] = g >> 6
+            cache[own + ((value * factor).astype(np.uint64) >> shift).astype(np.int64)] = value
+            out[to] = value
             to += 1
         bit[live] = pos
         done[live] += steps
@@ -580,64 +656,29 @@ def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[
             lane = int(live[i])
             image = images[lane]
             image.bits.at = int(bit[lane] - starts[lane]) + int(g[i] & 63)
-            first, last = int(base[lane]), int(base[lane] + totals[lane])
-            done[lane] = _copy(image, (int(g[i]) >> 14) - 256, codes[lane][4], out[first:last], int(done[lane]))
+            length, distance = _copy_of(image.bits, (int(g[i]) >> 14) - 256, codes[lane][4], image.coded)
+            have = int(done[lane])
+            if distance > have or have + length > totals[lane]:
+                raise ValueError("back-reference out of the image")
+            at = int(base[lane]) + have
+            piece = out[at - distance : at]
+            piece = np.resize(piece, length) if distance < length else piece[:length]
+            out[at : at + length] = piece
+            # Of pixels with one place in the cache the last stays, as if they came one by one.
+            cache[first_slot[lane] + ((piece * factor).astype(np.uint64) >> drop[lane]).astype(np.int64)] = piece
+            done[lane] += length
             bit[lane] = image.bits.at + starts[lane]
     for lane in live.tolist():
         image = images[lane]
         image.bits.at = int(bit[lane] - starts[lane])
-        _read_alone(image, codes[lane], out[base[lane] : base[lane] + totals[lane]], int(done[lane]))
+        have = out[base[lane] : base[lane] + done[lane]].tolist()
+        out[base[lane] : base[lane] + totals[lane]] = _read_pixels(image.bits, image.coded, int(totals[lane]), [codes[lane]], image.cache_bits, have)
     over = [x.bits.at if k in set(live.tolist()) else int(bit[k] - starts[k]) for k, x in enumerate(images)]
     if any(n > x.bits.end for n, x in zip(over, images, strict=True)):
         raise ValueError("the bit stream ends early")
     return np.split(out, base[1:])
 
 
-def _copy(image: _Open, code: int, far: PrefixTable, out: np.ndarray, at: int) -> int:
-    """Carry out one back-reference at pixel ``at``; the pixel after it."""
-    length = _prefix_value(image.bits, code)
-    distance = _prefix_value(image.bits, image.bits.symbol(far))
-    if distance > 120:
-        distance -= 120
-    else:
-        x, y = NEAR[distance - 1]
-        distance = max(1, x + y * image.coded)
-    if distance > at or at + length > len(out):
-        raise ValueError("back-reference out of the image")
-    piece = out[at - distance : at]
-    out[at : at + length] = np.resize(piece, length) if distance < length else piece[:length]
-    return at + length
-
-
-def _read_alone(image: _Open, group: list[PrefixTable], out: np.ndarray, at: int) -> None:
-    """The pixels from ``at`` on, from the current bit."""
-    (g_mask, r_mask, b_mask, a_mask), bits = (c.mask for c in group[:4]), image.bits
-    windows, p = bits.windows, bits.at
-    g_table, r_table, b_table, a_table = (c.shifted(by) for c, by in zip(group, (8, 16, 0, 24), strict=False))
-    while at < len(out):
-        row = []
-        g = 0
-        for _ in range(len(out) - at):
-            word = windows[p >> 3] >> (p & 7)
-            g = g_table[word & g_mask]
-            if g >= 1 << 22:
-                break
-            word >>= g & 63
-            r = r_table[word & r_mask]
-            word >>= r & 63
-            b = b_table[word & b_mask]
-            g += r + b + a_table[(word >> (b & 63)) & a_mask]
-            p += g & 63
-            row.append(g >> 6)
-        out[at : at + len(row)] = row
-        at += len(row)
-        if at < len(out):
-            bits.at = p + (g & 63)
-            at = _copy(image, (g >> 14) - 256, group[4], out, at)
-            p = bits.at
-    bits.at = p
-
-
 # ---------------------------------------------------------------- writing
 
 
@@ -666,10 +707,16 @@ class _Writer:
 
     def bytes(self) -> bytes:
         self._settle()
-        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        most = (int(sizes.max(initial=0)) + 7) // 8  # bytes of the longest value
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :most], axis=1, bitorder="little")
-        return np.packbits(bits[np.arange(8 * most) < sizes[:, None]], bitorder="little").tobytes()
+        values, sizes = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.sizes)
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        word, low = at >> 6, (at & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        # Values fill a word without overlap, so their sum is their union; the high bits of one may go to the next word.
+        out[word[first]] = np.add.reduceat(values << low, first)
+        out[word[first] + 1] += np.add.reduceat(values >> np.uint64(1) >> (np.uint64(63) - low), first)
+        return out.astype("<u8").tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
 def _split_value(value: int) -> tuple[int, int, int]:
@@ -681,39 +728,50 @@ def _split_value(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + ((v >> extra) & 1), extra, v & ((1 << extra) - 1)
 
 
-def _code_bits(lengths: list[int]) -> list[tuple[int, int]]:
-    """A prefix code as (value, bits) pairs."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used):
-        first = used[0] if used else 0
-        pairs = [(1, 1), (int(len(used) > 1), 1), (1, 1), (first, 8)]
-        return [*pairs, (used[1], 8)] if len(used) > 1 else pairs
-    runs: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    at = 0
-    for s in used:
-        gap = s - at
-        while gap >= 11:
-            n = min(gap, 138)
-            runs.append((18, n - 11, 7))
-            gap -= n
-        if gap >= 3:
-            runs.append((17, gap - 3, 3))
-        else:
-            runs += [(0, 0, 0)] * gap
-        runs.append((lengths[s], 0, 0))
-        at = s + 1
-    own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
+def _runs(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths up to the last used symbol as code-length symbols, with the extra bits of runs of zeros and their number."""
+    gaps = np.diff(used, prepend=-1) - 1
+    # Gaps over 138 take several runs of zeros; each but the last is a run of 138 before the same symbol.
+    many = np.maximum(0, gaps - 1) // 138
+    rest = gaps - 138 * many
+    last = np.where(rest < 3, rest, 1)
+    ends = np.cumsum(many + last + 1) - 1
+    symbols, extra, width = (np.zeros(int(ends[-1]) + 1, np.int64) for _ in range(3))
+    symbols[ends] = lengths[used]
+    for k in np.flatnonzero(many).tolist():
+        at = int(ends[k] - last[k] - many[k])
+        symbols[at : at + many[k]], extra[at : at + many[k]], width[at : at + many[k]] = 18, 127, 7
+    short, long = (rest >= 3) & (rest < 11), rest >= 11
+    for chosen, symbol, least, bits in ((short, 17, 3, 3), (long, 18, 11, 7)):
+        at = ends[chosen] - 1
+        symbols[at], extra[at], width[at] = symbol, rest[chosen] - least, bits
+    return symbols, extra, width
+
+
+def _code_bits(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A prefix code as values and numbers of bits."""
+    all_ = np.array(lengths, np.int64)
+    used = np.flatnonzero(all_)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        first = int(used[0]) if len(used) else 0
+        pairs = [(1, 1), (int(len(used) > 1), 1), (1, 1), (first, 8)] + ([(int(used[1]), 8)] if len(used) > 1 else [])
+        return tuple(np.array(pairs, np.int64).T)
+    symbols, extra, width = _runs(all_, used)
+    own = code_lengths(np.bincount(symbols, minlength=19), 7)
     kept = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
     # The number of runs is stored, so the zeros after the last symbol are not, whatever the alphabet's size.
-    most = len(runs) - 2
-    width = max(1, (most.bit_length() + 1) // 2)
-    pairs = [(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (1, 1), (width - 1, 3), (most, 2 * width)]
-    codes = canonical(own).tolist()
-    if sum(1 for n in own if n) == 1:
-        own = [0] * len(own)
-    for s, extra, n in runs:
-        pairs.append((codes[s] | extra << own[s], own[s] + n))
-    return pairs
+    most = len(symbols) - 2
+    wide = max(1, (most.bit_length() + 1) // 2)
+    head = np.array([(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (1, 1), (wide - 1, 3), (most, 2 * wide)], np.int64)
+    sizes = np.array(own) if sum(1 for n in own if n) > 1 else np.zeros(19, np.int64)
+    each = sizes[symbols]
+    return np.concatenate([head[:, 0], canonical(own)[symbols] | extra << each]), np.concatenate([head[:, 1], each + width])
+
+
+@lru_cache(64)
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance code by distance, for images of that width."""
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1}
 
 
 def _copies(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
@@ -725,8 +783,12 @@ def _copies(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
     key = np.zeros(n - least + 1, np.uint64)
     for k in range(least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + p[k : n - least + 1 + k]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    # Sorted with their place in the low bits, equal keys lie side by side in order; what is copied is compared below.
+    low = np.uint64(len(key).bit_length())
+    mixed = np.sort(key >> low << low | np.arange(len(key), dtype=np.uint64))
+    order = (mixed & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    mixed >>= low
+    same = np.flatnonzero(mixed[1:] == mixed[:-1])
     if not len(same):
         return []
     before = np.full(len(key), -1)
@@ -750,15 +812,20 @@ def _copies(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
     return out
 
 
-def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = True) -> None:
+def _cache_hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cache place of each pixel, and whether that place holds the pixel when it comes."""
+    slot = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = pixels[order[1:]] == pixels[order[:-1]]  # equal pixels have one place
+    return slot, hit
+
+
+def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = True, cache: tuple | None = None) -> None:
     n = len(pixels)
     found = _copies(pixels) if copies else []
     if cache_bits:
-        slot = ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-        slot = slot.astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        hit = np.zeros(n, bool)
-        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+        slot, hit = cache or _cache_hits(pixels, cache_bits)
     else:
         hit = np.zeros(n, bool)
     out.put(bool(cache_bits), 1)
@@ -773,9 +840,10 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
     c = _channels(pixels).astype(np.int64)
     green = c[:, 1].copy()
     literal = keep & ~hit
-    green[hit] = 280 + slot[hit] if cache_bits else 0
+    if cache_bits:
+        green[hit] = 280 + slot[hit].astype(np.int64)
     extras = []
-    near = {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width >= 1} if found else {}
+    near = _near_codes(width)
     for at, length, distance in found:
         code, size, extra = _split_value(length)
         far_code, far_size, far_extra = _split_value(near.get(distance, distance + 120))
@@ -798,7 +866,7 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
         made.insert(0, made[0])
     tables = [made[0], made[1], made[1], made[1], made[2]]
     for table in tables:
-        out.loose += table[2]
+        out.put_all(*table[2])
     values, sizes = tables[0][0][green], tables[0][1][green]
     for column, k in ((1, 2), (2, 0), (3, 3)):
         code, length, _ = tables[column]
@@ -815,12 +883,57 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
     out.put_all(values[keep], sizes[keep])
 
 
-def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None = None, copies: bool = True, palette: bool | None = None, tile: int = 3) -> bytes:
+def _cost(samples: np.ndarray) -> float:
+    """Bits of the samples under a prefix code of their own (their entropy)."""
+    n = np.bincount(samples.ravel(), minlength=256)
+    n = n[n > 0]
+    return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum())
+
+
+def paying_transforms(flat: np.ndarray, width: int, height: int, tile: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(transform, its side image) for what makes the samples cheaper to code by more than ``PAYS``, and the pixels after it.
+
+    Predictors tried are the left and the top pixel; cross-colour factors come from the slopes of red and
+    blue on green.
+    """
+    tiles = _up(width, tile) * _up(height, tile)
+    used: list[tuple[int, np.ndarray]] = []
+    c = _channels(flat).reshape(height, width, 4)
+    cost = _cost(c)
+    guesses = [(k, _cost(d) * (c.size / d.size)) for k, d in ((1, c[:, 1:] - c[:, :-1]), (2, c[1:] - c[:-1])) if d.size]
+    mode, guessed = min(guesses, key=lambda x: x[1], default=(0, cost))
+    if cost - guessed > PAYS * tiles + 64:
+        side = np.full(tiles, mode << 8 | 0xFF000000, np.uint32)
+        used.append((PREDICTOR, side))
+        flat = _residuals(flat, width, height, (side >> 8) & 255, tile)
+    signed = _channels(flat).view(np.int8).astype(np.float32)
+    signed -= signed.mean(axis=0)
+    green, spread = signed[:, 1], float((signed[:, 1] ** 2).sum())
+    slope, saved = [0, 0], 0.0
+    for k, channel in enumerate((2, 0)):
+        other = signed[:, channel]
+        both, own = float((green * other).sum()), float((other * other).sum())
+        if both:
+            slope[k] = int(np.clip(round(32 * both / spread), -127, 127))
+            # What the correlation is worth if both were normal; only if that pays is it tried.
+            saved -= len(green) / 2 * np.log2(max(1e-9, 1 - both * both / (spread * own)))
+    if any(slope) and saved > PAYS * tiles + 64:
+        side = np.full(tiles, 0xFF000000 | (slope[1] & 255) << 8 | slope[0] & 255, np.uint32)
+        turned = _cross_colour(flat, width, height, side, tile, True)
+        # Red and blue share a code, so they are counted together.
+        if _cost(_channels(flat)[:, ::2]) - _cost(_channels(turned)[:, ::2]) > PAYS * tiles + 64:
+            used.append((CROSS_COLOUR, side))
+            flat = turned
+    return used, flat
+
+
+def encode(pixels: np.ndarray, transforms: tuple | None = None, cache_bits: int | None = None, copies: bool = True, palette: bool | None = None, tile: int = 3) -> bytes:
     """A lossless WebP file of a (height, width) array of ARGB values.
 
-    transforms: of PREDICTOR, CROSS_COLOUR and SUBTRACT_GREEN, in the order in which they are applied.
-    By default a palette is used if a colour serves four pixels on average, and a cache of 256 colours if
-    one pixel in three would hit it.
+    transforms: of PREDICTOR, CROSS_COLOUR and SUBTRACT_GREEN, in the order in which they are applied, with
+    side images that try every mode; by default predictor and cross-colour where they pay. By default a
+    palette is used if a colour serves four pixels on average, and a cache of 256 colours if one pixel in
+    eight would hit it.
     """
     height, width = pixels.shape
     flat = pixels.ravel().astype(np.uint32)
@@ -828,6 +941,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
     for value, bits in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.put(value, bits)
     colours = _distinct(flat)
+    wide = None
     if palette or (palette is None and len(colours) <= 256 and 4 * len(colours) <= len(flat)):
         packing = _bundle_bits(len(colours))
         out.put(1, 1)
@@ -841,7 +955,12 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
         padded[:, :width] = index
         packed = (padded.reshape(height, wide, 1 << packing) << (np.arange(1 << packing) * (8 >> packing))).sum(axis=2)
         flat, width = (packed.ravel() << 8 | 0xFF000000).astype(np.uint32), wide
-    for kind in transforms:
+    if transforms is None:
+        sides, flat = paying_transforms(flat, width, height, AUTO_TILE) if wide is None else ([], flat)
+        for kind, side in sides:
+            out.loose += [(1, 1), (kind, 2), (AUTO_TILE - 2, 3)]
+            _write_image(out, side, _up(width, AUTO_TILE), False)
+    for kind in transforms or ():
         out.put(1, 1)
         out.put(kind, 2)
         tiles = _up(width, tile) * _up(height, tile)
@@ -853,13 +972,13 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int | None =
         side = (numbers % 14) << 8 | 0xFF000000 if kind == PREDICTOR else (numbers * 37 & 255) << 16 | (numbers * 11 & 255) << 8 | (numbers * 5 & 255) | 0xFF000000
         side = side.astype(np.uint32)
         _write_image(out, side, _up(width, tile), False)
-        flat = _predictor(flat, width, height, (side >> 8) & 255, tile, True) if kind == PREDICTOR else _cross_colour(flat, width, height, side, tile, True)
+        flat = _residuals(flat, width, height, (side >> 8) & 255, tile) if kind == PREDICTOR else _cross_colour(flat, width, height, side, tile, True)
     out.put(0, 1)
+    cache = None
     if cache_bits is None:
-        slot = ((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
-        order = np.argsort(slot.astype(np.uint8), kind="stable")
-        cache_bits = 8 if 3 * np.count_nonzero(flat[order[1:]] == flat[order[:-1]]) >= len(flat) else 0
-    _write_image(out, flat, width, True, cache_bits, copies)
+        cache = _cache_hits(flat, AUTO_CACHE)
+        cache_bits = AUTO_CACHE if 8 * np.count_nonzero(cache[1]) >= len(flat) else 0
+    _write_image(out, flat, width, True, cache_bits, copies, cache)
     data = out.bytes()
     data += b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
