@@ -2,8 +2,7 @@
 
 import numpy as np
 
-from tidemark.llm import simhash
-from tidemark.llm.jaccard import similar_classes
+from tidemark.llm.jaccard import near_dedup, similar_classes
 
 
 def brute(texts, width=5, least=0.8):
@@ -43,5 +42,5 @@ def test_near_dedup_finds_every_edited_copy(spark):
     want = brute(texts)
     assert len(set(want)) > 12 and sum(k != r for k, r in enumerate(want)) > 50
     assert {r.doc_id: r.component_id for r in similar_classes(docs).collect()} == {k + 1: r + 1 for k, r in enumerate(want)}
-    assert {r.doc_id for r in simhash.near_dedup(docs).collect()} == {r + 1 for r in want}
-    assert simhash.near_dedup(docs.limit(0)).count() == 0
+    assert {r.doc_id for r in near_dedup(docs).collect()} == {r + 1 for r in want}
+    assert near_dedup(docs.limit(0)).count() == 0

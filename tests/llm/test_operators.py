@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from parity import assert_parity
 
 from tidemark.llm import chat, html, mixing, phrases, pieces, quality, simhash, toxicity, warc, webp
+from tidemark.llm.jaccard import near_dedup
 from tidemark.llm.registry import ORACLES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, m int, bucket int"
@@ -407,7 +408,7 @@ def test_simhash(odd, empty):
     texts = {r.doc_id: r.text for r in odd.collect()}
     assert all(simhash.fingerprint(texts[r.doc_id]) == int(r.fingerprint, 16) for r in rows)
     assert simhash.near_classes(empty).count() == 0
-    kept = simhash.near_dedup(odd)
+    kept = near_dedup(odd)
     assert kept.columns == odd.columns and 2 not in {r.doc_id for r in kept.collect()}
 
 
@@ -459,7 +460,9 @@ def test_phrases(odd, empty):
     got = phrases.phrase_removals(odd).collect()
     assert sorted((tuple(r) for r in got if r.doc_id is not None), key=str) == sorted(want, key=str) and len(got) == odd.count()
     assert phrases.phrase_removals(empty).count() == 0
-    cut = {r.doc_id: r for r in phrases.phrase_dedup(odd).collect()}
+    clashing = odd.withColumns({"passages": F.lit(1), "emptied": F.lit("x"), "_gone": F.lit(2), "_passages": F.lit(3), "passage_doc": F.lit(4)})
+    assert phrases.phrase_dedup(clashing).columns == clashing.columns
+    cut = {r.doc_id: r for r in phrases.phrase_dedup(clashing).collect()}
     assert 2 not in cut and cut[3].text == "tail" and cut[3].n_chars == 4 and cut[6].text == LONG
 
 

@@ -17,12 +17,14 @@ Every word covered by a 13-word window that also starts in a document with a sma
    an extension of 13 words or more is an occurrence. Words decide, so a hash collision cannot remove.
 
 Shuffled are anchors, hashes and, twice, the texts by id. Grouped minima are combined before their
-shuffle; joins on a hot phrase are plain equi-joins, which adaptive execution splits.
+shuffle. A phrase that a third of all documents share is one row on the side of the first documents; joins
+on phrases spread it over ``SALTS`` parts, one of which each document asks.
 
 Nulls: a null text has no words; a row with a null doc_id is neither changed nor a reason for a change.
 Rows that repeat an id are judged alike, and not against each other. Texts of any length are processed
 whole; under 13 words nothing is removed. An empty table gives no rows. Extra columns are left out by
-``phrase_removals`` and kept by ``phrase_dedup``.
+``phrase_removals`` and kept by ``phrase_dedup``, whatever their names. A document's passages are at most one
+segment a window of its own.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import drop_staged, read_table, stage_table
+from tidemark.llm.common import drop_staged, free_names, own_columns, read_table, stage_table
 
 WINDOW = 13
 GRAM = 5
@@ -47,6 +49,8 @@ SEGMENT = 64
 SHARD_WORDS = 200_000
 DOCS = 256
 SEGMENTS_HELD = 1024
+#: Parts of a phrase in joins.
+SALTS = 8
 _ODD = np.random.default_rng(7).integers(1, 1 << 63, (3, WINDOW), np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK_BYTES = 1 << 18
@@ -215,10 +219,17 @@ def edge_windows(wanted: DataFrame) -> DataFrame:
     return wanted.select("doc_id", "seg", "words", "asked").mapInArrow(run, "h1 long, h2 long, doc_id long, seg long")
 
 
+def _salted(rows: DataFrame, known: DataFrame, key: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join on the key, whose rows are spread by a hash of the column ``spread``; each known row is there once a part."""
+    parts = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(known.withColumn("salt", parts), [*key, "salt"], how).drop("salt")
+
+
 def _references(rows: DataFrame, first: DataFrame, key: list[str]) -> DataFrame:
     """(doc_id, owner, owner_seg) of the rows whose key has a smaller first document."""
     known = first.where("owner < last").select(*key, "owner", "owner_seg")
-    return rows.join(known, key).where("doc_id > owner").select("doc_id", "owner", "owner_seg")
+    return _salted(rows, known, key, "doc_id").where("doc_id > owner").select("doc_id", "owner", "owner_seg")
 
 
 def first_segments(found: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def first_segments(found: DataFrame) -> DataFrame:
     spans = found.select("doc_id", "seg", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("spans").alias("span"))))
     first_spans = stage_table(spans.groupBy("gram", "span").agg(*firsts), "phrase-spans")
     mixed = first_spans.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    asked = first_spans.join(mixed, "gram", "left_semi").groupBy(F.col("owner").alias("_doc"), F.col("owner_seg").alias("_seg")).agg(F.collect_set("gram").alias("asked"))
+    asked = _salted(first_spans, mixed, ["gram"], "span", "left_semi").groupBy(F.col("owner").alias("_doc"), F.col("owner_seg").alias("_seg")).agg(F.collect_set("gram").alias("asked"))
     windows = stage_table(edge_windows(found.join(asked, (F.col("doc_id") == F.col("_doc")) & (F.col("seg") == F.col("_seg")))), "phrase-windows")
     first_windows = windows.groupBy("h1", "h2").agg(*firsts)
     wanted = stage_table(_references(spans, first_spans, ["gram", "span"]).unionByName(_references(windows, first_windows, ["h1", "h2"])).distinct(), "phrase-references")
@@ -306,13 +317,13 @@ class PhraseAutomata:
         return mask
 
 
-def _apply(docs: DataFrame, schema, emit) -> DataFrame:
-    """Run ``emit(batch, masks, words)`` over blocks of documents with their passages in the last column."""
+def _apply(docs: DataFrame, column: str, schema, emit) -> DataFrame:
+    """Run ``emit(batch, masks, words)`` over blocks of documents with their passages in ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
             names = part.schema.names
-            ids, texts, lists = (part.column(names.index(c)).to_pylist() for c in ("doc_id", "text", "_passages"))
+            ids, texts, lists = (part.column(names.index(c)).to_pylist() for c in ("doc_id", "text", column))
             passages: dict[bytes, int] = {}
             for found in lists:
                 for x in found or ():
@@ -326,13 +337,15 @@ def _apply(docs: DataFrame, schema, emit) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _with_passages(docs: DataFrame) -> DataFrame:
+def _with_passages(docs: DataFrame, column: str) -> DataFrame:
+    """The documents with the passages of smaller ids that each shares (null: none) in ``column``."""
     grams = candidate_grams(docs)
     found = stage_table(segments(docs, grams), "phrase-segments")
     drop_staged(grams)
-    passages = stage_table(first_segments(found), "phrase-passages").withColumnRenamed("passages", "_passages")
+    doc, *_ = free_names(docs, "passage_doc")
+    passages = stage_table(first_segments(found), "phrase-passages").toDF(doc, column)
     drop_staged(found)
-    return docs.join(passages, docs["doc_id"] == F.col("_doc"), "left").select(*[docs[c] for c in docs.columns], "_passages")
+    return docs.join(passages, F.col("doc_id") == F.col(doc), "left").select(*own_columns(docs), column)
 
 
 def phrase_removals(docs: DataFrame) -> DataFrame:
@@ -348,7 +361,7 @@ def phrase_removals(docs: DataFrame) -> DataFrame:
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
-    return _apply(_with_passages(docs.select("doc_id", "text")), "doc_id long, n_words long, n_removed long, kept_sha256 string", emit)
+    return _apply(_with_passages(docs.select("doc_id", "text"), "passages"), "passages", "doc_id long, n_words long, n_removed long, kept_sha256 string", emit)
 
 
 def cut_text(text: str, words: list[bytes], mask: bytearray) -> str:
@@ -370,16 +383,17 @@ def phrase_dedup(docs: DataFrame) -> DataFrame:
 
     A text that loses all its words is dropped; one that had none stays.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_gone", T.BooleanType())])
+    passages, emptied = free_names(docs, "passages", "emptied")
+    schema = T.StructType([*docs.schema.fields, T.StructField(emptied, T.BooleanType())])
 
     def emit(part: pa.RecordBatch, masks: list, words: list) -> pa.RecordBatch:
         texts = part.column(part.schema.names.index("text")).to_pylist()
         new = [t if m is None or not any(m) else cut_text(t, w, m) for t, w, m in zip(texts, words, masks, strict=True)]
         gone = [bool(w) and m is not None and all(m) for w, m in zip(words, masks, strict=True)]
-        cols = [pa.array(new, pa.string()) if f.name == "text" else part.column(k) for k, f in enumerate(part.schema) if f.name != "_passages"]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(gone)], [*[f.name for f in part.schema if f.name != "_passages"], "_gone"])
+        own = [(k, f.name) for k, f in enumerate(part.schema) if f.name != passages]
+        return pa.RecordBatch.from_arrays([*[pa.array(new, pa.string()) if name == "text" else part.column(k) for k, name in own], pa.array(gone)], [*[name for _, name in own], emptied])
 
-    out = _apply(_with_passages(docs), schema, emit).where("not _gone").drop("_gone")
+    out = _apply(_with_passages(docs, passages), passages, schema, emit).where(~F.col(emptied)).drop(emptied)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
