@@ -1,13 +1,19 @@
-"""Near-duplicate classes by the exact Jaccard similarity of word shingles.
-
-SimHash distances scatter: at Jaccard 0.8 they have a mean of about 10 bits and a deviation of 3, so no
-radius that can be searched finds all pairs. Here the pairs are found whole: two sets with Jaccard t or
-more share one of the n - ceil(t n) + 1 first shingles of either, in any order that is the same for all.
-The order puts rare shingles first, by counts of ``BUCKETS`` hash buckets, which merge by addition.
-
-Distinct sets are compared, not documents. Per shingle each set meets the least one (the lead) first; pairs
-that are both linked to their lead are connected and need no comparison, and pairs whose similarities to
-the lead differ by more than 1 - t can't be linked (Jaccard distance is a metric). All others are compared.
+"""Near-duplicate documents: SimHash fingerprints searched with BK-trees, confirmed by exact Jaccard similarity.
+
+Fingerprints are those of the sets of five-word shingles. At Jaccard 0.8 two of them differ in about 10 of
+64 bits with a deviation of 3, so ``RADIUS`` 24 loses about one such pair in ten million; but a tree of all
+fingerprints prunes nothing at that radius. So the trees are sharded by rare shingles: two sets with
+Jaccard t or more share one of the n - ceil(t n) + 1 first shingles of either, in any order that is the same
+for all. The order puts rare shingles first, by counts of ``BUCKETS`` hash buckets, which merge by addition.
+
+Distinct sets are compared, not documents. Per shard each set meets the least one (its lead) first, if
+their fingerprints lie within the radius; confirmed pairs make classes. Then a shard that still holds sets of
+different classes gets a BK-tree, and what it finds between classes is confirmed in turn. So a group of
+copies costs one comparison a set and shard, and none of its pairs is emitted.
+
+Nulls: null texts and texts without a word are copies of each other; a null doc_id belongs to its class but never
+names it. Repeated rows and ids share their class. Very long texts are processed whole. An empty table gives no
+rows. Other columns, whatever their names, are kept by ``near_dedup`` and left out by ``similar_classes``.
 """
 
 from __future__ import annotations
@@ -20,13 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.common import drop_staged, stage_table
+from tidemark.llm.bktree import CHUNK, BKForest, in_chunks, whole_groups
+from tidemark.llm.common import drop_staged, free_names, stage_table
 from tidemark.llm.components import components
 from tidemark.llm.phrases import _rolled, word_hashes
 
 WIDTH = 5
 LEAST = 0.8
+RADIUS = 24
 BUCKETS = 1 << 20
+#: Slack of comparisons of shares.
+EPS = 1e-9
+#: Shingles whose bits are counted at a time.
+BLOCK = 1 << 14
 _ODD = np.random.default_rng(9).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,6 +50,15 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(_rolled(words, min(width, len(words)), _ODD).view(np.int64))
 
 
+def set_fingerprint(grams: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed number."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(grams), BLOCK):
+        part = np.ascontiguousarray(grams[at : at + BLOCK])
+        count += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(grams)).view(np.int64)[0])
+
+
 def _set_id(grams: np.ndarray) -> int:
     return xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
@@ -59,8 +80,7 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(BUCKETS, np.int64)
         for _, texts in _texts(batches, 0):
-            own = [_buckets(shingles(t, width)) for t in texts]
-            np.add.at(count, np.concatenate(own), 1)
+            count += np.bincount(np.concatenate([_buckets(shingles(t, width)) for t in texts]), minlength=BUCKETS)
         at = np.flatnonzero(count)
         for k in range(0, len(at), 1 << 16):
             part = at[k : k + (1 << 16)]
@@ -72,78 +92,106 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Distinct (g, sid, n): the first shingles of each set, its id and its size."""
+def shingled(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, sid (id of its set of shingles), fp, n (size), grams and the first of them (null without a word) of every row."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches, 0):
-            grams, ids, sizes = [], [], []
-            for text in texts:
-                own = shingles(text, width)
-                if n := len(own):
-                    first = n - int(np.ceil(least * n - 1e-9)) + 1
-                    grams.append(own[np.argsort(counts.value[_buckets(own)], kind="stable")[:first]])
-                    ids.append(np.full(len(grams[-1]), _set_id(own)))
-                    sizes.append(np.full(len(grams[-1]), n))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (grams, ids, sizes)], ["g", "sid", "n"])
-
-    return docs.select("text").mapInArrow(run, "g long, sid long, n long").distinct()
-
-
-def set_ids(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and sid of every row."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 1):
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([_set_id(shingles(t, width)) for t in texts], pa.int64())], ["doc_id", "sid"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long")
-
-
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """sid and grams of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _texts(batches, 0):
             own = [shingles(t, width) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(g) for g in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["sid", "grams"])
-
-    return docs.select("text").mapInArrow(run, "sid long, grams array<long>")
-
-
-def _compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """a, b and their Jaccard similarity j."""
+            first = []
+            for grams in own:
+                n = len(grams) - int(np.ceil(least * len(grams) - EPS)) + 1
+                rank = counts.value[_buckets(grams)]
+                # The n rarest; np.lexsort breaks ties by the hash, the same for all sets.
+                first.append(grams[np.lexsort((grams, rank))[:n]] if len(grams) else None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).cast(pa.int64()), pa.array([_set_id(g) for g in own], pa.int64()), pa.array([set_fingerprint(g) for g in own], pa.int64()),
+                    pa.array([len(g) for g in own], pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "sid", "fp", "n", "grams", "first"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, fp long, n long, grams array<long>, first array<long>")
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with a Jaccard similarity of ``least`` or more."""
     left, right = known.select(F.col("sid").alias("a"), F.col("grams").alias("x")), known.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum")).select("a", "b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("j"))
+    sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return sized.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - EPS).select("a", "b")
+
 
+def shard_pairs(shards: DataFrame, least: float, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of sets of different classes within the radius, by a BK-tree per shard (g, sid, fp, n, root)."""
+    spread = in_chunks(shards, ["g"], chunk).repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "fp")
 
-def similar_links(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root"), 3):
+            side, fp, sid, n, root = rows[3:]
+            start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
+            size = np.diff(np.r_[start, len(fp)])
+            bits = np.ascontiguousarray(fp[start]).view(np.uint64)
+            tree, asks = np.flatnonzero(side[start] != 2), np.flatnonzero(side[start] != 1)
+            if not len(tree) or not len(asks):
+                continue
+            for q, item in BKForest(group[start][tree], bits[tree]).search(group[start][asks], bits[asks], radius):
+                one, two = asks[q], tree[item]
+                kept = (one <= two) | (side[start][one] == 2)
+                one, two = one[kept], two[kept]
+                # Every set of the one fingerprint with every set of the other.
+                times = size[one] * size[two]
+                pair = np.repeat(np.arange(len(one)), times)
+                step = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
+                a, b = start[one][pair] + step // size[two][pair], start[two][pair] + step % size[two][pair]
+                near = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS)
+                a, b = sid[a[near]], sid[b[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return spread.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_links(rows: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between set ids that connect all sets with Jaccard ``least`` or more."""
-    posted = stage_table(prefixes(docs, width, least), "near-prefixes")
-    shared = posted.groupBy(F.col("g").alias("_g")).agg(F.min("sid").alias("lead"), F.max("sid").alias("high")).where("lead < high").select("_g", "lead")
-    met = stage_table(posted.join(shared, F.col("g") == F.col("_g")).select("g", "sid", "n", "lead"), "near-met")
+    posted = stage_table(rows.select("sid", "fp", "n", F.explode("first").alias("g")).distinct(), "near-first")
+    lead = F.min(F.struct("sid", "fp", "n"))
+    shared = posted.groupBy(F.col("g").alias("_g")).agg(lead.alias("lead"), F.max("sid").alias("high")).where(F.col("lead")["sid"] < F.col("high")).select("_g", "lead")
+    met = stage_table(posted.join(shared, F.col("g") == F.col("_g")).drop("_g"), "near-met")
     drop_staged(posted)
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead")["fp"])) <= radius) & (F.least("n", F.col("lead")["n"]) >= least * F.greatest("n", F.col("lead")["n"]) - EPS)
     asked = met.select("sid").distinct()
-    known = stage_table(sets(docs, width).join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "near-sets")
-    eps = 1e-9
-    stars = stage_table(_compared(met.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), known), "near-stars")
-    scored = met.where("sid <> lead").join(stars, (F.col("lead") == F.col("a")) & (F.col("sid") == F.col("b"))).select("g", "sid", "n", "j")
-    scored = stage_table(scored, "near-scored")
-    other = scored.select("g", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("j").alias("j2"))
-    may = (F.col("sid") < F.col("sid2")) & (F.least("j", "j2") < least - eps) & (F.abs(F.col("j") - F.col("j2")) <= 1 - least + eps) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - eps)
-    rest = scored.join(other, "g").where(may).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
-    return stars.unionByName(_compared(rest, known)).where(F.col("j") >= least - eps).select("a", "b")
-
-
-def similar_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    known = stage_table(rows.select("sid", "grams").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "near-sets")
+    stars = met.where((F.col("sid") != F.col("lead")["sid"]) & near).select(F.col("lead")["sid"].alias("a"), F.col("sid").alias("b")).distinct()
+    linked = stage_table(_confirmed(stars, known, least), "near-stars")
+    roots = stage_table(components(linked, "a", "b"), "near-star-roots")
+    classed = met.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", "fp", "n", F.coalesce("root", "sid").alias("root"))
+    classed = stage_table(classed, "near-classed")
+    drop_staged(met)
+    mixed = classed.groupBy(F.col("g").alias("_g")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_g")
+    pairs = shard_pairs(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), least, radius)
+    more = stage_table(_confirmed(stage_table(pairs, "near-pairs"), known, least), "near-links")
+    return linked.unionByName(more)
+
+
+def similar_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id: the least id of the documents connected by links; null if all are null."""
-    marked = stage_table(set_ids(docs, width), "near-ids")
-    roots = stage_table(components(similar_links(docs, width, least), "a", "b"), "near-roots")
-    firsts = marked.groupBy("sid").agg(F.min("doc_id").alias("first_doc")).join(roots, F.col("sid") == F.col("node"), "left")
+    rows = stage_table(shingled(docs, width, least), "near-rows")
+    roots = stage_table(components(similar_links(rows, least, radius), "a", "b"), "near-roots")
+    firsts = rows.groupBy("sid").agg(F.min("doc_id").alias("first_doc")).join(roots, F.col("sid") == F.col("node"), "left")
     firsts = stage_table(firsts.select(F.col("sid").alias("_sid"), "first_doc", F.coalesce("root", "sid").alias("root")), "near-firsts")
     least_doc = firsts.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("component_id"))
     named = firsts.join(least_doc, F.col("root") == F.col("_root")).select("_sid", "component_id")
-    return marked.join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id")
+    return rows.select("doc_id", "sid").join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without those whose class holds a smaller doc_id; same columns.
+
+    Ids must tell documents apart: all rows of a kept id stay, and so do rows without an id.
+    """
+    (gone,) = free_names(docs, "gone")
+    dropped = similar_classes(docs, width, least, radius).where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")

@@ -14,7 +14,7 @@ per component of its links, not its pairs; stars meet in ``components``.
 Nulls and texts without a word have fingerprint zero and link like any other; a null doc_id belongs to
 its component but never names it, unless all ids there are null (component null). Repeated rows and
 ids share fingerprint and component. Very long texts are hashed in blocks. An empty table gives no
-rows. Other columns don't enter; ``near_dedup`` keeps them.
+rows. Other columns, whatever their names, don't enter.
 """
 
 from __future__ import annotations
@@ -28,16 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from tidemark.llm.bktree import CHUNK, BKForest, in_chunks, union, whole_groups
 from tidemark.llm.common import read_table, stage_table
 from tidemark.llm.components import components
-from tidemark.llm.jaccard import LEAST, WIDTH, similar_classes
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-CHUNK = 4096
-#: (query, node) pairs that are compared at a time.
-FRONTIER = 1 << 19
 BLOCK = 1 << 16
 
 
@@ -87,75 +84,6 @@ def shard_keys(fp: Column, m: int, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-class BKForest:
-    """BK-trees of several groups at once; nodes are numbered level by level."""
-
-    def __init__(self, group: np.ndarray, fps: np.ndarray):
-        """``group``: ascending group numbers; ``fps``: uint64, distinct within a group."""
-        item = np.arange(len(fps))
-        bucket = group.astype(np.int64)
-        nodes, keys, first = [], [], True
-        numbered = 0
-        while len(item):
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            sizes = np.diff(np.r_[starts, len(item)])
-            nodes.append(item[starts])
-            keys.append(np.full(len(starts), -1) if first else bucket[starts])
-            if first:
-                self.root_groups = bucket[starts]
-            parent = np.repeat(np.arange(numbered, numbered + len(starts)), sizes)
-            numbered += len(starts)
-            rest = np.ones(len(item), bool)
-            rest[starts] = False
-            at = np.repeat(item[starts], sizes)[rest]
-            item, parent = item[rest], parent[rest]
-            bucket = parent * 65 + np.bitwise_count(fps[item] ^ fps[at])
-            order = np.argsort(bucket, kind="stable")
-            item, bucket, first = item[order], bucket[order], False
-        self.item = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
-        self.edge = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        self.fp = fps[self.item]
-
-    def search(self, group: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, item) arrays of all links between the queries and the trees of their groups."""
-        root = np.searchsorted(self.root_groups, group)
-        have = (root < len(self.root_groups)) & (self.root_groups[np.minimum(root, len(self.root_groups) - 1)] == group)
-        query = np.flatnonzero(have)
-        stack = [(query[i : i + FRONTIER], root[query[i : i + FRONTIER]]) for i in range(0, len(query), FRONTIER)]
-        while stack:
-            q, node = stack.pop()
-            d = np.bitwise_count(fps[q] ^ self.fp[node]).astype(np.int64)
-            near = d <= radius
-            if near.any():
-                yield q[near], self.item[node[near]]
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.edge, node * 65 + np.minimum(d + radius, 64), "right")
-            n = high - low
-            ends = np.cumsum(n)
-            # Expand slice by slice, so that a dense tree doesn't blow up the frontier.
-            at = 0
-            while at < len(n):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + FRONTIER, "right")))
-                part = n[at:to]
-                if total := int(part.sum()):
-                    offset = np.repeat(low[at:to] - (np.cumsum(part) - part), part)
-                    stack.append((np.repeat(q[at:to], part), np.arange(total) + offset))
-                at = to
-
-
-def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the classes of a[i] and b[i] in ``label`` (each item's class root, roots point to themselves)."""
-    while True:
-        la, lb = label[a], label[b]
-        open_ = la != lb
-        if not open_.any():
-            return
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-        while (label != (up := label[label])).any():
-            label[:] = up
-
-
 def group_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (fp, smallest-indexed fp of its class) of sorted groups.
 
@@ -174,41 +102,18 @@ def group_links(group: np.ndarray, side: np.ndarray, fps: np.ndarray, radius: in
 def fingerprint_links(distinct: DataFrame, n: int, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) between the fingerprints of ``distinct`` (fp) that connect all within ``radius``."""
     keyed = distinct.select("fp", F.inline(shard_keys(F.col("fp"), block_count(n), radius)))
-    big = keyed.groupBy("shard", "key").count().where(F.col("count") > chunk)
-    big = stage_table(big.select(F.col("shard").alias("_shard"), F.col("key").alias("_key"), F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "simhash-big")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    meets = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
-            F.least(c, own).alias("low"), F.greatest(c, own).alias("high"), F.when(c == own, 0).when(own < c, 1).otherwise(2).alias("side")))
-    )
-    placed = keyed.join(big, (F.col("shard") == F.col("_shard")) & (F.col("key") == F.col("_key")), "left").select("shard", "key", "fp", F.inline(meets))
+    placed = in_chunks(keyed, ["shard", "key"], chunk)
     spread = placed.repartition("shard", "key", "low", "high").sortWithinPartitions("shard", "key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in _with_end(batches):
-            new = None if batch is None else np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "key", "low", "high", "side", "fp")])
-            rows = np.concatenate([*held, *([] if new is None else [new])], axis=1) if held or new is not None else None
-            if rows is None or not rows.shape[1]:
-                continue
-            changes = np.flatnonzero((rows[:4, 1:] != rows[:4, :-1]).any(axis=0)) + 1
-            cut = rows.shape[1] if batch is None else int(changes[-1]) if len(changes) else 0
-            held = [rows[:, cut:]] if cut < rows.shape[1] else []
-            if cut:
-                group = np.zeros(cut, np.int64)
-                group[changes[changes < cut]] = 1
-                a, b = group_links(np.cumsum(group), rows[4, :cut], np.ascontiguousarray(rows[5, :cut]).view(np.uint64), radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for group, rows in whole_groups(batches, ("shard", "key", "low", "high", "side", "fp"), 4):
+            a, b = group_links(group, rows[4], np.ascontiguousarray(rows[5]).view(np.uint64), radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     marked = stage_table(fingerprints(docs), "simhash")
@@ -221,16 +126,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
     return marked.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` without those whose class holds a smaller doc_id; same columns.
-
-    Classes are connected by a Jaccard similarity of ``least`` or more of shingles of ``width`` words.
-    Ids must tell documents apart: all rows of a kept id stay, and so do rows without an id.
-    """
-    gone = similar_classes(docs, width, least).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_classes(read_table(spark, folder, "documents"))
 

@@ -9,10 +9,11 @@ that the clause as a whole matches, its gravest, with a note whether a target co
 Scored are clauses, not words: a clause without a pattern is worth nothing. A matched clause has the weight
 of its pattern, so a negated or reported insult counts as the labels say, and the summed log-odds of its
 insults and threats. A document's score is the logistic function of what its matched clauses add up to: per
-pattern whether and how often it occurs, the gravest clause, the sum over clauses and the share of clauses
-that match.
+pattern whether and how often it occurs, the gravest clause, the sum over clauses, the share of clauses
+that match and the number of clauses.
 
-The lexicon is learned from the labels: the log-odds of a word, or of a 4 to 6 letter stem, between toxic
+The lexicon is learned from the labels: the log-odds of a word, or of a 4 to 6 letter stem
+with an ending of up to ``ENDING`` letters, between toxic
 and other training documents, added to a few fixed words of common speech. An entry is a threat if in half
 of its toxic documents or more a target follows it within two words, else an insult. The weights
 are fitted on the same rows. Training rows are those with crc32(doc_id) mod 4 other than 2, at
@@ -48,6 +49,8 @@ LEAST_ODDS = 2.0
 #: Least likelihood ratio (G) of an entry, so that a few chance occurrences in toxic texts don't make one.
 LEAST_G = 15.0
 STEMS = (4, 5, 6)
+#: Letters that an inflected word has after its stem at most.
+ENDING = 4
 SCOPE = 3
 THRESHOLD = 0.3
 KEYS_HELD = 400_000
@@ -168,14 +171,14 @@ class Scorer:
         self.weights = weights
         self.closed = {w: 4 for w in REPORTS} | {w: 3 for w in NEGATIONS} | {w: 2 for w in TARGETS} | {e: 6 for e in ENDS}
         self.seen: dict[str, tuple[int, float]] = {}
-        self.size = 2 * len(self.patterns) + 4
+        self.size = 2 * len(self.patterns) + 5
 
     def _classify(self, word: str) -> tuple[int, float]:
         """Class number and log-odds of a word."""
         if len(self.seen) > KEYS_HELD:
             self.seen.clear()
         found = [self.words[word]] if word in self.words else []
-        found += [self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems]
+        found += [self.stems[word[:n]] for n in STEMS if n < len(word) <= n + ENDING and word[:n] in self.stems]
         if found:
             odds, kind = max(found)
             out = (CLASSES.index(kind), odds)
@@ -204,7 +207,7 @@ class Scorer:
         return out, n
 
     def features(self, text: str | None) -> list[float]:
-        """Of the matched clauses: presence and log count of each pattern, odds of the gravest, log sum of odds, log share of clauses; then 1."""
+        """Of the matched clauses: presence and log count of each pattern, odds of the gravest, log sum of odds, log share and log number of clauses (of many, some match by chance); then 1."""
         out = [0.0] * self.size
         out[-1] = 1.0
         found, n = self.matches(text)
@@ -213,7 +216,7 @@ class Scorer:
         kinds = len(self.patterns)
         for pattern, times in Counter(p for p, _ in found).items():
             out[pattern], out[kinds + pattern] = 1.0, math.log1p(times)
-        out[-4:-1] = [max(o for _, o in found), math.log1p(sum(o for _, o in found)), math.log1p(1000 * len(found) / n)]
+        out[-5:-1] = [max(o for _, o in found), math.log1p(sum(o for _, o in found)), math.log1p(1000 * len(found) / n), math.log1p(n)]
         return out
 
     def score(self, text: str | None) -> float:
@@ -233,7 +236,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
 
 
 def _entries(word: str) -> list[str]:
-    return [word, *[f"^{word[:n]}" for n in STEMS if len(word) > n]]
+    return [word, *[f"^{word[:n]}" for n in STEMS if n < len(word) <= n + ENDING]]
 
 
 def lexicon_counts(train: DataFrame) -> DataFrame:
