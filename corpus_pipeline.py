@@ -1,7 +1,13 @@
 """From raw documents to training pieces: five stages, each one operator of tidemark.llm.
 
 Each stage takes (spark, docs, folder of the tables) and returns a DataFrame; all but the last keep the
-columns of documents. Between stages the rows are written as Parquet and read again.
+columns of documents, whatever else the table has. Between stages the rows are written as Parquet and read again.
+
+Nulls: a null or empty text fails the quality rules; the later stages take it as a text without words, which
+near-dedup holds for a copy of other such texts and the mix never takes. A null id is never dropped for a
+copy and never a reason to cut a passage. Null languages and sources are groups of their own. Repeated rows and
+ties: rows of one id stay or go together in near-dedup; the mix takes rows, not ids. Very long texts are
+processed whole. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from tidemark.llm.mixing import mix
 from tidemark.llm.phrases import phrase_dedup
 from tidemark.llm.pieces import MODEL, encode_texts, read_model
 from tidemark.llm.quality import quality_filter
-from tidemark.llm.simhash import near_dedup
+from tidemark.llm.jaccard import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality_filter(docs)
 
 
-def jaccard_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of each class connected by five-word Jaccard 0.8 or more."""
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest id of each class: SimHash candidates, linked at five-word Jaccard 0.8 or more."""
     return near_dedup(docs)
 
 
@@ -45,13 +51,13 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", jaccard_near_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
     ("substring dedup", substring_dedup),
     ("mixing sources", source_mixing),
     ("SentencePiece", sentencepiece),
 ]
 
-#: Near-duplicate classes and pieces have no SQL form; tests/llm/test_near_dedup.py compares the second stage with brute force.
+#: Near-duplicate classes and pieces have no SQL form; tests/llm/test_pipeline.py compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
