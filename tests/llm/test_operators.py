@@ -369,6 +369,15 @@ def test_webp_lanes_equal_single_images():
         assert all((webp.decode(f) == a).all() for f, a in zip(files, images, strict=True))
 
 
+def test_webp_images_written_together_equal_single_ones(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["", "a" * 40_000, "abcd" * 9_000, " ".join(f"x{i}" for i in range(30_000))]
+    arrays = [np.frombuffer(webp.payload_of(t)[0], "<u4").reshape(-1, 144) for t in texts]
+    files = webp.encode_all(arrays)
+    assert files == [webp.encode(a) for a in arrays]
+    assert all((x == a).all() for x, a in zip(webp.decode_all(files), arrays, strict=True))
+    assert webp.encode_all([]) == [] and webp.encode_all(arrays[:1]) == files[:1]
+
+
 def test_webp_documents(odd, empty):
     rows = webp.media_features(webp.media_table(odd)).collect()
     want = {(r.doc_id, hashlib.sha256(webp.payload_of(r.text)[0]).hexdigest()) for r in odd.collect()}

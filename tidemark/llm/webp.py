@@ -32,7 +32,9 @@ ROW = 144
 SIDE = 1 << 14
 LONGEST = 4096
 #: Images that are decoded together, and the number below which they are decoded one by one.
-DECODED_ROWS, DECODED_BYTES, LANES = 2048, 8 << 20, 12
+DECODED_ROWS, DECODED_BYTES, LANES = 1024, 8 << 20, 12
+#: Images that are encoded together, and the pixels beyond which one is encoded alone.
+TOGETHER, TOGETHER_PIXELS = 64, 1 << 14
 MOST_BITS = 15
 #: Longest code that is written: a pixel's four codes fit one 64-bit value.
 WRITTEN_BITS = 14
@@ -115,6 +117,15 @@ class PrefixTable:
             self.symbols, self.sizes = used[index], each[index]
         self._table: list[int] | None = None
 
+    @classmethod
+    def made(cls, symbols: np.ndarray, sizes: np.ndarray, last: int) -> "PrefixTable":
+        """A table whose entries are known."""
+        out = cls.__new__(cls)
+        out.symbols, out.sizes, out.last, out._table = symbols, sizes, last, None
+        out.mask = len(symbols) - 1
+        out.bits = out.mask.bit_length()
+        return out
+
     @classmethod
     def small(cls, lengths: list[int]) -> tuple[list[int], int]:
         """(table, mask) of a code of few symbols, without numpy's cost a call."""
@@ -226,22 +237,31 @@ class _Bits:
         return entry >> 4
 
 
-def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
-    """The next prefix code; codes with equal lengths share a table."""
-    lengths = [0] * size
+def _read_small(bits: _Bits, size: int) -> tuple[list[int], list[int] | None, int, int]:
+    """The start of a prefix code: (lengths, None, 0, 0) of a simple one, else the code-length code's table and mask, and how many of its symbols follow."""
     if bits.read(1):
+        lengths = [0] * size
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return PrefixTable(lengths)
+        return lengths, None, 0, 0
     own = [0] * len(LENGTH_ORDER)
-    for s in LENGTH_ORDER[: 4 + bits.read(4)]:
-        own[s] = bits.read(3)
+    n = 4 + bits.read(4)
+    word = bits.read(3 * n)
+    for s in LENGTH_ORDER[:n]:
+        own[s] = word & 7
+        word >>= 3
     table, mask = PrefixTable.small(own)
-    left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    return [], table, mask, 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+
+
+def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
+    """The next prefix code; codes with equal lengths share a table."""
+    lengths, table, mask, left = _read_small(bits, size)
+    if table is None:
+        return PrefixTable(lengths)
     previous = 8
-    lengths = []
     windows, at = bits.windows, bits.at
     while len(lengths) < size and left:
         left -= 1
@@ -271,6 +291,96 @@ def _read_code(bits: _Bits, size: int, made: dict) -> PrefixTable:
     return made[key]
 
 
+# By code-length symbol: bits that follow it, and the least number of lengths it stands for.
+_EXTRA = np.array([0] * 16 + [2, 3, 7])
+_REPEATS = np.array([1] * 16 + [3, 3, 11])
+
+
+def _read_codes(bits: list[_Bits], sizes: list[int], windows: np.ndarray, starts: np.ndarray) -> list[PrefixTable]:
+    """The next prefix code of each of many streams, a length of each at a time; ``starts``: where a stream begins in ``windows``, in bits."""
+    out: list[PrefixTable | None] = [None] * len(bits)
+    many, tables, offsets, masks, left = [], [], [], [], []
+    held = 0
+    for k, (stream, size) in enumerate(zip(bits, sizes, strict=True)):
+        lengths, table, mask, follow = _read_small(stream, size)
+        if table is None:
+            out[k] = PrefixTable(lengths)
+        else:
+            many.append(k)
+            tables += table
+            offsets.append(held)
+            masks.append(mask)
+            left.append(follow)
+            held += len(table)
+    if not many:
+        return out
+    lanes, table = np.array(many), np.array(tables)
+    offset, mask, left = np.array(offsets), np.array(masks), np.array(left)
+    size = np.array(sizes)[lanes]
+    pos = np.array([bits[k].at for k in many]) + starts[lanes]
+    at, previous = np.zeros(len(lanes), np.int64), np.full(len(lanes), 8)
+    grid = np.zeros((len(lanes), int(size.max())), np.int64)
+    live = np.arange(len(lanes))
+    place, base, low, room, ahead, wide = pos, offset, mask, size, left, at
+    ends = np.zeros(len(lanes), np.int64)
+    filled = np.zeros(len(lanes), np.int64)
+    while len(live):
+        word = (windows[place >> 3] >> (place & 7).astype(np.uint64)).astype(np.int64)
+        entry = table[base + (word & low)]
+        n, symbol = entry & 15, entry >> 4
+        extra = _EXTRA[symbol]
+        count = _REPEATS[symbol] + ((word >> n) & ((1 << extra) - 1))
+        plain = symbol < 16
+        if (wide + count > room).any():
+            raise ValueError("too many code lengths, or the bit stream ends early")
+        grid[live[plain], wide[plain]] = symbol[plain]
+        for i in np.flatnonzero(symbol == 16):
+            grid[live[i], wide[i] : wide[i] + count[i]] = previous[live[i]]
+        seen = plain & (symbol > 0)
+        previous[live[seen]] = symbol[seen]
+        place = place + n + extra
+        wide = wide + count
+        ahead = ahead - 1
+        over = (ahead == 0) | (wide >= room)
+        if over.any():
+            ends[live[over]], filled[live[over]] = place[over], wide[over]
+            stay = ~over
+            live, place, base, low, room, ahead, wide = (x[stay] for x in (live, place, base, low, room, ahead, wide))
+    for lane, k in enumerate(many):
+        bits[k].at = int(ends[lane] - starts[k])
+        if bits[k].at > bits[k].end:
+            raise ValueError("too many code lengths, or the bit stream ends early")
+    for k, made in zip(many, _tables(grid), strict=True):
+        out[k] = made
+    return out
+
+
+def _tables(grid: np.ndarray) -> list[PrefixTable]:
+    """A table for each row of code lengths."""
+    row, symbol = np.nonzero(grid)
+    length = grid[row, symbol]
+    order = np.argsort(row * 16 + length, kind="stable")
+    row, symbol, length = row[order], symbol[order], length[order]
+    used = np.bincount(row, minlength=len(grid))
+    share = np.bincount(row, weights=np.ldexp(1.0, MOST_BITS - length), minlength=len(grid))
+    if ((used != 1) & (share != 1 << MOST_BITS)).any():
+        raise ValueError("incomplete or oversubscribed prefix code")
+    last = len(grid[0]) - 1 - np.argmax(grid[:, ::-1] > 0, axis=1)
+    bits = np.where(used == 1, 0, grid.max(axis=1))
+    out: list[PrefixTable | None] = [None] * len(grid)
+    for n in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == n)
+        mine = bits[row] == n
+        each = length[mine] if n else np.zeros(int(mine.sum()), np.int64)
+        times = 1 << (n - each)
+        turn = _REVERSED[: 1 << n] >> (MOST_BITS - n)
+        symbols = np.repeat(symbol[mine], times).reshape(len(rows), 1 << n)[:, turn]
+        sizes = np.repeat(each, times).reshape(len(rows), 1 << n)[:, turn]
+        for i, k in enumerate(rows.tolist()):
+            out[k] = PrefixTable.made(symbols[i], sizes[i], int(last[k]))
+    return out
+
+
 def _read_group(bits: _Bits, size: int, made: dict) -> list[PrefixTable]:
     """The five codes of a group; a code that is stored with the bits of the one before is that code."""
     out: list[PrefixTable] = []
@@ -543,16 +653,14 @@ class _Open:
             else:
                 self.undo.append((kind, self.coded, 0, None))
 
-    def single_group(self) -> list[PrefixTable] | None:
-        """The prefix codes of a main image that has one group of them; else None, at its start."""
+    def single_group(self) -> bool:
+        """Whether the main image, which comes next, has one group of prefix codes; then they come next."""
         start = self.bits.at
         self.cache_bits = self.bits.read(4) if self.bits.read(1) else 0
         if self.cache_bits <= 11 and not self.bits.read(1):
-            group = _read_group(self.bits, _green_size(self.cache_bits), {})
-            if sum(c.bits for c in group[:4]) <= 57:
-                return group
+            return True
         self.bits.at = start
-        return None
+        return False
 
     def pixels(self, pixels: np.ndarray) -> np.ndarray:
         for kind, wide, tile, side in reversed(self.undo):
@@ -576,22 +684,46 @@ def decode(data: bytes) -> np.ndarray:
 def decode_all(files: list[bytes]) -> list[np.ndarray]:
     """``decode`` of several files; images with one group of codes advance together, a pixel of each at a time."""
     images = [_Open(f) for f in files]
-    codes = [x.single_group() for x in images]
-    out: list[np.ndarray | None] = [None if g else x.pixels(_read_image(x.bits, x.coded, x.height, True)) for x, g in zip(images, codes, strict=True)]
-    lanes = [k for k, g in enumerate(codes) if g]
+    lanes = [k for k, x in enumerate(images) if x.single_group()]
+    out: list[np.ndarray | None] = [None] * len(images)
+    for k in set(range(len(images))) - set(lanes):
+        x = images[k]
+        out[k] = x.pixels(_read_image(x.bits, x.coded, x.height, True))
     if lanes:
-        for k, flat in zip(lanes, _read_together([images[k] for k in lanes], [codes[k] for k in lanes]), strict=True):
+        for k, flat in zip(lanes, _read_together([images[k] for k in lanes]), strict=True):
             out[k] = images[k].pixels(flat)
     return out
 
 
-def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[np.ndarray]:
+def _read_groups(images: list[_Open], windows: np.ndarray, starts: np.ndarray) -> list[list[PrefixTable]]:
+    """The five prefix codes of each image; a sample's code that is stored with the bits of the one before is that code."""
+    groups: list[list[PrefixTable]] = [[] for _ in images]
+    stored = [(0, 0)] * len(images)
+    for n in (0, 256, 256, 256, 40):
+        read = []
+        for k, image in enumerate(images):
+            bits, (value, width) = image.bits, stored[k]
+            if n == 256 and width and bits.peek(bits.at, width) == value and groups[k][-1].last < 256:
+                bits.at += width
+                groups[k].append(groups[k][-1])
+            else:
+                read.append((k, bits.at))
+        codes = _read_codes([images[k].bits for k, _ in read], [n or _green_size(images[k].cache_bits) for k, _ in read], windows, starts[[k for k, _ in read]])
+        for (k, start), code in zip(read, codes, strict=True):
+            groups[k].append(code)
+            width = images[k].bits.at - start
+            stored[k] = (images[k].bits.peek(start, width), width)
+    return groups
+
+
+def _read_together(images: list[_Open]) -> list[np.ndarray]:
     """The main images, each with its prefix codes and colour cache (one entry that is never read where it has none)."""
     totals = np.array([x.coded * x.height for x in images])
     base = np.cumsum(totals) - totals
     raw = b"".join(x.bits.data + bytes(64) for x in images)
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 8).copy().view("<u8").ravel()
     starts = 8 * np.cumsum([0] + [len(x.bits.data) + 64 for x in images[:-1]])
+    codes = _read_groups(images, windows, starts)
     bit = np.array([x.bits.at for x in images]) + starts
     tables, offsets, place, size = [], np.zeros((4, len(images)), np.int64), {}, 0
     masks = np.array([[c.mask for c in g[:4]] for g in codes], np.uint64).T.copy()
@@ -610,7 +742,9 @@ def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[
     cache, first_slot = np.zeros(int(slots.sum()), np.uint32), np.cumsum(slots) - slots
     drop = np.array([32 - x.cache_bits for x in images], np.uint64)
     low, sample_end, copy_end, factor = np.uint64(63), 1 << 22, 280 << 14, np.uint32(CACHE_FACTOR)
-    live = np.arange(len(images))
+    # A pixel's four codes must fit the 57 bits that are left of a word at any bit.
+    fits = np.array([sum(c.bits for c in g[:4]) <= 57 for g in codes])
+    live = np.flatnonzero(fits)
     while True:
         live = live[done[live] < totals[live]]
         if len(live) < LANES:
@@ -668,12 +802,13 @@ def _read_together(images: list[_Open], codes: list[list[PrefixTable]]) -> list[
             cache[first_slot[lane] + ((piece * factor).astype(np.uint64) >> drop[lane]).astype(np.int64)] = piece
             done[lane] += length
             bit[lane] = image.bits.at + starts[lane]
-    for lane in live.tolist():
+    alone = {*live.tolist(), *np.flatnonzero(~fits).tolist()}
+    for lane in sorted(alone):
         image = images[lane]
         image.bits.at = int(bit[lane] - starts[lane])
         have = out[base[lane] : base[lane] + done[lane]].tolist()
         out[base[lane] : base[lane] + totals[lane]] = _read_pixels(image.bits, image.coded, int(totals[lane]), [codes[lane]], image.cache_bits, have)
-    over = [x.bits.at if k in set(live.tolist()) else int(bit[k] - starts[k]) for k, x in enumerate(images)]
+    over = [x.bits.at if k in alone else int(bit[k] - starts[k]) for k, x in enumerate(images)]
     if any(n > x.bits.end for n, x in zip(over, images, strict=True)):
         raise ValueError("the bit stream ends early")
     return np.split(out, base[1:])
@@ -707,16 +842,26 @@ class _Writer:
 
     def bytes(self) -> bytes:
         self._settle()
-        values, sizes = np.concatenate(self.values).astype(np.uint64), np.concatenate(self.sizes)
-        ends = np.cumsum(sizes)
-        at = ends - sizes
-        word, low = at >> 6, (at & 63).astype(np.uint64)
-        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        # Values fill a word without overlap, so their sum is their union; the high bits of one may go to the next word.
-        out[word[first]] = np.add.reduceat(values << low, first)
-        out[word[first] + 1] += np.add.reduceat(values >> np.uint64(1) >> (np.uint64(63) - low), first)
-        return out.astype("<u8").tobytes()[: (int(ends[-1]) + 7) // 8]
+        return _packed(np.concatenate(self.values), np.concatenate(self.sizes), [0])[0]
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray, first: list[int]) -> list[bytes]:
+    """The values' bits, least bit first, as one string of bytes for each run of values that begins at ``first``."""
+    values, first = values.astype(np.uint64), np.array(first)
+    ends = np.cumsum(sizes)
+    begin = ends[first] - sizes[first]
+    bits = np.diff(np.r_[begin, ends[-1]])
+    words = (bits >> 6) + 2
+    base = np.cumsum(words) - words
+    at = ends - sizes + np.repeat(64 * base - begin, np.diff(np.r_[first, len(values)]))
+    word, low = at >> 6, (at & 63).astype(np.uint64)
+    out = np.zeros(int(words.sum()), np.uint64)
+    turn = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    # Values fill a word without overlap, so their sum is their union; the high bits of one may go to the next word.
+    out[word[turn]] = np.add.reduceat(values << low, turn)
+    out[word[turn] + 1] += np.add.reduceat(values >> np.uint64(1) >> (np.uint64(63) - low), turn)
+    raw = out.astype("<u8").tobytes()
+    return [raw[8 * w : 8 * w + (n + 7) // 8] for w, n in zip(base.tolist(), bits.tolist(), strict=True)]
 
 
 def _split_value(value: int) -> tuple[int, int, int]:
@@ -728,44 +873,80 @@ def _split_value(value: int) -> tuple[int, int, int]:
     return 2 * extra + 2 + ((v >> extra) & 1), extra, v & ((1 << extra) - 1)
 
 
-def _runs(lengths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lengths up to the last used symbol as code-length symbols, with the extra bits of runs of zeros and their number."""
-    gaps = np.diff(used, prepend=-1) - 1
+def _runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of code lengths, up to each one's last used symbol: row, code-length symbol, extra bits of runs of zeros and their number."""
+    row, used = np.nonzero(grid)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    gaps = np.diff(used, prepend=0) - 1
+    gaps[start] = used[start]
     # Gaps over 138 take several runs of zeros; each but the last is a run of 138 before the same symbol.
     many = np.maximum(0, gaps - 1) // 138
     rest = gaps - 138 * many
     last = np.where(rest < 3, rest, 1)
     ends = np.cumsum(many + last + 1) - 1
     symbols, extra, width = (np.zeros(int(ends[-1]) + 1, np.int64) for _ in range(3))
-    symbols[ends] = lengths[used]
+    symbols[ends] = grid[row, used]
     for k in np.flatnonzero(many).tolist():
         at = int(ends[k] - last[k] - many[k])
         symbols[at : at + many[k]], extra[at : at + many[k]], width[at : at + many[k]] = 18, 127, 7
-    short, long = (rest >= 3) & (rest < 11), rest >= 11
-    for chosen, symbol, least, bits in ((short, 17, 3, 3), (long, 18, 11, 7)):
+    for chosen, symbol, least, bits in (((rest >= 3) & (rest < 11), 17, 3, 3), (rest >= 11, 18, 11, 7)):
         at = ends[chosen] - 1
         symbols[at], extra[at], width[at] = symbol, rest[chosen] - least, bits
-    return symbols, extra, width
+    return np.repeat(row, many + last + 1), symbols, extra, width
+
+
+def _code_bits(lengths: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Prefix codes as values and numbers of bits."""
+    out: list[tuple | None] = [None] * len(lengths)
+    normal = []
+    for k, own in enumerate(lengths):
+        n = len(own) - own.count(0)
+        used = [s for s, x in enumerate(own) if x] if n <= 2 else None
+        if used is not None and (not used or used[-1] < 256):
+            pairs = [(1, 1), (int(n > 1), 1), (1, 1), (used[0] if used else 0, 8)] + ([(used[1], 8)] if n > 1 else [])
+            out[k] = tuple(np.array(pairs, np.int64).T)
+        else:
+            normal.append(k)
+    if not normal:
+        return out
+    grid = np.zeros((len(normal), max(len(lengths[k]) for k in normal)), np.int64)
+    for i, k in enumerate(normal):
+        grid[i, : len(lengths[k])] = lengths[k]
+    row, symbols, extra, width = _runs(grid)
+    counts = np.bincount(row * 19 + symbols, minlength=19 * len(normal)).reshape(-1, 19)
+    own = [code_lengths(c, 7) for c in counts]
+    sizes = np.array(own)
+    codes = _canonical(sizes)
+    sizes[(sizes > 0).sum(axis=1) == 1] = 0
+    each = sizes[row, symbols]
+    values, bits = codes[row, symbols] | extra << each, each + width
+    ends = np.cumsum(np.bincount(row, minlength=len(normal))).tolist()
+    for i, k in enumerate(normal):
+        at, end = ends[i - 1] if i else 0, ends[i]
+        kept = max(4, max(j for j, s in enumerate(LENGTH_ORDER) if own[i][s]) + 1)
+        # The number of runs is stored, so the zeros after the last symbol are not, whatever the alphabet's size.
+        most = end - at - 2
+        wide = max(1, (most.bit_length() + 1) // 2)
+        stored = 0
+        for j, s in enumerate(LENGTH_ORDER[:kept]):
+            stored |= own[i][s] << 3 * j
+        head = np.array([(kept - 4) << 1, stored, 1 | (wide - 1) << 1, most])
+        out[k] = (np.concatenate([head, values[at:end]]), np.concatenate([[5, 3 * kept, 4, 2 * wide], bits[at:end]]))
+    return out
 
 
-def _code_bits(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """A prefix code as values and numbers of bits."""
-    all_ = np.array(lengths, np.int64)
-    used = np.flatnonzero(all_)
-    if len(used) <= 2 and (not len(used) or used[-1] < 256):
-        first = int(used[0]) if len(used) else 0
-        pairs = [(1, 1), (int(len(used) > 1), 1), (1, 1), (first, 8)] + ([(int(used[1]), 8)] if len(used) > 1 else [])
-        return tuple(np.array(pairs, np.int64).T)
-    symbols, extra, width = _runs(all_, used)
-    own = code_lengths(np.bincount(symbols, minlength=19), 7)
-    kept = max(4, max(k for k, s in enumerate(LENGTH_ORDER) if own[s]) + 1)
-    # The number of runs is stored, so the zeros after the last symbol are not, whatever the alphabet's size.
-    most = len(symbols) - 2
-    wide = max(1, (most.bit_length() + 1) // 2)
-    head = np.array([(0, 1), (kept - 4, 4), *[(own[s], 3) for s in LENGTH_ORDER[:kept]], (1, 1), (wide - 1, 3), (most, 2 * wide)], np.int64)
-    sizes = np.array(own) if sum(1 for n in own if n) > 1 else np.zeros(19, np.int64)
-    each = sizes[symbols]
-    return np.concatenate([head[:, 0], canonical(own)[symbols] | extra << each]), np.concatenate([head[:, 1], each + width])
+def _canonical(grid: np.ndarray) -> np.ndarray:
+    """``canonical`` of each row of code lengths."""
+    row, symbol = np.nonzero(grid)
+    length = grid[row, symbol]
+    order = np.argsort(row * 16 + length, kind="stable")
+    row, symbol, share = row[order], symbol[order], 1 << (MOST_BITS - length[order])
+    before = np.cumsum(share) - share
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    before -= np.repeat(before[first], np.diff(np.r_[first, len(row)]))
+    out = np.zeros_like(grid)
+    out[row, symbol] = _REVERSED[before]
+    return out
 
 
 @lru_cache(64)
@@ -793,8 +974,14 @@ def _copies(pixels: np.ndarray, least: int = 4) -> list[tuple[int, int, int]]:
         return []
     before = np.full(len(key), -1)
     before[order[same + 1]] = order[same]
+    return _greedy(pixels, np.flatnonzero(before >= 0).tolist(), before, least)
+
+
+def _greedy(pixels: np.ndarray, places: list[int], before: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Copies at the places, each as long as it goes, from the places before."""
+    n = len(pixels)
     out, free = [], 0
-    for at in np.flatnonzero(before >= 0).tolist():
+    for at in places:
         if at < free:
             continue
         old = int(before[at])
@@ -857,11 +1044,8 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
     plain = not found and not cache_bits
     kinds = [np.bincount(c.ravel(), minlength=256)] if plain else [np.bincount(green[keep], minlength=size), np.bincount(c[literal][:, [2, 0, 3]].ravel(), minlength=256)]
     kinds.append(np.bincount([e[2] for e in extras], minlength=40) if extras else np.zeros(40, np.int64))
-    made = []
-    for counts in kinds:
-        lengths = code_lengths(counts, WRITTEN_BITS)
-        single = lengths.count(0) == len(lengths) - 1
-        made.append((canonical(lengths), np.array(lengths, np.int64) * (not single), _code_bits(lengths)))
+    lengths = [code_lengths(counts, WRITTEN_BITS) for counts in kinds]
+    made = [(canonical(x), np.array(x, np.int64) * (x.count(0) != len(x) - 1), bits) for x, bits in zip(lengths, _code_bits(lengths), strict=True)]
     if plain:
         made.insert(0, made[0])
     tables = [made[0], made[1], made[1], made[1], made[2]]
@@ -883,47 +1067,70 @@ def _write_image(out: _Writer, pixels: np.ndarray, width: int, main: bool, cache
     out.put_all(values[keep], sizes[keep])
 
 
-def _cost(samples: np.ndarray) -> float:
-    """Bits of the samples under a prefix code of their own (their entropy)."""
-    n = np.bincount(samples.ravel(), minlength=256)
-    n = n[n > 0]
-    return float(n.sum() * np.log2(n.sum()) - (n * np.log2(n)).sum())
+def _costs(owner: np.ndarray, samples: np.ndarray, images: int) -> np.ndarray:
+    """Bits of each image's samples under a prefix code of their own (their entropy)."""
+    n = np.bincount(((owner << 8)[:, None] + samples).ravel(), minlength=256 * images).reshape(images, 256).astype(np.float64)
+    total = n.sum(axis=1)
+    return total * np.log2(np.maximum(total, 1)) - (n * np.log2(np.maximum(n, 1))).sum(axis=1)
 
 
-def paying_transforms(flat: np.ndarray, width: int, height: int, tile: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-    """(transform, its side image) for what makes the samples cheaper to code by more than ``PAYS``, and the pixels after it.
+def transform_gains(flat: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of images of one width, one after the other (``counts``: their pixels): predictor mode that pays (0: none), and (red, blue) slopes on green that pay (0: none).
 
-    Predictors tried are the left and the top pixel; cross-colour factors come from the slopes of red and
-    blue on green.
+    A transform pays if it saves the samples more than ``PAYS`` bits a tile and 64 bits. Predictors tried are
+    the left and the top pixel; cross-colour factors come from the slopes of red and blue on green.
     """
-    tiles = _up(width, tile) * _up(height, tile)
+    images = len(counts)
+    owner = np.repeat(np.arange(images), counts)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+    c = _channels(flat)
+    cost = _costs(owner, c, images)
+    least = PAYS * _up(width, AUTO_TILE) * ((counts // width + (1 << AUTO_TILE) - 1) >> AUTO_TILE) + 64
+    mode, best = np.zeros(images, np.int64), cost - least
+    for k, back, at in ((1, 1, np.flatnonzero(place % width)), (2, width, np.flatnonzero(place >= width))):
+        n = np.bincount(owner[at], minlength=images)
+        guessed = np.where(n > 0, _costs(owner[at], c[at] - c[at - back], images) * counts / np.maximum(n, 1), np.inf)
+        mode[guessed < best] = k
+        best = np.minimum(best, guessed)
+    signed = c.view(np.int8).astype(np.int64)
+    first = np.cumsum(counts) - counts
+    total = lambda x: np.add.reduceat(x, first).astype(np.float64)
+    blue, green, red = signed[:, 0], signed[:, 1], signed[:, 2]
+    spread = total(green * green) - total(green) ** 2 / counts
+    slopes = np.zeros((images, 2), np.int64)
+    saved = np.zeros(images)
+    for k, other in enumerate((red, blue)):
+        both = total(green * other) - total(green) * total(other) / counts
+        own = total(other * other) - total(other) ** 2 / counts
+        some = (spread > 0.5) & (own > 0.5)
+        slopes[some, k] = np.clip(np.rint(32 * both[some] / spread[some]), -127, 127)
+        # What the correlation is worth if both were normal; only if that pays is it tried.
+        saved[some] -= counts[some] / 2 * np.log2(np.maximum(1e-9, 1 - both[some] ** 2 / (spread[some] * own[some])))
+    slopes[saved <= least] = 0
+    tried = slopes.any(axis=1)[owner]
+    if tried.any():
+        # Red and blue share a code, so they are counted together.
+        who, rb, g = owner[tried], c[tried][:, [2, 0]], green[tried]
+        turned = (rb - (slopes[who] * g[:, None] >> 5).astype(np.uint8)).astype(np.uint8)
+        slopes[_costs(who, rb, images) - _costs(who, turned, images) <= least] = 0
+    return mode, slopes
+
+
+def paying_transforms(flat: np.ndarray, width: int, height: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """(transform, its side image) for what pays, and the pixels after it."""
+    tiles = _up(width, AUTO_TILE) * _up(height, AUTO_TILE)
+    counts = np.array([len(flat)])
     used: list[tuple[int, np.ndarray]] = []
-    c = _channels(flat).reshape(height, width, 4)
-    cost = _cost(c)
-    guesses = [(k, _cost(d) * (c.size / d.size)) for k, d in ((1, c[:, 1:] - c[:, :-1]), (2, c[1:] - c[:-1])) if d.size]
-    mode, guessed = min(guesses, key=lambda x: x[1], default=(0, cost))
-    if cost - guessed > PAYS * tiles + 64:
-        side = np.full(tiles, mode << 8 | 0xFF000000, np.uint32)
+    (mode,), (slopes,) = transform_gains(flat, counts, width)
+    if mode:
+        side = np.full(tiles, int(mode) << 8 | 0xFF000000, np.uint32)
         used.append((PREDICTOR, side))
-        flat = _residuals(flat, width, height, (side >> 8) & 255, tile)
-    signed = _channels(flat).view(np.int8).astype(np.float32)
-    signed -= signed.mean(axis=0)
-    green, spread = signed[:, 1], float((signed[:, 1] ** 2).sum())
-    slope, saved = [0, 0], 0.0
-    for k, channel in enumerate((2, 0)):
-        other = signed[:, channel]
-        both, own = float((green * other).sum()), float((other * other).sum())
-        if both:
-            slope[k] = int(np.clip(round(32 * both / spread), -127, 127))
-            # What the correlation is worth if both were normal; only if that pays is it tried.
-            saved -= len(green) / 2 * np.log2(max(1e-9, 1 - both * both / (spread * own)))
-    if any(slope) and saved > PAYS * tiles + 64:
-        side = np.full(tiles, 0xFF000000 | (slope[1] & 255) << 8 | slope[0] & 255, np.uint32)
-        turned = _cross_colour(flat, width, height, side, tile, True)
-        # Red and blue share a code, so they are counted together.
-        if _cost(_channels(flat)[:, ::2]) - _cost(_channels(turned)[:, ::2]) > PAYS * tiles + 64:
-            used.append((CROSS_COLOUR, side))
-            flat = turned
+        flat = _residuals(flat, width, height, (side >> 8) & 255, AUTO_TILE)
+        _, (slopes,) = transform_gains(flat, counts, width)
+    if slopes.any():
+        side = np.full(tiles, 0xFF000000 | (int(slopes[1]) & 255) << 8 | int(slopes[0]) & 255, np.uint32)
+        used.append((CROSS_COLOUR, side))
+        flat = _cross_colour(flat, width, height, side, AUTO_TILE, True)
     return used, flat
 
 
@@ -956,7 +1163,7 @@ def encode(pixels: np.ndarray, transforms: tuple | None = None, cache_bits: int
         packed = (padded.reshape(height, wide, 1 << packing) << (np.arange(1 << packing) * (8 >> packing))).sum(axis=2)
         flat, width = (packed.ravel() << 8 | 0xFF000000).astype(np.uint32), wide
     if transforms is None:
-        sides, flat = paying_transforms(flat, width, height, AUTO_TILE) if wide is None else ([], flat)
+        sides, flat = paying_transforms(flat, width, height) if wide is None else ([], flat)
         for kind, side in sides:
             out.loose += [(1, 1), (kind, 2), (AUTO_TILE - 2, 3)]
             _write_image(out, side, _up(width, AUTO_TILE), False)
@@ -979,11 +1186,157 @@ def encode(pixels: np.ndarray, transforms: tuple | None = None, cache_bits: int
         cache = _cache_hits(flat, AUTO_CACHE)
         cache_bits = AUTO_CACHE if 8 * np.count_nonzero(cache[1]) >= len(flat) else 0
     _write_image(out, flat, width, True, cache_bits, copies, cache)
-    data = out.bytes()
+    return _riff(out.bytes())
+
+
+def _riff(data: bytes) -> bytes:
     data += b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
 
 
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """``encode`` of several images; those of one width that need neither palette nor transform are written together."""
+    out: list[bytes | None] = [None] * len(images)
+    widths = [x.shape[1] for x in images]
+    for width in set(widths):
+        block: list[int] = []
+        for k in [*(k for k, w in enumerate(widths) if w == width), None]:
+            if k is None or len(block) == TOGETHER or images[k].size > TOGETHER_PIXELS:
+                for i, made in zip(block, _encode_block([images[i].ravel().astype(np.uint32) for i in block], width), strict=True):
+                    out[i] = made or encode(images[i])
+                block = []
+            if k is not None:
+                if images[k].size > TOGETHER_PIXELS:
+                    out[k] = encode(images[k])
+                else:
+                    block.append(k)
+    return out
+
+
+def _encode_block(flats: list[np.ndarray], width: int) -> list[bytes | None]:
+    """The files of images of one width; None for those that need a palette or a transform."""
+    if not flats:
+        return []
+    done: list[bytes | None] = [None] * len(flats)
+    counts = np.array([len(x) for x in flats])
+    owner = np.repeat(np.arange(len(flats)), counts)
+    flat = np.concatenate(flats)
+    mixed = np.sort(owner.astype(np.uint64) << np.uint64(32) | flat)
+    colours = np.bincount((mixed[np.r_[True, mixed[1:] != mixed[:-1]]] >> np.uint64(32)).astype(np.int64), minlength=len(flats))
+    mode, slopes = transform_gains(flat, counts, width)
+    usual = ~((colours <= 256) & (4 * colours <= counts)) & (mode == 0) & ~slopes.any(axis=1)
+    which = np.flatnonzero(usual)
+    if len(which):
+        for k, data in zip(which.tolist(), _write_usual([flats[k] for k in which.tolist()], width), strict=True):
+            done[k] = _riff(data)
+    return done
+
+
+def _write_usual(flats: list[np.ndarray], width: int) -> list[bytes]:
+    """The bit streams of images without transforms."""
+    images = len(flats)
+    counts = np.array([len(x) for x in flats])
+    first = np.cumsum(counts) - counts
+    owner, flat = np.repeat(np.arange(images), counts), np.concatenate(flats)
+    # Colour cache, where one pixel in eight hits it.
+    slot = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - AUTO_CACHE)).astype(np.int64)
+    order = np.argsort((owner << AUTO_CACHE | slot).astype(np.uint16), kind="stable")
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:]] = (flat[order[1:]] == flat[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    cached = 8 * np.bincount(owner[hit], minlength=images) >= counts
+    hit &= cached[owner]
+    found, starts = _copies_of_all(flat, owner, flats, first)
+    keep = np.ones(len(flat), bool)
+    c = _channels(flat).astype(np.int64)
+    green = c[:, 1].copy()
+    green[hit] = 280 + slot[hit]
+    literal = ~hit
+    extras = np.zeros((len(starts), 5), np.int64)
+    near = _near_codes(width)
+    for i, (at, length, distance) in enumerate(found):
+        keep[at + 1 : at + length] = False
+        code, size, extra = _split_value(length)
+        far_code, far_size, far_extra = _split_value(near.get(distance, distance + 120))
+        extras[i] = (size, extra, far_code, far_size, far_extra)
+        green[at] = 256 + code
+    literal[starts] = False
+    literal &= keep
+    # As in _write_image: one code for red, blue and alpha, and for green too if it codes samples only.
+    alphabet = _green_size(AUTO_CACHE)
+    of_green = np.bincount(owner[keep] * alphabet + green[keep], minlength=images * alphabet).reshape(images, -1)
+    of_rest = np.bincount(((owner[literal] << 8)[:, None] + c[literal][:, [2, 0, 3]]).ravel(), minlength=images << 8).reshape(images, -1)
+    of_far = np.bincount(owner[starts] * 40 + extras[:, 2], minlength=images * 40).reshape(images, -1)
+    plain = ~cached & (np.bincount(owner[starts], minlength=images) == 0)
+    lengths: list[list[int]] = []
+    for k in range(images):
+        if plain[k]:
+            both = code_lengths(of_green[k, :256] + of_rest[k], WRITTEN_BITS)
+            lengths += [both, both]
+        else:
+            lengths += [code_lengths(of_green[k, : _green_size(AUTO_CACHE if cached[k] else 0)], WRITTEN_BITS), code_lengths(of_rest[k], WRITTEN_BITS)]
+        lengths.append(code_lengths(of_far[k], WRITTEN_BITS))
+    written = _code_bits(lengths)
+    grid = np.zeros((len(lengths), alphabet), np.int64)
+    for i, x in enumerate(lengths):
+        grid[i, : len(x)] = x
+    codes = _canonical(grid)
+    grid[(grid > 0).sum(axis=1) == 1] = 0
+    row = 3 * owner
+    values, sizes = codes[row, green], grid[row, green]
+    lit = np.flatnonzero(literal)
+    row = row[lit] + 1
+    lit_values, lit_sizes = values[lit], sizes[lit]
+    for k in (2, 0, 3):
+        sample = c[lit, k]
+        lit_values |= codes[row, sample] << lit_sizes
+        lit_sizes += grid[row, sample]
+    values[lit], sizes[lit] = lit_values, lit_sizes
+    # Length bits, distance code and distance bits follow the length symbol.
+    far = 3 * owner[starts] + 2
+    for value, size in ((extras[:, 1], extras[:, 0]), (codes[far, extras[:, 2]], grid[far, extras[:, 2]]), (extras[:, 4], extras[:, 3])):
+        values[starts] |= value << sizes[starts]
+        sizes[starts] += size
+    values, sizes = values[keep], sizes[keep]
+    ends = np.cumsum(np.bincount(owner[keep], minlength=images)).tolist()
+    parts: list[np.ndarray] = []
+    widths: list[np.ndarray] = []
+    begins, total = [], 0
+    for k in range(images):
+        head = (0x2F | (width - 1) << 8 | (len(flats[k]) // width - 1) << 22 | 1 << 36, int(cached[k]) | (AUTO_CACHE << 1 if cached[k] else 0))
+        at, end = ends[k - 1] if k else 0, ends[k]
+        own = written[3 * k : 3 * k + 3]
+        parts += [np.array(head), *[own[i][0] for i in (0, 1, 1, 1, 2)], values[at:end]]
+        # Signature, size, alpha, version and the end of transforms; then cache, and no groups.
+        widths += [np.array((41, 6 if cached[k] else 2)), *[own[i][1] for i in (0, 1, 1, 1, 2)], sizes[at:end]]
+        begins.append(total)
+        total += sum(len(x) for x in parts[-7:])
+    return _packed(np.concatenate(parts), np.concatenate(widths), begins)
+
+
+def _copies_of_all(flat: np.ndarray, owner: np.ndarray, flats: list[np.ndarray], first: np.ndarray, least: int = 4) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """``_copies`` of each image, with starts in the whole block."""
+    n = len(flat) - least + 1
+    p = flat.astype(np.uint64)
+    key = np.zeros(max(n, 0), np.uint64)
+    for k in range(least):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + p[k : n + k]
+    inside = owner[: max(n, 0)] == owner[least - 1 :]
+    # Image, hash and place in one number: equal windows of an image lie side by side in order.
+    mixed = np.sort(owner[: len(key)][inside].astype(np.uint64) << np.uint64(56) | key[inside] >> np.uint64(28) << np.uint64(20) | np.flatnonzero(inside).astype(np.uint64))
+    same = np.flatnonzero(mixed[1:] >> np.uint64(20) == mixed[:-1] >> np.uint64(20))
+    place = (mixed & np.uint64((1 << 20) - 1)).astype(np.int64)
+    before = np.full(len(flat), -1)
+    before[place[same + 1]] = place[same]
+    at = np.flatnonzero(before >= 0)
+    cuts = np.searchsorted(at, first)
+    found: list[tuple[int, int, int]] = []
+    for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(at)], strict=True)):
+        if a < b:
+            base = int(first[k])
+            found += [(s + base, length, distance) for s, length, distance in _greedy(flats[k], (at[a:b] - base).tolist(), before[base : base + len(flats[k])] - base, least)]
+    return found, np.array([f[0] for f in found], np.int64)
+
+
 # ---------------------------------------------------------------- documents
 
 
@@ -994,16 +1347,25 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * fill, len(raw)
 
 
+def store_all(payloads: list[bytes]) -> list[bytes]:
+    """The WebP file of each payload."""
+    pixels = []
+    for payload in payloads:
+        rows = len(payload) // UNIT
+        wide = -(-rows // SIDE)
+        height = -(-rows // wide)
+        pixels.append(np.frombuffer(payload + bytes((wide * height - rows) * UNIT), "<u4").reshape(height, wide * ROW))
+    out = []
+    for payload, array, image in zip(payloads, pixels, encode_all(pixels), strict=True):
+        if 4 * array.size != len(payload):
+            tail = b"size" + struct.pack("<IQ", 8, len(payload))
+            image = image[:4] + struct.pack("<I", len(image) - 8 + len(tail)) + image[8:] + tail
+        out.append(image)
+    return out
+
+
 def store(payload: bytes) -> bytes:
-    rows = len(payload) // UNIT
-    wide = -(-rows // SIDE)
-    height = -(-rows // wide)
-    pixels = np.frombuffer(payload + bytes((wide * height - rows) * UNIT), "<u4").reshape(height, wide * ROW)
-    image = encode(pixels)
-    if wide * height == rows:
-        return image
-    tail = b"size" + struct.pack("<IQ", 8, len(payload))
-    return image[:4] + struct.pack("<I", len(image) - 8 + len(tail)) + image[8:] + tail
+    return store_all([payload])[0]
 
 
 def load_all(stored: list[bytes]) -> list[tuple[np.ndarray, bytes]]:
@@ -1045,10 +1407,10 @@ def media_table(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
                 made = [payload_of(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array([store(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([n for _, n in made], pa.int64()), pa.array(store_all([p for p, _ in made]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
