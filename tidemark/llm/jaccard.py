@@ -93,7 +93,7 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, sid (id of its set of shingles), fp, n (size), grams and the first of them (null without a word) of every row."""
+    """doc_id, sid (id of its set of shingles), fp, n (size) and the first shingles in the order (null without a word) of every row."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,20 +108,38 @@ def shingled(docs: DataFrame, width: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()), pa.array([_set_id(g) for g in own], pa.int64()), pa.array([set_fingerprint(g) for g in own], pa.int64()),
-                    pa.array([len(g) for g in own], pa.int64()), pa.array(own, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())),
+                    pa.array([len(g) for g in own], pa.int64()), pa.array(first, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "sid", "fp", "n", "grams", "first"],
+                ["doc_id", "sid", "fp", "n", "first"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, fp long, n long, grams array<long>, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, fp long, n long, first array<long>")
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) with a Jaccard similarity of ``least`` or more."""
+def sets_of(asked: DataFrame, docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """sid and grams of the sets in ``asked`` (sid), from one document of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches, 0):
+            own = [shingles(t, width) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(g) for g in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["sid", "grams"])
+
+    wanted = marks.join(asked, "sid", "left_semi").select(F.col("first_doc").alias("_doc"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
+    # Rows of one id, or without one, may bring other sets along.
+    return texts.mapInArrow(run, "sid long, grams array<long>").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, least: float) -> DataFrame:
+    """Staged: the pairs (a, b) with a Jaccard similarity of ``least`` or more."""
+    asked = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-asked")
+    known = stage_table(sets_of(asked, docs, marks, width), "near-sets")
     left, right = known.select(F.col("sid").alias("a"), F.col("grams").alias("x")), known.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return sized.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - EPS).select("a", "b")
+    out = stage_table(sized.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - EPS).select("a", "b"), "near-links")
+    drop_staged(known)
+    return out
 
 
 def shard_pairs(shards: DataFrame, least: float, radius: int, chunk: int = CHUNK) -> DataFrame:
@@ -154,33 +172,33 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, chunk: int = CHUNK
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(rows: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between set ids that connect all sets with Jaccard ``least`` or more."""
-    posted = stage_table(rows.select("sid", "fp", "n", F.explode("first").alias("g")).distinct(), "near-first")
-    lead = F.min(F.struct("sid", "fp", "n"))
-    shared = posted.groupBy(F.col("g").alias("_g")).agg(lead.alias("lead"), F.max("sid").alias("high")).where(F.col("lead")["sid"] < F.col("high")).select("_g", "lead")
-    met = stage_table(posted.join(shared, F.col("g") == F.col("_g")).drop("_g"), "near-met")
-    drop_staged(posted)
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead")["fp"])) <= radius) & (F.least("n", F.col("lead")["n"]) >= least * F.greatest("n", F.col("lead")["n"]) - EPS)
-    asked = met.select("sid").distinct()
-    known = stage_table(rows.select("sid", "grams").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), "near-sets")
-    stars = met.where((F.col("sid") != F.col("lead")["sid"]) & near).select(F.col("lead")["sid"].alias("a"), F.col("sid").alias("b")).distinct()
-    linked = stage_table(_confirmed(stars, known, least), "near-stars")
+def similar_links(docs: DataFrame, rows: DataFrame, marks: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) between set ids that connect all sets with Jaccard ``least`` or more.
+
+    rows: ``shingled`` documents; marks: fp, n and first_doc of each distinct set.
+    """
+    posted = rows.select("sid", F.explode("first").alias("g"))
+    shared = posted.groupBy(F.col("g").alias("_g")).agg(F.min("sid").alias("lead"), F.max("sid").alias("high")).where("lead < high").select("_g", "lead")
+    met = stage_table(posted.join(shared, F.col("g") == F.col("_g")).select("g", "sid", "lead").distinct(), "near-met")
+    of = lambda name: marks.select(F.col("sid").alias(name), F.col("fp").alias(f"{name}_fp"), F.col("n").alias(f"{name}_n"))
+    near = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - EPS)
+    stars = met.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
+    linked = _confirmed(stage_table(stars, "near-stars"), docs, marks, width, least)
     roots = stage_table(components(linked, "a", "b"), "near-star-roots")
-    classed = met.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", "fp", "n", F.coalesce("root", "sid").alias("root"))
-    classed = stage_table(classed, "near-classed")
-    drop_staged(met)
+    classed = met.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
     mixed = classed.groupBy(F.col("g").alias("_g")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_g")
-    pairs = shard_pairs(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), least, radius)
-    more = stage_table(_confirmed(stage_table(pairs, "near-pairs"), known, least), "near-links")
-    return linked.unionByName(more)
+    open_ = stage_table(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), "near-open")
+    drop_staged(met)
+    pairs = shard_pairs(open_.join(marks.select("sid", "fp", "n"), "sid"), least, radius)
+    return linked.unionByName(_confirmed(stage_table(pairs, "near-pairs"), docs, marks, width, least))
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id: the least id of the documents connected by links; null if all are null."""
     rows = stage_table(shingled(docs, width, least), "near-rows")
-    roots = stage_table(components(similar_links(rows, least, radius), "a", "b"), "near-roots")
-    firsts = rows.groupBy("sid").agg(F.min("doc_id").alias("first_doc")).join(roots, F.col("sid") == F.col("node"), "left")
+    marks = stage_table(rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first_doc")), "near-marks")
+    roots = stage_table(components(similar_links(docs, rows, marks, width, least, radius), "a", "b"), "near-roots")
+    firsts = marks.join(roots, F.col("sid") == F.col("node"), "left")
     firsts = stage_table(firsts.select(F.col("sid").alias("_sid"), "first_doc", F.coalesce("root", "sid").alias("root")), "near-firsts")
     least_doc = firsts.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("component_id"))
     named = firsts.join(least_doc, F.col("root") == F.col("_root")).select("_sid", "component_id")
