@@ -1,6 +1,7 @@
 """Hand-computed values of the expressions."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from tidemark.functions import text as T
 from tidemark.functions.metaphone import metaphone
 from tidemark.functions.records import goods_terms, int_list, parsed, source_id
 from tidemark.operators.bulletin import NUMBER, SPACED_NUMBER, page_events
-from tidemark.operators.merge import merge, snapshot_diff, versions
+from tidemark.operators.latest import fixed_windows, fold_in_order, kept_after_gap
+from tidemark.operators.merge import merge, merge_in_order, snapshot_diff, versions
 from tidemark.sources.documents import pages_of
-from tidemark.sources.registry import fixture_search, page_size, read_pages, search_expression, unwrapped
+from tidemark.sources.registry import detail, fixture_search, page_size, poll, read_pages, search_expression
 
 
 def one(spark, *columns):
@@ -124,12 +126,78 @@ def test_merge_is_idempotent(spark):
 
 
 def test_sources(spark, tmp_path):
-    for k in range(3):
-        (tmp_path / f"p{k}.json").write_text('{"trademarks": [{"n": %d}, {"n": %d}], "totalPages": 3}' % (2 * k, 2 * k + 1))
-    pages = [str(tmp_path / f"p{k}.json") for k in range(3)]
-    assert read_pages(spark, pages).count() == 6 and read_pages(spark, pages, max_pages=2).count() == 4
-    assert (page_size(1), page_size(500), unwrapped([1]), unwrapped({"x": 1})) == (10, 100, [1], [])
+    def write(folder, *pages):
+        (tmp_path / folder).mkdir()
+        for k, body in enumerate(pages):
+            (tmp_path / folder / f"p{k}.json").write_text(body)
+        return read_pages(spark, str(tmp_path / folder))
+
+    full = '{"trademarks": [%s]}' % ", ".join('{"n": %d}' % k for k in range(10))
+    ends = lambda pages, **kw: poll(pages, 10, **kw)[1]
+    short = write("short", full, full.replace("trademarks", "results"), '[{"n": 5}]', full)
+    assert ends(short) == {"pages": 3, "complete": True, "next_page": None} and poll(short, 10)[0].count() == 21
+    assert ends(short, max_pages=2) == {"pages": 2, "complete": False, "next_page": 2}
+    total = write("total", full[:-1] + ', "totalPages": 1}', full)
+    assert ends(total) == {"pages": 1, "complete": True, "next_page": None}
+    assert ends(write("empty", "{}")) == {"pages": 1, "complete": True, "next_page": None} and ends(short.limit(0)) == {"pages": 0, "complete": True, "next_page": None}
+    for bad in (write("large", full.replace("[", '[{"n": 99}, ')), write("none", "3"), write("broken", "{")):
+        with pytest.raises(ValueError):
+            poll(bad, 10)
+    assert (page_size(1), page_size(500)) == (10, 100)
+    found = detail(poll(short, 10)[0], spark.createDataFrame([("5",), ("77",)], "key string"), "n").collect()
+    assert {r.key for r in found} == {"5"} and len(found) == 3
     assert search_expression("ab", "PT", [1, 2], "2024") == "wordMark==*ab*;jurisdiction==PT;niceClass=in=(1,2);updateDate=ge=2024"
     marks = spark.createDataFrame([("ACME TECH", "1"), ("SOLARIS", "2")], "word_mark string, application_number string")
     assert fixture_search(marks, "acme").count() == 1 and fixture_search(marks, "zzz").count() == 2
     assert pages_of("a\fb".encode()) == ["a", "b"] and pages_of(b"") == []
+    assert pages_of(b"%PDF-1.7 garbage") == []
+
+
+def test_merge_in_order(spark):
+    """The same key twice in a batch gives two versions, in order, against a plain loop."""
+    rng = random.Random(4)
+    pick = lambda: rng.choice([None, "", "a", "b", "c"])
+    current = [(k, pick() or None, pick() or None) for k in range(4)]
+    batch = [(rng.choice([0, 1, 2, 3, 4, 5, None]), n, pick(), pick()) for n in range(60)]
+    got = {r.n: (r.f, r.g, r.outcome, r.version) for r in merge_in_order(spark.createDataFrame(current, "id int, f string, g string"), spark.createDataFrame(batch, "id int, n int, f string, g string"), "id", ["f", "g"], ["n"]).collect()}
+    state, count = {k: [f, g] for k, f, g in current}, {}
+    for k, n, *new in batch:
+        if k is None:
+            assert got[n][:3] == (*new, "skipped")
+            continue
+        old = state.get(k)
+        state[k] = [x or y for x, y in zip(new, old or [None, None], strict=True)]
+        outcome = "created" if old is None else "updated" if old != state[k] else "unchanged"
+        count[k] = count.get(k, 0) + (outcome != "unchanged")
+        assert got[n] == (*state[k], outcome, count[k])
+
+
+def test_folds_over_batches(spark):
+    """One key with many rows and many keys with few, in batches of seven rows, against plain loops."""
+    rng = random.Random(5)
+    rows = [(1 if k % 2 else rng.randrange(30), rng.choice(["a", None]), rng.randrange(3000)) for k in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "id int, kind string, t long")
+        kept = fold_in_order(df, ["id", "kind"], "t", ["t"], "at long", kept_after_gap(50)).collect()
+        windows = fold_in_order(df, ["id"], "t", ["t"], "opened long, n long", fixed_windows(40)).collect()
+        states = fold_in_order(df.select("id", F.col("t"), F.lit("renewal_due").alias("e")), ["id"], "e", ["t"], "status string", D.status_fold("active")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want_kept, want_windows = [], []
+    for key in {r[:2] for r in rows}:
+        last = None
+        for t in sorted(r[2] for r in rows if r[:2] == key):
+            if last is None or t - last > 50:
+                want_kept.append((*key, t))
+                last = t
+    for key in {r[0] for r in rows}:
+        opened = None
+        for t in sorted(r[2] for r in rows if r[0] == key):
+            if opened is None or t >= opened + 40:
+                want_windows.append([key, t, 0])
+                opened = t
+            want_windows[-1][2] += 1
+    assert sorted(map(tuple, kept), key=str) == sorted(want_kept, key=str) and sorted(map(tuple, windows)) == sorted(map(tuple, want_windows))
+    assert {tuple(r) for r in states} == {(k, "renewal_period") for k in {r[0] for r in rows}}
+    assert fold_in_order(df.limit(0), ["id"], "t", ["t"], "at long", kept_after_gap(50)).count() == 0

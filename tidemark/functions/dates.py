@@ -89,9 +89,18 @@ def next_status(status: Column, event: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.concat_ws("|", state, F.lower(F.trim(event)))), state)
 
 
-def status_after(start: Column, events: Column) -> Column:
-    """The state after an ordered array of events."""
-    return F.aggregate(events, start, lambda s, e: next_status(s, e))
+def status_fold(start: str):
+    """Fold of a mark's ordered events, for operators.latest: its state at the end."""
+
+    def fold(state: str | None, events) -> tuple:
+        state = start if state is None else state
+        if events is None:
+            return state, [(state,)]
+        for e in events:
+            state = TRANSITIONS.get((state, (e or "").strip().lower()), state)
+        return state, []
+
+    return fold
 
 
 def retry_delay(attempt: Column, key: Column) -> Column:

@@ -8,6 +8,36 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import terms
 
 
+# The fields of a mark that versions keep.
+TRACKED_FIELDS = (
+    "source_id",
+    "application_number",
+    "application_date",
+    "registration_number",
+    "registration_date",
+    "word_mark",
+    "figurative_mark_url",
+    "status",
+    "renewal_status",
+    "nice_classes",
+    "applicants",
+    "representatives",
+    "goods_services",
+    "jurisdiction",
+)
+
+
+def snapshot(values: dict[str, Column]) -> Column:
+    """JSON of a mark's fields in the given order; dates and times in ISO form, nulls kept."""
+    options = {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX"}
+    return F.to_json(F.struct(*[v.alias(f) for f, v in values.items()]), options)
+
+
+def named_parties(parties: Column) -> Column:
+    """The parties of an array that have a name."""
+    return F.filter(parties, lambda p: p.isNotNull() & (F.coalesce(p["name"], F.lit("")) != ""))
+
+
 def first_of(record: Column, *keys: str, kind: str = "string") -> Column:
     """The first non-null value of a variant's keys."""
     return F.coalesce(*[F.try_variant_get(record, f"$.{k}", kind) for k in keys])

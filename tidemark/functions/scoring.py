@@ -93,19 +93,19 @@ CLASS_TITLES = {
 }
 # The terms of a business description that suggest a class, in order of preference.
 CLASS_TERMS = {
-    3: "cosmetico, cosmeticos, perfume, perfumaria, higiene, sabonete",
-    5: "farmaceutico, farmacia, medicamento, suplemento, vitaminas",
-    9: "software, aplicacao, aplicacoes, app, informatica, hardware, mobile, jogo, jogos, tecnologia, eletronica",
-    25: "roupa, vestuario, moda, calcado, sapatos, chapelaria, textil",
-    29: "conservas, carne, peixe, laticinios, enchidos",
-    30: "cafe, cha, padaria, pastelaria, chocolate, bolos, pao",
-    35: "loja, lojas, ecommerce, comercio, comercio eletronico, venda, vendas, retalho, publicidade, marketing, negocio, negocios, consultoria, gestao, marketplace",
-    36: "seguros, financas, financeiro, banco, banca, investimento, fintech, pagamentos, credito",
-    41: "educacao, formacao, cursos, ensino, entretenimento, eventos, escola",
-    42: "saas, software, desenvolvimento, tecnologia, cloud, nuvem, dados, plataforma, engenharia, investigacao, design, web",
-    43: "restaurante, restauracao, cafe, bar, hotel, alojamento, catering, comida",
-    44: "clinica, saude, medico, estetica, beleza, spa, dentista",
-    45: "juridico, juridicos, advocacia, advogado, legal, seguranca, direito",
+    3: ("cosmetico", "cosmeticos", "perfume", "perfumaria", "higiene", "sabonete"),
+    5: ("farmaceutico", "farmacia", "medicamento", "suplemento", "vitaminas"),
+    9: ("software", "aplicacao", "aplicacoes", "app", "informatica", "hardware", "mobile", "jogo", "jogos", "tecnologia", "eletronica"),
+    25: ("roupa", "vestuario", "moda", "calcado", "sapatos", "chapelaria", "textil"),
+    29: ("conservas", "carne", "peixe", "laticinios", "enchidos"),
+    30: ("cafe", "cha", "padaria", "pastelaria", "chocolate", "bolos", "pao"),
+    35: ("loja", "lojas", "ecommerce", "comercio", "comercio eletronico", "venda", "vendas", "retalho", "publicidade", "marketing", "negocio", "negocios", "consultoria", "gestao", "marketplace"),
+    36: ("seguros", "financas", "financeiro", "banco", "banca", "investimento", "fintech", "pagamentos", "credito"),
+    41: ("educacao", "formacao", "cursos", "ensino", "entretenimento", "eventos", "escola"),
+    42: ("saas", "software", "desenvolvimento", "tecnologia", "cloud", "nuvem", "dados", "plataforma", "engenharia", "investigacao", "design", "web"),
+    43: ("restaurante", "restauracao", "cafe", "bar", "hotel", "alojamento", "catering", "comida"),
+    44: ("clinica", "saude", "medico", "estetica", "beleza", "spa", "dentista"),
+    45: ("juridico", "juridicos", "advocacia", "advogado", "legal", "seguranca", "direito"),
 }
 DEFAULT_CLASS = 35
 
@@ -132,7 +132,7 @@ def recommended_classes(description: Column, provided: Column) -> Column:
 def _suggested(about: Column, given: Column) -> Column:
     found = []
     for number, listed in CLASS_TERMS.items():
-        first = F.coalesce(*[F.when(F.contains(about["text"], F.lit(t)) if " " in t else F.array_contains(about["words"], t), F.lit(t)) for t in listed.split(", ")])
+        first = F.coalesce(*[F.when(F.contains(about["text"], F.lit(t)) if " " in t else F.array_contains(about["words"], t), F.lit(t)) for t in listed])
         reason = F.concat(F.lit("Suggested from the activity description (term “"), first, F.lit("”)."), F.when(F.array_contains(given, number), " Also indicated by the applicant.").otherwise(""))
         found.append(F.struct(F.lit(number).alias("class_number"), F.lit(CLASS_TITLES[number]).alias("title"), reason.alias("reason")))
     return F.filter(F.array(*found), lambda x: x["reason"].isNotNull())

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import pt_phonetic_code
 
@@ -15,15 +17,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(every > 0, both / every).otherwise(F.lit(0.0))
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings."""
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
+@F.pandas_udf(T.IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two strings; a string's table row is the bits of one integer."""
 
-    def row(prev: Column, c: Column) -> Column:
-        step = lambda done, j: F.array_append(done, F.when(F.substr(b, j, F.lit(1)) == c, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.element_at(done, -1))))
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), step)
+    def length(x: str | None, y: str | None) -> int | None:
+        if x is None or y is None:
+            return None
+        place: dict[str, int] = {}
+        for j, c in enumerate(y):
+            place[c] = place.get(c, 0) | 1 << j
+        full = row = (1 << len(y)) - 1
+        for c in x:
+            hit = row & place.get(c, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(y) - row.bit_count()
 
-    return F.aggregate(chars, F.array_repeat(F.lit(0), F.length(b) + 1), row, lambda last: F.element_at(last, -1))
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 def text_similarity(a: Column, b: Column) -> Column:

@@ -26,19 +26,28 @@ HEADINGS = {
 
 
 def page_events(text: Column, number: str = NUMBER, kinds: tuple[str, ...] = tuple(HEADINGS)) -> Column:
-    """Array of (event_type, application_number, excerpt, raw_text) of one page's text."""
+    """Array of (event_type, application_number, excerpt, raw_text) of one page's text.
 
-    def of_line(all_lines: Column, i: Column) -> Column:
-        context = F.slice(all_lines, i + 1, LOOK_AHEAD)
-        numbers = F.filter(F.transform(context, lambda x: F.regexp_extract(x, number, 1)), lambda n: n != "")
+    Each line is searched for its number once; only lines that match one of the headings are told apart.
+    """
+    any_heading = f"(?iu)(?:{'|'.join(HEADINGS[k] for k in kinds)})"
+
+    def of_line(page: Column, i: Column) -> Column:
+        numbers = F.filter(F.slice(page["numbers"], i + 1, LOOK_AHEAD), lambda n: n != "")
         found = F.regexp_replace(F.get(numbers, F.lit(0)), r"\s+", "")
-        line = F.element_at(all_lines, i + 1)
+        line = F.element_at(page["lines"], i + 1)
         kinds_here = F.array_compact(F.array(*[F.when(line.rlike(f"(?iu)(?:{HEADINGS[k]})"), F.lit(k)) for k in kinds]))
-        excerpt = F.substring(F.trim(F.array_join(context, " | ")), 1, 1000)
-        events = F.transform(kinds_here, lambda k: F.struct(k.alias("event_type"), found.alias("application_number"), excerpt.alias("excerpt"), F.substring(line, 1, 300).alias("raw_text")))
+        excerpt = F.substring(F.trim(F.array_join(F.slice(page["lines"], i + 1, LOOK_AHEAD), " | ")), 1, 1000)
+        event = F.struct(found.alias("application_number"), excerpt.alias("excerpt"), F.substring(line, 1, 300).alias("raw_text"))
+        events = bind(event, lambda e: F.transform(kinds_here, lambda k: F.struct(k.alias("event_type"), e["application_number"].alias("application_number"), e["excerpt"].alias("excerpt"), e["raw_text"].alias("raw_text"))))
         return F.filter(events, lambda e: e["application_number"].isNotNull())
 
-    return bind(lines(text), lambda all_lines: F.flatten(F.transform(F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: of_line(all_lines, i))))
+    def of_page(page: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(page["lines"]) - 1), lambda i: F.element_at(page["lines"], i + 1).rlike(any_heading))
+        return F.flatten(F.transform(at, lambda i: of_line(page, i)))
+
+    numbered = lambda x: F.struct(x.alias("lines"), F.transform(x, lambda line: F.regexp_extract(line, number, 1)).alias("numbers"))
+    return bind(lines(text), lambda x: bind(numbered(x), of_page))
 
 
 def bulletin_events(documents: DataFrame, number: str = NUMBER, kinds: tuple[str, ...] = tuple(HEADINGS)) -> DataFrame:

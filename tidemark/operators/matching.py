@@ -14,20 +14,31 @@ from tidemark.functions.similarity import class_overlap, composite_score, jaccar
 from tidemark.functions.text import trigrams
 
 
+def _trigram_texts(texts: DataFrame) -> DataFrame:
+    """Distinct texts t with their trigrams gs, computed once."""
+    return texts.select("t").where("t is not null").distinct().select("t", trigrams(F.col("t")).alias("gs"))
+
+
 def _rarest(texts: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    each = texts.select("t", F.explode(trigrams(F.col("t"))).alias("g")).join(frequency, "g", "left")
-    own = Window.partitionBy("t")
-    ranked = each.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy(F.coalesce("f", F.lit(0)), "g")))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("t", "g")
+    """(t, gs, g) for the rarest trigrams of each text, as many as the prefix filter needs."""
+    each = texts.select("t", "gs", F.explode("gs").alias("g")).join(frequency, "g", "left")
+    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("f", F.lit(0)), "g")))
+    n = F.size("gs")
+    return ranked.where(F.col("r") <= n - F.ceil(F.lit(least) * n - 1e-9) + 1).select("t", "gs", "g")
 
 
 def trigram_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = True) -> DataFrame:
-    """(a, b, trgm) of the texts t of both sides whose trigram Jaccard is above (or at) ``least`` > 0."""
-    left, right = left.select("t").where("t is not null").distinct(), right.select("t").where("t is not null").distinct()
-    frequency = right.select(F.explode(trigrams(F.col("t"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    a = _rarest(left, frequency, least).withColumnRenamed("t", "a")
-    b = _rarest(right, frequency, least).withColumnRenamed("t", "b")
-    pairs = a.join(b, "g").select("a", "b").distinct().withColumn("trgm", jaccard(trigrams(F.col("a")), trigrams(F.col("b"))))
+    """(a, b, trgm) of the texts t of both sides whose trigram Jaccard is above (or at) ``least`` > 0.
+
+    The trigrams travel with the text; texts whose numbers of trigrams differ too much aren't compared.
+    """
+    left, right = _trigram_texts(left), _trigram_texts(right)
+    frequency = right.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    a = _rarest(left, frequency, least).withColumnsRenamed({"t": "a", "gs": "ga"})
+    b = _rarest(right, frequency, least).withColumnsRenamed({"t": "b", "gs": "gb"})
+    na, nb = F.size("ga"), F.size("gb")
+    met = a.join(b, "g").where(F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9)
+    pairs = met.groupBy("a", "b").agg(F.first("ga").alias("ga"), F.first("gb").alias("gb")).select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("trgm"))
     return pairs.where(F.col("trgm") > least if strict else F.col("trgm") >= least)
 
 

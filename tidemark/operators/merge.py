@@ -31,6 +31,34 @@ def merge(current: DataFrame, batch: DataFrame, key: str, fields: list[str]) ->
     return joined.select(key, *[merged[f].alias(f) for f in fields], outcome.alias("outcome"), changed.alias("changed"))
 
 
+def merge_in_order(current: DataFrame, batch: DataFrame, key: str, fields: list[str], order: list[str]) -> DataFrame:
+    """One row a batch row, as if the rows were merged one after the other: merged fields, outcome, changed, version.
+
+    A value that is not empty stays until the next one, so the state after a row is the last such value of
+    each field, the current row coming first; a key that occurs twice gives two versions. ``version`` counts the
+    key's created and updated rows of the batch. Rows without key are skipped and keep their fields. Ties in
+    ``order`` are broken by the fields.
+    """
+    turn = [F.col(c) for c in dict.fromkeys([*order, *fields])]
+    rows = batch.select(*dict.fromkeys([key, *fields, *order]), F.lit(1).alias("_turn")).unionByName(current.select(key, *fields, F.lit(0).alias("_turn")), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("_turn", *turn)
+    so_far = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = lambda f: F.last(F.when(F.length(F.col(f).cast("string")) > 0, F.col(f)), ignorenulls=True).over(so_far)
+    state = rows.select(key, "_turn", *turn, *[value(f).alias(f"_{f}") for f in fields], F.row_number().over(upto).alias("_place"))
+    prior = state.withColumns({f"_{f}_before": F.lag(f"_{f}").over(Window.partitionBy(key).orderBy("_place")) for f in fields})
+    differs = [~F.col(f"_{f}").eqNullSafe(F.col(f"_{f}_before")) for f in fields]
+    any_differs = differs[0]
+    for d in differs[1:]:
+        any_differs = any_differs | d
+    outcome = F.when(F.col(key).isNull(), "skipped").when(F.col("_place") == 1, "created").when(any_differs, "updated").otherwise("unchanged")
+    changed = F.array_compact(F.array(*[F.when(d, F.lit(f)) for d, f in zip(differs, fields, strict=True)]))
+    out = prior.withColumns({"outcome": outcome, "changed": changed})
+    version = F.sum(F.when((F.col("_turn") == 1) & F.col("outcome").isin("created", "updated"), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("_place"))
+    merged = [F.when(F.col(key).isNull(), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for f in fields]
+    extra = [c for c in order if c not in fields and c != key]
+    return out.withColumn("version", version).where("_turn = 1").select(key, *extra, *merged, "outcome", "changed", "version")
+
+
 def _empty(x: Column) -> Column:
     return x.isNull() | x.isin("", "[]", "{}")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import retry_delay
-from tidemark.operators.latest import kept_after_gap
+from tidemark.operators.latest import fold_in_order, kept_after_gap
 
 DAY_MICROS = 24 * 3600 * 1_000_000
 MAX_ATTEMPTS = 5
@@ -25,17 +25,25 @@ def without_denied(marks: DataFrame, key: str, sources: DataFrame, deny: list[st
 
 def suppress_repeats(alerts: DataFrame, keys: list[str], ts: str, gap_micros: int = DAY_MICROS) -> DataFrame:
     """keys and the times (micros) of the alerts that are emitted: more than the gap after the last emitted one."""
-    times = F.collect_list(F.unix_micros(F.col(ts).cast("timestamp")))
-    return alerts.groupBy(*keys).agg(kept_after_gap(times, gap_micros).alias("kept")).select(*keys, F.explode("kept").alias("emitted_micros"))
+    times = alerts.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")).where("micros is not null")
+    return fold_in_order(times, keys, "micros", ["micros"], "emitted_micros long", kept_after_gap(gap_micros))
 
 
-def not_recently_alerted(candidates: DataFrame, alerts: DataFrame, keys: list[str], ts: str, gap: str = "24 hours") -> DataFrame:
-    """Candidates without an alert of the same keys in the ``gap`` before them (bound included)."""
-    old = alerts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(ts).alias("_ts"))
-    same = F.lit(True)
+def not_recently_alerted(candidates: DataFrame, alerts: DataFrame, keys: list[str], ts: str, gap_micros: int = DAY_MICROS) -> DataFrame:
+    """Candidates without an alert of the same keys in the gap before them (bound included).
+
+    Both sides are put in one order; a candidate looks at the last alert before it, so a key with many of both
+    makes no pairs. Candidates with a null key or time have no alert before them.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).alias("_micros")
+    both = candidates.select(*[F.col(c) for c in candidates.columns], micros, F.lit(False).alias("_old")).unionByName(alerts.select(*keys, F.col(ts), micros, F.lit(True).alias("_old")), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy("_micros").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("_old"), F.col("_micros"))).over(before)
+    known = F.lit(True)
     for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    return candidates.join(old, same & (F.col("_ts") >= F.col(ts) - F.expr(f"interval {gap}")) & (F.col("_ts") < F.col(ts)), "left_anti")
+        known = known & F.col(k).isNotNull()
+    recent = F.coalesce(known & (F.col("_last") >= F.col("_micros") - gap_micros), F.lit(False))
+    return both.withColumn("_last", last).where(~F.col("_old") & ~recent).select(*candidates.columns)
 
 
 def enqueue(outbox: DataFrame, batch: DataFrame, key: str, order: list[str]) -> DataFrame:

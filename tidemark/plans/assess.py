@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
-from tidemark.plans.base import SQL_FIRST_WORDS, first_words, query, sql_fold
+from tidemark.plans.base import SQL_MARK, mark_name, query, sql_fold
 
 _STATES = ", ".join(f"'{s}'" for s in S.STATUSES)
-_RECORD = f"""rec AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN lpad(CAST(doc_id AS VARCHAR), 9, '0') WHEN 2 THEN 'N-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') WHEN 3 THEN '???' ELSE 'X' END AS num, {SQL_FIRST_WORDS} AS mark, ['registered', 'application filed', 'SOMETHING_ODD', ''][(doc_id % 4 + 1)::INT] AS st,
-    ['2024-01-15', 'not-a-date', '', '2023-12-31T10:00:00Z'][(doc_id % 4 + 1)::INT] AS dt, CASE doc_id % 3 WHEN 0 THEN ['9', '42'] WHEN 1 THEN ['9', '99'] ELSE ['garbage'] END AS cl, ['EUIPO', 'PT', 'US'][(doc_id % 3 + 1)::INT] AS jur FROM documents),
+_RECORD = f"""rec AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN lpad(CAST(p_partkey AS VARCHAR), 9, '0') WHEN 2 THEN 'N-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 3 THEN '???' ELSE 'X' END AS num, {SQL_MARK} AS mark, ['registered', 'application filed', 'SOMETHING_ODD', ''][(p_partkey % 4 + 1)::INT] AS st,
+    ['2024-01-15', 'not-a-date', '', '2023-12-31T10:00:00Z'][(p_partkey % 4 + 1)::INT] AS dt, CASE p_partkey % 3 WHEN 0 THEN ['9', '42'] WHEN 1 THEN ['9', '99'] ELSE ['garbage'] END AS cl, ['EUIPO', 'PT', 'US'][(p_partkey % 3 + 1)::INT] AS jur FROM part),
 sc AS (SELECT *, CASE WHEN num = '' THEN 0.0 WHEN (jur = 'EUIPO' AND regexp_matches(num, '^\\d{{6,10}}$')) OR (jur = 'PT' AND regexp_matches(num, '(?i)^(?:[A-Z]{{1,3}}[-/ ]?)?\\d{{4,8}}$')) OR (jur = 'US' AND (regexp_matches(num, '^\\d{{6,10}}$') OR regexp_matches(num, '(?i)^(?:[A-Z]{{1,3}}[-/ ]?)?\\d{{4,8}}$'))) THEN 1.0 ELSE 0.5 END::DOUBLE AS s1,
     CASE WHEN trim(mark) = '' THEN 0.0 WHEN length(trim(mark)) < 2 THEN 0.4 WHEN length(regexp_replace(trim(mark), '[^\\pL\\pN\\s]', '', 'g'))::DOUBLE / length(trim(mark)) >= 0.6::DOUBLE THEN 1.0 ELSE 0.5 END::DOUBLE AS s2,
     CASE WHEN st = '' THEN 0.0 WHEN upper(trim(st)) IN ({_STATES}) OR replace(upper(trim(st)), ' ', '_') IN ({_STATES}) THEN 1.0 ELSE 0.7 END::DOUBLE AS s3,
-    CASE WHEN dt = '' THEN 0.0 WHEN try_cast(substr(dt, 1, 10) AS DATE) IS NOT NULL THEN 1.0 ELSE 0.3 END::DOUBLE AS s4, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS s5 FROM rec),
+    CASE WHEN dt = '' THEN 0.0 WHEN try_cast(substr(dt, 1, 10) AS DATE) IS NOT NULL THEN 1.0 ELSE 0.3 END::DOUBLE AS s4, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.2 END::DOUBLE AS s5 FROM rec),
 ov AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, s1 * 0.3::DOUBLE + s2 * 0.3::DOUBLE + s3 * 0.15::DOUBLE + s4 * 0.1::DOUBLE + s5 * 0.15::DOUBLE)) AS overall FROM sc)"""
 
 
 @query(
     "confidence_scores",
-    f"""WITH {_RECORD} SELECT doc_id, round(overall, 6) AS overall, array_to_string(list_filter([CASE WHEN s1 < 1 THEN 'application_number' END, CASE WHEN s2 < 1 THEN 'word_mark' END, CASE WHEN s3 < 1 THEN 'status' END, CASE WHEN s4 < 1 THEN 'application_date' END, CASE WHEN s5 < 1 THEN 'nice_classes' END], lambda x: x IS NOT NULL), ',') AS issues, round(overall, 10) < 0.6 AS needs_review FROM ov""",
+    f"""WITH {_RECORD} SELECT p_partkey, round(overall, 6) AS overall, array_to_string(list_filter([CASE WHEN s1 < 1 THEN 'application_number' END, CASE WHEN s2 < 1 THEN 'word_mark' END, CASE WHEN s3 < 1 THEN 'status' END, CASE WHEN s4 < 1 THEN 'application_date' END, CASE WHEN s5 < 1 THEN 'nice_classes' END], lambda x: x IS NOT NULL), ',') AS issues, round(overall, 10) < 0.6 AS needs_review FROM ov""",
 )
 def confidence_scores(read):
     """The confidence of a record, its issues, and whether it needs review."""
-    i = F.col("doc_id")
+    i = F.col("p_partkey")
     pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
     number = F.when(i % 5 == 0, "").when(i % 5 == 1, F.lpad(i.cast("string"), 9, "0")).when(i % 5 == 2, F.concat(F.lit("N-"), F.lpad(i.cast("string"), 6, "0"))).when(i % 5 == 3, "???").otherwise("X")
     classes = F.when(i % 3 == 0, F.array(F.lit("9"), F.lit("42"))).when(i % 3 == 1, F.array(F.lit("9"), F.lit("99"))).otherwise(F.array(F.lit("garbage")))
-    found = S.record_confidence(number, first_words(F.col("text")), pick("registered", "application filed", "SOMETHING_ODD", ""), pick("2024-01-15", "not-a-date", "", "2023-12-31T10:00:00Z"), classes, pick("EUIPO", "PT", "US"))
-    return read("documents").select("doc_id", found.alias("c")).select("doc_id", F.round("c.overall", 6).alias("overall"), F.array_join("c.issues", ",").alias("issues"), "c.needs_review")
+    found = S.record_confidence(number, mark_name(), pick("registered", "application filed", "SOMETHING_ODD", ""), pick("2024-01-15", "not-a-date", "", "2023-12-31T10:00:00Z"), classes, pick("EUIPO", "PT", "US"))
+    return read("part").select("p_partkey", found.alias("c")).select("p_partkey", F.round("c.overall", 6).alias("overall"), F.array_join("c.issues", ",").alias("issues"), "c.needs_review")
 
 
 _ADJ = {0: "loja de software", 1: "cafe e pastelaria", 2: "serviços jurídicos e advocacia", 3: "comércio eletrónico de moda", 4: "nada", 5: "plataforma SaaS de dados"}
@@ -73,7 +73,7 @@ def verdicts(read):
     return _requests(read).select("p_partkey", "level", "risk", "verdict", S.verdict_label(F.col("verdict")).alias("label"), S.public_status(F.col("verdict"), F.col("risk")).alias("public_status"))
 
 
-_TERMS = ", ".join(f"({c}, {i}, '{t}')" for c, ts in S.CLASS_TERMS.items() for i, t in enumerate(ts.split(", ")))
+_TERMS = ", ".join(f"({c}, {i}, '{t}')" for c, ts in S.CLASS_TERMS.items() for i, t in enumerate(ts))
 _TITLES = "map {" + ", ".join(f"{c}: '{t}'" for c, t in S.CLASS_TITLES.items()) + "}"
 
 

@@ -29,12 +29,12 @@ def today() -> Column:
     return F.lit(TODAY).cast("date")
 
 
-def first_words(text: Column, n: int = 2) -> Column:
-    """The binding of a word mark: the first words of a text."""
-    return F.array_join(F.slice(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " "), 1, n), " ")
+def mark_name() -> Column:
+    """The binding of a word mark: a part's whole name and type."""
+    return F.concat_ws(" ", "p_name", "p_type")
 
 
-SQL_FIRST_WORDS = "array_to_string(string_split(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), ' ')[1:2], ' ')"
+SQL_MARK = "concat_ws(' ', p_name, p_type)"
 SQL_TODAY = f"DATE '{TODAY}'"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.bulletin import HEADINGS, bulletin_events, route_events
 from tidemark.plans.base import query
+from tidemark.sources.staging import staged
 
 _WORDS = {0: "Despacho de Publicação n. 12", 1: "Concessão do registo", 2: "Recusa provisória", 3: "Renovação", 4: "Texto livre", 5: "Caducidade declarada e Transmissão", 6: "MUDANÇA DE NOME"}
 
@@ -51,7 +52,7 @@ SELECT doc_id, event_type, mark_id, route, CASE WHEN route = 'insert' AND event_
 )
 def routing(read):
     """Where each event goes."""
-    found = bulletin_events(_bulletins(read))
+    found = staged(bulletin_events(_bulletins(read)), "events")  # read three times
     number = F.concat(F.lit("N-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0"))
     marks = read("lineitem").where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("mark_id")).select(number.alias("application_number"), "mark_id")
     known = found.where("doc_id % 5 = 1").join(marks, "application_number").select("mark_id", "event_type", "event_date")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
-from tidemark.operators.latest import latest
+from tidemark.operators.latest import fold_in_order, latest
 from tidemark.plans.base import SQL_TODAY, query, today
 
 _REG = "CAST(o_orderdate AS DATE)"
@@ -60,9 +60,8 @@ def status_fsm_fold(read):
     """A mark's state after its ordered events."""
     names = {"view": "renewal_due", "click": "payment_received", "purchase": "grace_period_started", "signup": "grace_period_ended", "error": "restoration_requested"}
     event = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()], F.lit("provisional_refusal"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", event.alias("e"))))
-    per_mark = read("events").groupBy("user_id").agg(ordered.alias("es"))
-    return per_mark.select("user_id", D.status_after(F.lit("active"), F.transform("es", lambda x: x["e"])).alias("status"))
+    rows = read("events").select("user_id", "ts", "event_id", event.alias("event"))
+    return fold_in_order(rows, ["user_id"], "event", ["ts", "event_id"], "status string", D.status_fold("active"))
 
 
 @query(

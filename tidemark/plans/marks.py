@@ -8,7 +8,7 @@ from tidemark.functions.metaphone import metaphone_code
 from tidemark.functions.similarity import class_overlap, code_similarity, similarity_band
 from tidemark.functions.text import pt_phonetic_code, slug, trigrams
 from tidemark.operators.matching import similar_marks, trigram_pairs
-from tidemark.plans.base import SQL_FIRST_WORDS, first_words, query, sql_jaccard, sql_lcs, sql_pt_code, sql_trigrams
+from tidemark.plans.base import SQL_MARK, mark_name, query, sql_jaccard, sql_lcs, sql_pt_code, sql_trigrams
 
 
 @query(
@@ -24,10 +24,10 @@ def mark_search(read):
 
 
 def _marks(read):
-    return read("documents").select(F.col("doc_id").alias("id"), first_words(F.col("text")).alias("text"), F.array((F.col("doc_id") % 7 + 1).cast("int"), (F.length("source") % 45 + 1).cast("int")).alias("classes"))
+    return read("part").select(F.col("p_partkey").alias("id"), mark_name().alias("text"), F.array((F.col("p_partkey") % 7 + 1).cast("int"), (F.col("p_size") % 45 + 1).cast("int")).alias("classes"))
 
 
-_SQL_MARKS = f"""marks AS (SELECT doc_id AS id, {SQL_FIRST_WORDS} AS text, [doc_id % 7 + 1, length(source) % 45 + 1] AS classes FROM documents),
+_SQL_MARKS = f"""marks AS (SELECT p_partkey AS id, {SQL_MARK} AS text, [p_partkey % 7 + 1, p_size % 45 + 1] AS classes FROM part),
 texts AS (SELECT DISTINCT text AS t, {sql_trigrams('text')} AS g FROM marks),
 pairs AS (SELECT x.t AS a, y.t AS b, {sql_jaccard('x.g', 'y.g')} AS trgm FROM (SELECT * FROM texts WHERE t IN (SELECT text FROM marks WHERE id % 20 = 0)) x, texts y WHERE {sql_jaccard('x.g', 'y.g')} > 0.2)"""
 
@@ -50,7 +50,7 @@ def _shown(found):
 
 @query("similar_marks", _SQL_SIMILAR)
 def similar(read):
-    """Every twentieth document's mark is watched against all marks."""
+    """Every twentieth mark is watched against all marks."""
     marks = _marks(read)
     return _shown(similar_marks(marks.where("id % 20 = 0"), marks))
 
@@ -76,16 +76,16 @@ def trigram_counts(read):
     return read("part").select(F.explode(trigrams(F.col("p_name"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("pt_phonetic_groups", f"SELECT {sql_pt_code(SQL_FIRST_WORDS)} AS code, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
+@query("pt_phonetic_groups", f"SELECT {sql_pt_code(SQL_MARK)} AS code, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1")
 def phonetic_groups(read):
     """Marks by Portuguese phonetic code."""
-    return read("documents").select("doc_id", pt_phonetic_code(first_words(F.col("text"))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+    return read("part").select("p_partkey", pt_phonetic_code(mark_name()).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id"))
 
 
 @query("metaphone_groups")
 def metaphone_groups(read):
     """Marks by Metaphone code."""
-    names = read("documents").select(first_words(F.col("text")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
+    names = read("part").select(mark_name().alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     return names.select(metaphone_code("name").alias("code"), "rows").groupBy("code").agg(F.sum("rows").alias("n"))
 
 

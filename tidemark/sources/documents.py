@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def pages_of(content: bytes) -> list[str]:
-    """The pages of a document; bytes that are no UTF-8 are left out."""
+    """The pages of a document; bytes that are no UTF-8 are left out. A PDF without a library to read it has none."""
     if content[:5] == b"%PDF-":
         try:
             import pymupdf
         except ImportError:
-            pass
+            return []
         else:
             with pymupdf.open(stream=content) as pdf:
                 return [page.get_text() for page in pdf]
@@ -23,11 +23,13 @@ def pages_of(content: bytes) -> list[str]:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 and pages of every file under ``path``."""
+    """path, sha256, pages and reason (why there are no pages, else null) of every file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).selectExpr("path", "sha2(content, 256) AS sha256", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(pages=b["content"].map(pages_of))[["path", "sha256", "pages"]]
+            pages = b["content"].map(pages_of)
+            why = [None if p else "PDF without a library that reads it" if c[:5] == b"%PDF-" else "empty" for p, c in zip(pages, b["content"], strict=True)]
+            yield b.assign(pages=pages, reason=why)[["path", "sha256", "pages", "reason"]]
 
-    return files.mapInPandas(run, "path string, sha256 string, pages array<string>")
+    return files.mapInPandas(run, "path string, sha256 string, pages array<string>, reason string")

@@ -1,13 +1,9 @@
-"""Registry sources: paged JSON envelopes as a Spark data source, search expressions, a fixture search."""
+"""Registry sources: paged JSON envelopes, search expressions, a fixture search."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LEAST_PAGE, MOST_PAGE = 10, 100
 
@@ -37,48 +33,47 @@ def unwrapped(body: dict | list) -> list:
     return next((body[k] for k in ("results", "trademarks") if isinstance(body.get(k), list)), []) if isinstance(body, dict) else []
 
 
-class _Page(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-
+def enveloped(body: Column) -> Column:
+    """Struct of a response body: its records (array of variants; null: no envelope) and totalPages."""
+    v = F.try_parse_json(body)
+    lists = [F.try_variant_get(v, path, "array<variant>") for path in ("$.results", "$.trademarks", "$")]
+    known = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array().cast("array<variant>"))
+    return F.struct(F.coalesce(*lists, known).alias("records"), F.try_variant_get(v, "$.totalPages", "int").alias("total_pages"))
 
-class _PagesReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = json.loads(options["pages"])[: int(options.get("max_pages", 20))]
-        self.size = page_size(int(options.get("page_size", 50)))
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(p) for p in self.paths]
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """page (the number in its file name) and body of the JSON files under ``path``, read by Spark from any store."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(\d+)\.json$", 1).cast("int").alias("page"), F.col("value").alias("body"))
+    return files
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            body = json.load(f)
-        if not isinstance(body, (dict, list)):
-            raise ValueError(f"{partition.value} holds no envelope")
-        for record in unwrapped(body)[: self.size]:
-            yield (partition.value, json.dumps(record, sort_keys=True))
 
+def poll(pages: DataFrame, size: int = 50, max_pages: int = 20) -> tuple[DataFrame, dict]:
+    """The records (page, place, record as JSON) of the pages (page from 0, body) that a poll reads, and how it ended.
 
-class RegistryPages(DataSource):
-    """``spark.read.format("registry_pages").option("pages", json list of files)``: one partition a page.
-
-    Options: page_size (clamped to 10..100), max_pages (20). Rows: page, record (JSON text).
+    The poll ends after a short page, after the last of totalPages, or at the cap; the outcome names the
+    pages read, whether that was all, and the page at which the next poll starts (None: none is left). A body
+    that is no envelope and a page with more records than were asked for are errors.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "registry_pages"
-
-    def schema(self) -> str:
-        return "page string, record string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PagesReader(self.options)
-
-
-def read_pages(spark: SparkSession, pages: list[str], **options) -> DataFrame:
-    spark.dataSource.register(RegistryPages)
-    return spark.read.format("registry_pages").options(pages=json.dumps(pages), **options).load()
+    wanted = page_size(size)
+    opened = pages.select("page", enveloped(F.col("body")).alias("e")).select("page", F.col("e.records").alias("records"), F.col("e.total_pages").alias("total"))
+    n = F.size("records")
+    wrong = F.when(F.col("records").isNull(), F.lit("no envelope")).when(n > wanted, F.concat(n.cast("string"), F.lit(f" records where {wanted} were asked for")))
+    last = F.when((n < wanted) | (F.col("page") + 1 >= F.col("total")), F.col("page"))
+    ends = opened.where(F.col("page") < max_pages).agg(F.min(last).alias("last"), F.max("page").alias("top"), F.min(F.when(wrong.isNotNull(), F.struct("page", wrong.alias("why")))).alias("wrong")).first()
+    top = ends["top"] if ends["last"] is None else ends["last"]
+    if ends["wrong"] is not None and ends["wrong"]["page"] <= top:
+        raise ValueError(f"page {ends['wrong']['page']}: {ends['wrong']['why']}")
+    read = 0 if top is None else top + 1
+    records = opened.where(F.col("page") < read).select("page", F.posexplode("records").alias("place", "record")).select("page", "place", F.to_json("record").alias("record"))
+    done = ends["last"] is not None or read < max_pages
+    return records, {"pages": read, "complete": done, "next_page": None if done else read}
+
+
+def detail(records: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """key and record of the asked ``keys`` (key), by the first of the ``names`` that a record has."""
+    v = F.parse_json("record")
+    own = F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
+    return records.withColumn("key", own).join(keys.select("key").distinct(), "key").select("key", "record")
 
 
 def fixture_search(marks: DataFrame, text: str, columns: tuple[str, ...] = ("word_mark", "application_number")) -> DataFrame:
@@ -86,5 +81,5 @@ def fixture_search(marks: DataFrame, text: str, columns: tuple[str, ...] = ("wor
     hit = F.lit(False)
     for c in columns:
         hit = hit | F.coalesce(F.contains(F.lower(F.col(c)), F.lit(text.lower())), F.lit(False))
-    any_hit = marks.agg(F.coalesce(F.max(hit), F.lit(False)).alias("_any"))
-    return marks.crossJoin(F.broadcast(any_hit)).where(hit | ~F.col("_any")).drop("_any")
+    found = marks.agg(F.coalesce(F.max(hit), F.lit(False))).first()[0]
+    return marks.where(hit) if found else marks

@@ -12,14 +12,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators.outbox import DAY_MICROS
 
 
-def suppress_repeats(events: DataFrame, gap_micros: int = DAY_MICROS) -> DataFrame:
+def suppress_repeats(events: DataFrame, gap_micros: int = DAY_MICROS, late: str = "2 days") -> DataFrame:
     """(user_id, event_type, emitted_micros): one alert of a kind per gap, measured from the last emitted one.
 
-    The state of a key is the time of that alert. Rows of a micro-batch are taken in order of time; rows
-    that come later than a newer alert are suppressed with it.
+    The state of a key is the time of that alert, and goes once the watermark has passed its gap. Rows of a
+    micro-batch are taken in order of time. A row that comes in a later micro-batch than a newer alert is
+    suppressed with it, where the batch form would have emitted the older one first; rows beyond ``late`` don't count.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [], "event_type": [], "emitted_micros": []})
+            return
         last = state.get[0] if state.exists else None
         out = []
         for t in sorted(t for b in batches for t in b["micros"].tolist()):
@@ -28,7 +33,9 @@ def suppress_repeats(events: DataFrame, gap_micros: int = DAY_MICROS) -> DataFra
                 out.append(t)
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last + gap_micros) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_type": [key[1]] * len(out), "emitted_micros": out})
 
-    keyed = events.select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return keyed.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_type string, emitted_micros long", "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    keyed = timed.select("user_id", "event_type", "at", F.unix_micros("at").alias("micros"))
+    return keyed.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_type string, emitted_micros long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
