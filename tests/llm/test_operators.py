@@ -60,6 +60,18 @@ def test_pieces_equal_the_library(odd, spark, sf_dir):
     assert rows[4].n_pieces == rows[5].n_pieces == 0 and rows[6].round_trip
 
 
+def test_pieces_there_and_back_through_spark(odd, empty, spark):
+    model = pieces.read_model(spark, pieces.MODEL)
+    clashing = odd.withColumns({"piece_ids": F.lit(1), "decoded": F.lit("x")})
+    out = pieces.decode_ids(pieces.encode_texts(clashing, model), model)
+    assert out.columns == [*odd.columns, "piece_ids", "decoded"]
+    assert all(r.decoded == (r.text or "") for r in out.collect()) and out.count() == odd.count()
+    kept = pieces.decode_ids(pieces.encode_texts(clashing, model, into="ids"), model, ids="ids", into="back")
+    assert kept.columns == [*clashing.columns, "ids", "back"] and kept.where("decoded <> 'x' or piece_ids <> 1").count() == 0
+    for none in (pieces.piece_digests(empty, model), pieces.decode_ids(pieces.encode_texts(empty, model), model)):
+        assert none.count() == 0
+
+
 def test_unigram_paths_are_best():
     """A lattice search over all segmentations of short strings."""
     m = pieces.PieceModel(Path(pieces.MODEL).read_bytes())
@@ -247,6 +259,9 @@ def test_chat_round_trip(spark):
     loss = "".join(t for r, t in want if r == "assistant")
     assert by[1][3:5] == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.conversation_digests(chat.format_conversations(turns.limit(0))).count() == 0
+    long = "a very long turn <|im_end|> " * 120_000
+    (r,) = chat.conversation_digests(chat.format_conversations(spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))).collect()
+    assert (r.loss_chars, r.loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
 
 
 def test_template_language():

@@ -15,7 +15,8 @@ characters) that are encoded once per task and remembered in a bounded table.
 
 Characters without a piece become byte pieces, or the unknown piece where the model has none. Null and
 empty texts have no pieces. Texts are encoded whole; repeated rows give repeated results; an empty
-table gives no rows; a text without any space is one chunk, in linear time. Texts are put through the
+table gives no rows; a text without any space is one chunk, in linear time. Other columns are kept by
+``encode_texts`` and ``decode_ids``, which name the new column ``into``, and left out by ``piece_digests``. Texts are put through the
 model's own identity normalisation only: models with other normalisers are refused.
 """
 
@@ -238,34 +239,32 @@ def read_model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def encode_texts(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with the column piece_ids (array of int)."""
-    if "piece_ids" in docs.columns:
-        docs = docs.drop("piece_ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))])
+def encode_texts(docs: DataFrame, model: bytes, text: str = "text", into: str = "piece_ids") -> DataFrame:
+    """``docs`` with the column ``into`` (array of int) at its end, in place of a column of that name."""
+    docs = docs.drop(into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
         for b in batches:
             for part in _small(b):
                 ids = [m.encode(t) for t in part.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "piece_ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, into])
 
     return docs.mapInArrow(run, schema)
 
 
-def decode_ids(rows: DataFrame, model: bytes, ids: str = "piece_ids") -> DataFrame:
-    """``rows`` with the column decoded (string)."""
-    if "decoded" in rows.columns:
-        rows = rows.drop("decoded")
-    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
+def decode_ids(rows: DataFrame, model: bytes, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
+    """``rows`` with the column ``into`` (string; null ids: empty) at its end, in place of a column of that name."""
+    rows = rows.drop(into)
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
         for b in batches:
             for part in _small(b):
                 texts = [m.decode(x or ()) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, into])
 
     return rows.mapInArrow(run, schema)
 
