@@ -16,7 +16,8 @@ The lexicon is learned from the labels: the log-odds of a word, or of a 4 to 6 l
 with an ending of up to ``ENDING`` letters, between toxic
 and other training documents, added to a few fixed words of common speech. An entry is a threat if in half
 of its toxic documents or more a target follows it within two words, else an insult. The weights
-are fitted on the same rows. Training rows are those with crc32(doc_id) mod 4 other than 2, at
+are fitted on the same rows in ``FOLDS`` parts, each read with a lexicon of the others, so that an entry that
+occurs in a few toxic documents by chance weighs no more than it is worth. Training rows are those with crc32(doc_id) mod 4 other than 2, at
 most ``MAX_LABELS`` of them (a bounded sample by id hash; its ids are broadcast, its counts are combined
 in the tasks and the driver gets ``MAX_ENTRIES`` lexicon entries, the model's size, and one short row per
 sampled document). All documents are scored, whole, in one pass without a shuffle.
@@ -53,6 +54,8 @@ STEMS = (4, 5, 6)
 ENDING = 4
 SCOPE = 3
 THRESHOLD = 0.3
+#: Parts of the training rows; near copies are in one part.
+FOLDS = 2
 KEYS_HELD = 400_000
 
 # Fixed word lists: the closed classes of the grammar in English, German, French and Spanish.
@@ -273,8 +276,8 @@ def lexicon_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "entry string, toxic long, n long, followed long").groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("toxic", "n", "followed")])
 
 
-def one_of_copies(train: DataFrame) -> DataFrame:
-    """One row for the texts that share their least 3-word shingle hash: near copies repeat every rare word."""
+def marked(train: DataFrame) -> DataFrame:
+    """The rows with the least hash of their 3-word shingles, which near copies share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,8 +287,12 @@ def one_of_copies(train: DataFrame) -> DataFrame:
                 marks.append(min((xxh64_intdigest(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))), default=0) - (1 << 63))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marks, pa.int64())], ["text", "toxic", "mark"])
 
-    kept = train.mapInArrow(run, "text string, toxic int, mark long").groupBy("mark", "toxic").agg(F.min("text").alias("text"))
-    return kept.select("text", "toxic")
+    return train.mapInArrow(run, "text string, toxic int, mark long")
+
+
+def one_of_copies(train: DataFrame) -> DataFrame:
+    """One row for the texts of one mark: near copies repeat every rare word."""
+    return train.groupBy("mark", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def learn_lexicon(train: DataFrame, n_toxic: int, n_other: int) -> dict[str, tuple[float, str]]:
@@ -316,23 +323,41 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float =
     return w / scale
 
 
-def train_scorer(docs: DataFrame, labels: DataFrame) -> Scorer:
-    train = stage_table(training_rows(docs, labels), "toxic-train")
-    n, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") != 0).cast("long")), F.lit(0))).first()
-    scorer = Scorer(learn_lexicon(train, toxic, n - toxic))
-    if not n:
-        scorer.weights = [1.0] * len(scorer.patterns) + [0.0] * (scorer.size - len(scorer.patterns) - 1) + [-2.0]
-        return scorer
+def feature_rows(train: DataFrame, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the rows; most match nothing and are equal, so the driver gets each distinct row with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [scorer.features(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
 
-    # Most rows match nothing and are equal: the driver gets each distinct row with its count.
-    rows = train.mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
+    rows = train.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     times = [r["count"] for r in rows]
-    scorer.weights = fit_weights(np.repeat(np.array([r["x"] for r in rows]), times, axis=0), np.repeat(np.array([r["toxic"] != 0 for r in rows], float), times)).tolist()
+    x = np.array([r["x"] for r in rows], float).reshape(len(rows), scorer.size)
+    return np.repeat(x, times, axis=0), np.repeat(np.array([r["toxic"] != 0 for r in rows], float), times)
+
+
+def class_counts(train: DataFrame) -> tuple[int, int]:
+    """Rows that are toxic, and others."""
+    toxic = F.col("toxic") != 0
+    n, bad = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(toxic.cast("long")), F.lit(0))).first()
+    return bad, n - bad
+
+
+def train_scorer(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Scorer:
+    """The lexicon of all training rows, with weights fitted on rows that had no part in the lexicon that read them."""
+    train = stage_table(marked(training_rows(docs, labels)), "toxic-train")
+    toxic, other = class_counts(train)
+    scorer = Scorer(learn_lexicon(train, toxic, other))
+    if not toxic + other:
+        scorer.weights = [1.0] * len(scorer.patterns) + [0.0] * (scorer.size - len(scorer.patterns) - 1) + [-2.0]
+        return scorer
+    fold = F.pmod(F.xxhash64("mark"), F.lit(folds))
+    parts = []
+    for k in range(folds):
+        rest = train.where(fold != k)
+        parts.append(feature_rows(train.where(fold == k), Scorer(learn_lexicon(rest, *class_counts(rest)))))
+    scorer.weights = fit_weights(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])).tolist()
     return scorer
 
 
