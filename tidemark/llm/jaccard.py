@@ -8,8 +8,10 @@ for all. The order puts rare shingles first, by counts of ``BUCKETS`` hash bucke
 
 Distinct sets are compared, not documents. Per shard each set meets the least one (its lead) first, if
 their fingerprints lie within the radius; confirmed pairs make classes. Then a shard that still holds sets of
-different classes gets a BK-tree, and what it finds between classes is confirmed in turn. So a group of
-copies costs one comparison a set and shard, and none of its pairs is emitted.
+different classes gets a BK-tree, and what it finds between classes is confirmed in turn, first at a small
+radius. Before a found pair leaves the task it passes an exact bound: sets differ by no less than the summed
+differences of the sizes of ``PARTS`` parts by hash. So a group of copies costs one comparison a set and
+shard, and its pairs aren't emitted, whether they are similar enough or not.
 
 Nulls: null texts and texts without a word are copies of each other; a null doc_id belongs to its class but never
 names it. Repeated rows and ids share their class. Very long texts are processed whole. An empty table gives no
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tidemark.llm.bktree import CHUNK, BKForest, in_chunks, whole_groups
+from tidemark.llm.bktree import BKForest, in_chunks, whole_groups
 from tidemark.llm.common import drop_staged, free_names, stage_table
 from tidemark.llm.components import components
 from tidemark.llm.phrases import _rolled, word_hashes
@@ -34,6 +36,14 @@ from tidemark.llm.phrases import _rolled, word_hashes
 WIDTH = 5
 LEAST = 0.8
 RADIUS = 24
+#: Radii that are searched before, so that most of a group of copies is one class when the last one is.
+RADII = (6, 10)
+#: Sets of a shard beyond which it is cut into chunks.
+CHUNK = 1024
+#: Parts of a set whose sizes bound the difference of two sets from below.
+PARTS = 128
+#: Pairs whose parts are compared at a time.
+COMPARED = 1 << 15
 BUCKETS = 1 << 20
 #: Slack of comparisons of shares.
 EPS = 1e-9
@@ -63,6 +73,11 @@ def _set_id(grams: np.ndarray) -> int:
     return xxh64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def part_sizes(grams: np.ndarray) -> np.ndarray:
+    """Sizes (255 at most) of the parts of the set, eight in a number."""
+    return np.minimum(np.bincount(grams & (PARTS - 1), minlength=PARTS), 255).astype(np.uint8).view(np.int64)
+
+
 def _buckets(grams: np.ndarray) -> np.ndarray:
     return (grams.view(np.uint64) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
@@ -93,7 +108,7 @@ def bucket_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, sid (id of its set of shingles), fp, n (size) and the first shingles in the order (null without a word) of every row."""
+    """doc_id, sid (id of its set of shingles), fp, n (size), parts and the first shingles in the order (null without a word) of every row."""
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +123,12 @@ def shingled(docs: DataFrame, width: int, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()), pa.array([_set_id(g) for g in own], pa.int64()), pa.array([set_fingerprint(g) for g in own], pa.int64()),
-                    pa.array([len(g) for g in own], pa.int64()), pa.array(first, pa.list_(pa.int64())),
+                    pa.array([len(g) for g in own], pa.int64()), pa.array([part_sizes(g) for g in own], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "sid", "fp", "n", "first"],
+                ["doc_id", "sid", "fp", "n", "parts", "first"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, fp long, n long, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid long, fp long, n long, parts array<long>, first array<long>")
 
 
 def sets_of(asked: DataFrame, docs: DataFrame, marks: DataFrame, width: int) -> DataFrame:
@@ -138,17 +153,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int,
     both = F.size(F.array_intersect("x", "y"))
     sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
     out = stage_table(sized.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - EPS).select("a", "b"), "near-links")
-    drop_staged(known)
+    for done in (known, asked):
+        drop_staged(done)
     return out
 
 
-def shard_pairs(shards: DataFrame, least: float, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of sets of different classes within the radius, by a BK-tree per shard (g, sid, fp, n, root)."""
-    spread = in_chunks(shards, ["g"], chunk).repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "fp")
+def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of sets of different classes within the radius, but beyond ``beyond``, that may be similar.
+
+    By a BK-tree per shard; shards: g, sid, fp, n, root, parts.
+    """
+    names = [f"p{k}" for k in range(PARTS // 8)]
+    flat = shards.select("g", "sid", "fp", "n", "root", *[F.get("parts", F.lit(k)).alias(name) for k, name in enumerate(names)])
+    spread = in_chunks(flat, ["g"], chunk).repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "fp")
+
+    def similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Whether the sets may be: |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|)."""
+        most = (1 - least) / (1 + least) * (n[a] + n[b]) + EPS
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), COMPARED):
+            x, y = parts[a[at : at + COMPARED]], parts[b[at : at + COMPARED]]
+            out[at : at + COMPARED] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= most[at : at + COMPARED]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root"), 3):
-            side, fp, sid, n, root = rows[3:]
+        for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root", *names), 3):
+            side, fp, sid, n, root = rows[3:8]
+            parts = np.ascontiguousarray(rows[8:].T).view(np.uint8)
             start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
             size = np.diff(np.r_[start, len(fp)])
             bits = np.ascontiguousarray(fp[start]).view(np.uint64)
@@ -157,14 +188,15 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, chunk: int = CHUNK
                 continue
             for q, item in BKForest(group[start][tree], bits[tree]).search(group[start][asks], bits[asks], radius):
                 one, two = asks[q], tree[item]
-                kept = (one <= two) | (side[start][one] == 2)
+                kept = ((one <= two) | (side[start][one] == 2)) & (np.bitwise_count(bits[one] ^ bits[two]) > beyond)
                 one, two = one[kept], two[kept]
                 # Every set of the one fingerprint with every set of the other.
                 times = size[one] * size[two]
                 pair = np.repeat(np.arange(len(one)), times)
                 step = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
                 a, b = start[one][pair] + step // size[two][pair], start[two][pair] + step % size[two][pair]
-                near = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS)
+                near = np.flatnonzero((root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS))
+                near = near[similar(a[near], b[near], n, parts)]
                 a, b = sid[a[near]], sid[b[near]]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -183,26 +215,42 @@ def similar_links(docs: DataFrame, rows: DataFrame, marks: DataFrame, width: int
     of = lambda name: marks.select(F.col("sid").alias(name), F.col("fp").alias(f"{name}_fp"), F.col("n").alias(f"{name}_n"))
     near = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - EPS)
     stars = met.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
-    linked = _confirmed(stage_table(stars, "near-stars"), docs, marks, width, least)
-    roots = stage_table(components(linked, "a", "b"), "near-star-roots")
-    classed = met.join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed = classed.groupBy(F.col("g").alias("_g")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_g")
-    open_ = stage_table(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), "near-open")
+    stars = stage_table(stars, "near-stars")
+    linked = _confirmed(stars, docs, marks, width, least)
+    drop_staged(stars)
+    # Wider and wider: what is near is linked first, so that few pairs of a group of copies lie between classes later on.
+    before = -1
+    for within in (*[r for r in RADII if r < radius], radius):
+        roots = stage_table(components(linked, "a", "b"), "near-roots")
+        classed = met.select("g", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
+        mixed = classed.groupBy(F.col("g").alias("_g")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_g")
+        open_ = stage_table(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), "near-open")
+        pairs = stage_table(shard_pairs(open_.join(marks.select("sid", "fp", "n", "parts"), "sid"), least, within, before), "near-pairs")
+        before = within
+        more = _confirmed(pairs, docs, marks, width, least)
+        # A class is its star from here on.
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        links = stage_table(stars.unionByName(more), "near-linked")
+        for done in (open_, pairs, more, roots, linked):
+            drop_staged(done)
+        linked = links
     drop_staged(met)
-    pairs = shard_pairs(open_.join(marks.select("sid", "fp", "n"), "sid"), least, radius)
-    return linked.unionByName(_confirmed(stage_table(pairs, "near-pairs"), docs, marks, width, least))
+    return linked
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id: the least id of the documents connected by links; null if all are null."""
     rows = stage_table(shingled(docs, width, least), "near-rows")
-    marks = stage_table(rows.groupBy("sid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("first_doc")), "near-marks")
+    marks = stage_table(rows.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("fp", "n", "parts")], F.min("doc_id").alias("first_doc")), "near-marks")
     roots = stage_table(components(similar_links(docs, rows, marks, width, least, radius), "a", "b"), "near-roots")
     firsts = marks.join(roots, F.col("sid") == F.col("node"), "left")
     firsts = stage_table(firsts.select(F.col("sid").alias("_sid"), "first_doc", F.coalesce("root", "sid").alias("root")), "near-firsts")
     least_doc = firsts.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("component_id"))
     named = firsts.join(least_doc, F.col("root") == F.col("_root")).select("_sid", "component_id")
-    return rows.select("doc_id", "sid").join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id")
+    out = stage_table(rows.select("doc_id", "sid").join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id"), "near-classes")
+    for done in (rows, marks, roots, firsts):
+        drop_staged(done)
+    return out
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
