@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.metaphone import metaphone_code
-from tidemark.functions.similarity import class_overlap, code_similarity, similarity_band
+from tidemark.functions.similarity import class_overlap, code_similarity, pt_phonetic_similarity, similarity_band
 from tidemark.functions.text import pt_phonetic_code, slug, trigrams
 from tidemark.operators.matching import similar_marks, trigram_pairs
 from tidemark.plans.base import SQL_MARK, mark_name, query, sql_jaccard, sql_lcs, sql_pt_code, sql_trigrams
@@ -89,6 +89,25 @@ def metaphone_groups(read):
     return names.select(metaphone_code("name").alias("code"), "rows").groupBy("code").agg(F.sum("rows").alias("n"))
 
 
+# Names with their Metaphone code, and pairs with the better of both phonetic scores.
+_CODES = (("Smith", "SM0"), ("Smyth", "SM0"), ("Knight", "NT"), ("Phone", "FN"), ("Xavier", "SFR"), ("", ""))
+_PAIRS = (("Smith", "Smyth", 100.0), ("Nike", "Adidas", 0.0), ("passo", "paso", 100.0), ("filho", "filo", 100.0), ("", "", 0.0))
+
+
+@query("metaphone_known", f"SELECT * FROM (VALUES {', '.join(map(str, _CODES))}) AS t(name, code)")
+def metaphone_known(read):
+    """The codes of known names."""
+    names = read("region").sparkSession.createDataFrame([(n,) for n, _ in _CODES], "name string")
+    return names.select("name", metaphone_code("name").alias("code"))
+
+
+@query("phonetic_known", f"SELECT a, b, score::DOUBLE AS score FROM (VALUES {', '.join(map(str, _PAIRS))}) AS t(a, b, score)")
+def phonetic_known(read):
+    """The better of the Metaphone and the Portuguese score of known pairs."""
+    pairs = read("region").sparkSession.createDataFrame([p[:2] for p in _PAIRS], "a string, b string")
+    return pairs.select("a", "b", F.greatest(code_similarity(metaphone_code("a"), metaphone_code("b")), pt_phonetic_similarity(F.col("a"), F.col("b"))).alias("score"))
+
+
 @query(
     "class_jaccard",
     f"""SELECT o_orderkey, round(100 * {sql_jaccard('a', 'b')}, 6) AS overlap FROM (SELECT o_orderkey, list_distinct([o_custkey % 5 + 1, o_orderkey % 5 + 1]) AS a, list_distinct([o_orderkey % 3 + 1, 2, o_custkey % 4 + 1]) AS b FROM orders)""",
