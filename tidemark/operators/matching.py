@@ -56,7 +56,11 @@ def similar_marks(items: DataFrame, marks: DataFrame, threshold: int = 40, limit
     rows = marks.where("id is not null").withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep + 1).select(F.col("id").alias("mark_id"), F.col("text").alias("b"), F.col("classes").alias("mark_classes"))
     asked = items.select(F.col("id").alias("item_id"), F.col("text").alias("a"), F.col("classes").alias("item_classes"))
     by_trigram = Window.partitionBy("item_id").orderBy(F.desc("trgm"), "mark_id")
-    candidates = asked.join(pairs, "a").join(rows, "b").where("item_id <> mark_id").withColumn("pos", F.row_number().over(by_trigram)).where(F.col("pos") <= keep)
+    # Texts whose better ones have more rows than the top can hold are left out before ids are joined; equal ones stay together.
+    sized = pairs.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("rows")), "b")
+    upto, equal = Window.partitionBy("a").orderBy(F.desc("trgm")), Window.partitionBy("a", "trgm")
+    near = sized.withColumn("better", F.sum("rows").over(upto) - F.sum("rows").over(equal)).where(F.col("better") <= keep).select("a", "b", "trgm")
+    candidates = asked.join(near, "a").join(rows, "b").where("item_id <> mark_id").withColumn("pos", F.row_number().over(by_trigram)).where(F.col("pos") <= keep)
     phonetic = pt_phonetic_similarity(F.col("a"), F.col("b"))
     if extra_phonetic is not None:
         phonetic = F.greatest(phonetic, extra_phonetic(F.col("a"), F.col("b")))
