@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidemark.llm import vector_dedup
+from tidemark.llm import hard_negatives, vector_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, cell int"
 
@@ -76,3 +76,48 @@ def test_near_vectors_of_a_chain(spark):
 def test_near_vectors_of_odd_tables(spark):
     assert vector_dedup.near_vectors(table(spark, ODD[:1]).limit(0)).count() == 0
     assert [tuple(r) for r in vector_dedup.near_vectors(table(spark, [ODD[1]])).collect()] == [(9001, 0, 9001, True)]
+
+
+def mined(rows, every=10, n_positives=5, n_negatives=5):
+    """Rows of hard_negatives by scoring every pair in whole numbers."""
+    fit = {}
+    for i, e, k in rows:
+        if i is not None and k is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
+            fit.setdefault(i, []).append((k if i % 7 else (k + 1) % 10, len(e), [int(np.floor(256 * float(np.float32(x)))) for x in e] or [0]))
+    out = []
+    for i in (i for i in fit if i % every == 0):
+        label, dim, e = min(fit[i])
+        best = {True: {}, False: {}}
+        for r, versions in fit.items():
+            for k, n, x in versions:
+                if n == dim and not (r == i and k == label):
+                    found = best[k == label].setdefault(r, [])
+                    found.append(max(-(1 << 63), min((1 << 63) - 1, sum(p * q for p, q in zip(e, x, strict=True)))))
+        for ps, p in sorted((-max(s), r) for r, s in best[True].items())[:n_positives]:
+            ranked = sorted((-max(t), r) for r, s in best[False].items() if (t := [v for v in s if 80 * -ps <= 100 * v <= 100 * -ps]))
+            out += [(i, p, n + 1, r, -ps, -s) for n, (s, r) in enumerate(ranked[:n_negatives])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, slice_", [(32_768, 8_192), (3, 40)])
+def test_hard_negatives(spark, block, slice_):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-3, 4, 20) / 8 if i % 3 else rng.standard_normal(20)).tolist(), int(rng.integers(0, 4))) for i in range(400)]
+    rows += [(i + 400, [x + 0.01 for x in e], int(rng.integers(0, 4))) for i, e, _ in rows[:100]] + [r for r in rows[:30]] + [(20, [0.5] * 20, 2), (33, [0.4] * 20, 1)]
+    rows += [(10_000, [1.0], 1), (10_001, [0.5], 1), (10_002, [0.9], 2), (10_010, [], 1), (10_011, [], 1), (10_012, [], 3), (10_020, [9e15, 3e20], 1), (10_021, [9e15, 1.0], 1), (10_023, [8e15, 7.0], 2)]
+    got = hard_negatives.hard_negatives(table(spark, rows + ODD), every=10, block=block, slice_=slice_).collect()
+    want = mined(rows + ODD)
+    assert sorted(tuple(r) for r in got) == want and len(want) > 300
+
+
+def test_segments_bound_every_score():
+    rng = np.random.default_rng(1)
+    for dim in (1, 2, 15, 16, 17, 64, 100):
+        a, b = rng.integers(-256, 256, (2, 30, dim)).astype(float)
+        score = a @ b.T
+        for (ma, da), (mb, db) in zip(*(hard_negatives.levels(*hard_negatives.summaries(x), dim) for x in (a, b)), strict=True):
+            assert (ma @ mb.T - da @ db.T <= score + 1e-6).all() and (score <= ma @ mb.T + da @ db.T + 1e-6).all()
+
+
+def test_hard_negatives_of_an_empty_table(spark):
+    assert hard_negatives.hard_negatives(table(spark, ODD).limit(0)).count() == 0

@@ -139,8 +139,8 @@ def gains(docs: DataFrame, target: DataFrame) -> np.ndarray:
     t = bucket_counts(target).select(F.col("bucket").alias("_t_bucket"), F.col("n").alias("t"))
     every = docs.sparkSession.range(BUCKETS).join(s, F.col("id") == F.col("_s_bucket"), "left").join(t, F.col("id") == F.col("_t_bucket"), "left")
     counts = stage_table(every.select("id", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "bucket-counts")
-    total = counts.agg(F.sum("s").alias("s_all"), F.sum("t").alias("t_all"))
-    rows = counts.join(F.broadcast(total)).select("id", gain(F.col("t"), F.col("t_all"), F.col("s"), F.col("s_all")).alias("gain")).toArrow()
+    s_all, t_all = counts.agg(F.sum("s"), F.sum("t")).first()
+    rows = counts.select("id", gain(F.col("t"), F.lit(t_all), F.col("s"), F.lit(s_all)).alias("gain")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows.column("id").to_numpy()] = rows.column("gain").to_numpy()
     return out

@@ -18,7 +18,7 @@ def finite(vector: str) -> Column:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """The rows of a list column, all of one length, in doubles."""
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), len(column[0]) if len(column) else 0)
 
 
 def keyed_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 4096) -> Iterator[tuple[tuple, pa.RecordBatch]]:
