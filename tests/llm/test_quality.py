@@ -44,3 +44,16 @@ def test_filter_equals_verdicts_and_measures_once(spark, sf_dir):
     assert {r.doc_id for r in kept.collect()} == want and len(want) > 100
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "regexp" not in plan
+
+
+def test_symbol_fences_differ_between_sources(spark):
+    """The same share of symbols passes in a source of short texts with many and fails in one of long texts without."""
+    words = lambda n: " ".join(f"word{j:03d}" for j in range(n))
+    noisy = [(k, words(30 + k % 9) + " #" * (k % 4), "en", "noisy") for k in range(100)]
+    clean = [(200 + k, words(300 + 5 * k), "en", "clean") for k in range(100)]
+    same = [(1000 + k, words(40) + " # #", "en", s) for k, s in enumerate(("noisy", "clean"))]
+    docs = spark.createDataFrame([*noisy, *clean, *same, (1002, words(21), "en", "clean")], "doc_id long, text string, lang string, source string")
+    limits = {r.source: r.quartiles.symbol_share for r in quality.quartile_table(quality_facts(docs)).collect()}
+    assert all(q.q75 > q.q25 for q in limits.values()) and limits["noisy"].q75 > limits["clean"].q75
+    within = quality.quality_verdicts(docs).where("doc_id >= 1000")
+    assert {(r.doc_id, r.kept) for r in within.collect()} == {(1000, True), (1001, False), (1002, True)}

@@ -5,11 +5,11 @@ shares. A sketch of a share is its histogram on a fixed integer grid of ``GRID``
 bins add up, so sketches of partitions, sources or languages merge without error and a rank is off by no
 more than one grid step. Sketched are the documents that pass the base rules.
 
-A document fails a rule if its share lies beyond the fence ``q75 + FENCE * max(q75 - q25, one event)`` of
-its (language, source) sketch (for word length also below the mirrored fence). One event is what a single
-symbol, mark, repeated line or repeated window adds to the share of that very document: where a group has
-no spread (most texts repeat no line), a text may still have ``FENCE`` such events more than its group.
-No rule has a cutoff of its own. A group under ``LEAST_GROUP`` documents uses the merged sketch of its
+A share is smoothed by one event, (count + event) / (size + event): a text of few words without a symbol
+is known less well to be free of them than a long one, so the shares of a group spread even where most of
+its texts have none. A document fails a rule if it has such events and its share lies beyond the fence
+``q75 + FENCE * (q75 - q25)`` of its (language, source) sketch; for word length, which isn't smoothed, also below the mirrored fence.
+Every fence comes from a sketch. A group under ``LEAST_GROUP`` documents uses the merged sketch of its
 language, and a language under it the merged sketch of all.
 
 Windows of one text are compared by 64-bit hashes, which is exact but for collisions within that text.
@@ -32,17 +32,17 @@ MOST_REPEATED = 30
 WINDOW = 8
 LEAST_GROUP = 50
 FENCE = 3
-#: Steps of a sketch's grid; a share beyond it counts in the last step (word length: 50 characters and more).
+#: Steps of a sketch's grid; a share beyond it counts in the last step (one half; word length: 50 characters and more).
 GRID = 5_000
-#: Rule name: (counted, out of, share of one, side, what one event adds to the count). Shares are per mille,
-#: word length is in 1/100 characters; a repeated window adds two windows of words.
+#: Rule name: (counted, out of, share of one, side, one event). Shares are in 1/10,000, word length is in 1/100
+#: characters; a repeated window adds two windows of words.
 RULES = {
-    "symbol_share": ("n_symbols", "word_chars", 1000, "above", 1),
-    "upper_share": ("n_upper", "word_chars", 1000, "above", 1),
-    "mark_share": ("n_marks", "word_chars", 1000, "above", 1),
-    "line_share": ("n_dup_lines", "n_lines", 1000, "above", 1),
-    "repeat_share": ("n_repeat_words", "n_words", 1000, "above", 2 * WINDOW),
-    "word_length": ("word_chars", "n_words", 100, "both", 1),
+    "symbol_share": ("n_symbols", "word_chars", 10_000, "above", 1),
+    "upper_share": ("n_upper", "word_chars", 10_000, "above", 1),
+    "mark_share": ("n_marks", "word_chars", 10_000, "above", 1),
+    "line_share": ("n_dup_lines", "n_lines", 10_000, "above", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 10_000, "above", 2 * WINDOW),
+    "word_length": ("word_chars", "n_words", 100, "both", 0),
 }
 
 
@@ -106,13 +106,8 @@ def text_metrics(text: Column) -> Column:
 
 
 def share_columns(m: str = "") -> dict[str, Column]:
-    """The integer shares of the rules from the metric columns (prefixed ``m``)."""
-    return {r: F.coalesce(F.expr(f"({unit} * {m}{part}) div nullif({m}{whole}, 0)"), F.lit(0)) for r, (part, whole, unit, _, _) in RULES.items()}
-
-
-def event_columns(m: str = "") -> dict[str, Column]:
-    """What one event adds to each share of the document, rounded up."""
-    return {r: F.coalesce(F.expr(f"({unit * event} + {m}{whole} - 1) div nullif({m}{whole}, 0)"), F.lit(0)) for r, (_, whole, unit, _, event) in RULES.items()}
+    """The smoothed integer shares of the rules from the metric columns (prefixed ``m``)."""
+    return {r: F.coalesce(F.expr(f"({unit} * ({m}{part} + {event})) div nullif({m}{whole} + {event}, 0)"), F.lit(0)) for r, (part, whole, unit, _, event) in RULES.items()}
 
 
 def sketches(shares: DataFrame) -> DataFrame:
@@ -156,14 +151,13 @@ def base_failed(m: str = "") -> Column:
 
 def within_fences(quartiles: Column, m: str = "") -> Column:
     """Whether all shares lie within the fences of the document's group (null without quartiles)."""
-    share, event = share_columns(m), event_columns(m)
+    share = share_columns(m)
     found = F.lit(True)
-    for r, (_, _, _, side, _) in RULES.items():
+    for r, (part, _, _, side, _) in RULES.items():
         q25, q75 = quartiles[r]["q25"], quartiles[r]["q75"]
-        room = F.greatest(q75 - q25, event[r]) * FENCE
-        found = found & (share[r] <= q75 + room)
-        if side == "both":
-            found = found & (share[r] >= q25 - room)
+        room = (q75 - q25) * FENCE
+        low = share[r] >= q25 - room if side == "both" else F.lit(True)
+        found = found & ((F.col(f"{m}{part}") == 0) | (low & (share[r] <= q75 + room)))
     return found
 
 
@@ -195,14 +189,13 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 def verdict_sql(table: str) -> str:
     """DuckDB SQL with the rows of quality_verdicts over ``table``."""
-    shares = ", ".join(f"coalesce({unit} * {part} // nullif({whole}, 0), 0) AS {r}" for r, (part, whole, unit, _, _) in RULES.items())
-    events = ", ".join(f"coalesce(({unit * event} + {whole} - 1) // nullif({whole}, 0), 0) AS {r}_one" for r, (_, whole, unit, _, event) in RULES.items())
+    shares = ", ".join(f"coalesce({unit} * ({part} + {event}) // nullif({whole} + {event}, 0), 0) AS {r}" for r, (part, whole, unit, _, event) in RULES.items())
     long = "\nUNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, least({r}, {GRID}) AS v FROM shared WHERE NOT base_failed" for r in RULES)
     ok = []
-    for r, (_, _, _, side, _) in RULES.items():
-        room = f"{FENCE} * greatest(q[2] - q[1], {r}_one)"
+    for r, (part, _, _, side, _) in RULES.items():
+        room = f"{FENCE} * (q[2] - q[1])"
         low = f" AND {r} >= q[1] - {room}" if side == "both" else ""
-        ok.append(f"(SELECT {r} <= q[2] + {room}{low} FROM picked p WHERE p.rule = '{r}' AND p.lang IS NOT DISTINCT FROM s.lang AND p.source IS NOT DISTINCT FROM s.source)")
+        ok.append(f"({part} = 0 OR (SELECT {r} <= q[2] + {room}{low} FROM picked p WHERE p.rule = '{r}' AND p.lang IS NOT DISTINCT FROM s.lang AND p.source IS NOT DISTINCT FROM s.source))")
     return rf"""
 WITH parts AS (SELECT doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
@@ -217,7 +210,7 @@ spans AS (SELECT k, least(8, coalesce(lead(i) OVER (PARTITION BY k ORDER BY i) -
 covered AS (SELECT k, sum(n)::BIGINT AS n FROM spans GROUP BY k),
 metrics AS (SELECT p.doc_id, p.lang, p.source, len(w) AS n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines, n_upper, n_marks FROM parts p LEFT JOIN covered c USING (k)),
-shared AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed, {shares}, {events} FROM metrics),
+shared AS (SELECT *, (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AS base_failed, {shares} FROM metrics),
 long AS ({long}),
 fine AS (SELECT lang, source, rule, quantile_disc(v, [0.25, 0.75]) AS q, count(*) AS n FROM long GROUP BY ALL),
 langs AS (SELECT lang, rule, quantile_disc(v, [0.25, 0.75]) AS q, count(*) AS n FROM long GROUP BY ALL),
