@@ -1,6 +1,9 @@
 """Whole extraction on generated hosts, with and without article elements, against plain line lists."""
 
+import time
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import html
@@ -88,3 +91,66 @@ def test_very_long_pages(spark):
     df = spark.createDataFrame([(1, "http://h/1", site("one")), (2, "http://h/2", site("two"))], "page_id long, url string, html string")
     got = html.extract_pages(df).withColumn("shared", F.expr("text like '%shared%'")).select("page_id", "n_chars", "shared").collect()
     assert {(r.page_id, r.shared, r.n_chars) for r in got} == {(k, False, len(" ".join(f"{n} {j}" for j in range(1, 60_000, 2)))) for k, n in ((1, "one"), (2, "two"))}
+
+
+KEPT = [
+    ("<article><h2 id='discussion'>Why</h2><p>Body one.</p><section id='related-work'>Others did.</section><p class='notice-period'>Thirty days.</p><div class='code-widget'>x = 1</div><p>End.</p></article>", "Why Body one. Others did. Thirty days. x = 1 End."),
+    ("<article><p>a <a href=x title=don't>link</a> tail it's done</p><p>next</p></article>", "a link tail it's done next"),
+    ("<p>a <a href=x title=don't>link</a> tail it's done</p><p>next</p>", "a link tail it's done next"),
+    ("<article class='post comments-open'><h1 class='header'>T</h1><p class='share'>Text.</p><section id='discussion'><h2>Discussion</h2>We say.</section></article>", "T Text. Discussion We say."),
+    ("<main><div class='table-header'>Head</div><div id='notices-of-war'>War.</div><table class='ad-free'><tr><td>1</td></tr></table></main>", "Head War. 1"),
+    ("<article><p>In.</p><div class='ad'>Buy</div><div class='social-share'>Share</div><section class='comments'><h3>Readers</h3>No!</section><article class='comment-7'>Me too</article><aside>Side</aside></article>", "In."),
+    ("<article><p>One <a title=\"x > y\" data-x='>'>two</a> three</p><p title='a=\"b'>four</p><p x=\"un>five</p></article>", "One two three four five"),
+]
+
+
+@pytest.mark.parametrize("page, text", KEPT)
+def test_article_text_is_whole(page, text):
+    assert html.main_text(page, None) == text
+
+
+def plain_extraction(tree):
+    """Text of a tree of (tag, name, children) by plain recursion: what stands in the article and in no dropped element."""
+    out = []
+
+    def walk(node, inside, dropped):
+        tag, name, children = node
+        inside = inside or tag == "article"
+        dropped = dropped or tag in ("nav", "aside", "footer", "form", "script") or name in ("ad", "newsletter", "social-share")
+        for c in children:
+            if isinstance(c, str):
+                out.extend([c] if inside and not dropped else [])
+            else:
+                walk(c, inside, dropped)
+
+    walk(tree, False, False)
+    return " ".join(out)
+
+
+def test_extraction_of_random_trees():
+    """Random nested pages against the recursion above."""
+    rng = np.random.default_rng(9)
+    tags = ["div", "section", "ul", "nav", "aside", "footer", "form", "div", "div", "blockquote"]
+    names = ["", "", "ad", "body-text", "related-work", "newsletter", "notice-period", "social-share"]
+    number = iter(range(10**6))
+
+    def tree(depth):
+        tag = str(rng.choice(tags)) if depth else "div"
+        name = str(rng.choice(names)) if tag == "div" else ""
+        kids = [tree(depth + 1) if depth < 4 and rng.random() < 0.5 else ("p", "", [f"text {next(number)}"]) for _ in range(int(rng.integers(1, 4)))]
+        return tag, name, kids
+
+    def written(node):
+        tag, name, children = node
+        return f"<{tag}{f' class={name}' if name else ''}>" + "".join(c if isinstance(c, str) else written(c) for c in children) + f"</{tag}>"
+
+    for _ in range(300):
+        page = ("body", "", [tree(1), ("article", "", [("h1", "", ["Title"]), tree(1), tree(1)]), ("footer", "", ["end"])])
+        assert html.main_text(written(page), None) == plain_extraction(page)
+
+
+@pytest.mark.parametrize("part", ["<span>x</i>", "</i>", "<div><b>", "<p><span>", "<li><i>", "<a title=don't", "<a x=\"", "<ul><li>", "<header><i>x"])
+def test_odd_markup_takes_linear_time(part):
+    began = time.time()
+    html.main_text("<article>" + part * (1_000_000 // len(part)), None)
+    assert time.time() - began < 8

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,33 +49,50 @@ HINTS = frozenset(
 )
 HEADER_HINTS = frozenset("header topbar".split())
 COMMENTS = frozenset("comment comments respond reply replies disqus discussion".split())
+#: Elements that a hint can take out of an article: never its headings and paragraphs, and a section only for readers' comments.
+CONTAINERS = frozenset("div ul ol dl table span ins a details".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
 
 #: Largest table of an alignment that is kept whole, in bits (1 MiB).
 TABLE_BITS = 8 << 20
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*(?<!/)>.*?(?:</(?P=raw)\b[^>]*(?:>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_ATTR = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _marks(attrs: str) -> tuple[set[str], bool]:
-    """Words of class and id; whether the element is hidden or has a role outside the article."""
-    words: set[str] = set()
+def _marks(attrs: str) -> tuple[list[set[str]], bool]:
+    """The words of each class and id; whether the element is hidden or has a role outside the article."""
+    names: list[set[str]] = []
     out = False
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name in ("class", "id"):
-            words.update(w.lower() for w in _NAME_WORDS.findall(value))
+            names += [{w.lower() for w in _NAME_WORDS.findall(v)} for v in value.split()]
         elif name == "role":
             out |= value.strip().lower() in DROPPED_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             out = True
-    return words, out
+    return [n for n in names if n], out
+
+
+def _hinted(tag: str, names: list[set[str]], article: bool, hints: frozenset[str]) -> bool:
+    """Whether the names say that the element is not the article.
+
+    Inside an article, and on blocks of text, only a name that consists of hints counts (``related-work`` does not).
+    """
+    if tag in ("html", "body") or not names:
+        return False
+    if tag in ("article", "main") or (article and tag == "section"):
+        return any(n <= COMMENTS - {"discussion"} for n in names)
+    if article:
+        return tag in CONTAINERS and any(n <= hints for n in names)
+    return any(n <= hints for n in names) if tag in TEXT_BLOCKS else any(n & hints for n in names)
 
 
 def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
@@ -83,6 +101,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
     stack: list[tuple[str, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False)]
     lines: list[tuple[str, bool, bool]] = []
     held: list[tuple[str, bool]] = []
+    opened: Counter[str] = Counter()
     inside = item = False
 
     def flush() -> None:
@@ -95,14 +114,15 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
     def pop_to(k: int) -> None:
         if any(x[0] in BLOCK for x in stack[k:]):
             flush()
+        opened.subtract(x[0] for x in stack[k:])
         del stack[k:]
 
     def put(text: str) -> None:
         nonlocal inside, item
         top = stack[-1]
-        if text and not top[1] and not (top[4] and not any(x[0] in HEADINGS for x in stack)):
+        if text and not top[1] and not (top[4] and not any(opened[h] for h in HEADINGS)):
             if not held:
-                inside, item = top[3], any(x[0] == "li" for x in stack)
+                inside, item = top[3], opened["li"] > 0
             held.append((text, top[5]))
 
     source = html or ""
@@ -114,10 +134,8 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
         if not tag:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            if opened[tag] > 0:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in BLOCK:
             flush()
@@ -126,24 +144,26 @@ def page_lines(html: str | None) -> list[tuple[str, bool, bool]]:
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             # An open paragraph or item ends where the next block or item begins.
             ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
+            may_end = (tag in CLOSES_P and opened["p"] > 0) or any(opened[e] > 0 for e in ends)
+            for k in range(len(stack) - 1 if may_end else 0, 0, -1):
                 if stack[k][0] in ends or stack[k][0] == "p" and tag in CLOSES_P:
                     pop_to(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "article", "main", "section", "div", "body"):
                     break
         _, dropped, soft, article, header, link = stack[-1]
-        words, out = _marks(m["attrs"]) if m["attrs"].strip() else (set(), False)
+        names, out = _marks(m["attrs"]) if m["attrs"].strip() else ([], False)
         own = tag in ("article", "main")
-        hinted = tag not in ("html", "body") and bool(words & (COMMENTS if own else HINTS))
+        hinted = _hinted(tag, names, article, HINTS)
         if own and not hinted and not out:
             article = True
             dropped, soft = dropped and not soft, False
-        header = (header or tag == "header" or bool(words & HEADER_HINTS and tag not in ("html", "body", "article", "main") and tag not in HEADINGS)) and not (own and not hinted)
+        header = (header or tag == "header" or (not own and tag not in HEADINGS and _hinted(tag, names, article, HEADER_HINTS))) and not (own and not hinted)
         if tag in DROPPED or out or (tag == "header" and not article):
             dropped, soft = True, False
         elif hinted and not dropped:
-            dropped, soft = True, not (words & COMMENTS)
+            dropped, soft = True, not any(n & COMMENTS for n in names)
+        opened[tag] += 1
         stack.append((tag, dropped, soft, article, header, link or tag == "a"))
     put(source[at:])
     flush()
