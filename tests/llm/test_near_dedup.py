@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tidemark.llm import jaccard
 from tidemark.llm.jaccard import near_dedup, similar_classes
 
 
@@ -44,3 +45,34 @@ def test_near_dedup_finds_every_edited_copy(spark):
     assert {r.doc_id: r.component_id for r in similar_classes(docs).collect()} == {k + 1: r + 1 for k, r in enumerate(want)}
     assert {r.doc_id for r in near_dedup(docs).collect()} == {r + 1 for r in want}
     assert near_dedup(docs.limit(0)).count() == 0
+
+
+def test_hot_fingerprint_is_paired_in_slices(monkeypatch):
+    """20,000 sets of one fingerprint in one class, ten in others: only pairs across classes are listed, in bounded slices."""
+    monkeypatch.setattr(jaccard, "PAIRED", 1 << 14)
+    size = np.array([20_000, 1, 1, 8])
+    start = np.cumsum(size) - size
+    x, y = (np.array(v) for v in ([0, 1, 3], [1, 2, 0]))
+    got = list(jaccard._crossed(start[x], size[x], start[y], size[y]))
+    pairs = np.concatenate([np.stack(p) for p in got], axis=1)
+    assert pairs.shape[1] == 20_000 + 1 + 160_000 and len(set(map(tuple, pairs.T.tolist()))) == pairs.shape[1]
+    assert max(len(a) for a, _ in got) <= 160_000 and (pairs[0][:20_000] == np.arange(20_000)).all()
+
+
+def test_hot_group_over_chunks_and_parts(spark, monkeypatch):
+    """Near copies of one text in many chunks and parts, beside other texts that share a passage."""
+    rng = np.random.default_rng(12)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        copy = list(base)
+        copy[int(rng.integers(0, 120))] = f"x{k}"
+        texts.append(" ".join(copy))
+    for k in range(10):
+        texts.append(" ".join([f"o{k}v{j}" for j in range(90)] + base[:12]))
+        texts.append(" ".join([f"o{k}v{j}" for j in range(89)] + ["z"] + base[:12]))
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    for name, value in (("shard_pairs", {"chunk": 16}), ("_confirmed", {"part": 8})):
+        monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), v=value: f(*a, **v))
+    assert {r.doc_id: r.component_id for r in similar_classes(docs).collect()} == {k + 1: r + 1 for k, r in enumerate(brute(texts))}

@@ -90,14 +90,14 @@ def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def in_chunks(keyed: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+def in_chunks(keyed: DataFrame, keys: list[str], chunk: int = CHUNK, by: str = "fp") -> DataFrame:
     """The rows with low, high and side: a shard over ``chunk`` rows is cut, and each pair of its chunks is a group.
 
-    side 0: in the group's tree and a query; 1: in the tree; 2: a query. Rows of one ``fp`` share a chunk.
+    side 0: in the group's tree and a query; 1: in the tree; 2: a query. Rows of one ``by`` share a chunk.
     """
     big = keyed.groupBy(*keys).count().where(F.col("count") > chunk)
     big = stage_table(big.select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "shards-big")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
     meets = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(
             F.least(c, own).alias("low"), F.greatest(c, own).alias("high"), F.when(c == own, 0).when(own < c, 1).otherwise(2).alias("side")))

@@ -1,7 +1,7 @@
 """Near-duplicate documents: SimHash fingerprints searched with BK-trees, confirmed by exact Jaccard similarity.
 
 Fingerprints are those of the sets of five-word shingles. At Jaccard 0.8 two of them differ in about 10 of
-64 bits with a deviation of 3, so ``RADIUS`` 24 loses about one such pair in ten million; but a tree of all
+64 bits with a deviation of 3, so ``RADIUS`` 24 loses about one such pair in ten million among long texts (of sets of 4 and 5 shingles, one pair in 8,000); but a tree of all
 fingerprints prunes nothing at that radius. So the trees are sharded by rare shingles: two sets with
 Jaccard t or more share one of the n - ceil(t n) + 1 first shingles of either, in any order that is the same
 for all. The order puts rare shingles first, by counts of ``BUCKETS`` hash buckets, which merge by addition.
@@ -44,6 +44,10 @@ CHUNK = 1024
 PARTS = 128
 #: Pairs whose parts are compared at a time.
 COMPARED = 1 << 15
+#: Pairs that are listed at a time; a group's pairs are at most the square of a chunk.
+PAIRED = 1 << 20
+#: Pairs of one set that are confirmed in one task.
+PART = 512
 BUCKETS = 1 << 20
 #: Slack of comparisons of shares.
 EPS = 1e-9
@@ -145,19 +149,54 @@ def sets_of(asked: DataFrame, docs: DataFrame, marks: DataFrame, width: int) ->
     return texts.mapInArrow(run, "sid long, grams array<long>").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, least: float) -> DataFrame:
-    """Staged: the pairs (a, b) with a Jaccard similarity of ``least`` or more."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int, least: float, part: int = PART) -> DataFrame:
+    """Staged: the pairs (a, b) with a Jaccard similarity of ``least`` or more.
+
+    A set ``a`` of many pairs goes to one task for each ``part`` of them, once, and the sets of the ``b`` stream past it.
+    """
     asked = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "near-asked")
     known = stage_table(sets_of(asked, docs, marks, width), "near-sets")
-    left, right = known.select(F.col("sid").alias("a"), F.col("grams").alias("x")), known.select(F.col("sid").alias("b"), F.col("grams").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    out = stage_table(sized.where(F.col("both") >= least * (F.col("sum") - F.col("both")) - EPS).select("a", "b"), "near-links")
-    for done in (known, asked):
+    sizes = stage_table(pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("salts")), "near-sizes")
+    held = known.join(sizes, F.col("sid") == F.col("_a")).select(F.col("sid").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "grams")
+    salted = pairs.join(sizes, F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    met = salted.join(known, F.col("b") == F.col("sid")).select("a", "salt", "b", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, np.zeros(0, np.int64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for k, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                grams = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                if b is None:
+                    now, own = (a, salt), grams
+                elif now == (a, salt):
+                    both = len(np.intersect1d(own, grams, assume_unique=True))
+                    if both >= least * (len(own) + len(grams) - both) - EPS:
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    streamed = held.unionByName(met).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    out = stage_table(streamed.mapInArrow(run, "a long, b long"), "near-links")
+    for done in (known, asked, sizes):
         drop_staged(done)
     return out
 
 
+def _crossed(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the runs a[i], a[i] + 1, ... (size_a[i] of them) with those of b[i], in slices of about ``PAIRED`` pairs."""
+    times = size_a * size_b
+    ends = np.cumsum(times)
+    at = 0
+    while at < len(times):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRED, "right")))
+        own = times[at:stop]
+        pair = np.repeat(np.arange(at, stop), own)
+        step = np.arange(len(pair)) - np.repeat(np.cumsum(own) - own, own)
+        yield a[pair] + step // size_b[pair], b[pair] + step % size_b[pair]
+        at = stop
+
+
 def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of sets of different classes within the radius, but beyond ``beyond``, that may be similar.
 
@@ -165,7 +204,7 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
     """
     names = [f"p{k}" for k in range(PARTS // 8)]
     flat = shards.select("g", "sid", "fp", "n", "root", *[F.get("parts", F.lit(k)).alias(name) for k, name in enumerate(names)])
-    spread = in_chunks(flat, ["g"], chunk).repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "fp")
+    spread = in_chunks(flat, ["g"], chunk, by="sid").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "side", "fp", "root")
 
     def similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
         """Whether the sets may be: |A - B| + |B - A| <= (1 - t) / (1 + t) * (|A| + |B|)."""
@@ -180,8 +219,12 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
         for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root", *names), 3):
             side, fp, sid, n, root = rows[3:8]
             parts = np.ascontiguousarray(rows[8:].T).view(np.uint8)
-            start = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (fp[1:] != fp[:-1])])
-            size = np.diff(np.r_[start, len(fp)])
+            # Runs of one fingerprint on one side of a group, and in them runs of one class: pairs of runs of one class are skipped whole.
+            turn = (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])
+            start = np.flatnonzero(np.r_[True, turn])
+            cell = np.flatnonzero(np.r_[True, turn | (root[1:] != root[:-1])])
+            cell_size, first_cell = np.diff(np.r_[cell, len(fp)]), np.searchsorted(cell, start)
+            cells = np.diff(np.r_[first_cell, len(cell)])
             bits = np.ascontiguousarray(fp[start]).view(np.uint64)
             tree, asks = np.flatnonzero(side[start] != 2), np.flatnonzero(side[start] != 1)
             if not len(tree) or not len(asks):
@@ -190,16 +233,15 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
                 one, two = asks[q], tree[item]
                 kept = ((one <= two) | (side[start][one] == 2)) & (np.bitwise_count(bits[one] ^ bits[two]) > beyond)
                 one, two = one[kept], two[kept]
-                # Every set of the one fingerprint with every set of the other.
-                times = size[one] * size[two]
-                pair = np.repeat(np.arange(len(one)), times)
-                step = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times)
-                a, b = start[one][pair] + step // size[two][pair], start[two][pair] + step % size[two][pair]
-                near = np.flatnonzero((root[a] != root[b]) & (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS))
-                near = near[similar(a[near], b[near], n, parts)]
-                a, b = sid[a[near]], sid[b[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                for x, y in _crossed(first_cell[one], cells[one], first_cell[two], cells[two]):
+                    apart = root[cell[x]] != root[cell[y]]
+                    x, y = x[apart], y[apart]
+                    for a, b in _crossed(cell[x], cell_size[x], cell[y], cell_size[y]):
+                        near = np.flatnonzero(np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS)
+                        near = near[similar(a[near], b[near], n, parts)]
+                        a, b = sid[a[near]], sid[b[near]]
+                        if len(a):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return spread.mapInArrow(run, "a long, b long").distinct()
 
