@@ -1,5 +1,8 @@
 """Damaged, missing, added and repeated records against a comparison of the records themselves."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,34 @@ def test_only_mismatching_branches_are_read(good, monkeypatch):
     a, b = (warc.tree_levels(warc.digests(x)) for x in (good, bad))
     for one, two in zip(a, b, strict=True):
         assert one.exceptAll(two).count() == 1
+
+
+def strict_records(raw):
+    """The records of an archive, read as the format demands: header fields and block of each."""
+    out = []
+    while raw:
+        head, raw = raw.split(b"\r\n\r\n", 1)
+        first, *lines = head.decode("utf-8").split("\r\n")
+        assert first == "WARC/1.1" and all(re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+: [^\x00-\x1f\x7f]+", x) for x in lines), head
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert len(fields) == len(lines) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(fields)
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", fields["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        assert re.fullmatch(r"[a-z]+:(?:[A-Za-z0-9;/?:@&=+$,_.!~*'()\[\]#-]|%[0-9A-F]{2})+", fields["WARC-Target-URI"]), fields
+        n = int(fields["Content-Length"])
+        block, end, raw = raw[:n], raw[n : n + 4], raw[n + 4 :]
+        assert end == b"\r\n\r\n" and fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        out.append((fields, block))
+    return out
+
+
+def test_records_pass_a_strict_reader(spark, good):
+    odd = [(1, "http://h/a b\r\nWARC-Type: x", "one"), (1, "http://h/a b\r\nWARC-Type: x", "one"), (2, "http://h/\u00fc?q=<1>#\"", "\r\n\r\nWARC/1.1"), (3, "", ""), (None, None, None), (4, "http://h/100%25", "x" * 100_000)]
+    made = warc.archives(spark.createDataFrame(odd, "page_id long, url string, html string"), 4)
+    for replica, n in ((made, 6), (good, 48)):
+        files = {}
+        for r in sorted(replica.collect(), key=lambda r: (r.archive, r.slot)):
+            files[r.archive] = files.get(r.archive, b"") + bytes(r.record)
+        found = [x for raw in files.values() for x in strict_records(raw)]
+        assert len(found) == n == len({fields["WARC-Record-ID"] for fields, _ in found})
+    uris = {fields["WARC-Target-URI"] for r in made.collect() for fields, _ in strict_records(bytes(r.record))}
+    assert uris == {"http://h/a%20b%0D%0AWARC-Type:%20x", "http://h/%C3%BC?q=%3C1%3E#%22", "about:blank", "http://h/100%25"}

@@ -14,7 +14,10 @@ by id, so that no other record counts as damaged.
 A record's number is its rank by (page_id, url, row), counted over ranges: neither a hot host nor an id
 with a third of all rows outgrows a task or an archive, and equal rows are spread by their row number.
 
-Nulls: a null url or html counts as empty; a null page_id is ordered first. Rows that repeat a page_id are
+Records carry the fields that WARC/1.1 demands: a date, given by the writer, and an id that is a UUID of the record's archive and
+slot, so records of one page are told apart. Bytes of a URL that a URI can't hold are percent-encoded.
+
+Nulls: a null or empty url is ``about:blank``, a null html counts as empty; a null page_id is ordered first. Rows that repeat a page_id are
 records of their own, told apart by their order. Empty replicas have no archive and audit clean.
 Very long pages are hashed whole. Other columns, whatever their names, are ignored.
 """
@@ -29,29 +32,41 @@ from tidemark.llm.common import in_ranges, read_table, running_sums, stage_table
 FANOUT = 16
 LEVELS = 4
 ARCHIVE_RECORDS = 2_000
+#: When the pages were fetched, if the writer isn't told.
+DATE = "2026-01-01T00:00:00Z"
+#: A character that a URI may hold.
+URI = r"[\x21\x23-\x3B\x3D\x3F-\x5B\x5D\x5F\x61-\x7A\x7E]"
+
+
+def target_uri(url: Column) -> Column:
+    """The URL with every byte that a URI can't hold percent-encoded."""
+    escaped = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(URI), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")))
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit("about:blank")).when(url.rlike(f"^{URI}+$"), url).otherwise(F.array_join(escaped, ""))
 
 
-def warc_record(page_id: Column, url: Column, html: Column) -> Column:
-    """The bytes of a WARC/1.1 response record."""
+def warc_record(record_id: Column, url: Column, html: Column, date: str = DATE) -> Column:
+    """The bytes of a WARC/1.1 response record; ``record_id`` names it among all records."""
     body = F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce(html, F.lit(""))), "UTF-8")
+    uuid = F.regexp_replace(F.md5(record_id), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nWARC-Block-Digest: sha256:"), F.sha2(body, 256),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), target_uri(url),
+        F.lit("\r\nWARC-Block-Digest: sha256:"), F.sha2(body, 256),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(F.encode(head, "UTF-8"), body, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
 
 
-def archives(pages: DataFrame, size: int = ARCHIVE_RECORDS) -> DataFrame:
-    """Written archives: archive, slot, key (page_id) and record (bytes). The bytes are shuffled once, into their order."""
-    record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select(F.col("page_id").alias("key"), F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("row"), record.alias("record"))
+def archives(pages: DataFrame, size: int = ARCHIVE_RECORDS, date: str = DATE) -> DataFrame:
+    """Written archives: archive, slot, key (page_id) and record (bytes). The pages are shuffled once, into their order."""
+    rows = pages.select(F.col("page_id").alias("key"), F.coalesce("url", F.lit("")).alias("url"), F.monotonically_increasing_id().alias("row"), "html")
     placed, part, place = in_ranges(rows, [F.col("key"), F.col("url"), F.col("row")], "warc-records")
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(F.col(part).alias("_range"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     starts = stage_table(starts, "warc-starts")  # one row a range
     number = F.col("start") + F.col(place)
-    return placed.join(starts, F.col(part) == F.col("_range")).select(F.floor(number / size).alias("archive"), (number % size).cast("int").alias("slot"), "key", "record")
+    slots = placed.join(starts, F.col(part) == F.col("_range")).select(F.floor(number / size).alias("archive"), (number % size).cast("int").alias("slot"), "key", "url", "html")
+    record = warc_record(F.concat_ws("/", F.col("archive").cast("string"), F.col("slot").cast("string")), F.col("url"), F.col("html"), date)
+    return slots.select("archive", "slot", "key", record.alias("record"))
 
 
 def digests(archived: DataFrame) -> DataFrame:
@@ -146,10 +161,14 @@ def op3_warc(spark: SparkSession, folder: str, every: int = 97) -> DataFrame:
     return audit(made, decayed(made, every)).select(F.col("key").alias("page_id"), "length", "digest", "corrupt")
 
 
-SQL = r"""
-WITH bodies AS (SELECT page_id, coalesce(url, '') AS url, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
-made AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(body) || chr(13) || chr(10) || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+SQL = rf"""
+WITH bodies AS (SELECT page_id, coalesce(url, '') AS url, row_number() OVER (ORDER BY page_id NULLS FIRST, coalesce(url, '')) - 1 AS n,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') AS body FROM pages),
+made AS (SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:uuid:' || regexp_replace(md5((n // {ARCHIVE_RECORDS}) || '/' || (n % {ARCHIVE_RECORDS})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\1-\2-\3-\4-') || '>' || chr(13) || chr(10)
+    || 'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || CASE WHEN url = '' THEN 'about:blank'
+        ELSE array_to_string(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '{URI}') THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') END), '') END || chr(13) || chr(10)
+    || 'WARC-Block-Digest: sha256:' || sha256(body) || chr(13) || chr(10) || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
     || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM bodies)
 SELECT page_id, strlen(record)::BIGINT AS length, sha256(record) AS digest, coalesce(('0x' || substr(md5(page_id::VARCHAR), 1, 8))::BIGINT % 97 = 0, false) AS corrupt FROM made"""
 
