@@ -10,7 +10,9 @@ from tidemark.functions.records import TRACKED_FIELDS, named_parties, snapshot
 from tidemark.functions.text import truncated
 from tidemark.operators.merge import merge_in_order
 from tidemark.plans.base import query
+from tidemark.sources.envelopes import registered
 from tidemark.sources.registry import detail, poll
+from tidemark.sources.staging import shared_path
 
 _PAGE = 50
 
@@ -32,6 +34,45 @@ def paged_records(read):
     return records.select("page", "place", number.alias("number"), name.alias("word_mark"))
 
 
+_PER_FILE = 16
+
+
+def _written(read) -> str:
+    """The pages as an archive of envelopes in the shared folder, some pages a file."""
+    pages = _pages(read).withColumn("file", F.floor(F.col("page") / _PER_FILE))
+    path = shared_path(pages.sparkSession, "envelopes")
+    pages.repartition("file").sortWithinPartitions("file", "page").select("file", "body").write.partitionBy("file").text(path)
+    return path
+
+
+_RECORDS = f"SELECT p_partkey // {_PAGE} AS page, p_partkey % {_PAGE} AS place, p_partkey::VARCHAR AS number, p_name AS word_mark FROM part"
+
+
+def _opened(records):
+    return records.select("page", "place", "number", F.try_variant_get(F.parse_json("record"), "$.wordMark", "string").alias("word_mark"))
+
+
+@query("registry_records", f"{_RECORDS} WHERE p_partkey // {_PAGE} >= 2")
+def registry_records(read):
+    """The registry as a data source, read in parallel runs of pages; the first two pages aren't asked for."""
+    path = _written(read)
+    spark = registered(read("part").sparkSession)
+    return _opened(spark.read.format("registry").option("size", _PAGE).option("pagesPerFile", _PER_FILE).load(path).where("page >= 2"))
+
+
+@query("registry_stream", _RECORDS)
+def registry_stream(read):
+    """Polls of the data source as a stream with a cap, each a new run from the same checkpoint, until no page is left."""
+    path = _written(read)
+    spark = registered(read("part").sparkSession)
+    pages = _pages(read).count()
+    out, offsets, progress = (shared_path(spark, name) for name in ("registry-rows", "registry-offsets", "registry-progress"))
+    for _ in range(3):
+        stream = spark.readStream.format("registry").options(size=_PAGE, pagesPerFile=_PER_FILE, maxPages=-(-pages // 3), progress=f"{progress}/page.json").load(path)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+    return _opened(spark.read.schema(stream.schema).parquet(out))
+
+
 @query(
     "poll_outcomes",
     f"""WITH n AS (SELECT max(p_partkey) // {_PAGE} + 1 AS pages FROM part), caps AS (SELECT unnest([1, 20, 1000000]) AS max_pages)
