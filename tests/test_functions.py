@@ -13,7 +13,6 @@ from tidemark.functions import text as T
 from tidemark.functions.metaphone import metaphone
 from tidemark.functions.records import goods_terms, int_list, parsed, source_id
 from tidemark.operators.bulletin import NUMBER, SPACED_NUMBER, page_events
-from tidemark.operators.latest import fixed_windows, fold_in_order, kept_after_gap
 from tidemark.operators.merge import merge, merge_in_order, snapshot_diff, versions
 from tidemark.sources.documents import pages_of
 from tidemark.sources.registry import detail, fixture_search, page_size, poll, read_pages, search_expression
@@ -170,34 +169,3 @@ def test_merge_in_order(spark):
         outcome = "created" if old is None else "updated" if old != state[k] else "unchanged"
         count[k] = count.get(k, 0) + (outcome != "unchanged")
         assert got[n] == (*state[k], outcome, count[k])
-
-
-def test_folds_over_batches(spark):
-    """One key with many rows and many keys with few, in batches of seven rows, against plain loops."""
-    rng = random.Random(5)
-    rows = [(1 if k % 2 else rng.randrange(30), rng.choice(["a", None]), rng.randrange(3000)) for k in range(900)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        df = spark.createDataFrame(rows, "id int, kind string, t long")
-        kept = fold_in_order(df, ["id", "kind"], "t", ["t"], "at long", kept_after_gap(50)).collect()
-        windows = fold_in_order(df, ["id"], "t", ["t"], "opened long, n long", fixed_windows(40)).collect()
-        states = fold_in_order(df.select("id", F.col("t"), F.lit("renewal_due").alias("e")), ["id"], "e", ["t"], "status string", D.status_fold("active")).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    want_kept, want_windows = [], []
-    for key in {r[:2] for r in rows}:
-        last = None
-        for t in sorted(r[2] for r in rows if r[:2] == key):
-            if last is None or t - last > 50:
-                want_kept.append((*key, t))
-                last = t
-    for key in {r[0] for r in rows}:
-        opened = None
-        for t in sorted(r[2] for r in rows if r[0] == key):
-            if opened is None or t >= opened + 40:
-                want_windows.append([key, t, 0])
-                opened = t
-            want_windows[-1][2] += 1
-    assert sorted(map(tuple, kept), key=str) == sorted(want_kept, key=str) and sorted(map(tuple, windows)) == sorted(map(tuple, want_windows))
-    assert {tuple(r) for r in states} == {(k, "renewal_period") for k in {r[0] for r in rows}}
-    assert fold_in_order(df.limit(0), ["id"], "t", ["t"], "at long", kept_after_gap(50)).count() == 0

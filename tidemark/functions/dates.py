@@ -89,20 +89,6 @@ def next_status(status: Column, event: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.concat_ws("|", state, F.lower(F.trim(event)))), state)
 
 
-def status_fold(start: str):
-    """Fold of a mark's ordered events, for operators.latest: its state at the end."""
-
-    def fold(state: str | None, events) -> tuple:
-        state = start if state is None else state
-        if events is None:
-            return state, [(state,)]
-        for e in events:
-            state = TRANSITIONS.get((state, (e or "").strip().lower()), state)
-        return state, []
-
-    return fold
-
-
 def retry_delay(attempt: Column, key: Column) -> Column:
     """Seconds to the next try: 2^attempt up to an hour, and a jitter that the row fixes."""
     return F.least(F.lit(3600.0), F.pow(F.lit(2.0), F.least(attempt, F.lit(10))) + F.conv(F.substring(F.md5(F.concat_ws(":", attempt.cast("string"), key.cast("string"))), 1, 6), 16, 10).cast("long") % 31)

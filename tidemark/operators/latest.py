@@ -1,11 +1,7 @@
-"""Latest row per key, and folds over ordered events that hold one batch at a time."""
+"""Latest row per key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,85 +9,3 @@ from pyspark.sql import functions as F
 def latest(df: DataFrame, keys: list[str], order: list[Column], name: str = "_r") -> DataFrame:
     """The first row of each key by ``order`` (a total order makes it deterministic)."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) == 1).drop(name)
-
-
-def fold_in_order(rows: DataFrame, keys: list[str], value: str, order: list[str], out: str, fold: Callable) -> DataFrame:
-    """Fold each key's values in order; ``out`` is the schema of what a fold gives.
-
-    ``fold(state, values)`` gives the next state and a list of tuples; values are an array of what has arrived,
-    or None at the key's end; the state of a new key is None. A task gets whole keys, sorted by Spark, and
-    holds a batch of rows and one state; a key's history is never collected into a row. A key with many
-    rows makes its task long, not large.
-    """
-    schema = ", ".join([*[f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys], out])
-    names = [part.split()[0] for part in schema.split(", ")]
-    cols = list(dict.fromkeys([*keys, value, *order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-
-        def closed(found: list[tuple]) -> list[tuple]:
-            return found if key is None else [*found, *((*key, *row) for row in fold(state, None)[1])]
-
-        kinds: list[pa.DataType] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            kinds = [b.column(k).type for k in keys]
-            codes = np.stack([b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys])
-            cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
-            values = b.column(value).to_numpy(zero_copy_only=False)
-            found: list[tuple] = []
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                own = tuple(b.column(k)[start].as_py() for k in keys)
-                if own != key:
-                    found = closed(found)
-                    key, state = own, None
-                state, rows_out = fold(state, values[start:stop])
-                found += [(*key, *row) for row in rows_out]
-            if found:
-                yield _batch(found, names, kinds)
-        if last := closed([]):
-            yield _batch(last, names, kinds)
-
-    return rows.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
-def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], *[pa.array(c) for c in columns[len(kinds) :]]], names)
-
-
-def kept_after_gap(gap: int) -> Callable:
-    """Fold of ascending times: those more than ``gap`` after the last one kept."""
-
-    def fold(last: int | None, times: np.ndarray | None) -> tuple:
-        out = []
-        at = 0 if last is None or times is None else int(np.searchsorted(times, last + gap, "right"))
-        while times is not None and at < len(times):
-            last = int(times[at])
-            out.append((last,))
-            at = int(np.searchsorted(times, last + gap, "right"))
-        return last, out
-
-    return fold
-
-
-def fixed_windows(length: int) -> Callable:
-    """Fold of ascending times: (opened, n); a window opens at the first time outside of the last one and lasts ``length``."""
-
-    def fold(state: tuple | None, times: np.ndarray | None) -> tuple:
-        if times is None:
-            return None, [state]
-        out, at = [], 0
-        while at < len(times):
-            opened, n = state or (int(times[at]), 0)
-            end = int(np.searchsorted(times, opened + length, "left"))
-            state = (opened, n + max(0, end - at))
-            at = max(at, end)
-            if at < len(times):
-                out.append(state)
-                state = None
-        return state, out
-
-    return fold

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import retry_delay
-from tidemark.operators.latest import fold_in_order, kept_after_gap
+from tidemark.operators.blocks import greedy_windows
 
 DAY_MICROS = 24 * 3600 * 1_000_000
 MAX_ATTEMPTS = 5
@@ -25,8 +25,8 @@ def without_denied(marks: DataFrame, key: str, sources: DataFrame, deny: list[st
 
 def suppress_repeats(alerts: DataFrame, keys: list[str], ts: str, gap_micros: int = DAY_MICROS) -> DataFrame:
     """keys and the times (micros) of the alerts that are emitted: more than the gap after the last emitted one."""
-    times = alerts.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("micros")).where("micros is not null")
-    return fold_in_order(times, keys, "micros", ["micros"], "emitted_micros long", kept_after_gap(gap_micros))
+    windows = greedy_windows(alerts, keys, F.unix_micros(F.col(ts).cast("timestamp")), gap_micros + 1)
+    return windows.select(*keys, F.col("opened").alias("emitted_micros"))
 
 
 def not_recently_alerted(candidates: DataFrame, alerts: DataFrame, keys: list[str], ts: str, gap_micros: int = DAY_MICROS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import html_escaped
-from tidemark.operators.latest import fixed_windows, fold_in_order
+from tidemark.operators.blocks import greedy_windows
 from tidemark.operators.outbox import claim, enqueue, not_recently_alerted, settle, suppress_repeats, without_denied
 from tidemark.plans.base import query
 
@@ -140,9 +140,9 @@ SELECT user_id, u.opened AS opened_micros, u.n AS n, u.n >= 5 AS locked FROM (SE
 )
 def failed_login_window(read):
     """Fixed windows of 15 minutes from the first failure."""
-    times = read("events").where("event_type = 'error'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    windows = fold_in_order(times, ["user_id"], "micros", ["micros"], "opened_micros long, n long", fixed_windows(900_000_000))
-    return windows.withColumn("locked", F.col("n") >= 5)
+    failed = read("events").where("event_type = 'error'")
+    windows = greedy_windows(failed, ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), 900_000_000)
+    return windows.withColumnRenamed("opened", "opened_micros").withColumn("locked", F.col("n") >= 5)
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates as D
-from tidemark.operators.latest import fold_in_order, latest
+from tidemark.operators.blocks import final_states
+from tidemark.operators.latest import latest
 from tidemark.plans.base import SQL_TODAY, query, today
 
 _REG = "CAST(o_orderdate AS DATE)"
@@ -61,7 +62,7 @@ def status_fsm_fold(read):
     names = {"view": "renewal_due", "click": "payment_received", "purchase": "grace_period_started", "signup": "grace_period_ended", "error": "restoration_requested"}
     event = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in names.items()], F.lit("provisional_refusal"))
     rows = read("events").select("user_id", "ts", "event_id", event.alias("event"))
-    return fold_in_order(rows, ["user_id"], "event", ["ts", "event_id"], "status string", D.status_fold("active"))
+    return final_states(rows, ["user_id"], "event", ["ts", "event_id"], D.TRANSITIONS, "active")
 
 
 @query(
