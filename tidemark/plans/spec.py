@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
+from tidemark.operators.graph import revision_graph
 from tidemark.operators.latest import latest
 from tidemark.plans.base import query, sql_fold
+from tidemark.sources.archive import append_run, drop_expired, read_archive
+from tidemark.sources.staging import shared_path
 
 
 @query("url_discovery", "SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))) AS n_links, coalesce(list_min(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)), '') AS first_link FROM pages")
@@ -141,6 +146,52 @@ def raw_retention(read):
     return read("events").where(F.col("ts") >= F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 20 days")).groupBy(F.trunc(F.to_date("ts"), "month").alias("month")).agg(F.count(F.lit(1)).alias("kept"))
 
 
+_ARCHIVED = "strftime(o_orderdate, '%Y_%m') AS month, 'run-' || (o_orderkey % 2 + 1) AS run, length('{\"status\":\"' || o_orderstatus || '\"}')::INT AS size_chars"
+_AS_OF = dt.date(2001, 3, 20)
+
+
+def _archive(read) -> str:
+    """Two runs append their half of the orders, the second one twice."""
+    orders = read("orders")
+    path = shared_path(orders.sparkSession, "raw")
+    for half in (1, 2, 2):
+        mine = orders.where(F.col("o_orderkey") % 2 + 1 == half).select("o_orderkey", "o_orderdate", F.to_json(F.struct(F.col("o_orderstatus").alias("status"))).alias("body"))
+        append_run(mine, path, f"run-{half}", F.col("o_orderdate"), F.col("body"))
+    return path
+
+
+@query("raw_archive_month", f"SELECT o_orderkey, {_ARCHIVED} FROM orders WHERE o_orderdate >= TIMESTAMP '1997-12-01' AND o_orderdate < TIMESTAMP '1998-01-01'")
+def raw_archive_month(read):
+    """K1, K2: interactions appended by month, idempotently, and one month read back from its own partitions."""
+    return read_archive(read("orders").sparkSession, _archive(read), "1997_12").select("o_orderkey", "month", "run", "size_chars")
+
+
+@query("raw_archive_retained", f"SELECT o_orderkey, {_ARCHIVED} FROM orders WHERE date_trunc('month', o_orderdate) + INTERVAL 1 MONTH > TIMESTAMP '{_AS_OF}' - INTERVAL 90 DAY")
+def raw_archive_retained(read):
+    """What is left after the months that ended 90 days ago or more are dropped."""
+    spark, path = read("orders").sparkSession, _archive(read)
+    drop_expired(spark, path, _AS_OF)
+    return read_archive(spark, path).select("o_orderkey", "month", "run", "size_chars")
+
+
+_PARENT = "CASE WHEN c_custkey % 50 = 1 THEN NULL WHEN c_custkey % 100 IN (10, 20, 70) THEN c_custkey + 1 WHEN c_custkey % 100 IN (11, 21, 71) THEN c_custkey - 1 ELSE c_custkey - 1 - c_custkey % 3 END"
+
+
+@query(
+    "revision_graph",
+    f"""WITH RECURSIVE p AS (SELECT c_custkey AS v, {_PARENT} AS up FROM customer), links AS (SELECT v, up FROM p WHERE up IN (SELECT v FROM p)),
+reach AS (SELECT v, up AS x FROM links UNION SELECT r.v, l.up FROM reach r JOIN links l ON r.x = l.v),
+loops AS (SELECT v AS on_cycle FROM reach WHERE v = x),
+ends AS (SELECT p.v, count(r.x) AS steps, max(r.x) FILTER (r.x NOT IN (SELECT v FROM links)) AS root, min(r.x) FILTER (r.x IN (SELECT on_cycle FROM loops)) AS cycle FROM p LEFT JOIN reach r ON r.v = p.v GROUP BY p.v),
+kids AS (SELECT up, count(*) AS n FROM links GROUP BY up)
+SELECT e.v AS revision, CASE WHEN cycle IS NULL THEN coalesce(root, e.v) END AS root, CASE WHEN cycle IS NULL THEN steps END AS depth, cycle, e.v IN (SELECT on_cycle FROM loops) AS in_cycle,
+    coalesce(n, 0) AS n_children, n IS NULL AS is_head FROM ends e LEFT JOIN kids ON kids.up = e.v""",
+)
+def revision_graph_of_customers(read):
+    """Root, depth, children and cycles of every revision of a chain of parent pointers."""
+    return revision_graph(read("customer").select(F.col("c_custkey").alias("revision"), F.expr(_PARENT).alias("parent")))
+
+
 @query(
     "revision_heads",
     "SELECT c_custkey AS revision FROM customer c WHERE NOT EXISTS (SELECT 1 FROM customer d WHERE d.c_custkey <> c.c_custkey AND (d.c_custkey * 7) % 1000 + 1 = c.c_custkey)",
