@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.outbox import DAY_MICROS
 
@@ -39,3 +40,63 @@ def suppress_repeats(events: DataFrame, gap_micros: int = DAY_MICROS, late: str
     timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     keyed = timed.select("user_id", "event_type", "at", F.unix_micros("at").alias("micros"))
     return keyed.groupBy("user_id", "event_type").applyInPandasWithState(step, "user_id long, event_type string, emitted_micros long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Spark's setting of the state store; the processors below need the one with column families.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FailureWindows(StatefulProcessor):
+    """Windows of ``seconds`` from the first failure of a key; its state is the window that is open.
+
+    Rows of a micro-batch are taken in order of time. A timer at the window's end removes the state once the watermark has passed
+    it, so a key without failures costs nothing. Each batch emits the windows it has counted in, with the count so far.
+    """
+
+    def __init__(self, seconds: int) -> None:
+        self.millis = seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (Spark's names)
+        opened, n = self.window.get() if self.window.exists() else (None, 0)
+        before, out = opened, []
+        for t in sorted(t for b in rows for t in b["micros"].tolist()):
+            if opened is None or t >= opened + self.millis * 1000:
+                if n:
+                    out.append((opened, n))
+                opened, n = t, 0
+            n += 1
+        if opened is None:
+            return
+        out.append((opened, n))
+        self.window.update((opened, n))
+        if before != opened:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(max(self._end(opened), timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "opened_micros": [o for o, _ in out], "n": [n for _, n in out]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+    def _end(self, opened: int) -> int:
+        return -(-opened // 1000) + self.millis
+
+
+def failure_windows(events: DataFrame, seconds: int = 900, late: str = "1 day") -> DataFrame:
+    """(user_id, opened_micros, n): the failures' fixed windows; a window's last row has its final count.
+
+    Start the stream with ``STATE_STORE`` set to ``ROCKS``. A row that comes in a later micro-batch than a newer one counts in
+    the window that is open then; rows beyond ``late`` don't count.
+    """
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    keyed = timed.select("user_id", "at", F.unix_micros("at").alias("micros"))
+    return keyed.groupBy("user_id").transformWithStateInPandas(FailureWindows(seconds), "user_id long, opened_micros long, n long", "Update", "EventTime")
