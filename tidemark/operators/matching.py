@@ -1,8 +1,10 @@
 """Fuzzy matching of marks: an exact trigram join, scores and top-k.
 
 A pair with Jaccard t or more of n trigrams shares one of the n - ceil(t n) + 1 rarest of either side, so
-only those rarest trigrams are joined (prefix filter) and frequent ones never meet. Texts are matched
-once, however many rows have them.
+only those rarest trigrams are joined (prefix filter), as places in the common order, not with their texts. The place of a pair's
+first common trigram bounds how many can follow (position filter); only pairs that may still reach t are compared, once. Texts are
+matched once, however many rows have them. At a low t, where most trigrams are among the rarest, the join makes
+as many rows as there are shared rare trigrams; figures are in the README.
 """
 
 from __future__ import annotations
@@ -20,26 +22,34 @@ def _trigram_texts(texts: DataFrame) -> DataFrame:
 
 
 def _rarest(texts: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(t, gs, g) for the rarest trigrams of each text, as many as the prefix filter needs."""
-    each = texts.select("t", "gs", F.explode("gs").alias("g")).join(frequency, "g", "left")
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("f", F.lit(0)), "g")))
-    n = F.size("gs")
-    return ranked.where(F.col("r") <= n - F.ceil(F.lit(least) * n - 1e-9) + 1).select("t", "gs", "g")
+    """(t, n, g, place) for the rarest trigrams of each text, as many as the prefix filter needs."""
+    each = texts.select("t", F.size("gs").alias("n"), F.explode("gs").alias("g")).join(frequency, "g", "left")
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy(F.coalesce("f", F.lit(0)), "g")))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("t", "n", "g", "place")
 
 
-def trigram_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = True) -> DataFrame:
-    """(a, b, trgm) of the texts t of both sides whose trigram Jaccard is above (or at) ``least`` > 0.
-
-    The trigrams travel with the text; texts whose numbers of trigrams differ too much aren't compared.
-    """
-    left, right = _trigram_texts(left), _trigram_texts(right)
+def candidate_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the texts (t, gs) of both sides that the filters by rarest trigrams, numbers and places leave."""
     frequency = right.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    a = _rarest(left, frequency, least).withColumnsRenamed({"t": "a", "gs": "ga"})
-    b = _rarest(right, frequency, least).withColumnsRenamed({"t": "b", "gs": "gb"})
-    na, nb = F.size("ga"), F.size("gb")
-    met = a.join(b, "g").where(F.least(na, nb) >= F.greatest(na, nb) * least - 1e-9)
-    pairs = met.groupBy("a", "b").agg(F.first("ga").alias("ga"), F.first("gb").alias("gb")).select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("trgm"))
-    return pairs.where(F.col("trgm") > least if strict else F.col("trgm") >= least)
+    a = _rarest(left, frequency, least).toDF("a", "na", "g", "i")
+    b = _rarest(right, frequency, least).toDF("b", "nb", "g", "j")
+    sized = a.join(b, "g").where(F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    first = sized.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("p"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    most = 1 + F.least(F.col("na") - F.col("p.i"), F.col("nb") - F.col("p.j"))
+    return first.where(most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9).select("a", "b")
+
+
+def gram_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = True) -> DataFrame:
+    """(a, b, trgm) of the texts (t, gs) of both sides whose Jaccard is above (or at) ``least`` > 0."""
+    pairs = candidate_pairs(left, right, least)
+    met = pairs.join(left.select(F.col("t").alias("a"), F.col("gs").alias("ga")), "a").join(right.select(F.col("t").alias("b"), F.col("gs").alias("gb")), "b")
+    scored = met.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("trgm"))
+    return scored.where(F.col("trgm") > least if strict else F.col("trgm") >= least)
+
+
+def trigram_pairs(left: DataFrame, right: DataFrame, least: float, strict: bool = True) -> DataFrame:
+    """(a, b, trgm) of the texts t of both sides whose trigram Jaccard is above (or at) ``least`` > 0."""
+    return gram_pairs(_trigram_texts(left), _trigram_texts(right), least, strict)
 
 
 def similar_marks(items: DataFrame, marks: DataFrame, threshold: int = 40, limit: int = 5, prefilter: int = 3, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), extra_phonetic=None) -> DataFrame:
