@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tidemark.llm.bktree import BKForest, in_chunks, whole_groups
-from tidemark.llm.common import drop_staged, free_names, stage_table
+from tidemark.llm.common import ARROW_BYTES, drop_staged, free_names, settings, stage_table
 from tidemark.llm.components import components
 from tidemark.llm.phrases import _rolled, word_hashes
 
@@ -45,7 +45,7 @@ PARTS = 128
 #: Pairs whose parts are compared at a time.
 COMPARED = 1 << 15
 #: Pairs that are listed at a time; a group's pairs are at most the square of a chunk.
-PAIRED = 1 << 20
+PAIRED = 1 << 18
 #: Pairs of one set that are confirmed in one task.
 PART = 512
 BUCKETS = 1 << 20
@@ -177,7 +177,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     streamed = held.unionByName(met).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    out = stage_table(streamed.mapInArrow(run, "a long, b long"), "near-links")
+    with settings(docs.sparkSession, {ARROW_BYTES: "8m"}):  # a set is as large as its document
+        out = stage_table(streamed.mapInArrow(run, "a long, b long"), "near-links")
     for done in (known, asked, sizes):
         drop_staged(done)
     return out
