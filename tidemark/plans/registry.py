@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import alerts, assess, bulletin, contract, ingest, leads, lifecycle, marks, polls, runs, spec, stream
+from tidemark.plans import alerts, assess, bulletin, contract, ingest, leads, lifecycle, marks, polls, rules, runs, spec, stream
 from tidemark.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alerts", "assess", "bulletin", "contract", "ingest", "leads", "lifecycle", "marks", "polls", "runs", "spec", "stream"]
+__all__ = ["ORACLES", "QUERIES", "alerts", "assess", "bulletin", "contract", "ingest", "leads", "lifecycle", "marks", "polls", "rules", "runs", "spec", "stream"]
