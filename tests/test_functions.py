@@ -148,8 +148,7 @@ def test_sources(spark, tmp_path):
     assert search_expression("ab", "PT", [1, 2], "2024") == "wordMark==*ab*;jurisdiction==PT;niceClass=in=(1,2);updateDate=ge=2024"
     marks = spark.createDataFrame([("ACME TECH", "1"), ("SOLARIS", "2")], "word_mark string, application_number string")
     assert fixture_search(marks, "acme").count() == 1 and fixture_search(marks, "zzz").count() == 2
-    assert pages_of("a\fb".encode()) == ["a", "b"] and pages_of(b"") == []
-    assert pages_of(b"%PDF-1.7 garbage") == []
+    assert pages_of("a\fb".encode()) == (["a", "b"], None) and pages_of(b"") == ([], "empty")
 
 
 def test_merge_in_order(spark):

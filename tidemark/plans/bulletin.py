@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators.bulletin import HEADINGS, bulletin_events, route_events
 from tidemark.plans.base import query
+from tidemark.sources.documents import file_pages
 from tidemark.sources.staging import staged
 
 _WORDS = {0: "Despacho de Publicação n. 12", 1: "Concessão do registo", 2: "Recusa provisória", 3: "Renovação", 4: "Texto livre", 5: "Caducidade declarada e Transmissão", 6: "MUDANÇA DE NOME"}
@@ -57,3 +62,40 @@ def routing(read):
     marks = read("lineitem").where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("mark_id")).select(number.alias("application_number"), "mark_id")
     known = found.where("doc_id % 5 = 1").join(marks, "application_number").select("mark_id", "event_type", "event_date")
     return route_events(found, marks, known).select("doc_id", "event_type", "mark_id", "route", "opposition_due")
+
+
+_MAP = zlib.compress(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange")
+
+
+def pdf_of(pages: list[list[str]]) -> bytes:
+    """A PDF file that shows the lines of each page; codes of its font are UTF-16."""
+    def made(number: int, head: str, body: bytes | None = None) -> bytes:
+        return f"{number} 0 obj\n<< {head} >>\n".encode() + (b"" if body is None else b"stream\n" + body + b"\nendstream\n") + b"endobj\n"
+
+    out = [b"%PDF-1.7\n", made(1, "/Type /Catalog /Pages 2 0 R"), made(3, "/Type /Font /Subtype /Type0 /ToUnicode 4 0 R"), made(4, f"/Filter /FlateDecode /Length {len(_MAP)}", _MAP)]
+    for k, page in enumerate(pages):
+        shown = "BT /F 9 Tf 40 800 Td " + " ".join(f"0 -11 Td <{line.encode('utf-16-be').hex()}> Tj" for line in page) + " ET"
+        body = zlib.compress(shown.encode())
+        out += [made(5 + 2 * k, f"/Type /Page /Parent 2 0 R /Contents {6 + 2 * k} 0 R"), made(6 + 2 * k, f"/Filter /FlateDecode /Length {len(body)}", body)]
+    kids = " ".join(f"{5 + 2 * k} 0 R" for k in range(len(pages)))
+    return b"".join([*out, made(2, f"/Type /Pages /Count {len(pages)} /Kids [{kids}] /Resources << /Font << /F 3 0 R >> >>"), b"trailer << /Root 1 0 R >>\n%%EOF"])
+
+
+@query(
+    "pdf_pages",
+    """WITH l AS (SELECT p_partkey // 500 AS file, p_partkey % 500 AS i, 'Nº ' || p_partkey || ' ' || p_name AS line FROM part)
+SELECT file, (i // 50 + 1)::INT AS page_number, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL""",
+)
+def pdf_pages_of_parts(read):
+    """The page texts of PDF files, each with five hundred parts, fifty a page."""
+    k = F.col("p_partkey")
+    line = F.struct((k % 500).alias("i"), F.concat(F.lit("Nº "), k.cast("string"), F.lit(" "), "p_name").alias("line"))
+    files = read("part").groupBy(F.floor(k / 500).alias("file")).agg(F.array_sort(F.collect_list(line)).alias("lines")).select("file", F.transform("lines", lambda x: x["line"]).alias("lines"))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [pdf_of([lines[k : k + 50] for k in range(0, len(lines), 50)]) for lines in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["file", "content"])
+
+    read_back = file_pages(files.mapInArrow(written, "file long, content binary"))
+    return read_back.select("file", F.posexplode("pages").alias("k", "text")).select("file", (F.col("k") + 1).alias("page_number"), "text")
