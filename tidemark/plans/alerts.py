@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import html_escaped
 from tidemark.operators.blocks import greedy_windows
 from tidemark.operators.outbox import claim, enqueue, not_recently_alerted, settle, suppress_repeats, without_denied
-from tidemark.plans.base import query
+from tidemark.plans.base import SQL_MARK, mark_name, query
 
 NOW = "2024-01-20 12:00:00"
 
@@ -162,22 +162,28 @@ def token_verification(read):
     return asked.join(stored, "h", "left").select("event_id", outcome.alias("outcome"))
 
 
+MOST_WATCHED = 255
+
+
 @query(
     "watch_text_theta_join",
-    """WITH items AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS mark_text FROM part), marks AS (SELECT DISTINCT p_name FROM part)
-SELECT p_name, min(mark_text) AS first_item, count(*) AS n FROM marks JOIN items ON p_name ILIKE '%' || mark_text || '%' GROUP BY p_name""",
+    f"""WITH items AS (SELECT lower(p_name) AS mark_text FROM part WHERE p_partkey % 20 = 0 UNION SELECT lower(p_type) FROM part WHERE p_partkey % 20 = 0), marks AS (SELECT DISTINCT {SQL_MARK} AS mark FROM part)
+SELECT mark, min(mark_text) AS first_item, count(*) AS n FROM marks JOIN items ON mark ILIKE '%' || mark_text || '%' GROUP BY mark""",
 )
 def watch_text_theta(read):
-    """The first watched text that a mark contains. A mark's words are the keys; no pair of texts is tried."""
-    names = read("part").select("p_name").distinct()
-    items = names.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("mark_text")).distinct()
-    # A text of length n is found among the substrings of that length: an equi-join on substrings.
-    lengths = [int(r[0]) for r in items.select(F.length("mark_text")).distinct().collect()]
-    low = F.lower("p_name")
+    """The first watched text that a mark contains. A text of length n is found among the substrings of that length: an
+    equi-join, no pair of texts is tried. Watched texts have ``MOST_WATCHED`` characters at most (P25), so there are no more lengths than that."""
+    marks = read("part").select(mark_name().alias("mark")).distinct()
+    watched = read("part").where("p_partkey % 20 = 0")
+    items = watched.select(F.lower("p_name").alias("mark_text")).union(watched.select(F.lower("p_type"))).where("mark_text <> ''").distinct()
+    lengths = [r[0] for r in items.select(F.least(F.length("mark_text"), F.lit(MOST_WATCHED + 1))).distinct().collect()]
+    if max(lengths, default=0) > MOST_WATCHED:
+        raise ValueError(f"a watched text has more than {MOST_WATCHED} characters")
+    low = F.lower("mark")
 
     def substrings(n: int):
         every = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: low.substr(i, F.lit(n)))
         return F.when(F.length(low) >= n, every).otherwise(F.array().cast("array<string>"))
 
     parts = F.array_distinct(F.flatten(F.array(*[substrings(n) for n in sorted(lengths)])))
-    return names.select("p_name", F.explode(parts).alias("mark_text")).join(items, "mark_text").groupBy("p_name").agg(F.min("mark_text").alias("first_item"), F.count(F.lit(1)).alias("n"))
+    return marks.select("mark", F.explode(parts).alias("mark_text")).join(items, "mark_text").groupBy("mark").agg(F.min("mark_text").alias("first_item"), F.count(F.lit(1)).alias("n"))

@@ -35,7 +35,7 @@ _ADJ = {0: "loja de software", 1: "cafe e pastelaria", 2: "serviços jurídicos
 _ABOUT_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _ADJ.items()) + " END"
 _GENERIC = ", ".join(f"'{t}'" for t in S.GENERIC_TERMS)
 _TOK = lambda x: f"regexp_extract_all({sql_fold(x)}, '[a-z0-9]+')"
-_ASSESS = f"""req AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 2) || ' Shop Online' WHEN 1 THEN p_name WHEN 2 THEN 'Moda ' || p_name ELSE substr(p_name, 1, (p_size % 5)::INT) END AS mark, {_ABOUT_SQL} AS about, CASE WHEN p_partkey % 3 = 0 THEN [p_size % 50 + 1] ELSE [] END AS given, p_size FROM part),
+_ASSESS = f"""req AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' Shop Online' WHEN 1 THEN p_name WHEN 2 THEN 'Moda ' || p_type ELSE CASE WHEN p_size % 5 = 0 THEN '' ELSE 'x' || p_size END END AS mark, {_ABOUT_SQL} AS about, CASE WHEN p_partkey % 3 = 0 THEN [p_size % 50 + 1] ELSE [] END AS given, p_size FROM part),
 tk AS (SELECT *, {_TOK('mark')} AS own, {_TOK('about')} AS words FROM req),
 ds AS (SELECT *, CASE WHEN len(own) = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 100.0::DOUBLE - len(list_filter(own, lambda t: list_contains([{_GENERIC}], t)))::DOUBLE / len(own) * 55.0::DOUBLE - len(list_filter(own, lambda t: list_contains(words, t)))::DOUBLE / len(own) * 20.0::DOUBLE
     - CASE WHEN length(array_to_string(own, '')) <= 2 THEN 40.0 WHEN length(array_to_string(own, '')) <= 3 THEN 15.0 ELSE 0.0 END::DOUBLE) END AS score FROM tk),
@@ -46,7 +46,7 @@ vd AS (SELECT *, CASE WHEN identical OR level = 'not_met' OR risk = 'high' THEN
 
 def _requests(read):
     k, size = F.col("p_partkey"), F.col("p_size")
-    mark = F.when(k % 4 == 0, F.concat(F.element_at(F.split("p_name", " "), 2), F.lit(" Shop Online"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("Moda "), F.col("p_name"))).otherwise(F.substr("p_name", F.lit(1), (size % 5).cast("int")))
+    mark = F.when(k % 4 == 0, F.concat("p_name", F.lit(" Shop Online"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("Moda "), "p_type")).when(size % 5 == 0, "").otherwise(F.concat(F.lit("x"), size.cast("string")))
     about = F.create_map(*[F.lit(x) for kv in _ADJ.items() for x in kv])[(k % 6).cast("int")]
     given = F.when(k % 3 == 0, F.array((size % 50 + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     rows = read("part").select("p_partkey", "p_size", mark.alias("mark"), about.alias("about"), given.alias("given"))

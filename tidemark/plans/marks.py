@@ -55,7 +55,22 @@ def similar(read):
     return _shown(similar_marks(marks.where("id % 20 = 0"), marks))
 
 
-@query("similar_marks_metaphone")
+# Metaphone codes of the words of the marks.
+_CODES = {
+    "ECONOMY": "EKNM", "LARGE": "LRJ", "MEDIUM": "MTM", "PROMO": "PRM", "SMALL": "SML", "STANDARD": "STNTRT", "anvil": "ANFL", "blue": "BL", "bolt": "BLT", "cold": "KLT", "gear": "JR",
+    "gizmo": "JSM", "hot": "HT", "large": "LRJ", "new": "N", "old": "OLT", "plate": "PLT", "red": "RT", "ring": "RNK", "rod": "RT", "small": "SML", "widget": "WJT",
+}
+
+
+def _sql_metaphone(x: str) -> str:
+    """The code of a text of known words, word by word."""
+    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: map {{{', '.join(f"'{w}': '{c}'" for w, c in _CODES.items())}}}[w]), ' ')"
+
+
+_PT_SCORE = f"CASE WHEN {sql_pt_code('a')} = {sql_pt_code('b')} AND {sql_pt_code('a')} <> '' THEN 100.0 ELSE 0.0 END::DOUBLE AS phonetic_score"
+
+
+@query("similar_marks_metaphone", _SQL_SIMILAR.replace(_PT_SCORE, _PT_SCORE.replace("THEN 100.0", f"OR {_sql_metaphone('a')} = {_sql_metaphone('b')} THEN 100.0")))
 def similar_metaphone(read):
     """The same with the Metaphone code as a second phonetic score."""
     marks = _marks(read)
@@ -82,29 +97,28 @@ def phonetic_groups(read):
     return read("part").select("p_partkey", pt_phonetic_code(mark_name()).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_id"))
 
 
-@query("metaphone_groups")
+@query("metaphone_groups", f"SELECT {_sql_metaphone(SQL_MARK)} AS code, count(*) AS n FROM part GROUP BY 1")
 def metaphone_groups(read):
     """Marks by Metaphone code."""
     names = read("part").select(mark_name().alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     return names.select(metaphone_code("name").alias("code"), "rows").groupBy("code").agg(F.sum("rows").alias("n"))
 
 
-# Names with their Metaphone code, and pairs with the better of both phonetic scores.
-_CODES = (("Smith", "SM0"), ("Smyth", "SM0"), ("Knight", "NT"), ("Phone", "FN"), ("Xavier", "SFR"), ("", ""))
-_PAIRS = (("Smith", "Smyth", 100.0), ("Nike", "Adidas", 0.0), ("passo", "paso", 100.0), ("filho", "filo", 100.0), ("", "", 0.0))
-
-
-@query("metaphone_known", f"SELECT * FROM (VALUES {', '.join(map(str, _CODES))}) AS t(name, code)")
+@query("metaphone_known", f"SELECT w AS name, {_sql_metaphone('w')} AS code, count(*) AS n FROM (SELECT unnest(string_split({SQL_MARK}, ' ')) AS w FROM part) GROUP BY w")
 def metaphone_known(read):
-    """The codes of known names."""
-    names = read("region").sparkSession.createDataFrame([(n,) for n, _ in _CODES], "name string")
-    return names.select("name", metaphone_code("name").alias("code"))
+    """The codes of the words of all marks."""
+    words = read("part").select(F.explode(F.split(mark_name(), " ")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("name", metaphone_code("name").alias("code"), "n")
 
 
-@query("phonetic_known", f"SELECT a, b, score::DOUBLE AS score FROM (VALUES {', '.join(map(str, _PAIRS))}) AS t(a, b, score)")
+@query(
+    "phonetic_known",
+    f"""WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS a, p_type AS b FROM part)
+SELECT a, b, CASE WHEN {_sql_metaphone('a')} = {_sql_metaphone('b')} OR {sql_pt_code('a')} = {sql_pt_code('b')} THEN 100.0 ELSE 0.0 END::DOUBLE AS score FROM p""",
+)
 def phonetic_known(read):
-    """The better of the Metaphone and the Portuguese score of known pairs."""
-    pairs = read("region").sparkSession.createDataFrame([p[:2] for p in _PAIRS], "a string, b string")
+    """The better of the Metaphone and the Portuguese score of each word of a mark's name with its type."""
+    pairs = read("part").select(F.explode(F.split("p_name", " ")).alias("a"), F.col("p_type").alias("b")).distinct()
     return pairs.select("a", "b", F.greatest(code_similarity(metaphone_code("a"), metaphone_code("b")), pt_phonetic_similarity(F.col("a"), F.col("b"))).alias("score"))
 
 
