@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.functions import similarity as C
 from tidemark.functions import text as T
 from tidemark.functions.metaphone import metaphone
 from tidemark.functions.records import goods_terms, int_list, parsed, source_id
-from tidemark.operators.bulletin import NUMBER, SPACED_NUMBER, page_events
+from tidemark.operators.bulletin import HEADINGS, NUMBER, SPACED_NUMBER, bulletin_events
 from tidemark.operators.merge import merge, merge_in_order, snapshot_diff, versions
 from tidemark.sources.documents import pages_of
 from tidemark.sources.registry import detail, fixture_search, page_size, poll, read_pages, search_expression
@@ -87,14 +88,33 @@ def test_assessment(spark):
     assert one(spark, risk, S.verdict(F.lit("fully_met"), risk, F.lit(False)), S.verdict(F.lit("fully_met"), F.lit("low"), F.lit(True)), S.verdict(F.lit("fully_met"), F.lit("low"), F.lit(False))) == ("high", "not_recommended", "not_recommended", "eligible")
 
 
+def page_events(spark, page, number=NUMBER):
+    docs = spark.createDataFrame([(1, [page + "\n" + "." * 60])], "doc_id int, pages array<string>").withColumn("bulletin_date", F.lit("2024-01-02").cast("date"))
+    return sorted((r.event_type, r.application_number) for r in bulletin_events(docs, number).collect())
+
+
 def test_bulletin(spark):
-    text = "Despacho de Publicação n. 12345\nNº de pedido: N.987654\nMarca: SUPERMARK"
-    got = one(spark, page_events(F.lit(text)))[0]
-    assert [(e.event_type, e.application_number) for e in got] == [("publication", "N.987654")]
-    assert one(spark, page_events(F.lit("Publicação\nsem número")))[0] == []
-    assert one(spark, page_events(F.lit("Concessão\nProcesso: 770 255"), SPACED_NUMBER))[0][0].application_number == "770255"
-    two = one(spark, page_events(F.lit("RENOVAÇÃO\nProcesso: 1\n" + "\n" * 9 + "Cessão\nProcesso: 2"), NUMBER))[0]
-    assert [(e.event_type, e.application_number) for e in two] == [("renewal", "1"), ("transfer", "2")]
+    assert page_events(spark, "Despacho de Publicação n. 12345\nNº de pedido: N.987654\nMarca: SUPERMARK") == [("publication", "N.987654")]
+    assert page_events(spark, "Publicação\nsem número") == []
+    assert page_events(spark, "Concessão\nProcesso: 770 255", SPACED_NUMBER) == [("grant", "770255"), ("transfer", "770255")]
+    assert page_events(spark, "RENOVAÇÃO\nProcesso: 1\n" + "\n" * 9 + "Cessão\nProcesso: 2") == [("renewal", "1"), ("transfer", "2")]
+    assert page_events(spark, "Recusa e Caducidade\nProcesso:\nN-1 Processo:") == [] == page_events(spark, " \n ")
+
+
+def test_bulletin_numbers_of_the_next_lines(spark):
+    """Random lines against a plain search of each line and the seven after it."""
+    rng = random.Random(6)
+    parts = ["Concessão", "RECUSA", "Processo:", "Processo: 12", "Nº de pedido N-3", "texto", "", "Processo\x00 9", "Application No: \x00", "Cessão Processo 7"]
+    pages = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) + "\n" + "." * 60 for _ in range(60)]
+    docs = spark.createDataFrame([(k, [p]) for k, p in enumerate(pages)], "doc_id int, pages array<string>").withColumn("bulletin_date", F.lit("2024-01-02").cast("date"))
+    got = sorted((r.doc_id, r.event_type, r.application_number, r.raw_text) for r in bulletin_events(docs).collect())
+    want = []
+    for k, page in enumerate(pages):
+        rows = page.split("\n")
+        for n, row in enumerate(rows):
+            hits = [m[1] for x in rows[n : n + 8] if (m := re.search(r"(?i)(?:N[º°]\s*de\s*pedido|N[º°]\.?\s*Pedido|Application\s*No|Processo)[\s:]*(\S+)", x.replace("\0", " ")))]
+            want += [(k, kind, hits[0], row) for kind, pattern in HEADINGS.items() if hits and re.search(f"(?i)(?:{pattern})", row)]
+    assert got == sorted(want) and len(want) > 100
 
 
 def test_records(spark):

@@ -122,6 +122,25 @@ def distinctiveness(mark: Column, description: Column) -> Column:
     return F.struct(F.round(raw, 1).alias("score"), F.when(raw >= 70, "fully_met").when(raw >= 40, "partially_met").otherwise("not_met").alias("level"))
 
 
+# The sentences of a report.
+TEXTS = {
+    "default_class": "Generic business class recommended by default in the absence of a specific description.",
+    "given_class": "Indicada pelo requerente.",
+    "strengthen": "Strengthen the mark’s distinctive component (for example, an invented word element or figurative element) to reduce the risk of refusal.",
+    "identical": "An identical mark was found; a detailed legal analysis is recommended before proceeding with the application.",
+    "similar": "Similar earlier marks exist; assess the overlap of classes and market context to estimate confusion risk.",
+    "clear": "On average, only around 5% of applications face opposition; filing may be appropriate, especially if you already trade under this mark.",
+    "repeat": "The earlier-right search could not be completed at this time; repeat the check for a complete analysis before deciding.",
+    "status_high": "Significant issue identified",
+    "status_medium": "Review recommended",
+    "status_low": "No obvious issue identified",
+    "found": "The preliminary check found potentially relevant earlier marks. A professional review is recommended before relying on the result.",
+    "unavailable": "The preliminary check ran, but earlier-right data was unavailable. Repeat the check or request expert review before filing.",
+    "nothing": "No obvious issue was identified in this preliminary automated check. This is not a legal clearance opinion.",
+}
+VERDICT_LABELS = {"not_recommended": "Registration not recommended", "eligible_with_risk": "Eligible with reservations", "eligible": "Eligible for filing"}
+
+
 def recommended_classes(description: Column, provided: Column) -> Column:
     """Array of (class_number, title, reason), ascending; class 35 if nothing speaks for another."""
     given = F.coalesce(provided, F.array().cast("array<int>"))
@@ -141,9 +160,9 @@ def _suggested(about: Column, given: Column) -> Column:
 def _with_given(suggested: Column, given: Column) -> Column:
     titles = F.create_map(*[F.lit(v) for k, t in CLASS_TITLES.items() for v in (k, t)])
     rest = F.array_except(F.filter(F.array_distinct(given), lambda c: c.between(1, 45)), F.transform(suggested, lambda x: x["class_number"]))
-    added = F.transform(rest, lambda c: F.struct(c.alias("class_number"), F.coalesce(F.try_element_at(titles, c), F.concat(F.lit("Class "), c.cast("string"))).alias("title"), F.lit("Indicada pelo requerente.").alias("reason")))
+    added = F.transform(rest, lambda c: F.struct(c.alias("class_number"), F.coalesce(F.try_element_at(titles, c), F.concat(F.lit("Class "), c.cast("string"))).alias("title"), F.lit(TEXTS["given_class"]).alias("reason")))
     every = F.array_sort(F.concat(suggested, added))
-    default = F.array(F.struct(F.lit(DEFAULT_CLASS).alias("class_number"), F.lit(CLASS_TITLES[DEFAULT_CLASS]).alias("title"), F.lit("Generic business class recommended by default in the absence of a specific description.").alias("reason")))
+    default = F.array(F.struct(F.lit(DEFAULT_CLASS).alias("class_number"), F.lit(CLASS_TITLES[DEFAULT_CLASS]).alias("title"), F.lit(TEXTS["default_class"]).alias("reason")))
     return F.when(F.size(every) > 0, every).otherwise(default)
 
 
@@ -157,9 +176,6 @@ def verdict(level: Column, risk: Column, identical: Column) -> Column:
     return F.when(identical | (level == "not_met") | (risk == "high"), "not_recommended").when((risk == "medium") | (level == "partially_met"), "eligible_with_risk").otherwise("eligible")
 
 
-VERDICT_LABELS = {"not_recommended": "Registration not recommended", "eligible_with_risk": "Eligible with reservations", "eligible": "Eligible for filing"}
-
-
 def verdict_label(v: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in VERDICT_LABELS.items() for x in pair])[v]
 
@@ -169,21 +185,21 @@ def recommendations(classes: Column, level: Column, identical: Column, risk: Col
     listed = F.array_join(F.transform(classes, lambda c: c["class_number"].cast("string")), ", ")
     return F.array_compact(F.array(
         F.when(listed != "", F.concat(F.lit("Consider filing the trademark in Nice classes "), listed, F.lit(", de acordo com a atividade descrita."))),
-        F.when(level != "fully_met", "Strengthen the mark’s distinctive component (for example, an invented word element or figurative element) to reduce the risk of refusal."),
-        F.when(identical, "An identical mark was found; a detailed legal analysis is recommended before proceeding with the application.")
-        .when(risk.isin("medium", "high"), "Similar earlier marks exist; assess the overlap of classes and market context to estimate confusion risk.")
-        .otherwise("On average, only around 5% of applications face opposition; filing may be appropriate, especially if you already trade under this mark."),
-        F.when(provenance == "unavailable", "The earlier-right search could not be completed at this time; repeat the check for a complete analysis before deciding."),
+        F.when(level != "fully_met", TEXTS["strengthen"]),
+        F.when(identical, TEXTS["identical"])
+        .when(risk.isin("medium", "high"), TEXTS["similar"])
+        .otherwise(TEXTS["clear"]),
+        F.when(provenance == "unavailable", TEXTS["repeat"]),
     ))
 
 
 def public_status(v: Column, risk: Column) -> Column:
-    return F.when((v == "not_recommended") | (risk == "high"), "Significant issue identified").when((v == "eligible_with_risk") | (risk == "medium"), "Review recommended").otherwise("No obvious issue identified")
+    return F.when((v == "not_recommended") | (risk == "high"), TEXTS["status_high"]).when((v == "eligible_with_risk") | (risk == "medium"), TEXTS["status_medium"]).otherwise(TEXTS["status_low"])
 
 
 def public_explanation(n_candidates: Column, provenance: Column) -> Column:
     return (
-        F.when(n_candidates > 0, "The preliminary check found potentially relevant earlier marks. A professional review is recommended before relying on the result.")
-        .when(provenance == "unavailable", "The preliminary check ran, but earlier-right data was unavailable. Repeat the check or request expert review before filing.")
-        .otherwise("No obvious issue was identified in this preliminary automated check. This is not a legal clearance opinion.")
+        F.when(n_candidates > 0, TEXTS["found"])
+        .when(provenance == "unavailable", TEXTS["unavailable"])
+        .otherwise(TEXTS["nothing"])
     )

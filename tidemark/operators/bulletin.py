@@ -25,36 +25,38 @@ HEADINGS = {
 }
 
 
-def page_events(text: Column, number: str = NUMBER, kinds: tuple[str, ...] = tuple(HEADINGS)) -> Column:
-    """Array of (event_type, application_number, excerpt, raw_text) of one page's text.
+def heading_lines(text: Column, kinds: tuple[str, ...] = tuple(HEADINGS)) -> Column:
+    """Array of (line, context) of a page's lines that match a heading; the context is the line and those after it."""
 
-    Each line is searched for its number once; only lines that match one of the headings are told apart.
-    """
-    any_heading = f"(?iu)(?:{'|'.join(HEADINGS[k] for k in kinds)})"
+    def found(page: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(page) - 1), lambda i: F.element_at(page, i + 1).rlike(_any_of(kinds)))
+        return F.transform(at, lambda i: F.struct(F.element_at(page, i + 1).alias("line"), F.slice(page, i + 1, LOOK_AHEAD).alias("context")))
 
-    def of_line(page: Column, i: Column) -> Column:
-        numbers = F.filter(F.slice(page["numbers"], i + 1, LOOK_AHEAD), lambda n: n != "")
-        found = F.regexp_replace(F.get(numbers, F.lit(0)), r"\s+", "")
-        line = F.element_at(page["lines"], i + 1)
-        kinds_here = F.array_compact(F.array(*[F.when(line.rlike(f"(?iu)(?:{HEADINGS[k]})"), F.lit(k)) for k in kinds]))
-        excerpt = F.substring(F.trim(F.array_join(F.slice(page["lines"], i + 1, LOOK_AHEAD), " | ")), 1, 1000)
-        event = F.struct(found.alias("application_number"), excerpt.alias("excerpt"), F.substring(line, 1, 300).alias("raw_text"))
-        events = bind(event, lambda e: F.transform(kinds_here, lambda k: F.struct(k.alias("event_type"), e["application_number"].alias("application_number"), e["excerpt"].alias("excerpt"), e["raw_text"].alias("raw_text"))))
-        return F.filter(events, lambda e: e["application_number"].isNotNull())
+    return bind(lines(text), found)
 
-    def of_page(page: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(page["lines"]) - 1), lambda i: F.element_at(page["lines"], i + 1).rlike(any_heading))
-        return F.flatten(F.transform(at, lambda i: of_line(page, i)))
 
-    numbered = lambda x: F.struct(x.alias("lines"), F.transform(x, lambda line: F.regexp_extract(line, number, 1)).alias("numbers"))
-    return bind(lines(text), lambda x: bind(numbered(x), of_page))
+def _any_of(kinds: tuple[str, ...]) -> str:
+    return f"(?iu)(?:{'|'.join(HEADINGS[k] for k in kinds)})"
 
 
 def bulletin_events(documents: DataFrame, number: str = NUMBER, kinds: tuple[str, ...] = tuple(HEADINGS)) -> DataFrame:
-    """Events of bulletins (doc_id, pages, bulletin_date); pages count from 1, blank ones and short documents give none."""
+    """Events of bulletins (doc_id, pages, bulletin_date); pages count from 1, blank ones and short documents give none.
+
+    Pages without a heading are filtered first. Lines with one become rows, so the number is searched for in their context only
+    and the headings are told apart in generated code.
+    """
     long_enough = documents.where(F.length(F.trim(F.array_join("pages", "\n"))) >= LEAST_TEXT)
-    pages = long_enough.select("doc_id", "bulletin_date", F.posexplode("pages").alias("pos", "page_text")).where(F.trim("page_text") != "")
-    out = pages.select("doc_id", F.col("bulletin_date").alias("event_date"), (F.col("pos") + 1).alias("page_number"), F.inline(page_events(F.col("page_text"), number, kinds)))
+    pages = long_enough.select("doc_id", "bulletin_date", F.posexplode("pages").alias("pos", "page_text")).where((F.trim("page_text") != "") & F.col("page_text").rlike(_any_of(kinds)))
+    heads = pages.select("doc_id", F.col("bulletin_date").alias("event_date"), (F.col("pos") + 1).alias("page_number"), F.inline(heading_lines(F.col("page_text"), kinds)))
+    # The context is searched as one text whose lines a NUL keeps apart, so the first hit is that of the first line that has one.
+    joined = F.array_join(F.transform("context", lambda x: F.replace(x, F.lit("\0"), F.lit(" "))), "\0")
+    hit = F.regexp_extract(joined, number.replace(r"\S", r"[^\s\x00]"), 1)
+    numbered = heads.withColumn("_hit", hit).where("_hit <> ''")
+    types = F.explode(F.array_compact(F.array(*[F.when(F.col("line").rlike(f"(?iu)(?:{HEADINGS[k]})"), F.lit(k)) for k in kinds])))
+    out = numbered.select(
+        "doc_id", "event_date", "page_number", types.alias("event_type"), F.regexp_replace("_hit", r"\s+", "").alias("application_number"),
+        F.substring(F.trim(F.array_join("context", " | ")), 1, 1000).alias("excerpt"), F.substring("line", 1, 300).alias("raw_text"),
+    )
     return out.withColumns({"description": F.substring("excerpt", 1, 500), "confidence_score": event_confidence(F.col("event_type"), F.col("application_number"), F.col("excerpt"), F.col("event_date").isNotNull())})
 
 
