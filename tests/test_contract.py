@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import contract as C
+from tidemark.operators.delivery import delivered
 
 
 def test_taxonomy_takes_the_longest_alias(spark):
@@ -65,3 +66,22 @@ def test_constraints_and_queue(spark):
     rows = spark.createDataFrame([(1, "é\"", None), (2, None, 3.5)], "id int, name string, score double")
     queue = C.review_queue(rows, "mark", F.when(F.col("id") == 1, "odd"), F.col("id"), ["id", "name", "score"]).collect()
     assert [tuple(r) for r in queue] == [("mark", "1", "odd", '{"id":1,"name":"é\\"","score":null}')]
+
+
+def test_one_failure_stops_no_other_message(spark, tmp_path):
+    """Every message is sent once per run under the same id, whatever the others do."""
+    box = tmp_path / "box"
+    box.mkdir()
+
+    def drop(message_id, recipient, subject, body):
+        if body == "bad":
+            raise ValueError("x" * 2000)
+        (box / message_id).write_text(f"{recipient} {subject} {body}")
+
+    rows = [("k1", "mail", "a", "s", "b"), ("k2", "mail", "a", None, "bad"), ("k3", "mail", None, "s", "b"), ("k4", "none", "a", "s", "b"), ("k5", None, "a", "s", "b"), (None, "mail", "c", None, None)] + [(f"n{k}", "mail", "a", "s", "b") for k in range(700)]
+    df = spark.createDataFrame(rows, "dedupe_key string, channel string, recipient string, subject string, body string")
+    for _ in range(2):
+        got = {r.dedupe_key: (r.status, r.error) for r in delivered(df, {"mail": drop, "none": None}).collect()}
+    assert got["k1"] == ("sent", None) == got[None] == got["n699"] and got["k2"] == ("failed", "x" * 500)
+    assert got["k3"] == ("failed", "no recipient") and got["k4"] == ("skipped", None) and got["k5"] == ("failed", "unknown channel None")
+    assert len(list(box.iterdir())) == 702 and delivered(df.limit(0), {}).count() == 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.contract import archived_versions, blocked, classified, confidence, constraint_breaks, discovered, drift_alarms, iso_country, outbox_constraints, review_queue, route, semantic_key, validated
-from tidemark.plans.base import query, sql_fold
+from tidemark.operators.delivery import delivered
+from tidemark.plans.base import SQL_MARK, mark_name, query, sql_fold
+from tidemark.sources.registry import fixture_search, search_expression
 
 # Parts of the bulletin's taxonomy.
 _TAXONOMY = [
@@ -199,3 +201,54 @@ def drift_alarms_of_documents(read):
     k = F.col("doc_id")
     pages = read("documents").select(F.col("source").alias("bulletin"), F.col("lang").alias("section"), (k % 50).alias("process"), "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 400).cast("int")).alias("day"))
     return drift_alarms(pages, ["en", "de"], low_text=400)
+
+
+def _mailed(message_id: str, recipient: str, subject: str, body: str) -> None:
+    """A transport without a network: it refuses mailboxes that are full."""
+    if recipient.startswith("full-"):
+        raise OSError(f"mailbox {recipient} is full")
+
+
+_CHANNEL = "CASE event_id % 4 WHEN 0 THEN 'telegram' WHEN 1 THEN 'fax' ELSE 'email' END"
+_RECIPIENT = "CASE event_id % 5 WHEN 0 THEN 'full-' || user_id WHEN 1 THEN ' ' ELSE 'user-' || user_id END"
+
+
+@query(
+    "delivery_records",
+    f"""WITH m AS (SELECT 'alert-' || event_id AS dedupe_key, {_CHANNEL} AS channel, {_RECIPIENT} AS recipient FROM events WHERE event_type = 'error')
+SELECT dedupe_key, sha256(dedupe_key) AS message_id, channel, recipient, CASE WHEN channel = 'telegram' THEN 'skipped' WHEN channel = 'fax' OR recipient = ' ' OR recipient LIKE 'full-%' THEN 'failed' ELSE 'sent' END AS status,
+    CASE WHEN channel = 'telegram' THEN NULL WHEN channel = 'fax' THEN 'unknown channel fax' WHEN recipient = ' ' THEN 'no recipient' WHEN recipient LIKE 'full-%' THEN 'mailbox ' || recipient || ' is full' END AS error FROM m""",
+)
+def delivery_records(read):
+    """K6: messages sent from the tasks over the channel's transport, and the record of each."""
+    alerts = read("events").where("event_type = 'error'")
+    messages = alerts.select(F.concat(F.lit("alert-"), F.col("event_id").cast("string")).alias("dedupe_key"), F.expr(_CHANNEL).alias("channel"), F.expr(_RECIPIENT).alias("recipient"), F.lit("Alert").alias("subject"), F.col("props").alias("body"))
+    return delivered(messages, {"email": _mailed, "telegram": None})
+
+
+@query(
+    "fixture_searches",
+    f"""WITH m AS (SELECT p_partkey, {SQL_MARK} AS word_mark, 'N-' || p_partkey AS application_number FROM part), q AS (SELECT * FROM (VALUES ('WIDGET', 'wordMark==*WIDGET*;jurisdiction==PT'), ('n-77', 'wordMark==*n-77*;jurisdiction==PT'), ('nothing like it', 'wordMark==*nothing like it*;jurisdiction==PT')) AS t(text, asked)),
+h AS (SELECT *, contains(lower(word_mark), lower(text)) OR contains(lower(application_number), lower(text)) AS hit FROM m, q), a AS (SELECT text, bool_or(hit) AS found FROM h GROUP BY text)
+SELECT asked, p_partkey FROM h JOIN a USING (text) WHERE hit OR NOT found""",
+)
+def fixture_searches(read):
+    """A source's search by text in mark and number, which gives all rows where none has it, with the predicate that was asked."""
+    marks = read("part").select("p_partkey", mark_name().alias("word_mark"), F.concat(F.lit("N-"), F.col("p_partkey").cast("string")).alias("application_number"))
+    found = [fixture_search(marks, text).select(F.lit(search_expression(text, "PT")).alias("asked"), "p_partkey") for text in ("WIDGET", "n-77", "nothing like it")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "ocr_pages",
+    """WITH p AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style|head|nav)[^>]*>.*?</(script|style|head|nav)>|<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS chars, len(regexp_extract_all(coalesce(html, ''), '<(img|div class="ad")')) AS images,
+    regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]+/([^/?#]*)', 1) AS section FROM pages)
+SELECT page_id, chars::INT AS chars, images::INT AS images, section FROM p WHERE chars < 2500 AND images > 0 AND starts_with(section, 'e')""",
+)
+def ocr_pages(read):
+    """Pages of a section with little text and with images, which go to OCR; text, images and section are the page's own."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "(?s)<(script|style|head|nav)[^>]*>.*?</(script|style|head|nav)>|<[^>]*>", " "), r"\s+", " ")
+    images = F.regexp_count(F.coalesce("html", F.lit("")), F.lit('<(img|div class="ad")'))
+    section = F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-z]+://[^/]+/([^/?#]*)", 1)
+    pages = read("pages").select("page_id", F.length(F.trim(plain)).alias("chars"), images.alias("images"), section.alias("section"))
+    return pages.where((F.col("chars") < 2500) & (F.col("images") > 0) & F.col("section").startswith("e"))
