@@ -36,7 +36,7 @@ POSITIVES = 5
 NEGATIVES = 5
 #: Components are multiplied by this and floored.
 GRAIN = 256
-SEGMENTS = 16
+SEGMENTS = 32
 #: Anchors that a task holds.
 BLOCK = 32_768
 #: Rows per slice at least, and slices at most.
