@@ -241,7 +241,7 @@ def fixture_searches(read):
 
 @query(
     "ocr_pages",
-    """WITH p AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style|head|nav)[^>]*>.*?</(script|style|head|nav)>|<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS chars, len(regexp_extract_all(coalesce(html, ''), '<(img|div class="ad")')) AS images,
+    r"""WITH p AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style|head|nav)[^>]*>.*?</(script|style|head|nav)>|<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS chars, len(regexp_extract_all(coalesce(html, ''), '<(img|div class="ad")')) AS images,
     regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]+/([^/?#]*)', 1) AS section FROM pages)
 SELECT page_id, chars::INT AS chars, images::INT AS images, section FROM p WHERE chars < 2500 AND images > 0 AND starts_with(section, 'e')""",
 )
