@@ -71,17 +71,21 @@ def quartile(values, q):
 def test_quality_rules(spark, docs):
     rows = [(r, facts(r.text)) for r in docs.collect()]
     passed = [(r, f) for r, f in rows if f["n_words"] >= 20 and 100 * f["n_repeat_words"] <= 30 * f["n_words"]]
-    share = lambda f, rule: RULES[rule][2] * f[RULES[rule][0]] // f[RULES[rule][1]] if f[RULES[rule][1]] else 0
+
+    def share(f, rule):
+        count, whole, unit, _, event = RULES[rule]
+        return unit * (f[count] + event) // (f[whole] + event) if f[whole] + event else 0
+
     want = Counter()
     for r, f in passed:
         good = True
-        for rule, (_, whole, unit, side, event) in RULES.items():
+        for rule, (count, _, _, side, _) in RULES.items():
             levels = ([g for x, g in passed if (x.lang, x.source) == (r.lang, r.source)], [g for x, g in passed if x.lang == r.lang], [g for _, g in passed])
             group = next((level for level in levels if len(level) >= LEAST_GROUP), levels[2])
             bins = [min(share(g, rule), GRID) for g in group]
             low, high = quartile(bins, 1), quartile(bins, 3)
-            room = FENCE * max(high - low, -(-unit * event // f[whole]) if f[whole] else 0)
-            good &= share(f, rule) <= high + room and (side == "above" or share(f, rule) >= low - room)
+            room = FENCE * (high - low)
+            good &= not f[count] or (share(f, rule) <= high + room and (side == "above" or share(f, rule) >= low - room))
         if good:
             want[r.doc_id, r.text, r.lang, r.source] += 1
     out = STAGES["quality rules"](spark, docs, "")
