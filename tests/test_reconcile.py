@@ -89,3 +89,22 @@ def test_backfill_goes_on_where_it_was_interrupted(spark, tmp_path):
     end = (months[18] - dt.date(2023, 1, 1)).days
     assert sorted(r.id for r in spark.read.parquet(f"{path}/rows").select("id").collect()) == list(range(end))
     assert {(r.window_start, r.run) for r in finished(spark, path).collect()} == {(m, "first" if k < 8 else "second") for k, m in enumerate(months[:-1])}
+
+
+def test_events_without_a_key_are_dealt_over_all_tasks(spark):
+    """Rows without a number, and those that need no weak evidence, have nulls in the keys of the joins."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        marks = spark.createDataFrame([(1, "golden stone", dt.date(2024, 1, 1), "x"), (2, "north river", dt.date(2024, 1, 1), "x")], "number int, name string, date date, block string")
+        numbered = spark.range(2000).select(F.when(F.col("id") % 2 == 0, 1).alias("number"), F.when(F.col("id") % 4 > 0, "golden stone").alias("name"), F.lit(dt.date(2024, 1, 1)).alias("date"), F.lit("x").alias("block"), "id")
+        got = reconciled(numbered, marks)
+        # A count that used no column of the last join would be planned without it.
+        counts = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("strength").alias("n"), F.max("score")).collect()]
+        assert sum(counts) == 2000 and len(counts) == 4 and max(counts) < 800
+        assert {(r.strength, r.mark): r["count"] for r in got.groupBy("strength", "mark").count().collect()} == {("strong", 1): 1000, ("medium", 1): 1000}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +69,7 @@ def reconciled(events: DataFrame, marks: DataFrame, least: float = 0.6) -> DataF
     """
     strong = marks.where("number is not null").select(F.col("number").alias("_strong")).distinct()
     medium = marks.groupBy(F.col("name").alias("_name"), F.col("date").alias("_date")).agg(F.min("number").alias("_medium"))
-    rungs = events.join(strong, F.col("number") == F.col("_strong"), "left").join(medium, (F.col("name") == F.col("_name")) & (F.col("date") == F.col("_date")), "left").drop("_name", "_date")
+    rungs = _left(_left(events, strong, {"number": "_strong"}), medium, {"name": "_name", "date": "_date"}).drop("_name", "_date")
     held = staged(rungs, "rungs")
     texts = lambda df: df.select(_in_block().alias("t"), "block", "name").where("t is not null").distinct()
     grams = lambda df: df.select("t", F.transform(trigrams(F.col("name")), lambda g: F.concat_ws("\x1f", F.col("block").cast("string"), g)).alias("gs"))
@@ -76,12 +79,23 @@ def reconciled(events: DataFrame, marks: DataFrame, least: float = 0.6) -> DataF
     best = near.groupBy("a").agg(F.max_by("b", F.struct("trgm", _descending("b"))).alias("b"), F.max("trgm").alias("_score"))
     weak = best.join(ids, F.col("b") == F.col("_b")).select(F.col("a").alias("_t"), F.col("number").alias("_weak"), "_score")
     open_ = F.when(F.col("_strong").isNull() & F.col("_medium").isNull(), _in_block())
-    found = held.withColumn("_open", open_).join(weak, F.col("_open") == F.col("_t"), "left")
+    found = _left(held.withColumn("_open", open_), weak, {"_open": "_t"})
     strength = F.when(F.col("_strong").isNotNull(), "strong").when(F.col("_medium").isNotNull(), "medium").when(F.col("_weak").isNotNull(), "weak").otherwise("none")
     score = F.when(F.col("_strong").isNotNull() | F.col("_medium").isNotNull(), 1.0).otherwise(F.col("_score"))
     return found.select(*[F.col(f"`{c}`") for c in events.columns], strength.alias("strength"), F.coalesce("_strong", "_medium", "_weak").alias("mark"), score.alias("score"))
 
 
+def _left(rows: DataFrame, found: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """The rows left joined with ``found`` on keys (column of rows: column of found); rows without a key, which find nothing, are dealt by all they hold, not to one task."""
+    kinds = dict(found.dtypes)
+    own = F.xxhash64(*[F.col(a).cast(kinds[b]) for a, b in keys.items()])
+    absent = reduce(or_, [F.col(a).isNull() for a in keys])
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"])  # those have no hash
+    left = rows.withColumn("_dealt", F.when(absent, whole).otherwise(own))
+    right = found.withColumn("_at", F.xxhash64(*keys.values()))
+    return left.join(right, reduce(and_, [F.col("_dealt") == F.col("_at"), *[F.col(a) == F.col(b) for a, b in keys.items()]]), "left").drop("_dealt", "_at")
+
+
 def _in_block() -> Column:
     return F.when(F.col("name").isNotNull() & F.col("block").isNotNull(), F.concat_ws("\x1f", F.col("block").cast("string"), "name"))
 
