@@ -40,3 +40,9 @@ def test_a_repeated_revision_and_an_empty_table(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (2, None), (3, 2), (3, 1)], "revision int, parent int")
     assert sorted((r.revision, r.root, r.depth) for r in revision_graph(df).collect()) == [(1, 1, 0), (2, 2, 0), (3, 1, 1)]
     assert revision_graph(df.limit(0)).count() == 0
+
+
+def test_no_join_sends_a_table_through_the_driver(spark):
+    df = spark.createDataFrame([(k, k - 1 if k % 10 else None) for k in range(100)], "revision long, parent long")
+    plan = revision_graph(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
