@@ -69,15 +69,18 @@ def route_events(events: DataFrame, marks: DataFrame, known: DataFrame, enabled:
     from pyspark.sql import Window
 
     joined = events.join(marks, "application_number", "left")
-    old = known.select(F.col("mark_id").alias("_m"), F.col("event_type").alias("_t"), F.col("event_date").alias("_d")).distinct()
-    seen = joined.join(old, F.col("mark_id").eqNullSafe(F.col("_m")) & (F.col("event_type") == F.col("_t")) & F.col("event_date").eqNullSafe(F.col("_d")), "left")
-    turn = F.row_number().over(Window.partitionBy("mark_id", "event_type", "event_date").orderBy("doc_id", "page_number", "raw_text"))
+    # Only events with a mark are compared; those that are known come first among their equals, in the one shuffle that orders them.
+    old = known.where("mark_id is not null and event_type is not null").select("mark_id", "event_type", "event_date").distinct().withColumn("_old", F.lit(True))
+    compared = joined.where("mark_id is not null").withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True)
+    equals = Window.partitionBy("mark_id", "event_type", "event_date").orderBy(F.desc("_old"), "doc_id", "page_number", "raw_text")
+    turned = compared.withColumn("_turn", F.row_number().over(equals)).where("not _old").drop("_old")
+    seen = turned.unionByName(joined.where("mark_id is null").withColumn("_turn", F.lit(0)))
     route = (
         F.when(F.lit(not enabled), "dropped")
         .when(F.coalesce("application_number", F.lit("")) == "", "review_no_number")
         .when(F.col("mark_id").isNull(), "review_unmatched")
         .when(F.col("confidence_score") < REVIEW_THRESHOLD, "review_confidence")
-        .when(F.col("_m").isNotNull() | (turn > 1), "duplicate")
+        .when(F.col("_turn") > 1, "duplicate")
         .otherwise("insert")
     )
     opens = F.when((route == "insert") & (F.col("event_type") == "publication"), F.add_months("event_date", 2))

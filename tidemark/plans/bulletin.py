@@ -57,7 +57,8 @@ SELECT doc_id, event_type, mark_id, route, CASE WHEN route = 'insert' AND event_
 )
 def routing(read):
     """Where each event goes."""
-    found = staged(bulletin_events(_bulletins(read)), "events")  # read three times
+    needed = ["doc_id", "event_date", "page_number", "event_type", "application_number", "raw_text", "confidence_score"]
+    found = staged(bulletin_events(_bulletins(read)).select(*needed), "events")  # read three times
     number = F.concat(F.lit("N-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0"))
     marks = read("lineitem").where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.min("l_partkey").alias("mark_id")).select(number.alias("application_number"), "mark_id")
     known = found.where("doc_id % 5 = 1").join(marks, "application_number").select("mark_id", "event_type", "event_date")
