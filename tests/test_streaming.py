@@ -101,3 +101,16 @@ def test_a_batch_writes_its_own_buckets_only(spark, tmp_path):
     state, _ = merge_stream(source(spark, tmp_path, schema), "id", ["t", "v"], ["t"], str(tmp_path / "m"), buckets=16)
     written = [len(list((tmp_path / "m" / "state" / f"version={n}").glob("bucket=*"))) for n in (0, 1)]
     assert written == [16, 1] and state.count() == 500 and state.where("v = 'b'").count() == 1
+
+
+def test_keys_share_slots_of_state(spark, tmp_path):
+    """Over restarts: null keys are keys, and the state has a row per slot, not per key."""
+    schema = "user_id long, event_type string, ts timestamp"
+    users, kinds = (None, 0, 1, 2, 1 << 60), (None, "a", "b")
+    batches = [[(u, kind, START + dt.timedelta(hours=h)) for u in users for kind in kinds for h in hours] for hours in ((0, 3, 24, 25), (26, 49, 50))]
+    for k, batch in enumerate(batches):
+        put(spark, tmp_path, f"f{k}", batch, schema)
+        rows = to_table(suppress_repeats(source(spark, tmp_path, schema), slots=3), path=str(tmp_path / "out"))
+    got = sorted((repr(r.user_id), repr(r.event_type), r.emitted_micros) for r in rows.collect())
+    assert got == sorted((repr(u), repr(kind), micros(3600 * h)) for u in users for kind in kinds for h in (0, 25, 50))
+    assert 1 <= spark.read.format("statestore").load(str(tmp_path / "out" / "offsets")).count() <= 3
