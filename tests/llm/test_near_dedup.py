@@ -76,3 +76,52 @@ def test_hot_group_over_chunks_and_parts(spark, monkeypatch):
     for name, value in (("shard_pairs", {"chunk": 16}), ("_confirmed", {"part": 8})):
         monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), v=value: f(*a, **v))
     assert {r.doc_id: r.component_id for r in similar_classes(docs).collect()} == {k + 1: r + 1 for k, r in enumerate(brute(texts))}
+
+
+def test_pairs_of_a_group_are_listed_once_not_per_shard(spark, monkeypatch):
+    """16 copies with three edits each: 120 pairs just below the threshold that meet in many shards; beside them two pairs of copies."""
+    texts = []
+    for k in range(16):
+        copy = [f"b{j}" for j in range(260)]
+        for at in (k + 1, k + 18, k + 35):
+            copy[at * 5] = f"x{k}e{at}"
+        texts.append(" ".join(copy))
+    for k in range(2):
+        other = [f"o{k}v{j}" for j in range(100)]
+        texts += [" ".join(other), " ".join([*other[:-1], "z"])]
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    frame, listed = type(docs), spark.sparkContext.accumulator(0)
+    pairs, rows = [], []
+
+    def counted(self, f, schema, *a, plain=frame.mapInArrow):
+        if schema != "a long, b long" or "p0" not in self.columns:
+            return plain(self, f, schema, *a)
+
+        def run(batches):
+            for batch in f(batches):
+                listed.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema, *a)
+
+    def asked(shards, *a, plain=jaccard.shard_pairs):
+        rows.append(shards.count())
+        out = plain(shards, *a)
+        before = listed.value
+        pairs.append(out.count())
+        listed.add(before - listed.value)
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    monkeypatch.setattr(jaccard, "shard_pairs", asked)
+    found = {r.doc_id: r.component_id for r in similar_classes(docs).collect()}
+    assert found == {k + 1: r + 1 for k, r in enumerate(brute(texts))} and len(set(found.values())) == 18
+    assert sum(pairs) > 60
+    assert listed.value < 2 * sum(pairs)
+
+
+def test_shards_of_the_same_sets_are_one(spark):
+    """Sets that share a passage meet once for it, whatever its length; a set that shares only a part of it meets them apart."""
+    marks = spark.createDataFrame([(1, [10, 20, 30, 1]), (2, [30, 20, 10, 2]), (3, [30, 3, 40]), (4, [40, 4]), (5, None)], "sid long, first array<long>")
+    got = {(r.g, r.sid, r.lead) for r in jaccard.shards_of(marks).collect()}
+    assert got == {(10, 1, 1), (10, 2, 1), (30, 1, 1), (30, 2, 1), (30, 3, 1), (40, 3, 3), (40, 4, 3)}

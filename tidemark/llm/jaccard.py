@@ -6,11 +6,12 @@ fingerprints prunes nothing at that radius. So the trees are sharded by rare shi
 Jaccard t or more share one of the n - ceil(t n) + 1 first shingles of either, in any order that is the same
 for all. The order puts rare shingles first, by counts of ``BUCKETS`` hash buckets, which merge by addition.
 
-Distinct sets are compared, not documents. Per shard each set meets the least one (its lead) first, if
+Distinct sets are compared, not documents. Shingles of the same sets (a passage has many) make one shard. Per shard each set meets the least one (its lead) first, if
 their fingerprints lie within the radius; confirmed pairs make classes. Then a shard that still holds sets of
 different classes gets a BK-tree, and what it finds between classes is confirmed in turn, first at a small
-radius. Before a found pair leaves the task it passes an exact bound: sets differ by no less than the summed
-differences of the sizes of ``PARTS`` parts by hash. So a group of copies costs one comparison a set and
+radius. A pair is left to the least shard that both sets are in, as far as the ``HOMES`` least shards of each
+tell, so that sets with many shards in common leave one pair, not one a shard. Before a found pair leaves the task it
+passes an exact bound: sets differ by no less than the summed differences of the sizes of ``PARTS`` parts by hash. So a group of copies costs one comparison a set and
 shard, and its pairs aren't emitted, whether they are similar enough or not.
 
 Nulls: null texts and texts without a word are copies of each other; a null doc_id belongs to its class but never
@@ -42,6 +43,10 @@ RADII = (6, 10)
 CHUNK = 1024
 #: Parts of a set whose sizes bound the difference of two sets from below.
 PARTS = 128
+#: Least shards of a set by which a shard knows that two sets meet in an earlier one; more would only find the rest of the repeated pairs.
+HOMES = 8
+#: Stands for a missing one; no shard comes after it.
+_NO_HOME = (1 << 63) - 1
 #: Pairs whose parts are compared at a time.
 COMPARED = 1 << 15
 #: Pairs that are listed at a time; a group's pairs are at most the square of a chunk.
@@ -201,10 +206,14 @@ def _crossed(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarra
 def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1, chunk: int = CHUNK) -> DataFrame:
     """Pairs (a, b) of sets of different classes within the radius, but beyond ``beyond``, that may be similar.
 
-    By a BK-tree per shard; shards: g, sid, fp, n, root, parts.
+    By a BK-tree per shard; shards: g, sid, fp, n, root, parts, homes (the least shards of the set, ascending).
     """
     names = [f"p{k}" for k in range(PARTS // 8)]
-    flat = shards.select("g", "sid", "fp", "n", "root", *[F.get("parts", F.lit(k)).alias(name) for k, name in enumerate(names)])
+    least_shards = [f"h{k}" for k in range(HOMES)]
+    flat = shards.select(
+        "g", "sid", "fp", "n", "root", *[F.get("parts", F.lit(k)).alias(name) for k, name in enumerate(names)],
+        *[F.coalesce(F.get("homes", F.lit(k)), F.lit(_NO_HOME)).alias(name) for k, name in enumerate(least_shards)],
+    )
     spread = in_chunks(flat, ["g"], chunk, by="sid").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "side", "fp", "root")
 
     def similar(a: np.ndarray, b: np.ndarray, n: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -216,10 +225,21 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
             out[at : at + COMPARED] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) <= most[at : at + COMPARED]
         return out
 
+    def here(a: np.ndarray, b: np.ndarray, shard: np.ndarray, homes: np.ndarray) -> np.ndarray:
+        """Whether no earlier shard is known to hold both sets; in the least one of all that is always so."""
+        out = np.ones(len(a), bool)
+        for at in range(0, len(a), COMPARED):
+            x, y = homes[a[at : at + COMPARED]], homes[b[at : at + COMPARED]]
+            earlier = x < shard[a[at : at + COMPARED], None]
+            for k in range(HOMES):
+                out[at : at + COMPARED] &= ~((x == y[:, k, None]) & earlier).any(axis=1)
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root", *names), 3):
+        for group, rows in whole_groups(batches, ("g", "low", "high", "side", "fp", "sid", "n", "root", *names, *least_shards), 3):
             side, fp, sid, n, root = rows[3:8]
-            parts = np.ascontiguousarray(rows[8:].T).view(np.uint8)
+            parts = np.ascontiguousarray(rows[8 : 8 + len(names)].T).view(np.uint8)
+            homes = np.ascontiguousarray(rows[8 + len(names) :].T)
             # Runs of one fingerprint on one side of a group, and in them runs of one class: pairs of runs of one class are skipped whole.
             turn = (group[1:] != group[:-1]) | (side[1:] != side[:-1]) | (fp[1:] != fp[:-1])
             start = np.flatnonzero(np.r_[True, turn])
@@ -239,6 +259,7 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
                     x, y = x[apart], y[apart]
                     for a, b in _crossed(cell[x], cell_size[x], cell[y], cell_size[y]):
                         near = np.flatnonzero(np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - EPS)
+                        near = near[here(a[near], b[near], rows[0], homes)]
                         near = near[similar(a[near], b[near], n, parts)]
                         a, b = sid[a[near]], sid[b[near]]
                         if len(a):
@@ -247,14 +268,27 @@ def shard_pairs(shards: DataFrame, least: float, radius: int, beyond: int = -1,
     return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, marks: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+def shards_of(marks: DataFrame) -> DataFrame:
+    """Staged: g, sid and lead (its least set) of the shards of two or more sets, one for each different group of sets.
+
+    Groups are equal if their least and greatest set, their number and the sum of their sets' bits (by XOR, 64 bits) are.
+    """
+    posted = marks.select("sid", F.explode("first").alias("g"))
+    members = posted.groupBy("g").agg(F.min("sid").alias("lead"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("sets"), F.bit_xor("sid").alias("mix")).where("lead < high")
+    kept = stage_table(members.groupBy("lead", "high", "sets", "mix").agg(F.min("g").alias("_g")).select("_g", "lead"), "near-shards")
+    met = stage_table(posted.join(kept, F.col("g") == F.col("_g")).select("g", "sid", "lead"), "near-met")
+    drop_staged(kept)
+    return met
+
+
+def similar_links(docs: DataFrame, marks: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between set ids that connect all sets with Jaccard ``least`` or more.
 
-    rows: ``shingled`` documents; marks: fp, n and first_doc of each distinct set.
+    marks: fp, n, parts, first and first_doc of each distinct set.
     """
-    posted = rows.select("sid", F.explode("first").alias("g"))
-    shared = posted.groupBy(F.col("g").alias("_g")).agg(F.min("sid").alias("lead"), F.max("sid").alias("high")).where("lead < high").select("_g", "lead")
-    met = stage_table(posted.join(shared, F.col("g") == F.col("_g")).select("g", "sid", "lead").distinct(), "near-met")
+    met = shards_of(marks)
+    homes = met.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("g")), 1, HOMES).alias("homes"))
+    homed = stage_table(marks.select("sid", "fp", "n", "parts").join(homes, "sid"), "near-homes")
     of = lambda name: marks.select(F.col("sid").alias(name), F.col("fp").alias(f"{name}_fp"), F.col("n").alias(f"{name}_n"))
     near = (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= radius) & (F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - EPS)
     stars = met.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
@@ -268,7 +302,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, marks: DataFrame, width: int
         classed = met.select("g", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("root", "sid").alias("root"))
         mixed = classed.groupBy(F.col("g").alias("_g")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("_g")
         open_ = stage_table(classed.join(mixed, F.col("g") == F.col("_g"), "left_semi"), "near-open")
-        pairs = stage_table(shard_pairs(open_.join(marks.select("sid", "fp", "n", "parts"), "sid"), least, within, before), "near-pairs")
+        pairs = stage_table(shard_pairs(open_.join(homed, "sid"), least, within, before), "near-pairs")
         before = within
         more = _confirmed(pairs, docs, marks, width, least)
         # A class is its star from here on.
@@ -278,20 +312,23 @@ def similar_links(docs: DataFrame, rows: DataFrame, marks: DataFrame, width: int
             drop_staged(done)
         linked = links
     drop_staged(met)
+    drop_staged(homed)
     return linked
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id: the least id of the documents connected by links; null if all are null."""
     rows = stage_table(shingled(docs, width, least), "near-rows")
-    marks = stage_table(rows.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("fp", "n", "parts")], F.min("doc_id").alias("first_doc")), "near-marks")
-    roots = stage_table(components(similar_links(docs, rows, marks, width, least, radius), "a", "b"), "near-roots")
+    marks = stage_table(rows.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("fp", "n", "parts", "first")], F.min("doc_id").alias("first_doc")), "near-marks")
+    ids = stage_table(rows.select("doc_id", "sid"), "near-ids")
+    drop_staged(rows)
+    roots = stage_table(components(similar_links(docs, marks, width, least, radius), "a", "b"), "near-roots")
     firsts = marks.join(roots, F.col("sid") == F.col("node"), "left")
     firsts = stage_table(firsts.select(F.col("sid").alias("_sid"), "first_doc", F.coalesce("root", "sid").alias("root")), "near-firsts")
     least_doc = firsts.groupBy(F.col("root").alias("_root")).agg(F.min("first_doc").alias("component_id"))
     named = firsts.join(least_doc, F.col("root") == F.col("_root")).select("_sid", "component_id")
-    out = stage_table(rows.select("doc_id", "sid").join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id"), "near-classes")
-    for done in (rows, marks, roots, firsts):
+    out = stage_table(ids.join(named, F.col("sid") == F.col("_sid")).select("doc_id", "component_id"), "near-classes")
+    for done in (ids, marks, roots, firsts):
         drop_staged(done)
     return out
 
